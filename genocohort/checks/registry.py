@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..fixtures import Views, with_views
 
-MODULES = ["scoring"]
+MODULES = ["scoring", "distribution", "projections"]
 
 
 @dataclass(frozen=True)

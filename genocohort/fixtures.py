@@ -109,7 +109,7 @@ class Views:
             self.score_raw, ["pgs_id", "chrom", "pos", "effect_allele"], self.SCORE_ORDER
         ).select(
             "pgs_id", "chrom", "pos", "effect_allele", "other_allele",
-            (F.col("weight_h") / 100).alias("weight"), "weight_h",
+            (F.col("weight_h") / 64).alias("weight"), "weight_h",
         )
 
     @cached_property
@@ -211,6 +211,7 @@ class Views:
             F.create_map(*[x for k, v in pops.items() for x in (F.lit(k), F.lit(v))]), F.col("l_linenumber") % 6
         )
         h = F.round(F.col("l_discount") * 100).cast("int")
+        scale = F.when(F.col("b") % 7 == 0, 10000).otherwise(1)
         return (
             self.table("lineitem")
             .groupBy(
@@ -221,9 +222,9 @@ class Views:
             .select(
                 "pgs_id", "population",
                 F.when(F.col("a") % 5 == 0, "GRCh37").otherwise("GRCh38").alias("genome_build"),
-                (F.col("a") / 10000).alias("mean"),
-                F.when(F.col("b") % 9 == 0, 0.0).otherwise((F.col("b") % 9) / 1000).alias("std"),
-                F.col("n").cast("bigint").alias("n_samples"),
+                (F.col("a") * scale / 10000).alias("mean"),
+                (F.col("b") % 9 * scale / 1000).alias("std"),
+                ((F.col("b") + F.col("n")) % 120).alias("n_samples"),
                 (F.col("b") % 100 / 100).alias("match_rate"),
             )
         )
@@ -268,7 +269,7 @@ VIEW_SQL = {
         CAST(round(l_discount * 100) AS INT) - 5 AS weight_h,
         l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount
         FROM lineitem JOIN v_variant ON l_partkey = variant_id""",
-    "v_score": """SELECT pgs_id, chrom, pos, effect_allele, other_allele, weight_h / 100.0::DOUBLE AS weight, weight_h
+    "v_score": """SELECT pgs_id, chrom, pos, effect_allele, other_allele, weight_h / 64.0::DOUBLE AS weight, weight_h
         FROM v_score_raw QUALIFY row_number() OVER (PARTITION BY pgs_id, chrom, pos, effect_allele
             ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount) = 1""",
     "v_block": f"""SELECT sample_id, chrom, pos, pos + 500 + (k % 50) * 1000 AS end_pos, CAST(k % 40 AS INT) AS min_dp,
@@ -308,14 +309,14 @@ VIEW_SQL = {
         (s_suppkey // 25) * 400000 + 250000 + (s_suppkey % 7) * 20000 AS src_end,
         CAST(s_nationkey * 137 - 1000 AS BIGINT) AS delta FROM supplier""",
     "v_stats": """SELECT pgs_id, population, CASE WHEN a % 5 = 0 THEN 'GRCh37' ELSE 'GRCh38' END AS genome_build,
-        a / 10000.0::DOUBLE AS mean, CASE WHEN b % 9 = 0 THEN 0.0::DOUBLE ELSE (b % 9) / 1000.0::DOUBLE END AS std, n AS n_samples,
+        a * sc / 10000.0::DOUBLE AS mean, (b % 9 * sc) / 1000.0::DOUBLE AS std, (b + n) % 120 AS n_samples,
         (b % 100) / 100.0::DOUBLE AS match_rate
-        FROM (SELECT concat('PGS', lpad(CAST(l_suppkey AS VARCHAR), 6, '0')) AS pgs_id,
+        FROM (SELECT *, CASE WHEN b % 7 = 0 THEN 10000 ELSE 1 END AS sc FROM (SELECT concat('PGS', lpad(CAST(l_suppkey AS VARCHAR), 6, '0')) AS pgs_id,
           CASE l_linenumber % 6 WHEN 0 THEN 'EUR' WHEN 1 THEN 'EAS' WHEN 2 THEN 'AFR' WHEN 3 THEN 'SAS' WHEN 4 THEN 'AMR'
             ELSE 'MIX' END AS population,
           CAST(sum(CAST(round(l_discount * 100) AS INT) - 5) AS BIGINT) AS a, CAST(count(*) AS BIGINT) AS n,
           CAST(sum(CAST(l_quantity AS INT)) AS BIGINT) AS b
-          FROM lineitem GROUP BY 1, 2)""",
+          FROM lineitem GROUP BY 1, 2))""",
     "v_report": """SELECT event_id AS task_id, user_id AS file_id, event_type AS test_id, ts AS completed_at,
         least(value, 100.0) AS match_rate, props FROM events""",
 }

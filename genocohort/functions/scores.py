@@ -55,6 +55,7 @@ def percentile_columns(avg: Column, total: Column, mean: Column, std: Column, ex
         lambda g: g.isNotNull(),
     )
     return {
+        "z": z,
         "z_score": F.round(z, 3),
         "percentile": F.when(kept, F.round(F.least(F.greatest(raw, F.lit(0.5)), F.lit(99.5)), 1)),
         "percentile_capped": F.coalesce(capped, F.lit(False)),

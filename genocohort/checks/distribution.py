@@ -296,7 +296,7 @@ def stat_sources(v):
 
 
 @check("wn14_stats_precedence", f"""WITH {WN14_SQL} SELECT pgs_id, population, source_rank, min(std) AS std FROM
-   (SELECT *, min(source_rank) OVER (PARTITION BY pgs_id, population) AS best FROM src) WHERE source_rank = best AND NOT (source_rank = 1 AND false)
+   (SELECT *, min(source_rank) OVER (PARTITION BY pgs_id, population) AS best FROM src) WHERE source_rank = best
    GROUP BY 1, 2, 3""")
 def wn14(v):
     new, db, legacy = stat_sources(v)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..fixtures import Views, with_views
 
-MODULES = ["scoring", "distribution", "projections"]
+MODULES = ["scoring", "distribution", "projections", "intervals", "quality", "clinical"]
 
 
 @dataclass(frozen=True)

@@ -150,7 +150,7 @@ def ag28(v):
     return mapped.withColumn("platform", platform).withColumn("coverage", H.coverage_estimate(F.col("mapped"), F.lit(100000), F.col("platform")))
 
 
-@check("src16_header_facts", """SELECT concat('s', sample_id) AS file, CASE WHEN sample_id % 3 = 0 THEN 'GRCh38' WHEN sample_id % 3 = 1 THEN 'GRCh37' END AS build, n_contigs, concat('S', sample_id) AS samples, 'caller v1' AS caller, true AS has_chr
+@check("src16_header_facts", """SELECT concat('s', sample_id) AS file, CASE WHEN sample_id % 3 = 0 THEN 'GRCh38' WHEN sample_id % 3 = 1 THEN 'GRCh37' ELSE 'unknown' END AS build, n_contigs, concat('S', sample_id) AS samples, 'caller v1' AS caller, true AS has_chr
    FROM (SELECT sample_id, count(DISTINCT chrom) AS n_contigs FROM v_block GROUP BY 1)""")
 def src16(v):
     b = v.block.select("sample_id", "chrom").distinct()

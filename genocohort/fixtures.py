@@ -175,6 +175,7 @@ class Views:
         )
         base = (
             F.when(F.col("variant_id") % 5 == 0, F.col("alt")).when(F.col("variant_id") % 5 == 1, F.col("ref"))
+            .when(F.col("variant_id") % 5 == 2, G.complement(F.col("ref")))
             .when(F.col("l_returnflag") == "R", F.col("alt")).otherwise(F.col("ref")).substr(1, 1)
         )
         lead = F.when(cigar.startswith("5S"), F.lit("A" * 24)).otherwise(F.lit("A" * 19))
@@ -184,6 +185,7 @@ class Views:
             F.rpad(F.concat(lead, base, F.lit("TG")), 50, "C").alias("seq"),
             F.col("l_quantity").cast("int").alias("mapq"),
             (F.lit(10) + F.col("l_linenumber") * 6).cast("int").alias("baseq"),
+            F.repeat(F.char(F.lit(43) + F.col("l_linenumber") * 6), F.lit(50)).alias("quals"),
             F.when(F.col("l_orderkey") % 2 == 0, 16).otherwise(0).alias("strand_flag"),
             (F.when(F.col("l_orderkey") % 2 == 0, 16).otherwise(0)
              + F.when(F.col("l_orderkey") % 29 == 0, 256).otherwise(0)
@@ -300,7 +302,7 @@ VIEW_SQL = {
         l_orderkey, l_linenumber, l_quantity, l_extendedprice, base
         FROM (SELECT CASE WHEN l_linestatus = 'F' THEN 1 ELSE 2 END AS sample_id, chrom, pos - 19 AS start_pos,
           (['50M','20M2D30M','20M2I28M','5S20M2D25M','20M','20M3D30M','25M25M'])[l_linenumber] AS cigar,
-          substr(CASE WHEN variant_id % 5 = 0 THEN alt WHEN variant_id % 5 = 1 THEN ref WHEN l_returnflag = 'R' THEN alt
+          substr(CASE WHEN variant_id % 5 = 0 THEN alt WHEN variant_id % 5 = 1 THEN ref WHEN variant_id % 5 = 2 THEN translate(ref, 'ACGT', 'TGCA') WHEN l_returnflag = 'R' THEN alt
             ELSE ref END, 1, 1) AS base, CAST(l_quantity AS INT) AS mapq, CAST(10 + l_linenumber * 6 AS INT) AS baseq,
           CASE WHEN l_orderkey % 2 = 0 THEN 16 ELSE 0 END AS strand_flag,
           l_orderkey, l_linenumber, l_quantity, l_extendedprice

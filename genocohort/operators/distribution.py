@@ -26,11 +26,13 @@ def balanced_mix(samples: DataFrame) -> DataFrame:
         "_hash", F.md5(F.concat(F.col("sample_id").cast("string"), F.lit(MIX_SEED)))
     )
     sizes = members.groupBy("superpop").agg(F.count(F.lit(1)).alias("_n"))
-    take = sizes.agg(F.when(F.count(F.lit(1)) == len(MIX_PARTS), F.min("_n")).otherwise(0).alias("_take"))
+    take = sizes.agg(F.when(F.count(F.lit(1)) == len(MIX_PARTS), F.min("_n")).otherwise(0).alias("_take")).withColumn(
+        "superpop", F.explode(F.array(*[F.lit(p) for p in MIX_PARTS]))
+    )
     bucket = F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int")
     placed = ordinal(members, ["superpop"], bucket, ["_hash", "sample_id"], "_place")
-    # one-row table: the size of the smaller part
-    return placed.join(F.broadcast(take), F.col("_place") < F.col("_take")).select(
+    # one row per part of MIX
+    return placed.join(F.broadcast(take), "superpop").where(F.col("_place") < F.col("_take")).select(
         "sample_id", F.lit("MIX").alias("population")
     )
 

@@ -65,7 +65,7 @@ def interval_join(
         ),
     ).select("*", "_ask.*").drop("_ask")
     if salt > 1:
-        asked = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).cast("bigint"))
+        asked = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1).cast("bigint"))))
         binned = binned.withColumn("_salt", F.col("_salt").cast("bigint"))
     else:
         asked = asked.withColumn("_salt", F.lit(0))

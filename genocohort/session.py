@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +37,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="genocohort-ckpt-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared folder of the session; a local one only where the session names none."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="genocohort-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -14,11 +14,13 @@ RECORD_COLUMNS = ["sample_id", "chrom", "pos", "end_pos", "id", "ref", "alt_csv"
 def prepare_arrivals(spark: SparkSession, source: str, target: str, checkpoint: str) -> None:
     """Process the files that arrived since the last run. The checkpoint makes each file count once; a batch that is
     retried after a lost executor overwrites its own partition."""
-    lines = spark.readStream.format("text").load(source).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = spark.readStream.format("text").load(source).withColumn("file", F.col("_metadata.file_path"))
+    # folder columns of the source (such as a lot) travel along
+    extra = [c for c in lines.columns if c not in ("value", "file")]
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        records = parse_vcf(batch).withColumn("sample_id", N.sample_from_file(N.base_name(F.col("file"))))
-        records.select(*RECORD_COLUMNS).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
+        records = parse_vcf(batch, keep=("file", *extra)).withColumn("sample_id", N.sample_from_file(N.base_name(F.col("file"))))
+        records.select(*extra, *RECORD_COLUMNS).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy("batch_id").parquet(target)
 

@@ -28,7 +28,7 @@ def pf19(v):
 def loadings(v):
     """Loadings of the variants: ten entries of an embedding row, shared by four neighbouring variants."""
     e = v.table("embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("loadings"))
-    own = v.variant.withColumn("vec_id", F.floor(F.col("variant_id") / 4))
+    own = v.variant.withColumn("vec_id", G.whole(F.col("variant_id"), 4))
     return own.join(e, "vec_id").select("chrom", "pos", "loadings")
 
 
@@ -131,9 +131,9 @@ SUP_SQL = f"""{LABEL_SQL}, hit AS (SELECT p.sample_id, mk.* FROM v_panel p JOIN
 
 
 def markers(v, chrom):
-    k = F.floor(F.col("variant_id") / 25)
+    k = G.whole(F.col("variant_id"), 25)
     letter = F.lit("EGIJR").substr((k % 5 + 1).cast("int"), F.lit(1))
-    tail = F.lit("1b1a1").substr(F.lit(1), (F.floor(F.col("variant_id") / 125) % 6).cast("int"))
+    tail = F.lit("1b1a1").substr(F.lit(1), (G.whole(F.col("variant_id"), 125) % 6).cast("int"))
     return v.variant.where(F.col("chrom") == chrom).select("chrom", "pos", "ref", "alt", F.col("rsid").alias("name"), F.concat(letter, tail).alias("haplogroup"))
 
 

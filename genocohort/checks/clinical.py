@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import clinical as C
+from ..functions import genotype as G
 from ..operators import clinical as P
 from ..operators import lookup as L
 from ..sources import tables as T
@@ -28,7 +29,7 @@ LOOK_SQL = f"""{WANT_SQL}, byid AS (SELECT sample_id, id, chrom, pos, ref, alt_c
 def test_variants(v):
     k = F.col("variant_id")
     return v.variant.select(
-        F.floor(k / 5).alias("test_no"),
+        G.whole(k, 5).alias("test_no"),
         F.when(k % 25 == 13, None).when(k % 8 == 5, F.concat(F.lit("rsx"), k.cast("string"))).otherwise(F.col("rsid")).alias("rsid"),
         "gene", "chrom", F.when(k % 10 == 7, None).otherwise(F.col("pos")).alias("pos"), "ref",
         F.when(k % 6 == 3, "N").otherwise(F.col("alt")).alias("alt"), k.alias("variant_no"),
@@ -36,7 +37,7 @@ def test_variants(v):
 
 
 def wanted(v):
-    asked = v.call_raw.select("sample_id", F.floor(F.col("variant_id") / 5).alias("test_no")).distinct()
+    asked = v.call_raw.select("sample_id", G.whole(F.col("variant_id"), 5).alias("test_no")).distinct()
     return asked.join(test_variants(v), "test_no")
 
 
@@ -116,7 +117,7 @@ APOE_SQL = "apoe(dose_e4, dose_e2, diplotype, risk) AS (VALUES " + ", ".join(str
    SELECT sample_id, test_no, coalesce(diplotype, 'Could not determine') AS diplotype, coalesce(risk, 'Unknown') AS risk FROM d LEFT JOIN apoe ON e4 = dose_e4 AND e2 = dose_e2""")
 def sc6(v):
     calls = v.genotype.select(
-        "sample_id", F.floor(F.col("variant_id") / 5).alias("test_no"),
+        "sample_id", G.whole(F.col("variant_id"), 5).alias("test_no"),
         F.when(F.col("variant_id") % 2 == 0, "e4").otherwise("e2").alias("marker"), F.col("gt").alias("genotype"))
     return P.apoe_diplotypes(calls, ["sample_id", "test_no"])
 
@@ -168,7 +169,7 @@ def hla_lines(v):
     gene = F.element_at(F.array(*[F.lit(g) for g in HLA_GENES]), (k % 4 + 1).cast("int"))
     x, y = (k % 80).cast("string"), (F.col("o_custkey") % 90).cast("string")
     first = F.concat(gene, F.lit("*"), x, F.lit(":01,"), gene, F.lit("*99:99"))
-    return v.table("orders").select(F.floor(k / 4).alias("sample_no"), F.concat_ws(
+    return v.table("orders").select(G.whole(k, 4).alias("sample_no"), F.concat_ws(
         "\t", gene, (1 + k % 2).cast("string"), first, F.lit("10.0"), F.lit("60"), F.concat(gene, F.lit("*"), y, F.lit(":02")), F.lit("9"), F.lit("5")).alias("value"))
 
 
@@ -246,8 +247,6 @@ def pl11(v):
 @check("so5_gene_intersection", f"""WITH {PANEL_GENE_SQL}, g AS (SELECT DISTINCT variant_id, split_part(unnest(string_split(geneinfo, '|')), ':', 1) AS gene FROM v_variant)
    SELECT variant_id, panel, string_agg(gene, ',' ORDER BY gene) AS genes FROM g JOIN pg USING (gene) GROUP BY 1, 2""")
 def so5(v):
-    from ..functions import genotype as G
-
     panels = panel_genes(v).groupBy("panel").agg(F.array_sort(F.collect_set("gene")).alias("panel_genes"))
     own = v.variant.withColumn("genes", G.gene_names(F.col("geneinfo"))).withColumn("gene", F.explode("genes"))
     hit = own.join(panel_genes(v), "gene").select("variant_id", "genes", "panel").distinct().join(panels, "panel")

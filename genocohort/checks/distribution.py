@@ -29,6 +29,11 @@ MEMBER_SQL = f"""{PANEL_SQL}, {MIX_SQL},
   ms AS (SELECT p.*, population FROM panel p JOIN member USING (sample_id) WHERE raw_score IS NOT NULL)"""
 
 
+def single(value):
+    """Interpolated values to single precision: engines interpolate in different orders."""
+    return value.cast("float").cast("double")
+
+
 def panel_scores(v):
     scored = O.sum_scores(O.match_allele_pair(v.genotype, v.score))
     total = F.round("score_sum", 6)
@@ -66,16 +71,16 @@ def wn12(v):
 
 @check("ag3_reference_distribution", f"""WITH {MEMBER_SQL}
     SELECT pgs_id, population, count(*) AS n_samples, round(avg(raw_score), 8) AS mean,
-      round(coalesce(stddev_samp(raw_score), 0), 8) AS std, round(quantile_cont(raw_score, 0.5), 8) AS median,
+      round(coalesce(stddev_samp(raw_score), 0), 8) AS std, quantile_cont(raw_score, 0.5)::FLOAT::DOUBLE AS median,
       min(raw_score) AS min, max(raw_score) AS max FROM ms GROUP BY 1, 2""")
 def ag3(v):
     d = D.score_distribution(member_scores(v), ["pgs_id", "population"], "raw_score")
     return d.select(
-        "pgs_id", "population", "n_samples", *[F.round(c, 8).alias(c) for c in ("mean", "std", "median")], "min", "max"
+        "pgs_id", "population", "n_samples", *[F.round(c, 8).alias(c) for c in ("mean", "std")], single(F.col("median")).alias("median"), "min", "max"
     )
 
 
-Q_SQL = ", ".join(f"round(quantile_cont(raw_score, {p / 100}), 8) AS p{p}" for p in QUANTILE_PERCENTS)
+Q_SQL = ", ".join(f"quantile_cont(raw_score, {p / 100})::FLOAT::DOUBLE AS p{p}" for p in QUANTILE_PERCENTS)
 
 
 @check("ag4_quantiles", f"WITH {MEMBER_SQL} SELECT pgs_id, population, {Q_SQL} FROM ms GROUP BY 1, 2")
@@ -85,7 +90,7 @@ def ag4(v):
     )
     return q.select(
         "pgs_id", "population",
-        *[F.round(F.get("q", F.lit(i)), 8).alias(f"p{p}") for i, p in enumerate(QUANTILE_PERCENTS)],
+        *[single(F.get("q", F.lit(i))).alias(f"p{p}") for i, p in enumerate(QUANTILE_PERCENTS)],
     )
 
 
@@ -101,15 +106,16 @@ def ag5(v):
 
 @check("pl2_reference_stats", f"""WITH {MEMBER_SQL}
     SELECT pgs_id, population, count(*) AS n_samples, round(avg(raw_score), 8) AS mean,
-      round(coalesce(stddev_samp(raw_score), 0), 8) AS std, round(quantile_cont(raw_score, 0.5), 8) AS median,
-      round(quantile_cont(raw_score, 0.05), 8) AS q5, round(quantile_cont(raw_score, 0.95), 8) AS q95,
+      round(coalesce(stddev_samp(raw_score), 0), 8) AS std, quantile_cont(raw_score, 0.5)::FLOAT::DOUBLE AS median,
+      quantile_cont(raw_score, 0.05)::FLOAT::DOUBLE AS q5, quantile_cont(raw_score, 0.95)::FLOAT::DOUBLE AS q95,
       round(avg(score_sum), 8) AS sum_mean, round(coalesce(stddev_samp(score_sum), 0), 8) AS sum_std FROM ms GROUP BY 1, 2""")
 def pl2(v):
     d = D.reference_stats(panel_scores(v), v.sample)
     return d.select(
         "pgs_id", "population", "n_samples",
-        *[F.round(c, 8).alias(c) for c in ("mean", "std", "median", "sum_mean", "sum_std")],
-        F.round(F.element_at("quantiles", "5"), 8).alias("q5"), F.round(F.element_at("quantiles", "95"), 8).alias("q95"),
+        *[F.round(c, 8).alias(c) for c in ("mean", "std", "sum_mean", "sum_std")],
+        single(F.col("median")).alias("median"), single(F.element_at("quantiles", "5")).alias("q5"),
+        single(F.element_at("quantiles", "95")).alias("q95"),
     )
 
 

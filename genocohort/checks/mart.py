@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import genotype as G
+
 from ..functions import files as N
 from ..operators import mart as M
 from ..plans.run_tests import run_tests
@@ -119,7 +121,7 @@ def wn16(v):
    SELECT f.file_id, coalesce(r.population, n.population) AS population, CASE WHEN r.population IS NOT NULL THEN 'own' WHEN n.population IS NOT NULL THEN 'sibling' ELSE 'none' END AS origin
    FROM f LEFT JOIN r USING (file_id) LEFT JOIN n USING (sample_name)""")
 def jn21(v):
-    files = v.table("customer").select(F.col("c_custkey").alias("file_id"), F.floor(F.col("c_custkey") / 3).alias("sample_name"))
+    files = v.table("customer").select(F.col("c_custkey").alias("file_id"), G.whole(F.col("c_custkey"), 3).alias("sample_name"))
     reports = v.table("events").where("event_type <> 'view'").select(
         F.col("user_id").alias("file_id"), F.col("event_id").alias("task_id"), F.col("ts").alias("completed_at"), F.col("event_type").alias("population"))
     return M.detected_ancestry(files, reports)
@@ -274,7 +276,7 @@ def sl7(v):
 def jn19(v):
     from ..operators.distribution import population_coverage
 
-    tests = v.table("lineitem").groupBy(F.concat(F.lit("PGS"), F.lpad((F.col("l_suppkey") * 2).cast("string"), 6, "0")).alias("pgs_id")).agg(F.count(F.lit(1)).alias("n"))
+    tests = v.lineitem.groupBy(F.concat(F.lit("PGS"), F.lpad((F.col("l_suppkey") * 2).cast("string"), 6, "0")).alias("pgs_id")).agg(F.count(F.lit(1)).alias("n"))
     return M.enrich_tests(tests, catalogue(v).select("pgs_id", "trait"), population_coverage(v.stats.where("std > 0")))
 
 
@@ -321,8 +323,8 @@ RUN_SQL = f"""{CL.ROLL_SQL}, {CL.SCREEN_SQL},
 
 @check("pl24_run_tests", f"WITH {RUN_SQL}")
 def pl24(v):
-    lookups = v.call_raw.select("sample_id", F.floor(F.col("variant_id") / 5).alias("test_no")).distinct()
-    scores = v.table("lineitem").join(v.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+    lookups = v.call_raw.select("sample_id", G.whole(F.col("variant_id"), 5).alias("test_no")).distinct()
+    scores = v.lineitem.join(v.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_custkey").alias("sample_id"), F.concat(F.lit("PGS"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("target")).distinct()
     screens = CL.screen_requests(v)
     tid = lambda kind, c: F.concat(F.lit(f"{kind}:"), c.cast("string"))

@@ -112,7 +112,7 @@ RAW_SQL = """raw AS (SELECT row_number() OVER () AS rn, l_orderkey, l_linenumber
 
 def raw_rows(v):
     line, q = F.col("l_linenumber"), F.col("l_quantity")
-    return v.table("lineitem").join(v.variant, F.col("l_partkey") == F.col("variant_id")).select(
+    return v.lineitem.join(v.variant, F.col("l_partkey") == F.col("variant_id")).select(
         "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
         F.when(line == 1, "").when(line == 2, "NA").otherwise(F.col("chrom")).alias("hm_chr"),
         F.concat(F.lit("chr"), "chrom").alias("chr_name"),
@@ -275,7 +275,7 @@ def sl1(v):
 
     before = F.coalesce(F.sum("n").over(Window.orderBy("rank", "chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = per.select("chrom", before.alias("offset"))
-    placed = ordinal(t, ["chrom"], F.floor(F.col("pos") / 1000000), ["pos"], "inside")
+    placed = ordinal(t, ["chrom"], G.whole(F.col("pos"), 1000000), ["pos"], "inside")
     return placed.join(F.broadcast(offsets), "chrom").select("chrom", "pos", (F.col("offset") + F.col("inside")).alias("place"))
 
 

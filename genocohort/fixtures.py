@@ -35,6 +35,13 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def lineitem(self) -> DataFrame:
+        """The fact table; a copy that arrives in fewer splits than there are cores is spread by key first."""
+        df = self.table("lineitem")
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, "l_orderkey", "l_partkey")
+
     @cached_property
     def sample(self) -> DataFrame:
         pop = (
@@ -59,7 +66,7 @@ class Views:
             k.alias("variant_id"),
             F.concat(F.lit("rs"), k.cast("string")).alias("rsid"),
             _chrom_of(k % 25).alias("chrom"),
-            (F.lit(1000) + F.floor(k / 25) * SLOT + F.col("p_size") * 7).cast("bigint").alias("pos"),
+            (F.lit(1000) + G.whole(k, 25) * SLOT + F.col("p_size") * 7).cast("bigint").alias("pos"),
             F.when(F.col("p_type") == "LARGE", F.concat(ref, F.lit("GA"))).otherwise(ref).alias("ref"),
             F.when(F.col("p_type") == "LARGE", ref).when(F.col("p_type") == "SMALL", F.concat(ref, F.lit("TG")))
             .otherwise(alt).alias("alt"),
@@ -74,7 +81,7 @@ class Views:
         gt = F.element_at(
             F.array(*[F.lit(g) for g in ("0/0", "0/1", "1/1", "./.", "0|1", "1|1", "0/.", "1/0")]), q % 8 + 1
         )
-        return self.table("lineitem").join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        return self.lineitem.join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
             F.col("o_custkey").alias("sample_id"), F.col("l_partkey").alias("variant_id"), gt.alias("gt"),
             q.alias("dp"), "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
         )
@@ -92,7 +99,7 @@ class Views:
     @cached_property
     def score_raw(self) -> DataFrame:
         line = F.col("l_linenumber") % 4
-        return self.table("lineitem").join(self.variant, F.col("l_partkey") == F.col("variant_id")).select(
+        return self.lineitem.join(self.variant, F.col("l_partkey") == F.col("variant_id")).select(
             F.concat(F.lit("PGS"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("pgs_id"),
             "chrom", "pos",
             F.when(line == 0, F.col("ref")).when(line == 3, "N").otherwise(F.col("alt")).alias("effect_allele"),
@@ -115,7 +122,7 @@ class Views:
     @cached_property
     def block(self) -> DataFrame:
         k = F.col("o_orderkey")
-        pos = F.lit(1000) + F.floor(k / 200) * SLOT + (k % 11) * 30
+        pos = F.lit(1000) + G.whole(k, 200) * SLOT + (k % 11) * 30
         return self.table("orders").select(
             F.col("o_custkey").alias("sample_id"), _chrom_of(k % 25).alias("chrom"),
             pos.cast("bigint").alias("pos"), (pos + 500 + (k % 50) * 1000).cast("bigint").alias("end_pos"),
@@ -143,8 +150,8 @@ class Views:
     @cached_property
     def panel(self) -> DataFrame:
         """Dense genotypes: one pooled sample per nation, homozygous over long stretches."""
-        slot, code = F.floor(F.col("variant_id") / 25), F.col("variant_id") % 25
-        calls = self.table("lineitem").join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(
+        slot, code = G.whole(F.col("variant_id"), 25), F.col("variant_id") % 25
+        calls = self.lineitem.join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(
             F.col("s_nationkey").alias("sample_id"), F.col("l_partkey").alias("variant_id"),
             F.col("l_quantity").cast("int").alias("q"), *self.CALL_ORDER,
         )
@@ -179,7 +186,7 @@ class Views:
             .when(F.col("l_returnflag") == "R", F.col("alt")).otherwise(F.col("ref")).substr(1, 1)
         )
         lead = F.when(cigar.startswith("5S"), F.lit("A" * 24)).otherwise(F.lit("A" * 19))
-        return self.table("lineitem").join(self.variant, F.col("l_partkey") == F.col("variant_id")).select(
+        return self.lineitem.join(self.variant, F.col("l_partkey") == F.col("variant_id")).select(
             F.when(F.col("l_linestatus") == "F", 1).otherwise(2).alias("sample_id"),
             "chrom", (F.col("pos") - 19).alias("start_pos"), cigar.alias("cigar"),
             F.rpad(F.concat(lead, base, F.lit("TG")), 50, "C").alias("seq"),
@@ -198,7 +205,7 @@ class Views:
     @cached_property
     def chain(self) -> DataFrame:
         k = F.col("s_suppkey")
-        start = F.floor(k / 25) * 400000
+        start = G.whole(k, 25) * 400000
         return self.table("supplier").select(
             _chrom_of(k % 25).alias("chrom"), (start + 1).cast("bigint").alias("src_start"),
             (start + 250000 + (k % 7) * 20000).cast("bigint").alias("src_end"),
@@ -215,7 +222,7 @@ class Views:
         h = F.round(F.col("l_discount") * 100).cast("int")
         scale = F.when(F.col("b") % 7 == 0, 10000).otherwise(1)
         return (
-            self.table("lineitem")
+            self.lineitem
             .groupBy(
                 F.concat(F.lit("PGS"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("pgs_id"),
                 pop.alias("population"),

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..constants import SYMBOLIC_ALTS
 
 
+def whole(col: Column, size: int) -> Column:
+    """Integer division: exact for every 64-bit value, and one machine operation."""
+    return F.call_function("div", col, F.lit(size))
+
+
 def bare_chrom(chrom: Column) -> Column:
     """``chr7`` -> ``7``; ``M``, ``chrM`` and ``MT`` all become ``MT``."""
     bare = F.regexp_replace(F.trim(chrom), "^(?i)chr", "")
@@ -60,7 +65,7 @@ def gt_indices(gt: Column) -> Column:
 
 
 def is_hom_ref_or_missing(gt: Column) -> Column:
-    return F.forall(gt_parts(gt), lambda a: a.isin("0", "."))
+    return gt.rlike(r"^[0.]([/|][0.])*$")
 
 
 def is_ref_block(alts: Column, gt: Column) -> Column:
@@ -74,14 +79,21 @@ def block_end(info_end: Column, pos: Column) -> Column:
 def alt_dosage(gt: Column) -> Column:
     """Count of non-reference alleles; any missing allele makes the call missing (half-calls too)."""
     alleles = gt_indices(gt)
-    return F.when(
-        F.forall(alleles, lambda a: a.isNotNull()),
-        F.aggregate(alleles, F.lit(0), lambda acc, a: acc + F.when(a > 0, 1).otherwise(0)),
+    # the common spellings are compared as text; only the others are taken apart
+    return (
+        F.when(gt.isin("0/0", "0|0"), 0)
+        .when(gt.isin("0/1", "0|1", "1/0", "1|0"), 1)
+        .when(gt.isin("1/1", "1|1"), 2)
+        .when(gt.contains("."), None)
+        .when(
+            F.forall(alleles, lambda a: a.isNotNull()),
+            F.aggregate(alleles, F.lit(0), lambda acc, a: acc + F.when(a > 0, 1).otherwise(0)),
+        )
     )
 
 
 def carries_alt(gt: Column) -> Column:
-    return F.exists(gt_indices(gt), lambda a: F.coalesce(a > 0, F.lit(False)))
+    return F.coalesce(gt.rlike("[1-9]"), F.lit(False))
 
 
 def genotype_class(gt: Column) -> Column:

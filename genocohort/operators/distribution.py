@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import BUILDABLE, MIX_PARTS, MIX_SEED, POPULATIONS, QUANTILE_PERCENTS
@@ -43,14 +43,19 @@ def memberships(samples: DataFrame) -> DataFrame:
     return own.unionByName(balanced_mix(samples))
 
 
-def score_distribution(scores: DataFrame, keys: Sequence[str], value: str, prefix: str = "") -> DataFrame:
-    """n, mean, sample standard deviation (0 for one sample), min, max, quantiles and median of ``value``."""
+def score_distribution(
+    scores: DataFrame, keys: Sequence[str], value: str, prefix: str = "", more: Sequence[Column] = ()
+) -> DataFrame:
+    """n, mean, sample standard deviation (0 for one sample), min, max, quantiles and median of ``value``.
+
+    ``more``: further aggregates to take in the same pass."""
     base = scores.groupBy(*keys).agg(
         F.count(value).alias("n_samples"),
         F.avg(value).alias(f"{prefix}mean"),
         F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias(f"{prefix}std"),
         F.min(value).alias(f"{prefix}min"),
         F.max(value).alias(f"{prefix}max"),
+        *more,
     )
     shares = [p / 100 for p in QUANTILE_PERCENTS]
     quantiles = exact_quantiles(scores, keys, value, shares, "_q")
@@ -68,11 +73,10 @@ def reference_stats(panel_scores: DataFrame, samples: DataFrame) -> DataFrame:
     """
     by = ["pgs_id", "population"]
     member_scores = panel_scores.where(F.col("raw_score").isNotNull()).join(memberships(samples), "sample_id")
-    avg_scale = score_distribution(member_scores, by, "raw_score")
-    sum_scale = member_scores.groupBy(*by).agg(
+    sum_scale = [
         F.avg("score_sum").alias("sum_mean"), F.coalesce(F.stddev_samp("score_sum"), F.lit(0.0)).alias("sum_std")
-    )
-    return avg_scale.join(sum_scale, by)
+    ]
+    return score_distribution(member_scores, by, "raw_score", more=sum_scale)
 
 
 def usable_stats(stats: DataFrame, populations: DataFrame) -> DataFrame:

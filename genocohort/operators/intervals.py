@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FINEST_BITS = 14
@@ -36,19 +36,19 @@ def interval_join(
     level = F.lit(LEVELS - 1)
     for i in reversed(range(LEVELS - 1)):
         level = F.when(length <= (1 << (FINEST_BITS + STEP_BITS * i)), F.lit(i)).otherwise(level)
-    shifts = F.array(*[F.lit(1 << (FINEST_BITS + STEP_BITS * i)).cast("bigint") for i in range(LEVELS)])
+
+    def bin_at(place: Column, bits: Column) -> Column:
+        return F.call_function("shiftright", place.cast("bigint"), bits)
+
+    bits = F.lit(FINEST_BITS) + F.lit(STEP_BITS) * F.col("_level")
     binned = (
         intervals.where(F.col(end) >= F.col(start))
         .withColumn("_level", level)
-        .withColumn("_size", F.get(shifts, F.col("_level")))
         .withColumn("_salt", F.pmod(F.xxhash64(*intervals.columns), F.lit(salt)) if salt > 1 else F.lit(0))
         .withColumn(
             "_bin",
-            F.explode(
-                F.sequence(F.floor(F.col(start) / F.col("_size")), F.floor(F.col(end) / F.col("_size")))
-            ),
+            F.explode(F.sequence(bin_at(F.col(start), bits), bin_at(F.col(end), bits))),
         )
-        .drop("_size")
     )
     asked = points.withColumn(
         "_ask",
@@ -57,7 +57,7 @@ def interval_join(
                 *[
                     F.struct(
                         F.lit(i).alias("_level"),
-                        F.floor(F.col(pos) / (1 << (FINEST_BITS + STEP_BITS * i))).alias("_bin"),
+                        bin_at(F.col(pos), F.lit(FINEST_BITS + STEP_BITS * i)).alias("_bin"),
                     )
                     for i in range(LEVELS)
                 ]

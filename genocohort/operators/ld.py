@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.genotype import whole
 from ..session import cut_lineage
 from .running import ordinal
 
@@ -14,7 +15,7 @@ MEGABASE = 1_000_000
 def variant_index(variants: DataFrame) -> DataFrame:
     """0-based place of each distinct position on its chromosome."""
     sites = variants.select("chrom", "pos").distinct()
-    return ordinal(sites, ["chrom"], F.floor(F.col("pos") / MEGABASE), ["pos"], "idx")
+    return ordinal(sites, ["chrom"], whole(F.col("pos"), MEGABASE), ["pos"], "idx")
 
 
 def ld_pairs(calls: DataFrame, window: int = 1000, step: int = 50, min_r2: float = 0.0) -> DataFrame:
@@ -24,13 +25,13 @@ def ld_pairs(calls: DataFrame, window: int = 1000, step: int = 50, min_r2: float
     """
     index = variant_index(calls)
     g = calls.where(F.col("dosage").isNotNull()).select("sample_id", "chrom", "pos", "dosage").join(index, ["chrom", "pos"])
-    home = F.floor(F.col("idx") / window)
+    home = whole(F.col("idx"), window)
     left = g.select("sample_id", "chrom", home.alias("_block"), F.col("idx").alias("i"), F.col("pos").alias("pos_i"), F.col("dosage").alias("x"))
     right = g.select(
         "sample_id", "chrom", F.explode(F.array(home, home - 1)).alias("_block"),
         F.col("idx").alias("j"), F.col("pos").alias("pos_j"), F.col("dosage").alias("y"),
     )
-    near = (F.col("j") > F.col("i")) & (F.col("j") - F.floor(F.col("i") / step) * step < window)
+    near = (F.col("j") > F.col("i")) & (F.col("j") - whole(F.col("i"), step) * step < window)
     sums = left.join(right, ["sample_id", "chrom", "_block"]).where(near).groupBy("chrom", "i", "j", "pos_i", "pos_j").agg(
         F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"),
         F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy"),

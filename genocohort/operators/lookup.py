@@ -14,71 +14,83 @@ from .picks import first_rows
 FILE_ORDER = ("pos", "ref", "alt_csv", "gt")
 
 
-def look_up(wanted: DataFrame, records: DataFrame, order: Sequence[str] = FILE_ORDER) -> DataFrame:
-    """Best answer per wanted row.
+def evidence_at_sites(sites: DataFrame, records: DataFrame) -> DataFrame:
+    """Per (sample, asked position): the distinct called records there, and whether a reference block covers it.
 
-    ``wanted``: request keys plus sample_id, rsid (null: not callable from short variants), chrom, pos, ref, alt (null
-    when no position is known). ``records``: sample_id, chrom, pos, id, ref, alt_csv, alts, gt, info_end.
+    Only the asked positions are looked at: called records are kept by a semi join, blocks are expanded over the few
+    sites, never over the requests.
     """
-    request = [c for c in wanted.columns if c not in ("chrom", "pos", "ref", "alt")]
-    wanted = wanted.withColumns({"expected_ref": F.col("ref"), "expected_alt": F.col("alt")})
-    keys = [*request, "expected_ref", "expected_alt"]
+    places = sites.select("chrom", "pos").distinct()
     block = G.is_ref_block(F.col("alts"), F.col("gt"))
-    real = records.where(~block)
-
-    def answer(df, rank, source, match_type, found, chrom, pos, ref, alt, gt):
-        return df.select(
-            *keys, F.lit(rank).alias("_rank"),
-            F.lit(source).alias("source"), match_type.alias("match_type"), F.lit(found).alias("found"),
-            chrom.alias("chrom"), pos.cast("bigint").alias("pos"), ref.alias("ref"), alt.alias("alt"), gt.alias("genotype"),
-        )
-
-    by_id = first_rows(records.where(F.col("id") != "."), ["sample_id", "id"], list(order)).select(
-        "sample_id", F.col("id").alias("rsid"), F.struct("chrom", "pos", "ref", "alt_csv", "gt").alias("_r")
+    called = records.where(~block).join(places, ["chrom", "pos"], "left_semi").select(
+        "sample_id", "chrom", "pos", F.struct("ref", "alt_csv", "gt").alias("_rec")
     )
-    id_hit = answer(
-        wanted.select(*keys).join(by_id, ["sample_id", "rsid"]), 1, "rsID", F.lit("rsid"), True,
-        F.col("_r.chrom"), F.col("_r.pos"), F.col("_r.ref"), F.col("_r.alt_csv"), F.col("_r.gt"),
-    )
-
-    placed = wanted.where(F.col("rsid").isNotNull() & F.col("pos").isNotNull())
-    at_pos = placed.join(
-        real.select("sample_id", "chrom", "pos", F.struct("ref", "alt_csv", "alts", "gt").alias("_r")),
-        ["sample_id", "chrom", "pos"],
+    covering = records.where(block).select(
+        "sample_id", "chrom", F.col("pos").alias("_start"), G.block_end(F.col("info_end"), F.col("pos")).alias("_end")
     )
-    exact = (F.upper("_r.ref") == F.upper("ref")) & F.exists("_r.alts", lambda a: F.upper(a) == F.upper(F.col("alt")))
-    marked = at_pos.withColumn("_exact", exact)
-    best = first_rows(
-        marked, request, [F.col("_exact").desc(), "_r.ref", "_r.alt_csv", "_r.gt"]
+    covered = interval_join(places, covering, "pos", "_start", "_end", salt=4).select("sample_id", "chrom", "pos")
+    both = called.withColumn("_blocked", F.lit(False)).unionByName(
+        covered.withColumn("_blocked", F.lit(True)), allowMissingColumns=True
     )
-    pos_hit = best.select(
-        *keys, F.when(F.col("_exact"), 2).otherwise(3).alias("_rank"),
-        F.lit("position").alias("source"),
-        F.when(F.col("_exact"), "exact").otherwise("locus_mismatch").alias("match_type"), F.lit(True).alias("found"),
-        "chrom", "pos", F.col("_r.ref").alias("ref"), F.col("_r.alt_csv").alias("alt"), F.col("_r.gt").alias("genotype"),
+    # distinct allele spellings of one sample at one position: a handful
+    return both.groupBy("sample_id", "chrom", "pos").agg(
+        F.array_sort(F.collect_set("_rec")).alias("_recs"), F.bool_or("_blocked").alias("_blocked")
     )
-    covering = records.where(block).select(
-        "sample_id", "chrom", F.col("pos").alias("_start"), G.block_end(F.col("info_end"), F.col("pos")).alias("_end")
+
+
+def first_by_id(records: DataFrame, order: Sequence[str] = FILE_ORDER) -> DataFrame:
+    return first_rows(records.where(F.col("id") != "."), ["sample_id", "id"], list(order))
+
+
+def look_up(wanted: DataFrame, records: DataFrame, order: Sequence[str] = FILE_ORDER) -> DataFrame:
+    """Best answer per wanted row.
+
+    ``wanted``: request keys plus sample_id, rsid (null: not callable from short variants), chrom, pos, ref, alt (null
+    when no position is known). ``records``: sample_id, chrom, pos, id, ref, alt_csv, alts, gt, info_end.
+    """
+    by_id = first_by_id(
+        records.join(wanted.select(F.col("rsid").alias("id")).distinct(), "id", "left_semi"), order
+    ).select("sample_id", F.col("id").alias("rsid"), F.struct("chrom", "pos", "ref", "alt_csv", "gt").alias("_id"))
+    sites = wanted.where(F.col("pos").isNotNull())
+    evidence = evidence_at_sites(sites, records)
+    joined = wanted.join(by_id, ["sample_id", "rsid"], "left").join(evidence, ["sample_id", "chrom", "pos"], "left")
+    ref, alt = F.upper("ref"), F.upper("alt")
+    exact = F.get(
+        F.filter("_recs", lambda r: (F.upper(r["ref"]) == ref) & F.array_contains(F.split(F.upper(r["alt_csv"]), ","), alt)),
+        F.lit(0),
     )
-    inside = interval_join(placed, covering, "pos", "_start", "_end", on=("sample_id", "chrom"))
-    block_hit = answer(
-        inside, 4, "gvcf_refblock", F.lit("ref_block"), True, F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt"), F.lit("0/0")
+    callable_ = F.col("rsid").isNotNull()
+    answered = joined.withColumns({
+        "_exact": F.when(callable_, exact), "_any": F.when(callable_, F.get("_recs", F.lit(0))),
+    })
+    has_id, has_exact, has_any = F.col("_id").isNotNull(), F.col("_exact").isNotNull(), F.col("_any").isNotNull()
+    placed = F.col("pos").isNotNull()
+    blocked = callable_ & F.coalesce("_blocked", F.lit(False))
+    record = F.coalesce("_exact", "_any")
+
+    def choose(by_identity, by_record, otherwise):
+        return F.when(has_id, by_identity).when(record.isNotNull(), by_record).otherwise(otherwise)
+
+    source = (
+        F.when(has_id, "rsID").when(has_any, "position").when(blocked, "gvcf_refblock").when(~callable_, "cnv_only")
+        .when(placed, "position-inferred").otherwise("none")
     )
-    fallback = wanted.select(
-        *keys,
-        F.when(F.col("rsid").isNull(), 7).when(F.col("pos").isNotNull(), 5).otherwise(6).alias("_rank"),
-        F.when(F.col("rsid").isNull(), "cnv_only").when(F.col("pos").isNotNull(), "position-inferred").otherwise("none").alias("source"),
-        F.lit(None).cast("string").alias("match_type"), F.lit(False).alias("found"),
-        "chrom", "pos", "ref", "alt",
-        F.when(F.col("rsid").isNotNull() & F.col("pos").isNotNull(), "0/0").alias("genotype"),
+    match = F.when(has_id, "rsid").when(has_exact, "exact").when(has_any, "locus_mismatch").when(blocked, "ref_block")
+    keep = [c for c in wanted.columns if c not in ("chrom", "pos", "ref", "alt")]
+    return answered.select(
+        *keep, source.alias("source"), match.alias("match_type"), (has_id | has_any | blocked).alias("found"),
+        F.when(has_id, F.col("_id.chrom")).otherwise(F.col("chrom")).alias("chrom"),
+        F.when(has_id, F.col("_id.pos")).otherwise(F.col("pos")).alias("pos"),
+        choose(F.col("_id.ref"), record["ref"], F.col("ref")).alias("ref"),
+        choose(F.col("_id.alt_csv"), record["alt_csv"], F.col("alt")).alias("alt"),
+        choose(F.col("_id.gt"), record["gt"], F.when(callable_ & placed, "0/0")).alias("genotype"),
+        F.col("ref").alias("expected_ref"), F.col("alt").alias("expected_alt"),
     )
-    candidates = id_hit.unionByName(pos_hit).unionByName(block_hit).unionByName(fallback)
-    return first_rows(candidates, request, ["_rank"]).drop("_rank")
 
 
 def batch_genotypes(wanted: DataFrame, records: DataFrame) -> DataFrame:
     """Genotype per wanted rsID in one pass: a record by id, else inferred reference, else none."""
-    hit = first_rows(records.where(F.col("id") != "."), ["sample_id", "id"], list(FILE_ORDER)).select(
+    hit = first_by_id(records).select(
         "sample_id", F.col("id").alias("rsid"), "gt"
     )
     return wanted.join(hit, ["sample_id", "rsid"], "left").withColumn(

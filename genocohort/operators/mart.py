@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.genotype import whole
 from .. import constants as K
 from ..functions import files as N
 from ..session import cut_lineage
@@ -239,14 +240,14 @@ def pack_batches(blocks: DataFrame, owner: str, order: str, length: str, budget:
     blocks reached from the first one; reach doubles every round, so a huge owner costs log(batches) joins, not one task.
     ``order`` is an integer that rises along the owner's blocks.
     """
-    piece_of_order = F.floor(F.col(order) / 1024)
+    piece_of_order = whole(F.col(order), 1024)
     summed = running_total(blocks.select(owner, order, length), [owner], piece_of_order, [order], F.col(length), "_upto")
     summed = cut_lineage(running_total(summed, [owner], piece_of_order, [order], F.lit(1), "_seq"))
     counts = summed.groupBy(owner).agg(F.count(F.lit(1)).alias("_n"))
     # block ends and the limits asked for meet on one number line, cut into budget-wide pieces
     ends = summed.select(owner, F.col("_upto").alias("_x"), F.lit(0).alias("_q"), F.col("_seq").alias("_at"))
     asked = summed.select(owner, (F.col("_upto") - F.col(length) + budget).alias("_x"), F.lit(1).alias("_q"), F.col("_seq").alias("_at"))
-    line = ends.unionByName(asked).withColumn("_piece", F.floor(F.col("_x") / budget))
+    line = ends.unionByName(asked).withColumn("_piece", whole(F.col("_x"), budget))
     end_seq = F.when(F.col("_q") == 0, F.col("_at"))
     inside = Window.partitionBy(owner, "_piece").orderBy("_x", "_q", "_at").rowsBetween(1, Window.unboundedFollowing)
     placed = line.withColumn("_next", F.first(end_seq, ignorenulls=True).over(inside)).where("_q = 1")

@@ -81,7 +81,7 @@ def sex_counts(records: DataFrame, male_homref: int = K.CHRY_HOMREF_MALE, female
 
 def upper_median(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """Element n div 2 of the sorted values (not the mean of the middle two)."""
-    return nth_value(df, by, value, lambda n: F.floor(n / 2), out)
+    return nth_value(df, by, value, lambda n: G.whole(n, 2), out)
 
 
 def sry_check(records: DataFrame, region: tuple = K.SRY_REGION, min_depth: int = K.SRY_DEPTH_MALE) -> DataFrame:

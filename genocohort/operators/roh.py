@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.genotype import whole
 from .. import constants as K
 from .running import ordinal, running_total
 
@@ -19,7 +20,7 @@ MEGABASE = 1_000_000
 def with_halo(df: DataFrame, index: str, size: int, before: int, after: int) -> DataFrame:
     """Add ``_block``; rows near an edge also go to the neighbour, marked ``_core`` false there."""
     i = F.col(index)
-    home = F.floor(i / size)
+    home = whole(i, size)
     inside = i % size
     blocks = F.filter(
         F.array(
@@ -38,7 +39,7 @@ def homozygous_segments(calls: DataFrame, block: int = BLOCK, **rules) -> DataFr
     w = r["window"]
     autosomal = calls.where(F.col("chrom").isin(K.AUTOSOMES)).select("sample_id", "chrom", "pos", "dosage")
     keys = ["sample_id", "chrom"]
-    indexed = ordinal(autosomal, keys, F.floor(F.col("pos") / MEGABASE), ["pos"], "idx")
+    indexed = ordinal(autosomal, keys, whole(F.col("pos"), MEGABASE), ["pos"], "idx")
     haloed = with_halo(indexed, "idx", block, before=w, after=w - 1)
     part = Window.partitionBy("sample_id", "chrom", "_block").orderBy("idx")
     ahead, behind = part.rowsBetween(0, w - 1), part.rowsBetween(-(w - 1), 0)
@@ -59,7 +60,7 @@ def homozygous_segments(calls: DataFrame, block: int = BLOCK, **rules) -> DataFr
         F.when(~F.coalesce(was_in, F.lit(False)) | (F.col("pos") - was_at > r["max_gap_kb"] * 1000), 1).otherwise(0),
     ).where(F.col("_core") & F.col("_in"))
     islands = running_total(
-        starts.select(*keys, "pos", "dosage", "_start"), keys, F.floor(F.col("pos") / MEGABASE), ["pos"], F.col("_start"), "_island"
+        starts.select(*keys, "pos", "dosage", "_start"), keys, whole(F.col("pos"), MEGABASE), ["pos"], F.col("_start"), "_island"
     )
     segments = islands.groupBy(*keys, "_island").agg(
         F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.count(F.lit(1)).alias("n_snps")

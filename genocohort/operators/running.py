@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.genotype import whole
 
 def running_total(
     df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], value: Column, out: str
@@ -67,7 +68,8 @@ def exact_quantiles(
     values = []
     for i, share in enumerate(shares):
         place = F.lit(float(share)) * (F.col("_total") - 1)
-        values.append(F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (place - F.floor(place)))
+        part = place - F.floor(place)
+        values.append(F.col(f"_a{i}") * (1 - part) + F.col(f"_b{i}") * part)
     return picked.select(*keys, F.array(*values).alias(out))
 
 
@@ -75,7 +77,7 @@ def nth_value(df: DataFrame, keys: Sequence[str], value: str, place_of_total, ou
     """Value at an exact 0-based place among the sorted non-null values; ``place_of_total`` maps n to the place."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    bucket = F.floor(F.col(value) / 16)
+    bucket = whole(F.col(value), 16)
     placed = running_total(counted.join(totals, list(keys)), keys, bucket, [value], F.col("_n"), "_upto")
     place = place_of_total(F.col("_total"))
     return placed.where((F.col("_upto") - F.col("_n") <= place) & (place < F.col("_upto"))).select(

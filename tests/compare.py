@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from collections import Counter
@@ -13,6 +14,8 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 ROOT = "/root/testdata"
+# EXACT=1 compares the last bit of floating-point values too
+EXACT = bool(os.environ.get("EXACT"))
 
 
 def connect(sf_dir: str):
@@ -36,7 +39,7 @@ def cell(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return f"{v:.9g}" if v else "0"
+        return repr(v) if EXACT else (f"{v:.9g}" if v else "0")
     return str(v)
 
 

@@ -24,4 +24,6 @@ def parse_sam(lines: DataFrame) -> DataFrame:
 
 
 def read_sam(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return parse_sam(read_lines(spark, paths)).withColumn("sample_id", N.sample_from_file(N.base_name(F.col("file"))))
+    return parse_sam(read_lines(spark, paths)).withColumn(
+        "sample_id", F.regexp_replace(N.base_name(F.col("file")), r"\.sam(\.gz)?$", "")
+    )

@@ -36,9 +36,8 @@ def jn20(v):
 
 @check("sl2_newest_reports", "SELECT task_id, file_id, test_id, (SELECT count(*) FROM v_report) AS total FROM v_report ORDER BY completed_at DESC, task_id DESC LIMIT 50")
 def sl2(v):
-    total = v.report.agg(F.count(F.lit(1)).alias("total")).withColumn("k", F.lit(1))
-    # one row with the total
-    return M.newest_reports(v.report, 50).withColumn("k", F.lit(1)).join(F.broadcast(total), "k").select("task_id", "file_id", "test_id", "total")
+    total = v.report.agg(F.count(F.lit(1))).scalar()
+    return M.newest_reports(v.report, 50).select("task_id", "file_id", "test_id", total.alias("total"))
 
 
 @check("sl3_newest_errors", "SELECT event_id AS line_no, user_id, ts FROM events WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 100")

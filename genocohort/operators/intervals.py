@@ -11,12 +11,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FINEST_BITS = 14
 STEP_BITS = 3
 LEVELS = 7
 
 
+def _row_salt(intervals: DataFrame, salt: int) -> Column:
+    """A salt that depends on the row's content only, so a task that runs again gives every row the same one."""
+    if salt == 1:
+        return F.lit(0)
+    plain = [f.name for f in intervals.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    return F.pmod(F.xxhash64(*plain), F.lit(salt))
+
+
 def interval_join(
     points: DataFrame,
     intervals: DataFrame,
@@ -44,7 +53,7 @@ def interval_join(
     binned = (
         intervals.where(F.col(end) >= F.col(start))
         .withColumn("_level", level)
-        .withColumn("_salt", F.pmod(F.xxhash64(*intervals.columns), F.lit(salt)) if salt > 1 else F.lit(0))
+        .withColumn("_salt", _row_salt(intervals, salt))
         .withColumn(
             "_bin",
             F.explode(F.sequence(bin_at(F.col(start), bits), bin_at(F.col(end), bits))),

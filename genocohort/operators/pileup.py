@@ -12,6 +12,8 @@ from ..functions import clinical as C
 from ..functions import genotype as G
 from .intervals import interval_join
 
+# a deep amplicon puts very many reads on one bin; sites are few, so repeating them is cheap
+SALT = 4
 DROP_SNV = K.FLAG_UNMAPPED | K.FLAG_SECONDARY | K.FLAG_DUPLICATE
 DROP_INDEL = DROP_SNV | K.FLAG_SUPPLEMENTARY
 
@@ -30,7 +32,7 @@ def read_spans(reads: DataFrame) -> DataFrame:
     )
 
 
-def reads_over_sites(reads: DataFrame, sites: DataFrame, salt: int = 1) -> DataFrame:
+def reads_over_sites(reads: DataFrame, sites: DataFrame, salt: int = SALT) -> DataFrame:
     """Every (site, read) with the site inside the read's reference span. ``sites``: chrom, pos and what they carry."""
     asked = sites.withColumnRenamed("pos", "site_pos")
     return interval_join(asked, read_spans(reads), "site_pos", "start_pos", "end_pos", salt=salt)
@@ -65,7 +67,7 @@ def walk(ops: Column, start: Column, site: Column) -> Column:
     return F.aggregate(ops, zero, step)
 
 
-def base_observations(reads: DataFrame, sites: DataFrame, salt: int = 1) -> DataFrame:
+def base_observations(reads: DataFrame, sites: DataFrame, salt: int = SALT) -> DataFrame:
     """One row per (site, read) that shows a base of sufficient quality at the site."""
     over = reads_over_sites(usable_reads(reads), sites, salt).withColumn(
         "_w", walk(F.col("ops"), F.col("start_pos"), F.col("site_pos"))
@@ -124,7 +126,7 @@ def call_snvs(counts: DataFrame, reference_bases: DataFrame | None = None) -> Da
     )
 
 
-def indel_verdicts(reads: DataFrame, sites: DataFrame, salt: int = 1) -> DataFrame:
+def indel_verdicts(reads: DataFrame, sites: DataFrame, salt: int = SALT) -> DataFrame:
     """ref / alt / other per informative (site, read); a read that ends at the anchor says nothing."""
     over = reads_over_sites(usable_reads(reads, indel=True), sites, salt).withColumn(
         "_w", walk(F.col("ops"), F.col("start_pos"), F.col("site_pos"))

@@ -143,7 +143,7 @@ def sentinel_check(samples: DataFrame, records: DataFrame, sentinel: DataFrame,
 
     ``sentinel``: build, chrom, pos (two rows).
     """
-    hits = records.where(is_site(F.col("alts"))).join(F.broadcast(sentinel), ["chrom", "pos"]).groupBy("sample_id").agg(
+    hits = records.where(is_site(F.col("alts"))).join(sentinel, ["chrom", "pos"]).groupBy("sample_id").agg(
         F.bool_or(F.col("build") == build).alias("_here"), F.bool_or(F.col("build") != build).alias("_there")
     )
     here, there = F.coalesce("_here", F.lit(False)), F.coalesce("_there", F.lit(False))

@@ -42,18 +42,20 @@ def ordinal(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], out: str, buckets: int = 1024
+    df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], out: str, rows_per_bucket: int = 2048
 ) -> DataFrame:
     """Linear-interpolation quantiles per group as array column ``out`` (one element per share).
 
-    Equal values are counted before anything is ordered, so a value shared by most rows costs one row.
+    Equal values are counted before anything is ordered, so a value shared by most rows costs one row. A group has as
+    many buckets as its size asks for: small groups are one bucket, a huge one is spread over many tasks.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     ranges = counted.groupBy(*keys).agg(
         F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_n").alias("_total")
     )
     width = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0)
-    bucket = F.floor((F.col(value) - F.col("_lo")) / width * (buckets - 1))
+    n_buckets = F.ceil(F.col("_total") / rows_per_bucket)
+    bucket = F.least(F.floor((F.col(value) - F.col("_lo")) / width * n_buckets), n_buckets - 1)
     placed = running_total(counted.join(ranges, list(keys)), keys, bucket, [value], F.col("_n"), "_upto")
 
     def at(place: Column) -> Column:

@@ -17,15 +17,18 @@ def write_weights(weights: DataFrame, path: str) -> None:
     ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pgs_id").parquet(path)
 
 
-def write_genotypes(genotypes: DataFrame, table: str, buckets: int) -> None:
+def write_genotypes(genotypes: DataFrame, table: str, path: str, buckets: int) -> None:
     """Genotype table bucketed by position, so joins with weights on position do not shuffle it again."""
-    genotypes.write.mode("overwrite").bucketBy(buckets, "chrom", "pos").sortBy("chrom", "pos").format("parquet").saveAsTable(table)
+    genotypes.write.mode("overwrite").option("path", path).bucketBy(buckets, "chrom", "pos").sortBy("chrom", "pos").format(
+        "parquet"
+    ).saveAsTable(table)
 
 
 def write_stats(stats: DataFrame, existing: DataFrame | None, path: str, force: bool = False) -> None:
     """Stats per (score, population); pairs already present stay unless ``force``."""
     fresh = stats if force or existing is None else stats.join(existing, ["pgs_id", "population"], "left_anti")
-    fresh.repartition("population").write.mode("overwrite" if force else "append").option(
+    spread = fresh.repartition("population", F.pmod(F.xxhash64("pgs_id"), F.lit(8)))
+    spread.write.mode("overwrite" if force else "append").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("population").parquet(path)
 

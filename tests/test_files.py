@@ -4,6 +4,7 @@ import gzip
 
 from pyspark.sql import functions as F
 
+from genocohort.operators.scoring import match_effect_allele
 from genocohort.sources import documents as D
 from genocohort.sources import headers as H
 from genocohort.sources import reads as RD
@@ -86,6 +87,23 @@ def test_writers(spark, tmp_path):
     assert {tuple(r) for r in S.merge_replace(old, new, ["id"]).collect()} == {(1, None, "n"), (2, "b", "x"), (3, "c", None)}
 
 
+def test_bucketed_genotypes_join_without_a_shuffle(spark, tmp_path):
+    g = spark.createDataFrame([("s", "1", 5, "A", "G", 1)], "sample_id string, chrom string, pos long, ref string, alt string, dosage int")
+    w = spark.createDataFrame([("PGS1", "1", 5, "G", "A", 0.5)], "pgs_id string, chrom string, pos long, effect_allele string, other_allele string, weight double")
+    S.write_genotypes(g, "bucketed_genotypes", f"{tmp_path}/g", 4)
+    S.write_genotypes(w, "bucketed_weights", f"{tmp_path}/w", 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = match_effect_allele(spark.table("bucketed_genotypes"), spark.table("bucketed_weights"))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and joined.count() == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE bucketed_genotypes")
+        spark.sql("DROP TABLE bucketed_weights")
+
+
 def test_each_arriving_file_counts_once(spark, tmp_path):
     source, target, state = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state"
     put(tmp_path / "in" / "A.vcf", VCF)

@@ -32,8 +32,9 @@ def test_running_total_spans_buckets(spark):
 def test_exact_quantiles(spark, values):
     df = spark.createDataFrame([("g", v) for v in values] + [("g", None)], "g string, v double")
     shares = [0.01, 0.25, 0.5, 0.9, 0.99]
-    got = exact_quantiles(df, ["g"], "v", shares, "q").first().q
-    assert got == pytest.approx([np.percentile(values, s * 100) for s in shares])
+    for rows_per_bucket in (2, 2048):
+        got = exact_quantiles(df, ["g"], "v", shares, "q", rows_per_bucket).first().q
+        assert got == pytest.approx([np.percentile(values, s * 100) for s in shares])
 
 
 @pytest.mark.parametrize("values", [[5], [1, 9], [3, 3, 3, 40], [0, 1, 2, 3, 1000]])

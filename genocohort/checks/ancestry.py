@@ -83,7 +83,7 @@ def sc19(v):
     return asked.join(F.broadcast(c), "pop").select("vec_id", "pop", F.round(A.distance(F.col("pcs"), F.col("centroid")), 6).alias("distance"))
 
 
-@check("wn6_nearest_centroid", f"WITH {DIST_SQL} SELECT sample_id, population, second_population, CASE WHEN (d2 - d1) / d1 > 0.3 THEN 'high' ELSE 'moderate' END AS confidence FROM cl")
+@check("wn6_nearest_centroid", f"WITH {DIST_SQL} SELECT sample_id, population, second_population, CASE WHEN d2 - d1 > 0.3::DOUBLE * d1 THEN 'high' ELSE 'moderate' END AS confidence FROM cl")
 def wn6(v):
     return A.closest_population(distances(v)).select("sample_id", "population", "second_population", "confidence")
 

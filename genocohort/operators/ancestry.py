@@ -88,11 +88,11 @@ def ranked_distances(distances: DataFrame) -> DataFrame:
 def closest_population(distances: DataFrame) -> DataFrame:
     r = F.col("ranked")
     first, second = F.get(r, F.lit(0)), F.get(r, F.lit(1))
-    gap = (second["distance"] - first["distance"]) / F.when(first["distance"] > 0, first["distance"])
+    clear = second["distance"] - first["distance"] > 0.3 * first["distance"]
     return ranked_distances(distances).select(
         "sample_id", first["superpop"].alias("population"), first["distance"].alias("distance"),
         second["superpop"].alias("second_population"), second["distance"].alias("second_distance"),
-        F.when(gap > 0.3, "high").otherwise("moderate").alias("confidence"),
+        F.when(clear, "high").otherwise("moderate").alias("confidence"),
     )
 
 

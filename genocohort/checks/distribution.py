@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..constants import ARCHAIC_RANGE, POPULATIONS, QUANTILE_PERCENTS
+from ..constants import POPULATIONS, QUANTILE_PERCENTS
 from ..functions import scores as S
 from ..operators import distribution as D
 from ..operators import scoring as O

@@ -132,9 +132,8 @@ DOC_SQL = """docs AS (SELECT d.doc_id, d.source, d.lang, d.text, l.quality FROM
 
 
 def report_documents(v):
-    """One report per document: its text is the interpretation, its first words the variants."""
+    """One report per document: its text is the interpretation or the output, with one to eight numbered variants."""
     d = v.table("documents").join(v.table("labels"), "doc_id", "left")
-    words = F.slice(F.split(F.coalesce("lang", F.lit("")), ""), 1, 100)
     return d.select(
         "doc_id", F.col("source").alias("test_name"), F.col("lang").alias("category"),
         F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("interpretation"),

@@ -6,7 +6,6 @@ from ..functions import clinical as C
 from ..functions import genotype as G
 from ..operators import alleles as A
 from ..operators import pileup as P
-from ..operators import scoring as O
 from .projections import MAP_SQL
 from .registry import check
 

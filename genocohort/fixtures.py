@@ -22,7 +22,7 @@ def _chrom_of(code):
 
 
 def _base(n):
-    return F.substring(F.lit("ACGT"), 1, 4).substr(n.cast("int") + 1, F.lit(1))
+    return F.lit("ACGT").substr(n.cast("int") + 1, F.lit(1))
 
 
 class Views:

@@ -7,8 +7,51 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, tokens
-from .shared import table
+from . import chat, decontamination, jaccard, language, mixing, pages, suffixes, tokens, toxicity, vectors
+from .shared import table, text_crc
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(text_crc("doc_id"), F.lit(3)) == 1
+    filters = language.learn(docs.where(~held_out).select("doc_id", "text", "lang"))
+    found = language.identified(docs.select("doc_id", held_out.alias("held_out"), "text"), filters)
+    return found.select("doc_id", "held_out", F.col("_lang").alias("lang_pred"), F.col("_lang_score").alias("score"))
+
+
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "pages")
+    found = pages.extracted(given.select("page_id", "url", "html"), pages.learn(given.select("page_id", "html")))
+    return found.select("page_id", "url", F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, share=(85, 100))
+
+
+SQL_OP3 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END) AS s FROM w),
+e AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM common WHERE 100 * i >= 85 * (na + nb - i)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = s.doc_id)::BIGINT AS component_id FROM s
+"""
+
+
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+SQL_OP4 = r"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) >= 0.9 * a.n * b.n),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id)::BIGINT AS n_links, (SELECT min(b) FROM reach WHERE a = vec_id)::BIGINT AS component_id,
+       (SELECT min(b) FROM reach WHERE a = vec_id) = vec_id AS kept FROM v
+"""
 
 
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +80,10 @@ FROM s
 """
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.with_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.array_sort(F.transform("_items", lambda x: x.cast("string"))), ",")
@@ -69,5 +116,36 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_documents(files)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_curriculum_mix, op7_decontamination, op8_token_files)}
-ORACLES: dict[str, str] = {"op5_curriculum_mix": SQL_OP5, "op7_decontamination": SQL_OP7}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(text_crc("doc_id"), F.lit(5)) == 0
+    # one label per id, and about SAMPLE_PER_CLASS of either, before they meet the texts
+    labels = table(spark, sf_dir, "labels").where(~held_out & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    machine = toxicity.learn(docs.join(toxicity.sampled(labels), "doc_id"))
+    found = toxicity.toxicity(docs.withColumn("held_out", held_out), machine)
+    return found.select("doc_id", "held_out", F.col("_toxicity").alias("score"), (F.col("_toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat.read_trees(chat.write_trees(turns))
+
+
+SQL_OP10 = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+f AS (SELECT *, length('<s>[INST][/INST]</s>') + length(role) + length(text) + len(regexp_extract_all(role || text, '[<\[\\]')) AS n FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_language_id, op2_main_text, op3_jaccard_join, op4_near_vectors, op5_curriculum_mix, op6_suffix_dedup, op7_decontamination, op8_token_files, op9_toxicity, op10_chat_trees,
+)}
+ORACLES: dict[str, str] = {"op3_jaccard_join": SQL_OP3, "op4_near_vectors": SQL_OP4, "op5_curriculum_mix": SQL_OP5, "op7_decontamination": SQL_OP7, "op10_chat_trees": SQL_OP10}

@@ -4,14 +4,36 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_shipped: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """Gives the executors' Python workers this library, once per application, whether or not it is installed there.
+
+    The archive is the driver's own: Spark's file server hands it out.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="library-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(root.rglob("*.py")):
+                out.write(file, file.relative_to(root.parent))
+        context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, read as Spark reads it."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return shipped(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,3 +79,40 @@ def in_blocks(df: DataFrame, size: F.Column, most: int) -> list[list]:
         blocks[-1].append(row)
         filled += row["_size"]
     return blocks
+
+
+#: Bits of a membership filter, at most: 32 MB. Beyond about a tenth as many keys it lets more strangers through, no member less.
+MOST_BITS = 1 << 28
+
+
+def membership_filter(keys: DataFrame, most_bits: int = MOST_BITS):
+    """A Bloom filter, as packed bits of bounded size, of the distinct values of the only column of keys, 64-bit hashes.
+
+    Built by Spark: every key gives two bits, bits are or-ed by 64-bit words, and the words come to the driver. It only spares
+    work: whoever uses it joins with the keys afterwards.
+    """
+    import numpy as np
+
+    name = keys.columns[0]
+    n = keys.count()
+    size = 1 << 13
+    while size < min(most_bits, 12 * n):
+        size *= 2
+    places = F.array(F.col(name).bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned(name, 32).bitwiseAND(F.lit(size - 1)))
+    bits = keys.select(F.explode(places).alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 AS int))").alias("mask"))
+    words = bits.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    packed = np.zeros(size // 64, np.uint64)
+    packed[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).view(np.uint64)
+    return packed
+
+
+def may_hold(packed, keys):
+    """Whether a filter may hold the keys (a numpy array of unsigned 64-bit hashes)."""
+    import numpy as np
+
+    last = np.uint64(len(packed) * 64 - 1)
+
+    def bit(x):
+        return (packed[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1) > 0
+
+    return bit(keys & last) & bit(keys >> np.uint64(32) & last)

@@ -20,22 +20,26 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .words import pieces, prefix_codes, span_codes
 
-ORDER, GAPS, DECAY = 4, 2, 0.6
+ORDER, GAPS, DECAY = 4, 2, 0.8
 #: Labelled documents learned from, of each class (about; chosen by a hash of doc_id).
 SAMPLE_PER_CLASS = 3000
 #: Landmark words: the most telling ones of toxic texts, and the most frequent of others.
-LANDMARKS_TOXIC, LANDMARKS_OTHER = 96, 32
+LANDMARKS_TOXIC, LANDMARKS_OTHER = 160, 32
 #: Words of other texts learned from, at most, beside all that stand in toxic texts as witnesses.
 OTHER_WORDS = 30_000
-ROUNDS = 2
+#: Log likelihood ratio from which a word tells toxic texts from others by itself.
+LEAST_RATIO = 16.0
+ROUNDS = 3
+#: Spellings with an inserted letter that each telling word is shown in as well, together half as heavy as the word.
+DISGUISES = 4
+#: Weight of the worst word of a text that is not toxic, against 1 for any of its words.
+HARD_WEIGHT = 4.0
 
 _SYMBOLS = np.zeros(256, np.uint8)
 _SYMBOLS[97:123] = np.arange(1, 27)
@@ -207,9 +211,11 @@ def learn(sample: DataFrame) -> Machine:
     words = sample.mapInArrow(_words_of, schema).persist()
     try:
         spread = words.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
-        odds = F.log((F.col("t") + 0.5) / counts[1]) - F.log((F.col("o") + 0.5) / counts[0])
-        rated = spread.withColumn("odds", odds)
-        telling = rated.where((F.col("t") >= 3) & (F.col("odds") > 1.5)).orderBy(F.desc(F.col("t") * F.col("odds")), "word").limit(LANDMARKS_TOXIC).toPandas()
+        # log likelihood ratio of the word's share in toxic texts against no difference
+        of = lambda n, k: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / ((F.col("t") + F.col("o")) * (counts[k] / (counts[0] + counts[1]))))).otherwise(0.0)
+        rated = spread.withColumn("ratio", 2 * (of("t", 1) + of("o", 0)))
+        more = F.col("t") * counts[0] > F.col("o") * counts[1]
+        telling = rated.where(more & (F.col("ratio") >= LEAST_RATIO)).orderBy(F.desc("ratio"), "word").limit(LANDMARKS_TOXIC).toPandas()
         usual = rated.where(F.col("o") > 0).orderBy(F.desc("o"), "word").limit(LANDMARKS_OTHER).toPandas()
         names = list(dict.fromkeys([*telling["word"], *usual["word"]]))
         landmarks = [features(w) for w in names]
@@ -226,26 +232,25 @@ def learn(sample: DataFrame) -> Machine:
 
         others = rated.where(F.col("o") > 0).orderBy(F.xxhash64("word"), "word").limit(OTHER_WORDS).select("word", F.lit(0.0).alias("label"), F.lit(1.0).alias("weight"))
         common = rated.where(F.col("o") > 0).orderBy(F.desc("o"), "word").limit(OTHER_WORDS // 10).select("word", F.lit(0.0).alias("label"), F.lit(1.0).alias("weight"))
-        witnesses = spark.createDataFrame(telling[["word"]]).withColumn("label", F.lit(1.0)) if len(telling) else None
-        if witnesses is None:
+        if not len(telling):
             raise ValueError("no word tells toxic texts from others")
+        witnesses = spark.createDataFrame([(w,) for w in telling["word"]], "word string").withColumn("label", F.lit(1.0))
         machine = Machine(np.zeros(1 << 20, np.float32), -1.0)
+        hard: set[str] = set()
         for _ in range(ROUNDS):
             positive = witnesses.join(spread, "word").select("word", "label", F.sqrt(F.col("t").cast("double")).alias("weight"))
-            chosen = others.unionByName(common).distinct().unionByName(positive).select(array_to_vector(nystroem("word")).alias("features"), "label", "weight")
-            # both classes weigh the same
-            sums = {r["label"]: r["w"] for r in chosen.groupBy("label").agg(F.sum("weight").alias("w")).collect()}
-            chosen = chosen.withColumn("weight", F.col("weight") / F.when(F.col("label") == 1, sums[1.0]).otherwise(sums[0.0] / 3)).persist()
-            try:
-                fitted = LinearSVC(maxIter=60, regParam=1e-4, weightCol="weight", standardization=False).fit(chosen)
-            finally:
-                chosen.unpersist()
-            own = root @ np.asarray(fitted.coefficients)
+            positive = positive.unionByName(positive.select(F.explode(disguised("word")).alias("word"), "label", (F.col("weight") / DISGUISES / 2).alias("weight")))
+            negative = others.unionByName(common).distinct()
+            if hard:
+                negative = negative.unionByName(spark.createDataFrame([(w, 0.0, HARD_WEIGHT) for w in sorted(hard)], "word string, label double, weight double"))
+            chosen = negative.unionByName(positive).select(nystroem("word").alias("x"), "label", "weight").toPandas()
+            plane, offset = _support_vectors(np.array(chosen["x"].tolist()), chosen["label"].to_numpy(float), chosen["weight"].to_numpy(float))
+            own = root @ plane
             table = np.zeros(1 << 20, np.float32)
             for a, z in zip(own, landmarks):
                 for code, v in z.items():
                     table[code] += a * v
-            machine = Machine(table, float(fitted.intercept))
+            machine = Machine(table, offset)
             # the worst word of each toxic text is its witness from now on
             judge = spark.sparkContext.broadcast(machine)
 
@@ -253,8 +258,13 @@ def learn(sample: DataFrame) -> Machine:
             def decided(some: pd.Series) -> pd.Series:
                 return pd.Series(judge.value.decisions(pa.array(some, pa.string())))
 
-            worst = words.where("toxic = 1").withColumn("d", decided("word")).withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("d"), "word")))
-            witnesses = spark.createDataFrame(worst.where("r = 1 AND d > 0").select("word").distinct().toPandas()).withColumn("label", F.lit(1.0))
+            rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("d"), "word"))
+            worst = words.withColumn("d", decided("word")).withColumn("r", rank).where("r = 1 AND d > -0.5").groupBy("toxic", "word").agg(F.max("d").alias("d")).collect()  # one a sampled text at most
+            found = {r["word"] for r in worst if r["toxic"] == 1 and r["d"] > 0}
+            # the worst words of other texts are what the next machine has to tell apart
+            hard |= {r["word"] for r in worst if r["toxic"] == 0}
+            found -= hard
+            witnesses = spark.createDataFrame([(w,) for w in sorted(found | set(telling["word"]))], "word string").withColumn("label", F.lit(1.0))
         text = _with_decisions(sample, machine).select("toxic", "_decision").toPandas()
         machine.slope, machine.shift = _curve(text["_decision"].to_numpy(float), text["toxic"].to_numpy(float))
         return machine
@@ -262,6 +272,43 @@ def learn(sample: DataFrame) -> Machine:
         words.unpersist()
 
 
+def disguised(word: str) -> F.Column:
+    """DISGUISES spellings of a word with one more letter inside, places and letters drawn by hash: virtual examples."""
+    spots = F.greatest(F.length(word) - 1, F.lit(1))
+    draw = lambda k: F.xxhash64(F.col(word), k)
+    letters = F.lit("abcdefghijklmnopqrstuvwxyz")
+
+    def one(k: F.Column) -> F.Column:
+        at = F.pmod(draw(k), spots).cast("int") + 1
+        letter = F.substring(letters, F.pmod(F.shiftright(draw(k), 20), F.lit(26)).cast("int") + 1, F.lit(1))
+        return F.concat(F.substring(F.col(word), F.lit(1), at), letter, F.substring(F.col(word), at + 1, F.length(word)))
+
+    return F.transform(F.sequence(F.lit(1), F.lit(DISGUISES)), one)
+
+
+def _support_vectors(rows: np.ndarray, labels: np.ndarray, weights: np.ndarray, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Plane and offset of a linear support vector machine with squared hinge loss, by Newton steps; both classes weigh the same."""
+    sign = np.where(labels > 0, 1.0, -1.0)
+    weights = weights / np.where(labels > 0, weights[labels > 0].sum(), weights[labels <= 0].sum())
+    x = np.concatenate([rows, np.ones((len(rows), 1))], 1)
+    held = penalty * np.eye(x.shape[1])
+    held[-1, -1] = 1e-9
+    loss = lambda w: (weights * np.maximum(1 - sign * (x @ w), 0) ** 2).sum() + w @ held @ w
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
+        slack = np.maximum(1 - sign * (x @ w), 0)
+        some = slack > 0
+        gradient = -2 * x[some].T @ (weights[some] * sign[some] * slack[some]) + 2 * held @ w
+        step = np.linalg.solve(2 * (x[some] * weights[some, None]).T @ x[some] + 2 * held, gradient)
+        size, now = 1.0, loss(w)
+        while loss(w - size * step) > now - 1e-4 * size * (gradient @ step) and size > 1e-6:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-7:
+            break
+    return w[:-1], float(w[-1])
+
+
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Logistic curve by Newton steps, both classes weighing the same, slightly held."""
     w = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))

@@ -117,58 +117,69 @@ def _matches(items: Items, words: np.ndarray, ends: np.ndarray):
             yield int(place), int(items.lengths[k]), number, _match_length(words[place : ends[place]], items.words[number][at:])
 
 
-def _searched(broadcast, text: str, schema: pa.Schema, fresh: bool):
+def item_blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> list:
+    """Broadcasts of the benchmark's items, at most block_bytes each (a larger item stands alone); one of nothing for no items."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    blocks = in_blocks(rows, F.coalesce(F.octet_length("text"), F.lit(0)) + 64, block_bytes) or [[]]
+    context = docs.sparkSession.sparkContext
+    return [context.broadcast(Items([(r["item_id"], r["text"]) for r in block], window)) for block in blocks]
+
+
+def _found(items: Items, column: pa.Array) -> Iterator[tuple[int, list[list[tuple[int, int, int, int]]]]]:
+    """For each text its number of words and its matches (first word, words, item, longest match there)."""
+    for _, data, offsets in pieces(column):
+        data = lower(data)
+        starts, ends, firsts = word_spans(data, offsets, ALPHANUMERIC)
+        numbers = items.number(span_codes(prefix_codes(data), starts, ends))
+        counts = np.diff(firsts)
+        owner = np.repeat(np.arange(len(counts)), counts)
+        found: dict[int, list] = {}
+        for place, length, item, most in _matches(items, numbers, firsts[1:][owner]):
+            found.setdefault(int(owner[place]), []).append((place - int(firsts[owner[place]]), length, item, most))
+        for i, n in enumerate(counts.tolist()):
+            yield n, found.get(i, [])
+
+
+def _searched(broadcast, at: int, schema: pa.Schema, fresh: bool):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = broadcast.value
+        names = schema.names[-4:]
         for batch in batches:
             counts, spans, hits, longest = [], [], [], []
-            for _, data, offsets in pieces(batch.column(text)):
-                data = lower(data)
-                starts, ends, firsts = word_spans(data, offsets, ALPHANUMERIC)
-                numbers = items.number(span_codes(prefix_codes(data), starts, ends))
-                n = len(offsets) - 1
-                owner = np.repeat(np.arange(n), np.diff(firsts))
-                found: dict[int, list] = {}
-                for place, length, item, most in _matches(items, numbers, firsts[1:][owner]):
-                    found.setdefault(int(owner[place]), []).append((place - int(firsts[owner[place]]), length, item, most))
-                counts += np.diff(firsts).tolist()
-                for i in range(n):
-                    own = found.get(i, ())
-                    spans.append([{"start": a, "end": a + k} for a, k, _, _ in own])
-                    hits.append(sorted({items.ids[item] for _, _, item, _ in own if items.ids[item] is not None}))
-                    longest.append(max((m for *_, m in own), default=0))
+            for n, own in _found(items, batch.column(at)):
+                counts.append(n)
+                spans.append([{"start": a, "end": a + k} for a, k, _, _ in own])
+                hits.append(sorted({items.ids[item] for _, _, item, _ in own if items.ids[item] is not None}))
+                longest.append(max((m for *_, m in own), default=0))
+            given = batch.columns
             if not fresh:  # what earlier blocks of items found stays
-                spans = [a + b for a, b in zip(batch.column("_spans").to_pylist(), spans)]
-                hits = [sorted({*a, *b}) for a, b in zip(batch.column("_items").to_pylist(), hits)]
-                longest = [max(a, b) for a, b in zip(batch.column("_longest").to_pylist(), longest)]
-            columns = [batch.column(x) for x in batch.schema.names if x not in ("_n_words", "_spans", "_items", "_longest")]
-            found_columns = [pa.array(x, schema.field(k).type) for k, x in (("_n_words", counts), ("_spans", spans), ("_items", hits), ("_longest", longest))]
-            yield pa.RecordBatch.from_arrays([*(c.cast(schema.field(i).type) for i, c in enumerate(columns)), *found_columns], schema=schema)
+                given = given[:-4]
+                spans = [a + b for a, b in zip(batch.column(names[1]).to_pylist(), spans)]
+                hits = [sorted({*a, *b}) for a, b in zip(batch.column(names[2]).to_pylist(), hits)]
+                longest = [max(a, b) for a, b in zip(batch.column(names[3]).to_pylist(), longest)]
+            more = [pa.array(x, schema.field(k).type) for k, x in zip(names, (counts, spans, hits, longest))]
+            yield pa.RecordBatch.from_arrays([*(c.cast(schema.field(i).type) for i, c in enumerate(given)), *more], schema=schema)
 
     return search
 
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with _n_words, _spans (word ranges of every occurrence of a window of an item), _items (ids of items with one) and
-    _longest (words of the longest verbatim match).
+    _longest (words of the longest verbatim match); columns of these names are replaced, all others pass through.
 
     A null text has no words and an item without words no window. Items that repeat count by id; an item without an id hits
-    words but is not listed. An empty benchmark hits nothing. Further columns pass through, whatever their names, unless they
-    carry these four.
+    words but is not listed. An empty benchmark hits nothing, rows that repeat are hit alike.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-    spark = docs.sparkSession
     span = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
     more = [StructField("_n_words", LongType()), StructField("_spans", ArrayType(span)), StructField("_items", ArrayType(LongType())), StructField("_longest", LongType())]
-    out = StructType([*docs.schema.fields, *more])
-    found = docs
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = in_blocks(rows, F.coalesce(F.octet_length("text"), F.lit(0)) + 64, block_bytes) or [[]]
-    for i, block in enumerate(blocks):
-        items = spark.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in block], window))
-        found = found.mapInArrow(_searched(items, "text", to_arrow_schema(out), fresh=i == 0), out)
+    found = docs.drop(*(f.name for f in more))
+    out = StructType([*found.schema.fields, *more])
+    at = found.columns.index("text")
+    for i, items in enumerate(item_blocks(docs, benchmark, window, block_bytes)):
+        found = found.mapInArrow(_searched(items, at, to_arrow_schema(out), fresh=i == 0), out)
     return found
 
 
@@ -179,6 +190,16 @@ def hit_words() -> F.Column:
     return F.aggregate(F.array_sort("_spans"), state, step, lambda s: s["n"])
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents, with their columns, in which no window of any item occurs."""
-    return with_matches(docs, benchmark, window).where(F.size("_spans") == 0).select(*docs.columns)
+def _clean(broadcast, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not own for _, own in _found(broadcast.value, batch.column(at))], pa.bool_()))
+
+    return run
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, with their columns, in which no window of any item occurs; null texts stay."""
+    for items in item_blocks(docs, benchmark, window, block_bytes):
+        docs = docs.mapInArrow(_clean(items, docs.columns.index("text")), docs.schema)
+    return docs

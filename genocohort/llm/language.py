@@ -28,6 +28,8 @@ LEAST_COUNT, RATIO = 3, 4.0
 #: Slots of a filter, at most; each n-gram has three. Above it only the fill, and with it the correction, grows.
 MOST_SLOTS = 1 << 21
 UNDETERMINED = "und"
+#: A text is rejected where its language's share of the known n-grams is below this.
+LEAST_SCORE = 0.3
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
@@ -91,12 +93,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Filters:
     """Filters from (doc_id, text, lang), lang not null: n-gram counts of about per_language whole documents of each language.
 
-    The sample bounds what is gathered: its distinct n-grams, counted by Spark. Raises if nothing is labelled.
+    The sample bounds what is gathered: its distinct n-grams, counted by Spark. Where nothing is labelled there are no languages.
     """
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not counts:
-        raise ValueError("no document is labelled with a language")
+        return Filters([], np.zeros((0, 1), np.uint64), np.zeros(0), np.zeros(0))
     languages = sorted(counts)
     share = F.element_at(F.create_map(*[F.lit(x) for lang in languages for x in (lang, per_language / counts[lang])]), F.col("lang"))
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
@@ -143,26 +145,30 @@ def scored(filters: Filters, column: pa.Array) -> tuple[list[str], list[float],
         false = filters.false[:, None]
         true = np.maximum((found - total * false) / np.maximum(1 - false, 1e-9), 0) / filters.cover[:, None]
         whole = true.sum(0)
-        best = true.argmax(0)
+        best = true.argmax(0) if len(true) else np.zeros(len(starts), np.int64)
         ascii_letters = np.concatenate([[0], np.cumsum((data >= 97) & (data <= 122))])
         some = ascii_letters[offsets[1:]] > ascii_letters[offsets[:-1]]
         for i in np.flatnonzero(~some):
             some[i] = any(c.isalpha() for c in column[first + int(i)].as_py() or "")
+        lettered += some.tolist()
+        if not filters.languages:
+            names += [UNDETERMINED] * len(some)
+            scores += [0.0] * len(some)
+            continue
         names += [filters.languages[b] if s else UNDETERMINED for b, s in zip(best, some)]
         share = np.where(whole > 0, true.max(0) / np.maximum(whole, 1e-12), 1 / len(filters.languages))
         scores += np.where(some, share, 0.0).tolist()
-        lettered += some.tolist()
     return names, scores, lettered
 
 
 def identified(docs: DataFrame, filters: Filters) -> DataFrame:
     """docs with _lang and _lang_score. The text alone decides; a null text or one without a letter is `und` with score 0.
 
-    Where no n-gram is known the first language by code point gets 1 / languages. Ties go to the first by code point. Other
-    columns, rows that repeat and tables without rows pass through.
+    Without any language, all are `und`. Where no n-gram is known the first language by code point gets 1 / languages. Ties go to the first by code point. Other
+    columns, but for these two names, rows that repeat and tables without rows pass through.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(filters)  # at most MOST_SLOTS masks
+    docs = docs.drop("_lang", "_lang_score")
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # at most MOST_SLOTS masks
     out = StructType([*docs.schema.fields, StructField("_lang", StringType()), StructField("_lang_score", DoubleType())])
     at = docs.columns.index("text")
 
@@ -172,3 +178,18 @@ def identified(docs: DataFrame, filters: Filters) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "_lang", "_lang_score"])
 
     return docs.mapInArrow(label, out)
+
+
+def accepted(docs: DataFrame, filters: Filters, least_score: float = LEAST_SCORE) -> DataFrame:
+    """The documents, with their columns, that are in one of the languages: not `und`, and their language's share of the known
+    n-grams at least least_score. Where no language is known, a letter is enough."""
+    least_score = least_score if filters.languages else 0.0
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, scores, lettered = scored(shared.value, batch.column(at))
+            yield batch.filter(pa.array([some and score >= least_score for score, some in zip(scores, lettered)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

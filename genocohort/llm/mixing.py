@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import renamed_free, stored
+from .shared import stored
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -55,7 +55,6 @@ def cumulative(sizes: DataFrame) -> DataFrame:
 
     Three levels of hash buckets keep every window small whatever the source's share of the rows.
     """
-    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in ("source", "_b1")]
     hashed = sizes.withColumn("_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     hashed = hashed.withColumn("_b1", F.substring("_hash", 1, 2)).withColumn("_b2", F.substring("_hash", 3, 2))
     second = hashed.groupBy("source", "_b1", "_b2").agg(F.sum("_size").alias("_sum"))
@@ -102,7 +101,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     more than cap times its size. Rows that repeat are documents of their own; their order among themselves is by text hash
     and otherwise immaterial, as they are equal. Null ids and sources are values like others; empty texts take nothing.
     """
-    sizes = stored(sized(docs).select("doc_id", "source", "_size", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_row")), "sizes")
+    sizes = stored(sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", "_size", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_row")), "sizes")
     targets = source_targets(sizes, weights, share, cap)
     placed = cumulative(sizes).alias("d").join(targets.alias("t"), F.expr("d.source <=> t.source")).select("d.*", "class", "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -122,12 +121,9 @@ def mix_rows(docs: DataFrame, **parameters) -> DataFrame:
     """
     plan = mixed_documents(docs, **parameters)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(0).cast("int")
-    row, at = renamed_free(docs, "_row"), renamed_free(docs, "_position")
-    # rows that repeat share an id and a text: one plan row stands for each of them, with the larger count
-    plan = plan.groupBy("doc_id", "source", "_row").agg(F.max(copies).alias("_copies"), F.min("position").alias("_at")).where("_copies > 0").select(
-        F.col("doc_id").alias("_plan_id"), F.col("source").alias("_plan_source"), F.col("_row").alias("_plan_row"), "_copies", "_at"
-    )
-    keyed = docs.withColumn(row, F.coalesce(F.xxhash64("text"), F.lit(0)))
-    joined = keyed.join(plan, F.col("_plan_id").eqNullSafe(keyed["doc_id"]) & F.col("_plan_source").eqNullSafe(keyed["source"]) & (F.col("_plan_row") == keyed[row]))
-    repeated = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).withColumn(at, F.col("_at") + (F.col("_copy") - 1) / F.col("_copies") * (1 - F.col("_at")))
-    return repeated.repartitionByRange(F.col(at), F.col("doc_id")).sortWithinPartitions(at, "doc_id").select(*docs.columns)
+    # rows that repeat share an id and a text: one row of the plan stands for each of them, with the larger count
+    plan = plan.groupBy("doc_id", "source", "_row").agg(F.max(copies).alias("copies"), F.min("position").alias("at")).where("copies > 0").alias("p")
+    whole = docs.select("doc_id", "source", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_row"), F.struct(*docs.columns).alias("doc")).alias("d")
+    joined = whole.join(plan, F.expr("d.doc_id <=> p.doc_id AND d.source <=> p.source AND d._row = p._row")).select("d.doc", "p.copies", "p.at")
+    repeated = joined.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumn("at", F.col("at") + F.col("copy") / F.col("copies") * (1 - F.col("at")))
+    return repeated.repartitionByRange("at", "doc.doc_id").sortWithinPartitions("at", "doc.doc_id").select("doc.*")

@@ -327,7 +327,7 @@ def blocks(nodes: list[Node], kept: list[bool]) -> str:
 def extracted(pages: DataFrame, model: Boosted) -> DataFrame:
     """pages with _text, the main text of html. A null or empty page, or one without content, has the empty text.
 
-    Pages are independent rows: order, repeated rows and further columns do not matter and pass through.
+    Pages are independent rows: order, repeated rows and columns of other names do not matter and pass through.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)  # TREES trees of DEPTH levels
 

@@ -53,13 +53,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
-def renamed_free(df: DataFrame, name: str) -> str:
-    """A column name that df does not have."""
-    while name in df.columns:
-        name = f"_{name}"
-    return name
-
-
 def text_crc(column: str) -> F.Column:
     """crc32 of a value as text, as used to fix folds; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
@@ -83,12 +76,13 @@ def in_blocks(df: DataFrame, size: F.Column, most: int) -> list[list]:
 
 #: Bits of a membership filter, at most: 32 MB. Beyond about a tenth as many keys it lets more strangers through, no member less.
 MOST_BITS = 1 << 28
+FILTER_SHIFTS = (0, 18, 36)
 
 
 def membership_filter(keys: DataFrame, most_bits: int = MOST_BITS):
     """A Bloom filter, as packed bits of bounded size, of the distinct values of the only column of keys, 64-bit hashes.
 
-    Built by Spark: every key gives two bits, bits are or-ed by 64-bit words, and the words come to the driver. It only spares
+    Built by Spark: every key gives three bits, bits are or-ed by 64-bit words, and the words come to the driver. It only spares
     work: whoever uses it joins with the keys afterwards.
     """
     import numpy as np
@@ -96,9 +90,9 @@ def membership_filter(keys: DataFrame, most_bits: int = MOST_BITS):
     name = keys.columns[0]
     n = keys.count()
     size = 1 << 13
-    while size < min(most_bits, 12 * n):
+    while size < min(most_bits, 16 * n):
         size *= 2
-    places = F.array(F.col(name).bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned(name, 32).bitwiseAND(F.lit(size - 1)))
+    places = F.array(*(F.shiftrightunsigned(name, k).bitwiseAND(F.lit(size - 1)) for k in FILTER_SHIFTS))
     bits = keys.select(F.explode(places).alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 AS int))").alias("mask"))
     words = bits.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
     packed = np.zeros(size // 64, np.uint64)
@@ -115,4 +109,7 @@ def may_hold(packed, keys):
     def bit(x):
         return (packed[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1) > 0
 
-    return bit(keys & last) & bit(keys >> np.uint64(32) & last)
+    found = np.ones(len(keys), bool)
+    for k in FILTER_SHIFTS:
+        found &= bit(keys >> np.uint64(k) & last)
+    return found

@@ -4,8 +4,10 @@ A suffix matters by its first LENGTH bytes, and stands in a row as its leading t
 suffixes need sorting. Every window of LENGTH bytes has an anchor, the string of CORE bytes in it with the smallest code: equal
 windows have equal anchors at equal places. Successive windows with one anchor form a stretch. Stretches that are equal as a
 whole are counted first (pre-aggregation: copies of texts end here), and an anchor that stands in one stretch only cannot match.
-What is left, stretches that share an anchor with a different one, is sorted: sampled splitters range-partition the suffixes by
-leading tokens, buckets sort locally by multikey quicksort, neighbours are compared, and buckets across their boundaries.
+Stretches that share an anchor with a different one are cut into pieces of PIECE windows, at places fixed by the anchor, and
+pieces are counted alike, by what all their windows share. The windows of what is still open are sorted: sampled splitters
+range-partition the suffixes by leading tokens, buckets sort locally by multikey quicksort, neighbours are compared, and buckets
+across their boundaries.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from .shared import may_hold, membership_filter, stored
 from .words import mixed, pieces, prefix_codes, span_codes
 
 LENGTH, CORE = 400, 200
+PIECE = 16
 #: Low bits of an anchor's code that give way to its place, so that a minimum finds both: more than any text has bytes.
 PLACE_BITS = 31
 
@@ -82,25 +85,55 @@ def _identities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64))], names=["id"])
 
 
-def _suffix_rows(length: int, core: int, texts, chosen):
-    """(lead, next, key, place): the leading tokens of every suffix that starts a window of a chosen stretch."""
+def _chosen_pieces(batch: pa.RecordBatch, length: int, core: int, texts, chosen):
+    """For a batch of (key, text): keys, row, offsets, prefix codes, and the pieces (text, first, last, anchor) of chosen stretches."""
+    batch = batch.filter(pa.array(may_hold(texts, mixed(batch.column(0).to_numpy().view(np.uint64)))))
+    keys = batch.column(0).to_numpy()
+    for row, data, offsets in pieces(batch.column(1)):
+        owner, first, last, anchor, codes = stretches(data, offsets, length, core)
+        kept = np.flatnonzero(may_hold(chosen, _identity(keys[row + owner], first - offsets[owner])))
+        if not len(kept):
+            continue
+        owner, first, last, anchor = owner[kept], first[kept], last[kept], anchor[kept]
+        # pieces by the distance from window to anchor, so that equal windows fall into equal pieces
+        low, high = (anchor - last) // PIECE, (anchor - first) // PIECE
+        n = high - low + 1
+        upto = np.cumsum(n)
+        step = np.repeat(low, n) + np.arange(upto[-1]) - np.repeat(upto - n, n)
+        owner, anchor = np.repeat(owner, n), np.repeat(anchor, n)
+        top = anchor - step * PIECE  # last window of the whole piece
+        yield keys[row + owner], offsets[owner], codes, np.maximum(np.repeat(first, n), top - PIECE + 1), np.minimum(np.repeat(last, n), top), top, step
+
+
+def _piece_rows(length: int, core: int, texts, chosen):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, begin, codes, first, last, top, step in _chosen_pieces(batch, length, core, texts.value, chosen.value):
+                middle = span_codes(codes, top, top - PIECE + 1 + length) + step.astype(np.uint64)  # what all windows of the piece share
+                whole = span_codes(codes, first, last + length)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys), pa.array(middle.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(first - begin), pa.array((last - first + 1).astype(np.int32))],
+                    names=["key", "core", "whole", "first", "n"],
+                )
+
+    return run
+
+
+def _suffix_rows(length: int, core: int, texts, chosen, cut):
+    """(lead, next, key, place): the leading tokens of every suffix that starts a window of a piece in cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = mixed(batch.column(0).to_numpy().view(np.uint64))
-            batch = batch.filter(pa.array(may_hold(texts.value, keys)))
-            names = batch.column(0).to_numpy()
-            for row, data, offsets in pieces(batch.column(1)):
-                owner, first, last, _, codes = stretches(data, offsets, length, core)
-                kept = np.flatnonzero(may_hold(chosen.value, _identity(names[row + owner], first - offsets[owner])))
+            for keys, begin, codes, first, last, _, _ in _chosen_pieces(batch, length, core, texts.value, chosen.value):
+                kept = np.flatnonzero(may_hold(cut.value, _identity(keys, first - begin)))
                 if len(kept):
                     n = (last - first + 1)[kept]
                     upto = np.cumsum(n)
                     at = np.repeat(first[kept] - (upto - n), n) + np.arange(upto[-1])
-                    own = np.repeat(owner[kept], n)
+                    own = np.repeat(kept, n)
                     half = length // 2
                     tokens = [span_codes(codes, at, at + half), span_codes(codes, at + half, at + length)]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(t.view(np.int64)) for t in tokens), pa.array(names[row + own]), pa.array(at - offsets[own])], names=["lead", "next", "key", "place"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(t.view(np.int64)) for t in tokens), pa.array(keys[own]), pa.array(at - begin[own])], names=["lead", "next", "key", "place"])
 
     return run
 
@@ -145,19 +178,31 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([*(take.column(c).combine_chunks() for c in ("lead", "next", "key", "place")), pa.array(counts)], names=["lead", "next", "key", "place", "count"])
 
 
+ROWS = "key long, core long, whole long, first long, n int"
+
+
+def _settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From stretches or pieces: runs of windows that repeat with their whole stretch, (key, first, n), and one (key, first) of
+    each kind of stretch that shares its core with another kind, at least one of them single."""
+    kinds = stored(rows.groupBy("core", "whole").agg(F.count("*").alias("rows"), F.min(F.struct("key", "first")).alias("one")), "kinds")
+    mixed_cores = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.min("rows").alias("least")).where("kinds > 1 AND least = 1").select("core")
+    open_ = stored(kinds.join(mixed_cores, "core", "left_semi").select("one.key", "one.first"), "open")
+    runs = rows.join(kinds.where("rows > 1").select("core", "whole"), ["core", "whole"], "left_semi").select("key", "first", "n")
+    return runs, open_
+
+
 def repeated_windows(texts: DataFrame, length: int = LENGTH, core: int = CORE) -> DataFrame:
     """(key, runs, masks) per text key with a repeated window: runs of window starts (first, n), and single ones as bit masks
     (word, mask) of 64 starts. texts: (key, text), key a hash of the text, a row for every document."""
-    spark = texts.sparkSession
-    schema = "key long, core long, whole long, first long, n int"
-    rows = stored(texts.mapInArrow(_stretch_rows(length, core), schema), "stretches")
-    kinds = stored(rows.groupBy("core", "whole").agg(F.count("*").alias("rows"), F.min(F.struct("key", "first")).alias("one")), "kinds")
-    mixed_cores = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.min("rows").alias("least")).where("kinds > 1 AND least = 1").select("core")
-    chosen = stored(kinds.join(mixed_cores, "core", "left_semi").select("one.key", "one.first"), "chosen")
-    ids = membership_filter(chosen.select("key", "first").mapInArrow(_identities, "id long"))
-    keyed = membership_filter(chosen.select("key").distinct().mapInArrow(_mixed_keys, "id long"))
-    context = spark.sparkContext
-    suffixes = stored(texts.mapInArrow(_suffix_rows(length, core, context.broadcast(keyed), context.broadcast(ids)), "lead long, next long, key long, place long"), "suffixes")
+    context = texts.sparkSession.sparkContext
+    rows = stored(texts.mapInArrow(_stretch_rows(length, core), ROWS), "stretches")
+    runs, open_ = _settled(rows)
+    ids = context.broadcast(membership_filter(open_.mapInArrow(_identities, "id long")))
+    keys = context.broadcast(membership_filter(open_.select("key").distinct().mapInArrow(_mixed_keys, "id long")))
+    parts = stored(texts.mapInArrow(_piece_rows(length, core, keys, ids), ROWS), "pieces")
+    more, open_ = _settled(parts)
+    cut = context.broadcast(membership_filter(open_.mapInArrow(_identities, "id long")))
+    suffixes = stored(texts.mapInArrow(_suffix_rows(length, core, keys, ids, cut), "lead long, next long, key long, place long"), "suffixes")
     # the last two columns part equal suffixes, of which there may be any number, over several buckets
     buckets = suffixes.repartitionByRange("lead", "next", "key", "place")
     compared = stored(buckets.mapInArrow(_compared, "lead long, next long, key long, place long, count long"), "compared")
@@ -166,8 +211,9 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, core: int = CORE) -
     beyond = edges.where("count = 1").join(across, ["lead", "next"], "left_semi")
     single = compared.where("count = 0").unionByName(beyond).groupBy("key", F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 AS int))")).alias("mask"))
     masks = single.groupBy("key").agg(F.collect_list(F.struct("word", "mask")).alias("masks"))
-    runs = rows.join(kinds.where("rows > 1").select("core", "whole"), ["core", "whole"], "left_semi").groupBy("key").agg(F.collect_set(F.struct("first", "n")).alias("runs"))
-    return runs.join(masks, "key", "full_outer")
+    # sets, as the rows of equal texts repeat one another's runs
+    whole = runs.unionAll(more).groupBy("key").agg(F.collect_set(F.struct("first", "n")).alias("runs"))
+    return whole.join(masks, "key", "full_outer")
 
 
 def _mixed_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

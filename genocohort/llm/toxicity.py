@@ -163,6 +163,9 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.decisions(column) + self.shift, -30, 30)))
 
 
+NOTHING = Machine(np.zeros(1 << 20, np.float32), -1.0, 0.0, -30.0)
+
+
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         toxic = batch.column(1).to_numpy()
@@ -202,11 +205,12 @@ def sampled(labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
 
 
 def learn(sample: DataFrame) -> Machine:
-    """A machine from a bounded sample of (doc_id, text, toxic), toxic 0 or 1, see sampled(). Raises where a class is missing."""
+    """A machine from a bounded sample of (doc_id, text, toxic), toxic 0 or 1, see sampled(). Where a class is missing, or no word
+    tells them apart, nothing is toxic: every score is 0."""
     sample = sample.where("text IS NOT NULL").select("doc_id", "toxic", "text")
     counts = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not counts.get(0) or not counts.get(1):
-        raise ValueError("labels of both classes are needed")
+        return NOTHING
     schema = f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, toxic int, word string"
     words = sample.mapInArrow(_words_of, schema).persist()
     try:
@@ -233,7 +237,7 @@ def learn(sample: DataFrame) -> Machine:
         others = rated.where(F.col("o") > 0).orderBy(F.xxhash64("word"), "word").limit(OTHER_WORDS).select("word", F.lit(0.0).alias("label"), F.lit(1.0).alias("weight"))
         common = rated.where(F.col("o") > 0).orderBy(F.desc("o"), "word").limit(OTHER_WORDS // 10).select("word", F.lit(0.0).alias("label"), F.lit(1.0).alias("weight"))
         if not len(telling):
-            raise ValueError("no word tells toxic texts from others")
+            return NOTHING
         witnesses = spark.createDataFrame([(w,) for w in telling["word"]], "word string").withColumn("label", F.lit(1.0))
         machine = Machine(np.zeros(1 << 20, np.float32), -1.0)
         hard: set[str] = set()
@@ -341,5 +345,5 @@ def _with_decisions(docs: DataFrame, machine: Machine, scores: bool = False) ->
 
 def toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
     """docs with _toxicity in 0 to 1, from the text alone; null, empty and wordless texts score as a text without any toxic
-    word. Every word of a text counts, however long it is. Other columns and repeated rows pass through."""
-    return _with_decisions(docs, machine, scores=True)
+    word. Every word of a text counts, however long it is. Repeated rows and columns of other names pass through."""
+    return _with_decisions(docs.drop("_toxicity"), machine, scores=True)

@@ -153,21 +153,27 @@ def snk1(v):
     return v.spark.read.parquet(folder).select("pgs_id", "chrom", "pos", "effect_allele", "other_allele", "weight")
 
 
-@check("snk2_stats_table", "SELECT pgs_id, population, CASE WHEN n_samples % 2 = 0 THEN mean ELSE mean + 1 END AS mean FROM v_stats")
+@check("snk2_stats_table", """SELECT pgs_id, population, mean + CASE WHEN CAST(substr(pgs_id, 4) AS BIGINT) % 5 = 0 THEN 2 WHEN n_samples % 2 = 0 THEN 0 ELSE 1 END AS mean FROM v_stats""")
 def snk2(v):
+    """Half of the pairs first, then all without force, then every fifth score by force: the others stay."""
     folder = shared_folder(v.spark, "stats")
     s = v.stats.select("pgs_id", "population", "mean", "n_samples")
+    stored = lambda: v.spark.read.parquet(folder).select(*s.columns)
     S.write_stats(s.where("n_samples % 2 = 0"), None, folder)
-    have = v.spark.read.parquet(folder).select("pgs_id", "population")
-    S.write_stats(s.withColumn("mean", F.col("mean") + 1), have, folder)
+    S.write_stats(s.withColumn("mean", F.col("mean") + 1), stored(), folder)
+    forced = s.where(F.substring("pgs_id", 4, 20).cast("bigint") % 5 == 0)
+    S.write_stats(forced.withColumn("mean", F.col("mean") + 2), stored(), folder, force=True)
     return v.spark.read.parquet(folder).select("pgs_id", "population", "mean")
 
 
 @check("snk3_raw_scores", f"WITH {MEMBER_SQL} SELECT pgs_id, population, sample_id, raw_score FROM ms")
 def snk3(v):
+    """Scores arrive in two calls."""
     folder = shared_folder(v.spark, "scores")
     members = panel_scores(v).where("raw_score is not null").join(DI.memberships(v.sample), "sample_id")
-    S.write_raw_scores(members, folder)
+    odd = F.substring("pgs_id", 4, 20).cast("bigint") % 2 == 1
+    S.write_raw_scores(members.where(odd), folder)
+    S.write_raw_scores(members.where(~odd), folder, v.spark.read.parquet(folder))
     return v.spark.read.parquet(folder).select("pgs_id", "population", "sample_id", "raw_score")
 
 

@@ -37,10 +37,7 @@ class Views:
 
     @cached_property
     def lineitem(self) -> DataFrame:
-        """The fact table; a copy that arrives in fewer splits than there are cores is spread by key first."""
-        df = self.table("lineitem")
-        cores = self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, "l_orderkey", "l_partkey")
+        return self.table("lineitem")
 
     @cached_property
     def sample(self) -> DataFrame:

@@ -21,25 +21,37 @@ def local_session(cores: int | str = 8, app: str = "genocohort") -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names in ``spark.checkpoint.dir``.
+def shared_root(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a local session that names none gets one, any other master has to name it."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder shared by the driver and the executors")
+    if sc.applicationId not in _local_roots:
+        _local_roots[sc.applicationId] = tempfile.mkdtemp(prefix="genocohort-")
+    return _local_roots[sc.applicationId]
+
+
+_local_roots: dict[str, str] = {}
 
-    Only a session that names no folder (a local test) gets one made for it.
-    """
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="genocohort-ckpt-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared folder of the session; a local one only where the session names none."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="genocohort-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared one."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"

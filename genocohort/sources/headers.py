@@ -35,13 +35,12 @@ def header_facts(lines: DataFrame, by: str = "file") -> DataFrame:
         v.startswith("@SQ"), F.regexp_extract(v, r"LN:(\d+)", 1)
     ).try_cast("bigint")
     columns = F.split(v, "\t")
-    sample = F.when(v.startswith("#CHROM"), F.array_join(F.slice(columns, 10, 1000000), ",")).when(
-        v.startswith("@RG"), F.regexp_extract(v, r"SM:(\S+)", 1)
-    )
+    in_columns = F.when(F.size(columns) > 9, F.slice(columns, 10, F.greatest(F.size(columns) - 9, F.lit(0))))
+    samples = F.when(v.startswith("#CHROM"), in_columns).when(v.startswith("@RG"), F.array(F.regexp_extract(v, r"SM:(\S+)", 1)))
     caller = F.when(v.rlike("^##source="), F.regexp_extract(v, "^##source=(.*)$", 1))
     platform = F.when(v.startswith("@RG"), F.upper(F.regexp_extract(v, r"PL:(\S+)", 1)))
     facts = heads.select(
-        by, contig.alias("contig"), length.alias("length"), sample.alias("sample"), caller.alias("caller"),
+        by, contig.alias("contig"), length.alias("length"), samples.alias("samples"), caller.alias("caller"),
         platform.alias("platform"), N.header_build(v).alias("declared"),
     )
     chr1 = F.max(F.when(F.col("contig").isin("1", "chr1"), F.col("length")))
@@ -50,10 +49,11 @@ def header_facts(lines: DataFrame, by: str = "file") -> DataFrame:
         F.count("contig").alias("n_contigs"),
         F.sum("length").alias("genome_length"),
         F.coalesce(F.bool_or(F.col("contig").startswith("chr")), F.lit(False)).alias("has_chr"),
-        F.max("sample").alias("samples"),
+        # one header's sample names, in code point order
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("samples")))).alias("_samples"),
         F.max("caller").alias("caller"),
         F.max("platform").alias("platform"),
-    )
+    ).withColumns({"samples": F.array_join("_samples", ","), "n_samples": F.size("_samples")}).drop("_samples")
 
 
 def coverage_estimate(mapped: Column, genome_length: Column, platform: Column) -> Column:

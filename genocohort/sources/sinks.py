@@ -24,18 +24,38 @@ def write_genotypes(genotypes: DataFrame, table: str, path: str, buckets: int) -
     ).saveAsTable(table)
 
 
+STATS_KEY = ["pgs_id", "population"]
+#: Files of one population a table of stats or raw scores is spread over; a rewrite touches those of the scores it holds.
+SCORE_BUCKETS = 16
+
+
+def replace_scores(rows: DataFrame, existing: DataFrame | None, path: str) -> None:
+    """Writes rows of (score, population) pairs in place of the stored rows of the same pairs; all other rows stay.
+
+    Only the partitions that hold such a pair are read and written again.
+    """
+    place = ["population", "score_bucket"]
+    bucket = F.pmod(F.xxhash64("pgs_id"), F.lit(SCORE_BUCKETS)).cast("int")
+    fresh = rows.withColumn("score_bucket", bucket)
+    if existing is not None:
+        stored = existing.withColumn("score_bucket", bucket).join(fresh.select(*place).distinct(), place, "left_semi")
+        stayed = stored.join(fresh.select(*STATS_KEY).distinct(), STATS_KEY, "left_anti")
+        fresh = fresh.unionByName(stayed.select(*fresh.columns))
+    fresh.repartition(*place).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*place).parquet(path)
+
+
 def write_stats(stats: DataFrame, existing: DataFrame | None, path: str, force: bool = False) -> None:
-    """Stats per (score, population); pairs already present stay unless ``force``."""
-    fresh = stats if force or existing is None else stats.join(existing, ["pgs_id", "population"], "left_anti")
-    spread = fresh.repartition("population", F.pmod(F.xxhash64("pgs_id"), F.lit(8)))
-    spread.write.mode("overwrite" if force else "append").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("population").parquet(path)
+    """Stats per (score, population); pairs already present stay unless ``force``, which replaces them and nothing else.
+
+    ``existing`` holds what is stored at ``path`` (None: nothing yet).
+    """
+    fresh = stats if force or existing is None else stats.join(existing.select(*STATS_KEY).distinct(), STATS_KEY, "left_anti")
+    replace_scores(fresh, existing, path)
 
 
-def write_raw_scores(scores: DataFrame, path: str) -> None:
-    """Long table of panel scores, kept for empirical percentiles."""
-    scores.select("pgs_id", "population", "sample_id", "raw_score").write.mode("overwrite").partitionBy("population").parquet(path)
+def write_raw_scores(scores: DataFrame, path: str, existing: DataFrame | None = None) -> None:
+    """Long table of panel scores, kept for empirical percentiles; scores already stored stay unless they are given again."""
+    replace_scores(scores.select("pgs_id", "population", "sample_id", "raw_score"), existing, path)
 
 
 def append_log(rows: DataFrame, path: str) -> None:

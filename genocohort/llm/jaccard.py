@@ -25,8 +25,8 @@ from .words import SPACED, lower, mixed, pieces, prefix_codes, span_codes, word_
 #: Words of a shingle, and the similarity as a fraction. A contract may give others.
 WORDS, SHARE = 5, (80, 100)
 #: Cells of the count sketch (fixed size) and of a set's histogram for the suffix filter.
-SKETCH_CELLS, HISTOGRAM = 1 << 19, 32
-_SKETCH_PART = 4096
+SKETCH_CELLS, HISTOGRAM = 1 << 22, 64
+_SKETCH_PART = 1 << 14
 
 
 def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -79,15 +79,23 @@ def _marked(words: int):
 
 
 def _sketched(words: int):
+    """What a task adds to each part of the sketch: all counts, or, where most are 0, the others with their cells."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH_CELLS, np.int64)
+        counts = np.zeros(SKETCH_CELLS, np.int32)
         for batch in batches:
             for _, shingles, _ in _sets(batch.column(0), words):
-                counts += np.bincount((shingles & np.uint64(SKETCH_CELLS - 1)).astype(np.int64), minlength=SKETCH_CELLS)
-        parts = counts.reshape(-1, _SKETCH_PART)
-        some = np.flatnonzero(parts.any(1))
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["part", "counts"])
+                cells, n = np.unique((shingles & np.uint64(SKETCH_CELLS - 1)).astype(np.int64), return_counts=True)
+                counts[cells] += n.astype(np.int32)
+        rows: list[tuple[int, bytes, bytes]] = []
+        for part, own in enumerate(counts.reshape(-1, _SKETCH_PART)):
+            some = np.flatnonzero(own)
+            if 2 * len(some) > len(own):
+                rows.append((part, b"", own.tobytes()))
+            elif len(some):
+                rows.append((part, some.astype(np.int32).tobytes(), own[some].tobytes()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["part", "cells", "counts"])
 
     return run
 
@@ -95,18 +103,20 @@ def _sketched(words: int):
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-            sums[part] = sums.get(part, 0) + np.frombuffer(counts.as_buffer(), np.int64)
+        for part, cells, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            own = sums.setdefault(part, np.zeros(_SKETCH_PART, np.int64))
+            where = np.frombuffer(cells, np.int32) if cells else slice(None)
+            own[where] += np.frombuffer(counts, np.int32)
     if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 2**31 - 1).astype(np.int32).tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
 
 
 def frequency_sketch(docs: DataFrame, words: int) -> np.ndarray:
     """How many documents' shingles fall into each cell, over all documents: fixed size, added up by parts."""
-    parts = docs.select("text").mapInArrow(_sketched(words), "part int, counts binary").repartition("part").mapInArrow(_summed, "part int, counts binary")
-    counts = np.zeros((SKETCH_CELLS // _SKETCH_PART, _SKETCH_PART), np.int64)
+    parts = docs.select("text").mapInArrow(_sketched(words), "part int, cells binary, counts binary").repartition("part").mapInArrow(_summed, "part int, counts binary")
+    counts = np.zeros((SKETCH_CELLS // _SKETCH_PART, _SKETCH_PART), np.int32)
     for row in parts.collect():
-        counts[row["part"]] = np.frombuffer(row["counts"], np.int64)
+        counts[row["part"]] = np.frombuffer(row["counts"], np.int32)
     return counts.ravel()
 
 
@@ -157,14 +167,22 @@ def _filtered(pairs: DataFrame, share: tuple[int, int]) -> DataFrame:
     return pairs.where(long_enough & (rest >= _needed(share))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, prefixes: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The linked ones of distinct pairs (a, b): suffix filter by histograms, then whole sets."""
+def _possible(pairs: DataFrame, prefixes: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The distinct pairs (a, b) that pass the suffix filter: what the histograms of their sets can share at most."""
     side = lambda x: prefixes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("histogram").alias(f"h{x}"))
-    most = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x)
-    few = pairs.join(side("a"), "a").join(side("b"), "b").where(most >= _needed(share)).select("a", "b", "na", "nb")
+    most = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(most >= _needed(share)).select("a", "b", "na", "nb")
+
+
+def _verified(pairs: DataFrame, text: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+    """The linked ones of pairs (a, b), by their whole sets, which are read for the documents of these pairs only."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    members = text.sparkSession.sparkContext.broadcast(membership_filter(keys))
+    sets = text.mapInArrow(_sets_of(words, members), "key long, shingles array<long>").dropDuplicates(["key"])
+    sets = stored(sets, "sets")
     of = lambda x: sets.select(F.col("key").alias(x), F.col("shingles").alias(f"s{x}"))
-    both = few.join(of("a"), "a").join(of("b"), "b")
-    return both.where(F.size(F.array_intersect("sa", "sb")) >= _needed(share)).select("a", "b")
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return stored(both.where(F.size(F.array_intersect("sa", "sb")) >= _needed(share)).select("a", "b"), "links")
 
 
 def joined(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
@@ -188,13 +206,8 @@ def joined(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE)
     leader = F.max(F.struct("weight", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ia").alias("ib"))).alias("leader")
     leaders = entries.groupBy("token").agg(leader, F.count("*").alias("sets")).where("sets > 1")
     shared = stored(entries.join(leaders, "token").select("token", "a", "na", "ia", "leader.b", "leader.nb", "leader.ib"), "entries")
-    needed = shared.select(F.col("a").alias("key")).distinct()
-    members = spark.sparkContext.broadcast(membership_filter(needed))
-    sets = text.mapInArrow(_sets_of(words, members), "key long, shingles array<long>")
-    sets = stored(sets.join(needed, "key", "left_semi").dropDuplicates(["key"]), "sets")
-
     met = stored(_filtered(shared.where("a <> b"), share), "pairs")
-    links = stored(_verified(met, prefixes, sets, share), "links")
+    links = _verified(stored(_possible(met, prefixes, share), "pairs"), text, words, share)
     roots = components(links)
     # sets of one shingle that are not connected yet
     labelled = shared.select("token", "a", "na", "ia").join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
@@ -202,7 +215,7 @@ def joined(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE)
     open_ = stored(labelled.join(apart, "token", "left_semi"), "apart")
     other = open_.select("token", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ia").alias("ib"), F.col("root").alias("root_b"))
     rest = _filtered(open_.join(other, "token").where("root < root_b"), share).join(met, ["a", "b"], "left_anti")
-    more = stored(_verified(rest, prefixes, sets, share), "links")
+    more = _verified(stored(_possible(rest, prefixes, share), "pairs"), text, words, share)
     roots = components(links.unionAll(more)).withColumnRenamed("node", "key")
 
     rooted = marks.where("n > 0").join(roots, "key", "left").select("doc_id", "n", "key", F.coalesce("root", "key").alias("root"))

@@ -66,12 +66,18 @@ def wn8(v):
         "sample_id", "test_no", "gene", F.coalesce("rsid", F.lit("")).alias("rsid"), "source", "genotype")
 
 
-@check("jn7_batch_lookup", f"""WITH {WANT_SQL}, byid AS (SELECT sample_id, id, gt FROM v_record WHERE id <> '.' QUALIFY row_number() OVER (PARTITION BY sample_id, id ORDER BY pos, ref, alt_csv, gt) = 1)
-   SELECT w.sample_id, test_no, w.rsid, CASE WHEN gt IS NOT NULL THEN gt WHEN pos IS NOT NULL THEN '0/0' ELSE '' END AS genotype,
-     CASE WHEN gt IS NOT NULL THEN 'rsID' WHEN pos IS NOT NULL THEN 'position-inferred' ELSE 'none' END AS source FROM want w LEFT JOIN byid i ON i.sample_id = w.sample_id AND i.id = w.rsid WHERE w.rsid IS NOT NULL""")
+@check("jn7_batch_lookup", f"""WITH {WANT_SQL}, asked AS (SELECT * FROM want WHERE rsid IS NOT NULL),
+   ids AS (SELECT a.sample_id, test_no, a.rsid, min_by(gt, (r.pos, r.ref, alt_csv, gt)) AS gt FROM asked a JOIN v_record r ON r.sample_id = a.sample_id AND r.id = a.rsid GROUP BY 1, 2, 3),
+   here AS (SELECT a.sample_id, test_no, a.rsid, r.gt, r.ref, r.alt_csv, r.ref = a.ref AND list_contains(string_split(r.alt_csv, ','), a.alt) AS same FROM asked a JOIN v_record r ON r.sample_id = a.sample_id AND r.chrom = a.chrom AND r.pos = a.pos WHERE r.info_end IS NULL),
+   spots AS (SELECT sample_id, test_no, rsid, bool_or(same) AS same, coalesce(min_by(gt, (ref, alt_csv, gt)) FILTER (same), min_by(gt, (ref, alt_csv, gt))) AS gt FROM here GROUP BY 1, 2, 3),
+   covered AS (SELECT DISTINCT a.sample_id, test_no, a.rsid FROM asked a JOIN v_block b ON b.sample_id = a.sample_id AND b.chrom = a.chrom AND a.pos BETWEEN b.pos AND b.end_pos)
+   SELECT a.sample_id, a.test_no, a.rsid, coalesce(ids.gt, spots.gt, CASE WHEN pos IS NOT NULL THEN '0/0' END, '') AS genotype,
+     CASE WHEN ids.gt IS NOT NULL THEN 'rsID' WHEN spots.gt IS NOT NULL THEN 'position' WHEN covered.rsid IS NOT NULL THEN 'gvcf_refblock' WHEN pos IS NOT NULL THEN 'position-inferred' ELSE 'none' END AS source,
+     CASE WHEN ids.gt IS NOT NULL THEN 'rsid' WHEN spots.same THEN 'exact' WHEN spots.gt IS NOT NULL THEN 'locus_mismatch' WHEN covered.rsid IS NOT NULL THEN 'ref_block' ELSE '' END AS match_type
+   FROM asked a LEFT JOIN ids USING (sample_id, test_no, rsid) LEFT JOIN spots USING (sample_id, test_no, rsid) LEFT JOIN covered USING (sample_id, test_no, rsid)""")
 def jn7(v):
     return L.batch_genotypes(wanted(v).where("rsid is not null"), v.record).select(
-        "sample_id", "test_no", "rsid", F.coalesce("genotype", F.lit("")).alias("genotype"), "source")
+        "sample_id", "test_no", "rsid", F.coalesce("genotype", F.lit("")).alias("genotype"), "source", F.coalesce("match_type", F.lit("")).alias("match_type"))
 
 
 ROLL_SQL = f"""{LOOK_SQL}, roll AS (SELECT sample_id, test_no, count(*) AS n_variants, count(*) FILTER (source IN ('rsID','position','position-inferred','gvcf_refblock')) AS n_resolved,

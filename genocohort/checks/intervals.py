@@ -54,7 +54,7 @@ def src15(v):
      CASE WHEN contains(gt, '.') THEN NULL ELSE CAST(substr(gt, 1, 1) = '1' AS INT) + CAST(substr(gt, 3, 1) = '1' AS INT) END AS dosage FROM c
    QUALIFY row_number() OVER (PARTITION BY sample_id, chrom, pos ORDER BY rk, st, gt, ref, alt) = 1""")
 def pl7(v):
-    return B.genotypes_at_targets(v.record, v.variant.select("chrom", "pos", "ref"), A.allele_map(v.score))
+    return B.genotypes_at_targets(v.record, v.variant.select("chrom", "pos", "ref"), A.allele_map(v.score)).drop("alts")
 
 
 @check("ag27_normalisation_counts", """SELECT chrom, count(*) AS total, CAST(sum(CASE WHEN alt_csv IN ('<*>','<NON_REF>') THEN 1 ELSE 0 END) AS BIGINT) AS ref_blocks,

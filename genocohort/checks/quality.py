@@ -45,7 +45,7 @@ SEX_SQL = """sx AS (SELECT sample_id, count(*) FILTER (chrom = 'Y') AS y_records
    count(*) FILTER (chrom = 'Y' AND site AND gt = '0/0') AS y_hom_ref,
    count(*) FILTER (chrom = 'X' AND site AND gt IN ('0/1','0|1','1/0','1/1','1|1')) AS x_variants,
    count(*) FILTER (chrom = 'Y' AND site AND gt IN ('0/1','0|1','1/0','1/1','1|1')) AS y_variants,
-   count(*) FILTER (chrom = 'X' AND site AND gt IN ('0/1','0|1','1/0')) AS x_het, count(*) FILTER (chrom = 'X' AND site AND gt IN ('1/1','1|1')) AS x_hom
+   count(*) FILTER (chrom = 'X' AND site AND gt IN ('0/1','0|1','1/0')) AS x_het, count(*) FILTER (chrom = 'X' AND site) AS x_sites
   FROM (SELECT *, alt_csv NOT IN ('<*>', '<NON_REF>') AS site FROM v_record) GROUP BY 1)"""
 
 
@@ -54,7 +54,7 @@ def ag10(v):
     return Q.sex_counts(v.record, male_homref=0).select("sample_id", "y_records", "y_hom_ref", "chry_sex")
 
 
-@check("ag11_chrx_het", f"""WITH {SEX_SQL} SELECT sample_id, x_het / nullif(x_het + x_hom, 0)::DOUBLE AS x_het_rate, CASE WHEN x_het + x_hom = 0 THEN 'unknown' WHEN x_het / (x_het + x_hom)::DOUBLE > 0.3 THEN 'Female' ELSE 'Male' END AS chrx_sex FROM sx""")
+@check("ag11_chrx_het", f"""WITH {SEX_SQL} SELECT sample_id, x_het / nullif(x_sites, 0)::DOUBLE AS x_het_rate, CASE WHEN x_sites = 0 THEN 'unknown' WHEN x_het / x_sites::DOUBLE > 0.3 THEN 'Female' ELSE 'Male' END AS chrx_sex FROM sx""")
 def ag11(v):
     return Q.sex_counts(v.record).select("sample_id", "x_het_rate", "chrx_sex")
 
@@ -97,7 +97,7 @@ def ag13(v):
 
 
 @check("pl20_sex_checks", f"""WITH {SEX_SQL}, {SRY_SQL} SELECT sample_id, CASE WHEN x_records = 0 AND y_records = 0 THEN 'unknown' WHEN y_hom_ref > 10000 THEN 'Male' ELSE 'Female' END AS chry_sex,
-   CASE WHEN x_het + x_hom = 0 THEN 'unknown' WHEN x_het / (x_het + x_hom)::DOUBLE > 0.3 THEN 'Female' ELSE 'Male' END AS chrx_sex, sry_sex FROM sx JOIN sry USING (sample_id)""")
+   CASE WHEN x_sites = 0 THEN 'unknown' WHEN x_het / x_sites::DOUBLE > 0.3 THEN 'Female' ELSE 'Male' END AS chrx_sex, sry_sex FROM sx JOIN sry USING (sample_id)""")
 def pl20(v):
     sry = Q.sry_check(v.record, region=("Y", 200000, 900000)).select("sample_id", "sry_sex")
     return Q.sex_counts(v.record).join(sry, "sample_id").select("sample_id", "chry_sex", "chrx_sex", "sry_sex")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..fixtures import Views, with_views
 
-MODULES = ["scoring", "distribution", "projections", "intervals", "quality", "clinical", "reads", "ancestry", "mart", "sources"]
+MODULES = ["scoring", "cohort", "distribution", "projections", "intervals", "quality", "clinical", "reads", "ancestry", "mart", "sources"]
 
 
 @dataclass(frozen=True)

@@ -107,6 +107,23 @@ def genotype_class(gt: Column) -> Column:
     )
 
 
+def called_class(gt: Column) -> Column:
+    """ref / hom / het by allele indices, as variant statistics count them: 1/2 is het, 2/2 is hom; haploid calls are
+    hap_ref or hap_alt, calls with a missing allele unknown."""
+    called = gt_indices(gt)
+    known = F.size(called) > 0
+    known &= F.forall(called, lambda i: i.isNotNull())
+    first = F.get(called, F.lit(0))
+    same = F.forall(called, lambda i: i == F.get(called, F.lit(0)))
+    return (
+        F.when(~F.coalesce(known, F.lit(False)), "unknown")
+        .when(F.size(called) == 1, F.when(first == 0, "hap_ref").otherwise("hap_alt"))
+        .when(~same, "het")
+        .when(first == 0, "ref")
+        .otherwise("hom")
+    )
+
+
 def allele_dosage(ref: Column, alts: Column, gt: Column, allele: Column) -> Column:
     """Copies of ``allele`` in a multi-ALT genotype; null for haploid, missing or out-of-range calls."""
     alleles = F.concat(F.array(ref), alts)

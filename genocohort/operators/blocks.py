@@ -33,23 +33,24 @@ def expand_blocks(blocks: DataFrame, sites: DataFrame, salt: int = 4) -> DataFra
 def genotypes_at_targets(records: DataFrame, sites: DataFrame, alleles: DataFrame) -> DataFrame:
     """Genotype table for scoring: called records at the targets, plus expanded reference blocks.
 
-    Symbolic ALTs are stripped, block sites get the catalogue's allele, half-calls become missing and one row per
+    ``alts`` holds every ALT of the record, in the order that the genotype counts them; ``alt`` is the first real one and
+    ``dosage`` its copies. Block sites get the catalogue's allele, half-calls become missing and one row per
     (sample, position) remains: a called record before a block, then the block that starts last.
     """
     end = G.block_end(F.col("info_end"), F.col("pos"))
     is_block = G.is_ref_block(F.col("alts"), F.col("gt"))
     called = records.where(~is_block).join(sites.select("chrom", "pos"), ["chrom", "pos"], "left_semi")
     real = called.withColumn("_alts", G.strip_symbolic(F.col("alts"))).where(F.size("_alts") > 0).select(
-        "sample_id", "chrom", "pos", "ref", F.get("_alts", F.lit(0)).alias("alt"), "gt",
+        "sample_id", "chrom", "pos", "ref", F.get("_alts", F.lit(0)).alias("alt"), "alts", "gt",
         F.lit(0).alias("_rank"), F.lit(0).cast("bigint").alias("_start"),
     )
     blocks = records.where(is_block).withColumn("end_pos", end)
     expanded = fill_symbolic_alt(expand_blocks(blocks, sites), alleles).select(
-        "sample_id", "chrom", "pos", "ref", "alt", "gt", F.lit(1).alias("_rank"), (-F.col("block_pos")).alias("_start")
+        "sample_id", "chrom", "pos", "ref", "alt", F.array("alt").alias("alts"), "gt", F.lit(1).alias("_rank"), (-F.col("block_pos")).alias("_start")
     )
     picked = first_rows(
         real.unionByName(expanded), ["sample_id", "chrom", "pos"], ["_rank", "_start", "gt", "ref", "alt"]
     )
     return picked.withColumn("from_block", F.col("_rank") == 1).drop("_rank", "_start").withColumn(
-        "dosage", G.alt_dosage(F.col("gt"))
+        "dosage", G.allele_dosage(F.col("ref"), F.col("alts"), F.col("gt"), F.col("alt"))
     )

@@ -88,16 +88,10 @@ def look_up(wanted: DataFrame, records: DataFrame, order: Sequence[str] = FILE_O
     )
 
 
-def batch_genotypes(wanted: DataFrame, records: DataFrame) -> DataFrame:
-    """Genotype per wanted rsID in one pass: a record by id, else inferred reference, else none."""
-    hit = first_by_id(records).select(
-        "sample_id", F.col("id").alias("rsid"), "gt"
-    )
-    return wanted.join(hit, ["sample_id", "rsid"], "left").withColumn(
-        "genotype", F.coalesce("gt", F.when(F.col("pos").isNotNull(), "0/0"))
-    ).withColumn(
-        "source", F.when(F.col("gt").isNotNull(), "rsID").when(F.col("pos").isNotNull(), "position-inferred").otherwise("none")
-    ).drop("gt")
+def batch_genotypes(wanted: DataFrame, records: DataFrame, order: Sequence[str] = FILE_ORDER) -> DataFrame:
+    """Genotype per wanted rsID in one pass: by id, else by position with the alleles checked, else a reference block,
+    else inferred reference. Calls without an id are found by their position."""
+    return look_up(wanted, records, order).drop("found", "expected_ref", "expected_alt")
 
 
 def genotypes_by_position(regions: DataFrame, records: DataFrame) -> DataFrame:

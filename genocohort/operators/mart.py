@@ -19,10 +19,12 @@ def latest_reports(reports: DataFrame, by: Sequence[str] = ("file_id", "test_id"
     return first_rows(reports, by, [F.col("completed_at").desc(), F.col("task_id").desc()])
 
 
-def best_results(reports: DataFrame, by: Sequence[str] = ("test_id",), k: int = 1) -> DataFrame:
-    """Best first: match rate, then newest; ``place`` counts from 1."""
+def best_results(reports: DataFrame, by: Sequence[str] = ("test_id",), k: int | None = None) -> DataFrame:
+    """Best first: match rate, then newest; ``place`` counts from 1. All of them, or the first ``k`` per group."""
     order = [F.col("match_rate").desc(), F.col("completed_at").desc(), F.col("task_id").desc()]
-    return first_rows(reports, by, order, k, "place")
+    if k is not None:
+        return first_rows(reports, by, order, k, "place")
+    return reports.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
 def report_list(reports: DataFrame, files: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def sample_metrics(records: DataFrame) -> DataFrame:
     v = variants_only(records).withColumn("alt", F.get("alts", F.lit(0)))
     snv = (F.length("ref") == 1) & (F.length("alt") == 1)
     transition = snv & G.is_transition(F.col("ref"), F.col("alt"))
-    cls = G.genotype_class(F.col("gt"))
+    cls = G.called_class(F.col("gt"))
     chr22 = F.col("chrom") == "22"
     counts = v.groupBy("sample_id").agg(
         F.count_if(transition).alias("transitions"),
@@ -52,20 +52,19 @@ def is_site(alts: Column) -> Column:
 
 
 def sex_counts(records: DataFrame, male_homref: int = K.CHRY_HOMREF_MALE, female_het: float = K.CHRX_HET_FEMALE) -> DataFrame:
-    """chrY count, chrX het rate and X:Y ratio checks, all from one pass."""
+    """chrY count, chrX het rate (het calls of all variant records) and X:Y ratio checks, all from one pass."""
     x, y = F.col("chrom") == "X", F.col("chrom") == "Y"
     site = is_site(F.col("alts"))
-    cls = G.genotype_class(F.col("gt"))
-    hom_ref = site & (cls == "ref")
-    alt = site & cls.isin("het", "hom")
+    cls = G.called_class(F.col("gt"))
+    hom_ref = site & cls.isin("ref", "hap_ref")
+    alt = site & cls.isin("het", "hom", "hap_alt")
     c = records.groupBy("sample_id").agg(
         F.count_if(y).alias("y_records"), F.count_if(y & hom_ref).alias("y_hom_ref"),
         F.count_if(x).alias("x_records"),
         F.count_if(x & alt).alias("x_variants"), F.count_if(y & alt).alias("y_variants"),
-        F.count_if(x & site & (cls == "het")).alias("x_het"), F.count_if(x & site & (cls == "hom")).alias("x_hom"),
+        F.count_if(x & site & (cls == "het")).alias("x_het"), F.count_if(x & site).alias("x_sites"),
     )
-    called = F.col("x_het") + F.col("x_hom")
-    het_rate = F.col("x_het") / F.when(called > 0, called)
+    het_rate = F.col("x_het") / F.when(F.col("x_sites") > 0, F.col("x_sites"))
     ratio = F.col("x_variants") / F.when(F.col("y_variants") > 0, F.col("y_variants"))
     male = F.col("y_hom_ref") > male_homref
     return c.select(

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import genotype as G
 from ..functions import scores as S
 from .picks import first_rows
 
@@ -26,11 +27,16 @@ def effect_dosage() -> Column:
 
 
 def match_effect_allele(genotypes: DataFrame, weights: DataFrame) -> DataFrame:
-    """Genotypes joined to weights on position; the effect allele has to be REF or ALT."""
-    matched = genotypes.join(weights, ["chrom", "pos"]).where(
-        (F.col("effect_allele") == F.col("ref")) | (F.col("effect_allele") == F.col("alt"))
-    )
-    return matched.withColumn("effect_dosage", effect_dosage())
+    """Genotypes joined to weights on position; the effect allele has to be REF or one of the ALTs.
+
+    With the record's ``alts`` and ``gt`` the copies of the effect allele are counted among all alleles; a table of
+    biallelic rows (alt, dosage) needs no more than these.
+    """
+    multi = {"alts", "gt"} <= set(genotypes.columns)
+    known = F.array_contains("alts", F.col("effect_allele")) if multi else F.col("effect_allele") == F.col("alt")
+    copies = G.allele_dosage(F.col("ref"), F.col("alts"), F.col("gt"), F.col("effect_allele")) if multi else effect_dosage()
+    matched = genotypes.join(weights, ["chrom", "pos"]).where((F.col("effect_allele") == F.col("ref")) | known)
+    return matched.withColumn("effect_dosage", copies)
 
 
 def match_allele_pair(genotypes: DataFrame, weights: DataFrame) -> DataFrame:

@@ -11,21 +11,25 @@ from .lines import read_lines
 
 
 def parse_vcf(lines: DataFrame, keep: tuple[str, ...] = ("file",)) -> DataFrame:
-    """Record rows from VCF text lines: one row per body line, first sample column only."""
+    """Record rows from VCF text lines: one row per body line and sample column.
+
+    ``sample_no`` counts the sample columns from 0; it is null where a line has none.
+    """
     body = lines.where((F.length("value") > 0) & ~F.col("value").startswith("#"))
     f = F.split("value", "\t")
     info = F.str_to_map(F.get(f, F.lit(7)), F.lit(";"), F.lit("="))
     format_keys = F.split(F.coalesce(F.get(f, F.lit(8)), F.lit("")), ":")
-    sample = F.split(F.coalesce(F.get(f, F.lit(9)), F.lit("")), ":")
+    columns = F.when(F.size(f) > 9, F.slice(f, F.lit(10), F.greatest(F.size(f) - 9, F.lit(0))))
+    sample = F.split(F.coalesce(F.col("sample_text"), F.lit("")), ":")
 
     def field(key: str):
         place = F.array_position(format_keys, key).cast("int")
         return F.when(place > 0, F.get(sample, place - 1))
 
     end = F.element_at(info, "END")
-    out = body.select(
-        *keep,
-        *[c for c in ("line_order",) if c in lines.columns],
+    carried = [*keep, *[c for c in ("line_order",) if c in lines.columns]]
+    out = body.select(*carried, "value", F.posexplode_outer(columns).alias("sample_no", "sample_text")).select(
+        *carried, "sample_no",
         G.bare_chrom(f[0]).alias("chrom"),
         F.get(f, F.lit(1)).try_cast("bigint").alias("pos"),
         F.get(f, F.lit(2)).alias("id"),
@@ -43,13 +47,23 @@ def parse_vcf(lines: DataFrame, keep: tuple[str, ...] = ("file",)) -> DataFrame:
     ).withColumn("is_ref_block", G.is_ref_block(F.col("alts"), F.col("gt")))
 
 
-def read_vcf(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """All records of all files; the sample id is the file's sample name."""
-    return parse_vcf(read_lines(spark, paths)).withColumn(
-        "sample_id", N.sample_from_file(N.base_name(F.col("file")))
+def sample_names(lines: DataFrame, by: str = "file") -> DataFrame:
+    """(file, sample_no, sample_id) from the column header of each file; a file with one sample is named by its file."""
+    names = F.split("value", "\t")
+    heads = lines.where(F.col("value").startswith("#CHROM") & (F.size(names) > 9))
+    return heads.select(by, F.size(names).alias("_n"), F.posexplode(F.slice(names, F.lit(10), F.greatest(F.size(names) - 9, F.lit(0)))).alias("sample_no", "_name")).select(
+        by, "sample_no", F.when(F.col("_n") > 10, F.col("_name")).otherwise(N.sample_from_file(N.base_name(F.col(by)))).alias("sample_id")
     )
 
 
+def read_vcf(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """All records of all samples of all files; joined by file and sample column, so a large file is many keys or one
+    that can be split."""
+    lines = read_lines(spark, paths)
+    named = parse_vcf(lines).join(sample_names(lines), ["file", "sample_no"], "left")
+    return named.withColumn("sample_id", F.coalesce("sample_id", N.sample_from_file(N.base_name(F.col("file"))))).drop("sample_no")
+
+
 def detect_gvcf(records: DataFrame, by: list[str]) -> DataFrame:
     """gVCF by file name, else by symbolic ALTs or END in its records."""
     marked = F.exists("alts", lambda a: a.isin("<*>", "<NON_REF>")) | F.col("info_end").isNotNull()

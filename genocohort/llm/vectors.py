@@ -14,9 +14,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,30 +89,37 @@ def _celled(plan: Plan):
                 cells = np.full((len(some), plan.tables), dim, np.int64)
                 for k in range(plan.cuts):
                     cells = (cells * 6364136223846793005 + places[:, :, k]) * 2862933555777941757 + 3037000493
-                yield pd.DataFrame({"key": some["key"], "copies": some["copies"], "vector": some["vector"], "cells": list(cells)})
+                yield pd.DataFrame({"key": some["key"], "copies": some["copies"], "vector": list(units), "cells": list(cells)})
 
     return run
 
 
+#: Pairs times projections up to which a tile's windows are laid over all its values at once, without sorting them.
+AT_ONCE = 1 << 18
+
+
+def _collisions(left: np.ndarray, right: np.ndarray, window: float) -> np.ndarray:
+    """For each query of left and each row of right the number of projections in which it lies in the query's window."""
+    if left.size * len(right) <= AT_ONCE:
+        return (np.abs(left[:, None, :] - right[None, :, :]) <= window).sum(2)
+    count = np.zeros((len(left), len(right)), np.int16)
+    for k in range(left.shape[1]):
+        order = np.argsort(right[:, k])
+        line = right[order, k]
+        rank = np.empty(len(right), np.int32)
+        rank[order] = np.arange(len(right))
+        low = np.searchsorted(line, left[:, k] - window, "left")[:, None]
+        high = np.searchsorted(line, left[:, k] + window, "right")[:, None]
+        count += (rank >= low) & (rank < high)
+    return count
+
+
 def _tile_links(plan: Plan, threshold: float, units: np.ndarray, values: np.ndarray, cells: np.ndarray, left: np.ndarray, right: np.ndarray, table: int):
-    """Linked pairs (rows of left, rows of right) of a tile that meet in no earlier table."""
-    n = len(right)
-    count = np.zeros((len(left), n), np.int16)
-    for k in range(values.shape[1]):
-        line = values[right, k]
-        order = np.argsort(line)
-        rank = np.empty(n, np.int16)
-        rank[order] = np.arange(n)
-        own = values[left, k]
-        low = np.searchsorted(line[order], own - plan.window, "left").astype(np.int16)
-        high = np.searchsorted(line[order], own + plan.window, "right").astype(np.int16)
-        count += (rank >= low[:, None]) & (rank < high[:, None])
-    a, b = np.nonzero(count >= plan.least)
+    """Linked pairs (rows of left, rows of right) of a tile that meet in no earlier table; within one block each pair once."""
+    a, b = np.nonzero(_collisions(values[left], values[right], plan.window) >= plan.least)
     a, b = left[a], right[b]
-    apart = a != b if left is right else np.ones(len(a), bool)
     if left is right:
-        apart &= a < b
-    a, b = a[apart], b[apart]
+        a, b = a[a < b], b[a < b]
     links = np.zeros(len(a), bool)
     for i in range(0, len(a), 100_000):
         x, y = a[i : i + 100_000], b[i : i + 100_000]
@@ -132,48 +141,71 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
+def _rows(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Flat values of a list column and where each row's begin."""
+    column = batch.column(name)
+    offsets = column.offsets.to_numpy()
+    return column.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
+
+
 def _counted(plan: Plan, threshold: float):
-    columns = ["table", "cell", "low", "high"]
-
-    def tile(rows: pd.DataFrame) -> pd.DataFrame | None:
-        if len(rows) < 2:
-            return None
-        rows = rows.sort_values("key")
-        units = _units(np.array(rows["vector"].tolist(), np.float64))
-        values = units @ _directions(units.shape[1], PROJECTIONS, 3)
-        cells = np.array(rows["cells"].tolist(), np.int64)
-        low, high = rows["low"].iloc[0], rows["high"].iloc[0]
-        block = rows["block"].to_numpy()
-        left = np.flatnonzero(block == low)
-        a, b = _tile_links(plan, threshold, units, values, cells, left, left if low == high else np.flatnonzero(block == high), int(rows["table"].iloc[0]))
-        if not len(a):
-            return None
-        copies = rows["copies"].to_numpy()
-        links = np.bincount(a, copies[b], len(rows)) + np.bincount(b, copies[a], len(rows))
-        some = np.flatnonzero(links)
-        keys = rows["key"].to_numpy()
-        return pd.DataFrame({"key": keys[some], "links": links[some].astype(np.int64), "near": keys[_roots(len(rows), a, b)[some]]})
+    """Links of the tiles of a sorted partition: (key, its links in a tile, a key that all it reaches there share)."""
+    marks = ["table", "cell", "low", "high"]
+
+    def tiles(batch: pa.RecordBatch, borders: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        keys, copies, block, table, low, high = (batch.column(c).to_numpy() for c in ("key", "copies", "block", "table", "low", "high"))
+        flat, begins = _rows(batch, "vector")
+        marked, _ = _rows(batch, "cells")
+        cells = marked.reshape(len(keys), plan.tables)
+        for start, end in zip(borders[:-1], borders[1:]):
+            if end - start < 2:
+                continue
+            units = flat[begins[start] : begins[end]].reshape(end - start, -1)
+            values = units @ _projections(units.shape[1])
+            own = block[start:end]
+            left = np.flatnonzero(own == low[start])
+            right = left if low[start] == high[start] else np.flatnonzero(own == high[start])
+            a, b = _tile_links(plan, threshold, units, values, cells[start:end], left, right, int(table[start]))
+            if len(a):
+                links = np.bincount(a, copies[start:end][b], end - start) + np.bincount(b, copies[start:end][a], end - start)
+                some = np.flatnonzero(links)
+                yield keys[start:end][some], links[some].astype(np.int64), keys[start:end][_roots(end - start, a, b)[some]]
+
+    def whole(batch: pa.RecordBatch, last: bool) -> tuple[np.ndarray, int]:
+        """Borders of the tiles of a batch, and the row from which on a tile may go on in the next one."""
+        ids = [batch.column(c).to_numpy() for c in marks]
+        changes = np.zeros(max(batch.num_rows - 1, 0), bool)
+        for x in ids:
+            changes |= x[1:] != x[:-1]
+        borders = np.concatenate([[0], np.flatnonzero(changes) + 1, [batch.num_rows]])
+        return (borders, batch.num_rows) if last else (borders[:-1], int(borders[-2]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(last: bool) -> Iterator[pa.RecordBatch]:
+            batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            borders, rest = whole(batch, last)
+            held[:] = [batch.slice(rest)] if rest < batch.num_rows else []
+            out = list(tiles(batch, borders))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["key", "links", "near"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        last = None
         for batch in batches:
-            ids = batch[columns].to_numpy()
-            cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1
-            for start, end in zip([0, *cuts], [*cuts, len(batch)]):
-                now = tuple(ids[start])
-                if held and now != last:
-                    if (out := tile(pd.concat(held))) is not None:
-                        yield out
-                    held = []
-                held.append(batch.iloc[start:end])
-                last = now
-        if held and (out := tile(pd.concat(held))) is not None:
-            yield out
+            if batch.num_rows:
+                held.append(batch)
+                yield from done(last=False)
+        if held:
+            yield from done(last=True)
 
     return run
 
 
+@lru_cache(maxsize=8)
+def _projections(dim: int) -> np.ndarray:
+    return _directions(dim, PROJECTIONS, 3)
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding).
 
@@ -198,7 +230,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         .select("table", "cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "copies", "vector", "cells")
     )
     ordered = tiles.repartition("table", "cell", "low", "high").sortWithinPartitions("table", "cell", "low", "high")
-    found = stored(ordered.mapInPandas(_counted(plan, threshold), "key long, links long, near long"), "links")
+    found = stored(ordered.mapInArrow(_counted(plan, threshold), "key long, links long, near long"), "links")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("key").alias("a"), F.col("near").alias("b"))).withColumnRenamed("node", "key")
     rooted = (

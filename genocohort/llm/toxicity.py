@@ -32,7 +32,7 @@ SAMPLE_PER_CLASS = 3000
 #: Landmark words: the most telling ones of toxic texts, and the most frequent of others.
 LANDMARKS_TOXIC, LANDMARKS_OTHER = 160, 32
 #: Words of other texts learned from, at most, beside all that stand in toxic texts as witnesses.
-OTHER_WORDS = 30_000
+OTHER_WORDS = 12_000
 #: Log likelihood ratio from which a word tells toxic texts from others by itself.
 LEAST_RATIO = 16.0
 ROUNDS = 3
@@ -229,10 +229,10 @@ def learn(sample: DataFrame) -> Machine:
         spark = sample.sparkSession
         mapped = spark.sparkContext.broadcast((landmarks, root))
 
-        @F.pandas_udf("array<double>")
+        @F.pandas_udf("array<float>")
         def nystroem(some: pd.Series) -> pd.Series:
             row = _kernel_features(*mapped.value)
-            return some.map(row)
+            return some.map(lambda word: row(word).astype(np.float32))
 
         others = rated.where(F.col("o") > 0).orderBy(F.xxhash64("word"), "word").limit(OTHER_WORDS).select("word", F.lit(0.0).alias("label"), F.lit(1.0).alias("weight"))
         common = rated.where(F.col("o") > 0).orderBy(F.desc("o"), "word").limit(OTHER_WORDS // 10).select("word", F.lit(0.0).alias("label"), F.lit(1.0).alias("weight"))
@@ -247,8 +247,10 @@ def learn(sample: DataFrame) -> Machine:
             negative = others.unionByName(common).distinct()
             if hard:
                 negative = negative.unionByName(spark.createDataFrame([(w, 0.0, HARD_WEIGHT) for w in sorted(hard)], "word string, label double, weight double"))
-            chosen = negative.unionByName(positive).select(nystroem("word").alias("x"), "label", "weight").toPandas()
-            plane, offset = _support_vectors(np.array(chosen["x"].tolist()), chosen["label"].to_numpy(float), chosen["weight"].to_numpy(float))
+            chosen = negative.unionByName(positive).select(nystroem("word").alias("x"), "label", "weight").toArrow().combine_chunks()
+            rows = pc.list_flatten(chosen.column("x")).to_numpy().reshape(chosen.num_rows, -1)
+            plane, offset = _support_vectors(rows, chosen.column("label").to_numpy(), chosen.column("weight").to_numpy())
+            del chosen, rows
             own = root @ plane
             table = np.zeros(1 << 20, np.float32)
             for a, z in zip(own, landmarks):
@@ -294,7 +296,7 @@ def _support_vectors(rows: np.ndarray, labels: np.ndarray, weights: np.ndarray,
     """Plane and offset of a linear support vector machine with squared hinge loss, by Newton steps; both classes weigh the same."""
     sign = np.where(labels > 0, 1.0, -1.0)
     weights = weights / np.where(labels > 0, weights[labels > 0].sum(), weights[labels <= 0].sum())
-    x = np.concatenate([rows, np.ones((len(rows), 1))], 1)
+    x = np.concatenate([rows, np.ones((len(rows), 1), rows.dtype)], 1).astype(float)
     held = penalty * np.eye(x.shape[1])
     held[-1, -1] = 1e-9
     loss = lambda w: (weights * np.maximum(1 - sign * (x @ w), 0) ** 2).sum() + w @ held @ w

@@ -6,6 +6,7 @@ from .. import constants as K
 from ..functions import genotype as G
 from ..operators import ancestry as A
 from ..operators import ld as LD
+from ..operators import pca as PC
 from ..operators import roh as R
 from ..plans import ancestry as PA
 from .registry import check
@@ -232,7 +233,17 @@ def jn25(v):
     return LD.ld_pairs(v.panel, window=50, step=5).withColumn("r2", F.round("r2", 9))
 
 
-@check("wn13_ld_prune")
+PRUNE_SQL = f"""ps AS (SELECT chrom, pos, least(p, 1 - p) AS maf FROM (SELECT chrom, pos, sum(dosage) / nullif(2 * count(dosage), 0)::DOUBLE AS p, 1 - count(dosage) / count(*)::DOUBLE AS mr FROM v_panel
+     WHERE chrom NOT IN ('X','Y','MT') AND length(ref) = 1 AND length(alt) = 1 GROUP BY 1, 2) WHERE least(p, 1 - p) >= 0.05 AND mr <= 0.02),
+  {LD_SQL.replace("FROM v_panel)),", "FROM v_panel JOIN ps USING (chrom, pos))),")},
+  lk AS MATERIALIZED (SELECT chrom, pos_i AS a, pos_j AS b FROM r2 WHERE r2 > 0.1 UNION ALL SELECT chrom, pos_j, pos_i FROM r2 WHERE r2 > 0.1),
+  nb AS MATERIALIZED (SELECT ps.chrom, pos, row_number() OVER (PARTITION BY ps.chrom ORDER BY maf DESC, md5(concat(ps.chrom, ':', pos))) AS k, (SELECT list(b) FROM lk WHERE lk.chrom = ps.chrom AND lk.a = ps.pos) AS near FROM ps),
+  fold AS (SELECT chrom, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT chrom FROM nb)
+    UNION ALL SELECT fold.chrom, nb.k, CASE WHEN list_has_any(kept, coalesce(near, [])) THEN kept ELSE list_append(kept, nb.pos) END FROM fold JOIN nb ON nb.chrom = fold.chrom AND nb.k = fold.k + 1),
+  pruned AS (SELECT chrom, unnest(kept) AS pos FROM fold QUALIFY row_number() OVER (PARTITION BY chrom ORDER BY k DESC) = 1)"""
+
+
+@check("wn13_ld_prune", f"WITH RECURSIVE {PRUNE_SQL} SELECT chrom, pos FROM pruned")
 def wn13(v):
     sites = A.panel_sites(v.panel)
     calls = v.panel.join(sites.select("chrom", "pos"), ["chrom", "pos"], "left_semi")
@@ -241,5 +252,17 @@ def wn13(v):
 
 @check("pl14_pca_reference")
 def pl14(v):
-    return PA.build_reference(v.panel, v.panel_sample, components=4, window=50, step=5, rounds=3)["centroids"].select(
+    return PA.build_reference(v.panel, v.panel_sample, components=4, window=50, step=5)["centroids"].select(
         "superpop", *[F.round(F.get("centroid", F.lit(i)), 6).alias(f"c{i + 1}") for i in range(4)])
+
+
+@check("pl14_eigen_equation", f"""WITH RECURSIVE {PRUNE_SQL}, zz AS (SELECT (dosage - 2 * q) / sqrt(2 * q * (1 - q)) AS z FROM v_panel JOIN pruned USING (chrom, pos)
+     JOIN (SELECT chrom, pos, sum(dosage) / nullif(2 * count(dosage), 0)::DOUBLE AS q FROM v_panel GROUP BY 1, 2) USING (chrom, pos) WHERE dosage IS NOT NULL)
+   SELECT unnest(range(4))::INT AS component, 0.0::DOUBLE AS norm_error, 0.0::DOUBLE AS residual, true AS within, round(sum(z * z), 6) AS total_variance FROM zz""")
+def pl14_eigen(v):
+    """The panel's components solve the eigen equation; their variances stay within the total one."""
+    built = PA.build_reference(v.panel, v.panel_sample, components=4, window=50, step=5)
+    total = PC.standardised_table(v.panel, built["sites"]).agg(F.sum(F.col("z") * F.col("z"))).scalar()
+    e = built["errors"].withColumn("total", total)
+    return e.select("component", F.round("norm_error", 6).alias("norm_error"), F.round("residual", 3).alias("residual"), (F.col("variance") <= F.col("total") * (1 + 1e-12)).alias("within"),
+                    F.round("total", 6).alias("total_variance"))

@@ -342,6 +342,8 @@ def with_views(sql: str) -> str:
     visit(sql)
     ctes = [f"{name} AS ({VIEW_SQL[name]})" for name in needed]
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ",\n".join([*ctes, body[15:]])
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join([*ctes, body[5:]]) if ctes else body
     return f"WITH {','.join(ctes)}\n{body}" if ctes else body

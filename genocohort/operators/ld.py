@@ -53,8 +53,11 @@ def ld_prune(linked: DataFrame, frequencies: DataFrame) -> DataFrame:
     ``linked``: chrom, pos_i, pos_j of pairs over the threshold. ``frequencies``: chrom, pos, maf. Each round keeps the
     undecided variants that outrank all undecided neighbours and drops their neighbours, which is the greedy result
     whatever the round count. Only neighbour rows move; the round's table is written to the checkpoint folder.
+    Equal frequencies go in md5 order of the position: neighbours with ties are then decided in few rounds, where an order
+    along the chromosome would decide two a round.
     """
-    rank = F.struct((-F.col("maf")).alias("a"), F.col("chrom"), F.col("pos"))
+    spread = F.md5(F.concat_ws(":", "chrom", F.col("pos").cast("string")).cast("binary"))
+    rank = F.struct((-F.col("maf")).alias("a"), spread.alias("b"), F.col("chrom"), F.col("pos"))
     nodes = frequencies.select("chrom", "pos", rank.alias("rank"))
     pairs = linked.select("chrom", F.col("pos_i").alias("a"), F.col("pos_j").alias("b"))
     both = pairs.unionByName(pairs.select("chrom", F.col("b").alias("a"), F.col("a").alias("b")))

@@ -21,10 +21,10 @@ def _gram(table: DataFrame, k: int) -> np.ndarray:
 
 
 def _combine(table: DataFrame, key: str, matrix: np.ndarray) -> DataFrame:
-    """Component columns times a k x k matrix."""
-    k = matrix.shape[0]
+    """Component columns times a matrix: one row per given column, one column per new one."""
+    given, made = matrix.shape
     return table.select(
-        key, *[sum((F.col(f"q{i}") * float(matrix[i, j]) for i in range(1, k)), F.col("q0") * float(matrix[0, j])).alias(f"q{j}") for j in range(k)]
+        key, *[sum((F.col(f"q{i}") * float(matrix[i, j]) for i in range(1, given)), F.col("q0") * float(matrix[0, j])).alias(f"q{j}") for j in range(made)]
     )
 
 
@@ -41,24 +41,50 @@ def standardised_table(calls: DataFrame, sites: DataFrame) -> DataFrame:
     ).where(F.col("z").isNotNull())
 
 
-def panel_components(z: DataFrame, k: int = 10, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(sample scores q0..qk-1 with unit norm, variant loadings q0..qk-1), largest component first."""
+def panel_components(
+    z: DataFrame, k: int = 10, rounds: int = 100, tolerance: float = 1e-10, more: int = 10
+) -> tuple[DataFrame, DataFrame]:
+    """(sample scores q0..qk-1 with unit norm, variant loadings q0..qk-1), largest component first.
+
+    Iterates with ``more`` vectors beside the k asked for, until no component's variance changes by more than
+    ``tolerance`` of the largest; raises when ``rounds`` do not reach that.
+    """
     z = cut_lineage(z)
-    start = z.select("sample_id").distinct().select(
+    width = k + more
+    q = z.select("sample_id").distinct().select(
         "sample_id",
-        *[(F.pmod(F.xxhash64(F.col("sample_id").cast("string"), F.lit(j)), F.lit(20001)) / 10000.0 - 1.0).alias(f"q{j}") for j in range(k)],
+        *[(F.pmod(F.xxhash64(F.col("sample_id").cast("string"), F.lit(j)), F.lit(20001)) / 10000.0 - 1.0).alias(f"q{j}") for j in range(width)],
     )
-    q = cut_lineage(start)
+    q = cut_lineage(q)
+    before = None
     for _ in range(rounds):
-        q = _orthonormal(q, k)
-        loadings = _times(z, q, "sample_id", "variant", k)
-        q = cut_lineage(_times(z, loadings, "variant", "sample_id", k))
-    q = _orthonormal(q, k)
-    loadings = cut_lineage(_times(z, q, "sample_id", "variant", k))
-    # rotate to the principal axes: eigenvectors of the k x k covariance of the loadings
-    values, vectors = np.linalg.eigh(_gram(loadings, k))
-    turn = vectors[:, np.argsort(values)[::-1]]
-    return _combine(q, "sample_id", turn), _combine(loadings, "variant", turn)
+        q = _orthonormal(q, width)
+        loadings = cut_lineage(_times(z, q, "sample_id", "variant", width))
+        # principal axes: eigenvectors of the covariance of the loadings
+        values, vectors = np.linalg.eigh(_gram(loadings, width))
+        order = np.argsort(values)[::-1][:k]
+        if before is not None and np.abs(values[order] - before).max() <= tolerance * max(values.max(), 1e-300):
+            return _combine(q, "sample_id", vectors[:, order]), _combine(loadings, "variant", vectors[:, order])
+        before = values[order]
+        q = cut_lineage(_times(z, loadings, "variant", "sample_id", width))
+    raise ArithmeticError(f"the components have not settled after {rounds} rounds")
+
+
+def component_errors(z: DataFrame, scores: DataFrame, loadings: DataFrame, k: int) -> DataFrame:
+    """(component, variance, norm_error, residual): how far a component's scores are from unit length, and from being an
+    eigenvector of the sample covariance, as a share of its variance."""
+    spread = loadings.agg(*[F.sum(F.col(f"q{j}") * F.col(f"q{j}")).alias(f"v{j}") for j in range(k)]).first()
+    variance = [float(spread[f"v{j}"] or 0.0) for j in range(k)]
+    again = _times(z, loadings, "variant", "sample_id", k).select("sample_id", *[F.col(f"q{j}").alias(f"w{j}") for j in range(k)])
+    off = lambda j: F.col(f"w{j}") - F.col(f"q{j}") * variance[j]
+    sums = scores.join(again, "sample_id").agg(
+        *[F.sum(off(j) * off(j)).alias(f"e{j}") for j in range(k)], *[F.sum(F.col(f"q{j}") * F.col(f"q{j}")).alias(f"n{j}") for j in range(k)]
+    )
+    rows = [
+        F.struct(F.lit(j).alias("component"), F.lit(variance[j]).alias("variance"), F.abs(F.col(f"n{j}") - 1).alias("norm_error"), (F.sqrt(f"e{j}") / F.lit(max(variance[j], 1e-300))).alias("residual"))
+        for j in range(k)
+    ]
+    return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def _orthonormal(q: DataFrame, k: int) -> DataFrame:

@@ -41,21 +41,25 @@ def ordinal(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[
     return running_total(df, keys, bucket, order, F.lit(1), out).withColumn(out, F.col(out) - 1)
 
 
+#: Buckets of a group with more distinct values than one bucket takes.
+BUCKETS = 256
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], out: str, rows_per_bucket: int = 2048
 ) -> DataFrame:
     """Linear-interpolation quantiles per group as array column ``out`` (one element per share).
 
-    Equal values are counted before anything is ordered, so a value shared by most rows costs one row. A group has as
-    many buckets as its size asks for: small groups are one bucket, a huge one is spread over many tasks.
+    Equal values are counted before anything is ordered, so a value shared by most rows costs one row. A small group is
+    one bucket; a larger one is cut at its approximate quantiles, so that its buckets hold about equally many distinct
+    values however the values are spread, far outliers included.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    inner = [i / BUCKETS for i in range(1, BUCKETS)]
     ranges = counted.groupBy(*keys).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_n").alias("_total")
-    )
-    width = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0)
-    n_buckets = F.ceil(F.col("_total") / rows_per_bucket)
-    bucket = F.least(F.floor((F.col(value) - F.col("_lo")) / width * n_buckets), n_buckets - 1)
+        F.percentile_approx(value, inner, 4 * BUCKETS).alias("_borders"), F.count(F.lit(1)).alias("_values"), F.sum("_n").alias("_total")
+    ).withColumn("_borders", F.when(F.col("_values") > rows_per_bucket, F.col("_borders")).otherwise(F.slice("_borders", 1, 0))).drop("_values")
+    bucket = F.size(F.filter("_borders", lambda b: b < F.col(value)))
     placed = running_total(counted.join(ranges, list(keys)), keys, bucket, [value], F.col("_n"), "_upto")
 
     def at(place: Column) -> Column:

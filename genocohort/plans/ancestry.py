@@ -56,7 +56,7 @@ def runs_of_homozygosity(calls: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def build_reference(
-    calls: DataFrame, samples: DataFrame, components: int = 10, window: int = 1000, step: int = 50, max_r2: float = 0.1, rounds: int = 8
+    calls: DataFrame, samples: DataFrame, components: int = 10, window: int = 1000, step: int = 50, max_r2: float = 0.1, rounds: int = 100
 ) -> dict[str, DataFrame]:
     """Panel QC, linkage pruning, frequencies, components, allele weights and centroids in the projected space."""
     sites = A.panel_sites(calls)
@@ -64,7 +64,7 @@ def build_reference(
     kept = LD.ld_prune(LD.ld_pairs(at_sites, window, step, max_r2), sites)
     used = cut_lineage(sites.join(kept, ["chrom", "pos"], "left_semi"))
     z = P.standardised_table(calls, used)
-    _, loadings = P.panel_components(z, components, rounds)
+    scores, loadings = P.panel_components(z, components, rounds)
     weights = P.allele_weights(loadings, components)
     projected = A.project(calls, used, weights, components)
-    return {"sites": used, "weights": weights, "projected": projected, "centroids": A.centroids(projected, samples, components)}
+    return {"sites": used, "weights": weights, "projected": projected, "centroids": A.centroids(projected, samples, components), "errors": P.component_errors(z, scores, loadings, components)}

@@ -1,5 +1,6 @@
 """Runs of homozygosity, linkage pruning, panel components and haplogroup picks against brute force."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -90,7 +91,7 @@ def test_ld_prune_is_greedy_by_frequency(spark):
     assert linked == want
     maf = {r.pos: r.maf for r in freq.collect()}
     kept = []
-    for p in sorted(maf, key=lambda p: (-maf[p], p)):
+    for p in sorted(maf, key=lambda p: (-maf[p], hashlib.md5(f"1:{p}".encode()).hexdigest())):
         if not any((min(p, q), max(p, q)) in want for q in kept):
             kept.append(p)
     assert {r.pos for r in LD.ld_prune(pairs, freq).collect()} == set(kept)
@@ -100,14 +101,14 @@ def test_components_match_a_dense_decomposition(spark):
     d = panel(5, 24, 80)
     calls = frame(spark, d)
     z = PC.standardised_table(calls, A.allele_frequencies(calls))
-    scores, _ = PC.panel_components(z, k=3, rounds=12)
+    scores, _ = PC.panel_components(z, k=3)
     got = np.array([[r.q0, r.q1] for r in sorted(scores.collect(), key=lambda r: r.sample_id)])
     p = d.mean(0) / 2
     ok = (p > 0) & (p < 1)
     m = (d[:, ok] - 2 * p[ok]) / np.sqrt(2 * p[ok] * (1 - p[ok]))
     u = np.linalg.svd(m, full_matrices=False)[0]
     for i in range(2):
-        assert abs(got[:, i] @ u[:, i]) == pytest.approx(1.0, abs=0.02)
+        assert abs(got[:, i] @ u[:, i]) == pytest.approx(1.0, abs=1e-4)
 
 
 def test_haplogroup_pick(spark):

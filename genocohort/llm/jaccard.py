@@ -161,8 +161,9 @@ def _needed(share: tuple[int, int]) -> F.Column:
 
 
 def _filtered(pairs: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Length filter, and the positional one for a shingle at places ia and ib: it, what precedes and what follows."""
-    rest = F.least("ia", "ib") + 1 + F.least(F.col("na") - F.col("ia") - 1, F.col("nb") - F.col("ib") - 1)
+    """Length filter, and the positional one: were the shingle at places ia and ib the first that both have, they could share
+    it and what follows. A pair that is similar enough passes with its first common shingle, so the others need not."""
+    rest = 1 + F.least(F.col("na") - F.col("ia") - 1, F.col("nb") - F.col("ib") - 1)
     long_enough = F.least("na", "nb") * share[1] >= F.greatest("na", "nb") * share[0]
     return pairs.where(long_enough & (rest >= _needed(share))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

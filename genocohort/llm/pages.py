@@ -6,7 +6,8 @@ everything under a dropped node is dropped, so no paragraph is kept inside a dro
 
 No page is labelled, so the trees learn from landmarks: what stands in article or main elements, and what stands in nav, footer
 and the like. Each training node is shown three times: as it is, with its landmarks hidden, and with attribute tokens in their
-place, so that the trees have to use density, links, depth and siblings as well.
+place, so that the trees have to use density, links, depth and siblings as well. Text is also shown below a tag or attribute
+token that speaks against it, as not content: comments and notices read like articles.
 """
 
 from __future__ import annotations
@@ -55,7 +56,8 @@ BAD_TOKENS = frozenset(
     "disqus dropdown feedback foot footer form gdpr head header login masthead menu message meta modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted "
     "recommended related reply replies rss search share sharing shop sidebar side signup social sponsor sponsored subscribe tags toc toolbar tools top widget".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.DOTALL)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<(?![a-zA-Z/!?]))", re.DOTALL)
+_BARE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)()()")
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -92,10 +94,16 @@ def parse(page: str) -> list[Node]:
             raw_until, at = "", end.end() if end else n
             continue
         m = _TOKEN.match(page, at)
-        if m is None:  # a tag that is never closed
-            break
-        at = m.end()
-        if m[4] is not None:
+        if m is None:  # a tag with a quote that never ends goes up to the next >, one without it to the end of the page
+            end = page.find(">", at)
+            if end < 0:
+                break
+            m, at = _BARE.match(page, at), end + 1
+            if m is None:
+                continue
+        else:
+            at = m.end()
+        if m[4]:
             nodes[stack[-1]].parts.append(m[4])
             continue
         if m[2] is None:
@@ -248,6 +256,11 @@ def _training_rows(pages: pd.Series) -> list[list[dict]]:
                 told[_LANDMARKS[2:4]] = features[i, _LANDMARKS[0:2]]
                 told[_LANDMARKS[6:8]] = label, 1 - label
                 rows += [{"x": r.tolist(), "label": label} for r in (features[i], hidden, told)]
+                if label:  # the same text would not count below a node with a mark against it
+                    for mark in (5, 7):
+                        marked = hidden.copy()
+                        marked[_LANDMARKS[mark]] = 1
+                        rows.append({"x": marked.tolist(), "label": 0.0})
         out.append(rows)
     return out
 

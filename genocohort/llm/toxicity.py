@@ -6,12 +6,13 @@ without marks between their letters (`i-d-i-o-t`), and letters that stand alone
 
 A support vector machine over the Nystroem map of the kernel (landmark words, inverse root of their Gram matrix) is linear in
 the kernel's own features, so its weights fold into one table over subsequences: scoring a word is a sum of table entries,
-whatever the number of landmarks. A text scores as its worst word (labels are of whole texts, as in multiple-instance
+whatever the number of landmarks. A text scores by its two worst words (labels are of whole texts, as in multiple-instance
 learning: in a toxic text at least one word is toxic, in others none is).
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -22,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .words import pieces, prefix_codes, span_codes
 
@@ -132,16 +133,16 @@ def table_sums(symbols: np.ndarray, zeros: np.ndarray, weights: np.ndarray) -> n
 
 @dataclass
 class Machine:
-    """Weights over subsequences, the machine's offset, and the logistic curve from decision to score."""
+    """Weights over subsequences, the machine's offset, and the logistic curve from a text's two worst words to its score."""
 
     weights: np.ndarray
     offset: float
-    slope: float = 1.0
+    slopes: tuple[float, ...] = (1.0, 0.0, 0.0)
     shift: float = 0.0
 
     def decisions(self, column: pa.Array) -> np.ndarray:
-        """Highest decision value of any word of each text; -1 where there is no word."""
-        out = np.full(len(column), -1.0)
+        """The two highest decision values of different words of each text; -1 where there are no such words, or lower ones."""
+        out = np.full((len(column), 2), -1.0)
         for first, data, offsets in pieces(_folded(column)):
             symbols, zeros, kept, owner = letter_words(data, offsets)
             if not len(zeros):
@@ -155,15 +156,28 @@ class Machine:
             sizes = (ends - starts)[one] + 1
             upto = np.cumsum(sizes)
             few = symbols[np.repeat(zeros[one] - (upto - sizes), sizes) + np.arange(upto[-1])]
-            values = table_sums(np.append(few, np.uint8(0)), upto - sizes, self.weights)[which] + self.offset
-            np.maximum.at(out, first + owner, values)
+            values = table_sums(np.append(few, np.uint8(0)), upto - sizes, self.weights) + self.offset
+            some = np.flatnonzero(values[which] > -1)
+            pairs = np.unique(owner[some] * len(one) + which[some])
+            text, value = pairs // len(one), values[pairs % len(one)]
+            order = np.lexsort((-value, text))
+            text, value = text[order], value[order]
+            begin = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else np.zeros(0, np.int64)
+            out[first + text[begin], 0] = value[begin]
+            more = begin[np.diff(np.append(begin, len(text))) > 1] + 1
+            out[first + text[more], 1] = value[more]
         return out
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.decisions(column) + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(_traits(self.decisions(column)) @ np.array(self.slopes) + self.shift, -30, 30)))
 
 
-NOTHING = Machine(np.zeros(1 << 20, np.float32), -1.0, 0.0, -30.0)
+def _traits(decisions: np.ndarray) -> np.ndarray:
+    """What the logistic curve goes by: the two decisions, and how far the worst word lies beyond one and a half margins."""
+    return np.concatenate([decisions, np.maximum(decisions[:, :1] - 1.5, 0) ** 2], 1)
+
+
+NOTHING = Machine(np.zeros(1 << 20, np.float32), -1.0, (0.0, 0.0, 0.0), -30.0)
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,10 +188,16 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             letters = data[kept].tobytes()
             starts = zeros - np.arange(len(zeros))
             ends = np.append(starts[1:], len(letters))
-            words = sorted({(int(o) + first, letters[a:b]) for o, a, b in zip(owner, starts, ends)})
-            texts = [w.decode("utf8", "replace") for _, w in words]
-            rows = [i for i, _ in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(toxic[rows], pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "toxic", "word"])
+            held = [letters[a:b] for a, b in zip(starts, ends)]
+            rows, texts, around, seen = [], [], [], set()
+            for i, (text, word) in enumerate(zip(owner.tolist(), held)):
+                if (text, word) not in seen:
+                    seen.add((text, word))
+                    near = (held[i - 1] if i and owner[i - 1] == text else b"", held[i + 1] if i + 1 < len(held) and owner[i + 1] == text else b"")
+                    rows.append(text + first)
+                    texts.append(word.decode("utf8", "replace"))
+                    around.append(zlib.crc32(b" ".join(near)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(toxic[rows], pa.int32()), pa.array(texts, pa.string()), pa.array(around, pa.int64())], names=["doc_id", "toxic", "word", "around"])
 
 
 def _kernel_features(landmarks: list[dict[int, float]], root: np.ndarray):
@@ -208,13 +228,17 @@ def learn(sample: DataFrame) -> Machine:
     """A machine from a bounded sample of (doc_id, text, toxic), toxic 0 or 1, see sampled(). Where a class is missing, or no word
     tells them apart, nothing is toxic: every score is 0."""
     sample = sample.where("text IS NOT NULL").select("doc_id", "toxic", "text")
+    # a quarter of the sample is kept from the machine, for the curve alone
+    apart = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(4)) == 0
+    held, sample = sample.where(apart), sample.where(~apart)
     counts = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not counts.get(0) or not counts.get(1):
         return NOTHING
-    schema = f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, toxic int, word string"
+    schema = f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, toxic int, word string, around long"
     words = sample.mapInArrow(_words_of, schema).persist()
     try:
-        spread = words.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
+        # by the words around it, so that copies of one text count once
+        spread = words.select("word", "toxic", "around").distinct().groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
         # log likelihood ratio of the word's share in toxic texts against no difference
         of = lambda n, k: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / ((F.col("t") + F.col("o")) * (counts[k] / (counts[0] + counts[1]))))).otherwise(0.0)
         rated = spread.withColumn("ratio", 2 * (of("t", 1) + of("o", 0)))
@@ -262,7 +286,7 @@ def learn(sample: DataFrame) -> Machine:
 
             @F.pandas_udf("double")
             def decided(some: pd.Series) -> pd.Series:
-                return pd.Series(judge.value.decisions(pa.array(some, pa.string())))
+                return pd.Series(judge.value.decisions(pa.array(some, pa.string()))[:, 0])
 
             rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("d"), "word"))
             worst = words.withColumn("d", decided("word")).withColumn("r", rank).where("r = 1 AND d > -0.5").groupBy("toxic", "word").agg(F.max("d").alias("d")).collect()  # one a sampled text at most
@@ -271,8 +295,9 @@ def learn(sample: DataFrame) -> Machine:
             hard |= {r["word"] for r in worst if r["toxic"] == 0}
             found -= hard
             witnesses = spark.createDataFrame([(w,) for w in sorted(found | set(telling["word"]))], "word string").withColumn("label", F.lit(1.0))
-        text = _with_decisions(sample, machine).select("toxic", "_decision").toPandas()
-        machine.slope, machine.shift = _curve(text["_decision"].to_numpy(float), text["toxic"].to_numpy(float))
+        text = _with_decisions(held, machine).select("toxic", "_decision").toPandas()
+        if text["toxic"].nunique() == 2:
+            machine.slopes, machine.shift = _curve(_traits(np.array(text["_decision"].tolist())), text["toxic"].to_numpy(float))
         return machine
     finally:
         words.unpersist()
@@ -315,32 +340,35 @@ def _support_vectors(rows: np.ndarray, labels: np.ndarray, weights: np.ndarray,
     return w[:-1], float(w[-1])
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic curve by Newton steps, both classes weighing the same, slightly held."""
-    w = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    a = np.array([2.0, 0.0])
-    rows = np.stack([x, np.ones_like(x)], 1)
+def _curve(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], float]:
+    """Logistic curve by Newton steps, each class weighing as the square root of its number, slightly held."""
+    w = np.where(y == 1, 1 / np.sqrt(max(y.sum(), 1)), 1 / np.sqrt(max((1 - y).sum(), 1)))
+    w = w / w.sum()
+    rows = np.concatenate([x, np.ones((len(x), 1))], 1)
+    a = np.zeros(rows.shape[1])
+    a[0] = 2.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(rows @ a, -30, 30)))
         gradient = rows.T @ (w * (p - y)) + 1e-4 * a
-        hessian = (rows * (w * p * (1 - p))[:, None]).T @ rows + 1e-4 * np.eye(2)
+        hessian = (rows * (w * p * (1 - p))[:, None]).T @ rows + 1e-4 * np.eye(len(a))
         step = np.linalg.solve(hessian, gradient)
         a = a - step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-6:
             break
-    return max(float(a[0]), 1e-3), float(a[1])
+    return tuple(max(float(v), 0.0) for v in a[:-1]), float(a[-1])
 
 
 def _with_decisions(docs: DataFrame, machine: Machine, scores: bool = False) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # one table of 4 MB
     name = "_toxicity" if scores else "_decision"
-    out = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    out = StructType([*docs.schema.fields, StructField(name, DoubleType() if scores else ArrayType(DoubleType()))])
     at = docs.columns.index("text")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = shared.value.scores(batch.column(at)) if scores else shared.value.decisions(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*batch.schema.names, name])
+            made = pa.array(got, pa.float64()) if scores else pa.array(got.tolist(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(judge, out)
 

@@ -2,7 +2,8 @@
 
 An interval is filed under the finest bin size that is at least its length, so it lies in at most two bins whatever its
 length. A point asks once per bin size. Both sides then meet in an equi join, which Spark can shuffle, split when
-skewed, or broadcast when it finds a side small.
+skewed, or broadcast when it finds a side small. The finest bin is about as long as a short read, so that with dense sites
+few pairs meet that do not overlap.
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FINEST_BITS = 14
+FINEST_BITS = 8
 STEP_BITS = 3
-LEVELS = 7
+LEVELS = 9  # the coarsest bin is longer than any chromosome
 
 
 def _row_salt(intervals: DataFrame, salt: int) -> Column:
@@ -35,15 +36,22 @@ def interval_join(
     on: Sequence[str] = ("chrom",),
     how: str = "inner",
     salt: int = 1,
+    longest: int | None = None,
 ) -> DataFrame:
     """Rows of ``points`` with every interval of ``intervals`` (closed ends) that contains ``pos``.
 
     ``salt`` spreads the intervals of one bin over that many keys and repeats the points, for data in which very many
-    intervals cover one place (a targeted panel). ``how`` is ``inner`` or ``left_semi`` of the interval side.
+    intervals cover one place (a targeted panel). ``how`` is ``inner`` or ``left_semi`` of the interval side, which keeps
+    equal interval rows apart. ``longest`` is the length that most intervals stay below: points then ask no coarser bins,
+    and the few longer intervals are filed under as many of the coarsest ones as they touch.
     """
+    semi = how == "left_semi"
+    levels = LEVELS
+    if longest is not None and not semi:
+        levels = next((i + 1 for i in range(LEVELS) if longest <= 1 << (FINEST_BITS + STEP_BITS * i)), LEVELS)
     length = F.col(end) - F.col(start) + 1
-    level = F.lit(LEVELS - 1)
-    for i in reversed(range(LEVELS - 1)):
+    level = F.lit(levels - 1)
+    for i in reversed(range(levels - 1)):
         level = F.when(length <= (1 << (FINEST_BITS + STEP_BITS * i)), F.lit(i)).otherwise(level)
 
     def bin_at(place: Column, bits: Column) -> Column:
@@ -56,7 +64,8 @@ def interval_join(
         .withColumn("_salt", _row_salt(intervals, salt))
         .withColumn(
             "_bin",
-            F.explode(F.sequence(bin_at(F.col(start), bits), bin_at(F.col(end), bits))),
+            # for the semi join an interval has one bin, that of its start, and points ask the bin before theirs as well
+            bin_at(F.col(start), bits) if semi else F.explode(F.sequence(bin_at(F.col(start), bits), bin_at(F.col(end), bits))),
         )
     )
     asked = points.withColumn(
@@ -66,9 +75,10 @@ def interval_join(
                 *[
                     F.struct(
                         F.lit(i).alias("_level"),
-                        bin_at(F.col(pos), F.lit(FINEST_BITS + STEP_BITS * i)).alias("_bin"),
+                        (bin_at(F.col(pos), F.lit(FINEST_BITS + STEP_BITS * i)) - before).alias("_bin"),
                     )
-                    for i in range(LEVELS)
+                    for i in range(levels)
+                    for before in ((0, 1) if semi else (0,))
                 ]
             )
         ),
@@ -80,15 +90,14 @@ def interval_join(
         asked = asked.withColumn("_salt", F.lit(0))
     keys = [*on, "_level", "_bin", "_salt"]
     helper = ["_level", "_bin", "_salt"]
-    if how == "left_semi":
+    if semi:
         a, b = binned.alias("a"), asked.alias("b")
         same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
         inside = F.col(f"b.{pos}").between(F.col(f"a.{start}"), F.col(f"a.{end}"))
         cond = inside
         for c in same:
             cond = cond & c
-        # An interval filed under two bins may be found in both; interval rows are taken as a set.
-        return a.join(b, cond, "left_semi").drop(*helper).dropDuplicates(intervals.columns)
+        return a.join(b, cond, "left_semi").drop(*helper)
     return (
         binned.join(asked, keys).where(F.col(pos).between(F.col(start), F.col(end))).drop(*helper)
     )

@@ -35,7 +35,7 @@ def read_spans(reads: DataFrame) -> DataFrame:
 def reads_over_sites(reads: DataFrame, sites: DataFrame, salt: int = SALT) -> DataFrame:
     """Every (site, read) with the site inside the read's reference span. ``sites``: chrom, pos and what they carry."""
     asked = sites.withColumnRenamed("pos", "site_pos")
-    return interval_join(asked, read_spans(reads), "site_pos", "start_pos", "end_pos", salt=salt)
+    return interval_join(asked, read_spans(reads), "site_pos", "start_pos", "end_pos", salt=salt, longest=2048)
 
 
 def walk(ops: Column, start: Column, site: Column) -> Column:

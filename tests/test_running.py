@@ -87,3 +87,27 @@ def test_pack_batches(spark, budget):
                 batch, size = batch + 1, 0
             size, empty = size + n, False
             assert got[(o, i)] == batch
+
+
+def test_dense_sites_meet_few_reads_in_vain(spark, monkeypatch):
+    """150-base reads and a site every 400 bases: candidate pairs stay below four per match."""
+    from pyspark.sql import functions as F
+
+    from genocohort.operators import intervals as I
+
+    sites = spark.range(2000).select(F.lit("1").alias("chrom"), (F.col("id") * 400 + 7).alias("at"))
+    reads = spark.range(20_000).select(F.lit("1").alias("chrom"), (F.col("id") * 37 % 800_000).alias("a"), (F.col("id") * 37 % 800_000 + 149).alias("b"), "id")
+    matches = interval_join(sites, reads, "at", "a", "b", longest=2048).count()
+    near = lambda x: F.floor(F.col(x) / (1 << I.FINEST_BITS))
+    bins = reads.select(F.explode(F.sequence(near("a"), near("b"))).alias("bin"))
+    candidates = bins.join(sites.select(near("at").alias("bin")), "bin").count()
+    assert matches == reads.join(sites, (F.col("at") >= F.col("a")) & (F.col("at") <= F.col("b"))).count()
+    assert candidates < 4 * matches
+
+
+def test_semi_join_keeps_equal_intervals(spark):
+    rows = [("1", 5, 9), ("1", 5, 9), ("1", 250, 260), ("1", 100, 90_000), ("2", 5, 9)]
+    s = spark.createDataFrame(rows, "chrom string, a long, b long")
+    p = spark.createDataFrame([("1", 7), ("1", 257), ("1", 80_000), ("1", 8)], "chrom string, at long")
+    got = sorted(tuple(r) for r in interval_join(p, s, "at", "a", "b", how="left_semi").collect())
+    assert got == sorted(rows[:4])

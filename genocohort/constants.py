@@ -16,18 +16,16 @@ MIX_SEED = "42"
 
 QUANTILE_PERCENTS = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 
-# Chromosomes, lengths, genome size, build sentinel (rs7412).
+# Chromosomes, lengths, genome size.
 AUTOSOMES = [str(n) for n in range(1, 23)]
 SCORE_CHROMS = [*AUTOSOMES, "X", "Y", "MT", "M"]
 CHR1_LENGTHS = [(248956422, "GRCh38"), (249250621, "GRCh37"), (247249719, "hg18")]
 GENOME_LENGTH = 3088286401
 CHR22_LENGTH = 50818468
 AUTOSOME_LENGTH = 2881000000
-SENTINEL = [("GRCh38", "19", 44908822), ("GRCh37", "19", 45412079)]
 
 # Sex regions (1-based inclusive) and cut-offs.
 SRY_REGION = ("Y", 2786989, 2787603)
-MHC_REGION = ("6", 28000000, 34000000)
 CHRY_HOMREF_MALE = 10000
 CHRX_HET_FEMALE = 0.30
 CHRY_READS_MALE = 500000
@@ -45,7 +43,7 @@ INDEL_RANGE = (400_000, 1_000_000)
 MIN_MAPQ = 20
 MIN_BASEQ = 20
 MIN_DEPTH = 8
-FLAG_UNMAPPED, FLAG_SECONDARY, FLAG_DUPLICATE, FLAG_SUPPLEMENTARY = 4, 256, 1024, 2048
+FLAG_UNMAPPED, FLAG_SECONDARY, FLAG_QC_FAIL, FLAG_DUPLICATE, FLAG_SUPPLEMENTARY = 4, 256, 512, 1024, 2048
 
 # Dose of rs429358-C, dose of rs7412-T, diplotype, risk.
 APOE_TABLE = [
@@ -93,7 +91,6 @@ FILE_PREFERENCE = [
     ("alignment_first", ["bam", "cram", "gvcf", "vcf"]),
     ("reads_only", ["bam", "cram"]),
 ]
-ALIGNMENT_FIRST_CATEGORIES = ["sex check", "carrier status", "pharmacogenomics", "monogenic", "ancestry"]
 SIBLING_SUFFIX_RANK = [("annotated.vcf.gz", 1), ("merged.vcf.gz", 2), ("vcf.gz", 3), ("g.vcf.gz", 4)]
 
 SYMBOLIC_ALTS = ["<*>", "<NON_REF>"]
@@ -103,4 +100,3 @@ ROH = {"window": 50, "max_het": 1, "max_missing": 5, "cover_rate": 0.05, "min_sn
        "kb_per_snp": 50, "max_gap_kb": 1000}
 ADMIXTURE_PCS = 4
 ADMIXTURE_SCALE = 0.02
-SUMMARY_CHARACTER_BUDGET = 600_000

@@ -14,7 +14,7 @@ from .intervals import interval_join
 
 # a deep amplicon puts very many reads on one bin; sites are few, so repeating them is cheap
 SALT = 4
-DROP_SNV = K.FLAG_UNMAPPED | K.FLAG_SECONDARY | K.FLAG_DUPLICATE
+DROP_SNV = K.FLAG_UNMAPPED | K.FLAG_SECONDARY | K.FLAG_QC_FAIL | K.FLAG_DUPLICATE
 DROP_INDEL = DROP_SNV | K.FLAG_SUPPLEMENTARY
 
 
@@ -67,10 +67,15 @@ def walk(ops: Column, start: Column, site: Column) -> Column:
     return F.aggregate(ops, zero, step)
 
 
+def walked() -> Column:
+    """The walk as a generated column: filters on it then stay above the join instead of becoming part of its condition."""
+    return F.explode(F.array(walk(F.col("ops"), F.col("start_pos"), F.col("site_pos"))))
+
+
 def base_observations(reads: DataFrame, sites: DataFrame, salt: int = SALT) -> DataFrame:
     """One row per (site, read) that shows a base of sufficient quality at the site."""
     over = reads_over_sites(usable_reads(reads), sites, salt).withColumn(
-        "_w", walk(F.col("ops"), F.col("start_pos"), F.col("site_pos"))
+        "_w", walked()
     )
     offset = F.col("_w.at") + 1
     base = F.upper(F.col("seq").substr(offset, F.lit(1)))
@@ -129,7 +134,7 @@ def call_snvs(counts: DataFrame, reference_bases: DataFrame | None = None) -> Da
 def indel_verdicts(reads: DataFrame, sites: DataFrame, salt: int = SALT) -> DataFrame:
     """ref / alt / other per informative (site, read); a read that ends at the anchor says nothing."""
     over = reads_over_sites(usable_reads(reads, indel=True), sites, salt).withColumn(
-        "_w", walk(F.col("ops"), F.col("start_pos"), F.col("site_pos"))
+        "_w", walked()
     )
     w = F.col("_w")
     deletion = F.length("ref") > F.length("alt")

@@ -35,7 +35,11 @@ def run_tests(
         return asked.where(F.col("test_type") == kind).drop("test_type")
 
     wanted_scores = of("pgs_score").withColumnRenamed("target", "pgs_id")
-    scored = O.score_samples(genotypes, weights.join(wanted_scores, "pgs_id", "left_semi")).join(wanted_scores, ["sample_id", "pgs_id"])
+    # samples, scores and then pairs that nobody asked for go before anything is summed
+    asked_weights = weights.join(wanted_scores.select("pgs_id").distinct(), "pgs_id", "left_semi")
+    asked_calls = genotypes.join(wanted_scores.select("sample_id").distinct(), "sample_id", "left_semi")
+    matched = O.match_effect_allele(asked_calls, asked_weights).join(wanted_scores.select("sample_id", "pgs_id").distinct(), ["sample_id", "pgs_id"], "left_semi")
+    scored = O.with_match_rate(O.sum_scores(matched), asked_weights).join(wanted_scores, ["sample_id", "pgs_id"])
     scores = scored.select(
         "sample_id", "test_id", "status",
         F.concat(F.lit("Matched "), F.col("matched").cast("string"), F.lit("/"), F.col("total").cast("string")).alias("headline"),
@@ -51,12 +55,14 @@ def run_tests(
     ).select("sample_id", "test_id", "status", "headline")
 
     metric = F.col("target")
-    qc = of("vcf_stats").join(Q.sample_metrics(records), "sample_id").select(
+    stats_asked = of("vcf_stats")
+    measured = Q.sample_metrics(records.join(stats_asked.select("sample_id").distinct(), "sample_id", "left_semi"))
+    qc = stats_asked.join(measured, "sample_id").select(
         "sample_id", "test_id",
         F.when(metric == "titv", F.col("titv_status")).when(metric == "het_hom", F.col("het_hom_status"))
         .when(metric == "snps", F.col("snp_status")).when(metric == "indels", F.col("indel_status")).alias("status"),
-        F.concat(metric, F.lit(": "), F.when(metric == "snps", F.col("n_snps")).when(metric == "indels", F.col("n_indels"))
-                 .when(metric == "titv", F.col("transitions")).otherwise(F.col("n_het")).cast("string")).alias("headline"),
+        F.concat(metric, F.lit(": "), F.when(metric == "snps", F.col("n_snps").cast("string")).when(metric == "indels", F.col("n_indels").cast("string"))
+                 .when(metric == "titv", F.format_number("titv", 3)).otherwise(F.format_number("het_hom", 3))).alias("headline"),
     )
     done = scores.unionByName(lookups).unionByName(screens).unionByName(qc)
     # a requested pair without any row of input fails rather than vanishes

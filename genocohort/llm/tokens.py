@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ BLOCK_IDS = 1 << 20
 #: Positions of one entry of the rank directory.
 RANK_STEP = 512
 #: Chunks of text whose ids a worker remembers; when full it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 END_ID = 1
 
 LEVELS = 4
@@ -76,7 +77,39 @@ def token_at(block, position: int) -> int:
     return value
 
 
-_memory: dict[str, tuple[object, dict[str, int], list, list]] = {}
+class _Memory:
+    """Chunks met so far, numbered, and their ids in one array."""
+
+    def __init__(self, tokenizer_path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known = {"": 0}
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.ends = np.zeros(1 << 14, np.int64)  # where the ids of each chunk end; chunk 0 has none
+
+    def add(self, chunks: list[str]) -> None:
+        for i in range(0, len(chunks), 20_000):
+            some = chunks[i : i + 20_000]
+            got = [x.ids for x in self.tokenizer.encode_batch(some, add_special_tokens=False)]
+            count = len(self.known)
+            self.known.update(zip(some, range(count, count + len(some))))
+            lengths = np.fromiter(map(len, got), np.int64, len(got))
+            ends = self.ends[count - 1] + np.cumsum(lengths)
+            self.ends = _room(self.ends, count + len(some))
+            self.ends[count : count + len(some)] = ends
+            self.ids = _room(self.ids, int(ends[-1]))
+            self.ids[int(ends[-1]) - int(lengths.sum()) : int(ends[-1])] = np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))
+
+
+def _room(held: np.ndarray, size: int) -> np.ndarray:
+    return held if size <= len(held) else np.concatenate([held, np.zeros(max(size - len(held), len(held)), held.dtype)])
+
+
+_memories: dict[str, _Memory] = {}
 
 
 def text_encoder(tokenizer_path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
@@ -85,34 +118,25 @@ def text_encoder(tokenizer_path: str) -> Callable[[list[str]], tuple[np.ndarray,
     The tokenizer's splitting never joins what white space parts, so a text's ids are those of its chunks in order. Chunks
     stay remembered while the worker lives.
     """
-    from tokenizers import Tokenizer
-
-    if tokenizer_path not in _memory:
-        _memory[tokenizer_path] = (Tokenizer.from_file(tokenizer_path), {"": 0}, [np.zeros(0, np.uint32)], [0])
-    tokenizer, known, ids_of, _ = _memory[tokenizer_path]
+    if tokenizer_path not in _memories:
+        _memories[tokenizer_path] = _Memory(tokenizer_path)
+    memory = _memories[tokenizer_path]
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(known) > REMEMBERED:
-            known.clear()
-            known[""] = 0
-            del ids_of[1:]
+        if len(memory.known) > REMEMBERED:
+            memory.clear()
         chunked = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({c for chunks in chunked for c in chunks if c not in known})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for chunk, got in zip(some, tokenizer.encode_batch(some, add_special_tokens=False)):
-                known[chunk] = len(ids_of)
-                ids_of.append(np.array(got.ids, np.uint32))
+        if new := list({c for chunks in chunked for c in chunks if c not in memory.known}):
+            memory.add(new)
+        known = memory.known
         codes = np.array([known[c] for chunks in chunked for c in chunks], np.int64)
-        used, place = np.unique(codes, return_inverse=True)
-        lengths = np.array([len(ids_of[u]) for u in used], np.int64)
-        flat = np.concatenate([ids_of[u] for u in used]) if len(used) else np.zeros(0, np.uint32)
-        begin = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-        n = lengths[place]
+        ends = memory.ends[codes]
+        begins = np.where(codes > 0, memory.ends[codes - 1], 0)
+        n = np.where(codes > 0, ends - begins, 0)
         upto = np.cumsum(n)
-        all_ids = flat[np.repeat(begin[place] - (upto - n), n) + np.arange(int(upto[-1]) if len(n) else 0)]
-        per_text = np.add.reduceat(n, np.concatenate([[0], np.cumsum([len(c) for c in chunked])[:-1]]).astype(np.int64)) if len(texts) else np.zeros(0, np.int64)
-        return all_ids, per_text
+        all_ids = memory.ids[np.repeat(begins - (upto - n), n) + np.arange(int(upto[-1]) if len(n) else 0)]
+        firsts = np.concatenate([[0], np.cumsum([len(c) for c in chunked])[:-1]]).astype(np.int64)
+        return all_ids, np.add.reduceat(n, firsts) if len(texts) else np.zeros(0, np.int64)
 
     return encode
 

@@ -341,9 +341,8 @@ def _support_vectors(rows: np.ndarray, labels: np.ndarray, weights: np.ndarray,
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], float]:
-    """Logistic curve by Newton steps, each class weighing as the square root of its number, slightly held."""
-    w = np.where(y == 1, 1 / np.sqrt(max(y.sum(), 1)), 1 / np.sqrt(max((1 - y).sum(), 1)))
-    w = w / w.sum()
+    """Logistic curve by Newton steps, every text weighing the same, slightly held."""
+    w = np.full(len(y), 1 / max(len(y), 1))
     rows = np.concatenate([x, np.ones((len(x), 1))], 1)
     a = np.zeros(rows.shape[1])
     a[0] = 2.0

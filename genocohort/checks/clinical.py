@@ -66,6 +66,11 @@ def wn8(v):
         "sample_id", "test_no", "gene", F.coalesce("rsid", F.lit("")).alias("rsid"), "source", "genotype")
 
 
+@check("wn8_every_source", f"WITH {LOOK_SQL} SELECT sample_id, test_no, gene, coalesce(rsid, '') AS rsid, source, genotype FROM looked")
+def wn8_every(v):
+    return looked(v).select("sample_id", "test_no", "gene", F.coalesce("rsid", F.lit("")).alias("rsid"), "source", "genotype")
+
+
 @check("jn7_batch_lookup", f"""WITH {WANT_SQL}, asked AS (SELECT * FROM want WHERE rsid IS NOT NULL),
    ids AS (SELECT a.sample_id, test_no, a.rsid, min_by(gt, (r.pos, r.ref, alt_csv, gt)) AS gt FROM asked a JOIN v_record r ON r.sample_id = a.sample_id AND r.id = a.rsid GROUP BY 1, 2, 3),
    here AS (SELECT a.sample_id, test_no, a.rsid, r.gt, r.ref, r.alt_csv, r.ref = a.ref AND list_contains(string_split(r.alt_csv, ','), a.alt) AS same FROM asked a JOIN v_record r ON r.sample_id = a.sample_id AND r.chrom = a.chrom AND r.pos = a.pos WHERE r.info_end IS NULL),
@@ -106,6 +111,12 @@ def jn27(v):
     return L.genotypes_by_position(v.genotype.where("dosage = 1"), v.record)
 
 
+@check("jn27_every_position", """SELECT r.sample_id, r.chrom, r.pos, r.gt FROM v_record r JOIN (SELECT DISTINCT sample_id, chrom, pos FROM v_genotype) q ON q.sample_id = r.sample_id AND q.chrom = r.chrom AND q.pos = r.pos
+   QUALIFY row_number() OVER (PARTITION BY r.sample_id, r.chrom, r.pos ORDER BY ref DESC, alt_csv DESC, gt DESC) = 1""")
+def jn27_every(v):
+    return L.genotypes_by_position(v.genotype, v.record)
+
+
 @check("src6_curated_positions", """SELECT rsid, CASE WHEN variant_id % 3 = 0 THEN 1 WHEN variant_id % 2 = 0 THEN 2 END AS tier, CASE WHEN variant_id % 3 = 0 THEN pos WHEN variant_id % 2 = 0 THEN pos + 1 END AS pos FROM v_variant""")
 def src6(v):
     one = v.variant.where("variant_id % 3 = 0")
@@ -161,11 +172,21 @@ def sc8(v):
 @check("sc9_hla_proxy", """SELECT sample_id, rsid, hla_allele, CASE WHEN gt IN ('0/0') THEN 'non-carrier' WHEN gt IN ('./.', '0/.') THEN 'undetermined' ELSE 'carrier' END AS carrier_state
    FROM v_genotype JOIN (SELECT rsid, concat('B*', gene) AS hla_allele FROM v_variant WHERE clnsig = 'Pathogenic') USING (rsid)""")
 def sc9(v):
-    proxies = v.variant.where("clnsig = 'Pathogenic'").select("rsid", F.concat(F.lit("B*"), "gene").alias("hla_allele"))
+    return proxy_carriers(v, v.variant.where("clnsig = 'Pathogenic'"))
+
+
+def proxy_carriers(v, variants):
+    proxies = variants.select("rsid", F.concat(F.lit("B*"), "gene").alias("hla_allele"))
     calls = v.genotype.select("sample_id", "rsid", F.col("gt").alias("genotype"))
     return P.hla_proxy_carriers(calls, proxies).select("sample_id", "rsid", "hla_allele", "carrier_state")
 
 
+@check("sc9_every_proxy", """SELECT sample_id, rsid, hla_allele, CASE WHEN gt IN ('0/0') THEN 'non-carrier' WHEN gt IN ('./.', '0/.') THEN 'undetermined' ELSE 'carrier' END AS carrier_state
+   FROM v_genotype JOIN (SELECT rsid, concat('B*', gene) AS hla_allele FROM v_variant) USING (rsid)""")
+def sc9_every(v):
+    return proxy_carriers(v, v.variant)
+
+
 HLA_GENES = ["HLA-B", "HLA-A", "HLA-DRB1", "HLA-E"]
 HLA_SQL = """hla AS (SELECT o_orderkey // 4 AS sample_no, (['HLA-B','HLA-A','HLA-DRB1','HLA-E'])[o_orderkey % 4 + 1] AS gene, o_orderkey % 80 AS x, o_custkey % 90 AS y, 1 + o_orderkey % 2 AS n FROM orders)"""
 

@@ -196,6 +196,11 @@ def sc11(v):
         "sample_id", "pgs_id", "population", F.col("z").alias("z_score"))
 
 
+@check("sc11_every_population", f"WITH {PCT_SQL} SELECT sample_id, pgs_id, population, is_primary, zz AS z_score FROM pct")
+def sc11_every(v):
+    return cohort_percentiles(v).select("sample_id", "pgs_id", "population", "is_primary", F.col("z").alias("z_score"))
+
+
 @check("sc12_normal_percent", f"""WITH {PCT_SQL} SELECT sample_id, pgs_id, population,
     round(pct, 4) AS percent FROM pct WHERE is_primary AND std > 0""")
 def sc12(v):
@@ -204,6 +209,12 @@ def sc12(v):
     return p.select("sample_id", "pgs_id", "population", F.round(S.normal_percent(z), 4).alias("percent"))
 
 
+@check("sc12_every_population", f"WITH {PCT_SQL} SELECT sample_id, pgs_id, population, is_primary, round(pct, 4) AS percent FROM pct")
+def sc12_every(v):
+    z = (S.comparable_score(F.col("raw_score"), F.col("score_sum"), F.col("mean")) - F.col("mean")) / F.when(F.col("std") > 0, F.col("std"))
+    return cohort_percentiles(v).select("sample_id", "pgs_id", "population", "is_primary", F.round(S.normal_percent(z), 4).alias("percent"))
+
+
 @check("sc13_sanity_gates", f"""WITH {PCT_SQL}, g AS (SELECT *, coalesce(reason IS NULL AND (pct < 0.5 OR pct > 99.5), false) AS capped FROM pct)
   SELECT sample_id, pgs_id, population, capped AS percentile_capped, concat_ws(',',
      CASE WHEN abs(zz) > 6 THEN 'z_over_6' END, CASE WHEN abs(zz) <= 6 AND abs(zz) > 4 THEN 'z_over_4' END,
@@ -237,17 +248,32 @@ def pl6(v):
     FROM pct JOIN scored USING (sample_id, pgs_id) JOIN t ON t.pgs_id = pct.pgs_id WHERE is_primary)
   SELECT sample_id, pgs_id, reasons, CASE WHEN reasons = '' THEN 'high' ELSE 'low' END AS confidence FROM f""")
 def sc16(v):
+    return confidence(v, cohort_percentiles(v).where("is_primary")).select("sample_id", "pgs_id", "reasons", "confidence")
+
+
+def confidence(v, percentiles):
     rates = O.score_samples(v.genotype, v.score).select("sample_id", "pgs_id", "match_rate_value")
-    p = cohort_percentiles(v).where("is_primary").join(rates, ["sample_id", "pgs_id"])
+    p = percentiles.join(rates, ["sample_id", "pgs_id"])
     method = F.when(F.col("mean").isNotNull() & F.col("std").isNotNull(), "precomputed_stats").otherwise("unavailable")
     build = F.when(F.col("sample_id") % 3 == 0, "WARN").otherwise("PASS")
     reasons = S.confidence_reasons(method, F.col("match_rate_value"), build, F.col("gates"))
     return p.select(
-        "sample_id", "pgs_id", F.array_join(reasons, ",").alias("reasons"),
+        "sample_id", "pgs_id", "population", "is_primary", F.array_join(reasons, ",").alias("reasons"),
         F.when(F.size(reasons) == 0, "high").otherwise("low").alias("confidence"),
     )
 
 
+@check("sc16_every_population", f"""WITH {PCT_SQL}, t AS (SELECT pgs_id, count(*) AS total FROM v_score GROUP BY 1),
+  f AS (SELECT pct.sample_id, pct.pgs_id, population, is_primary, concat_ws(',', CASE WHEN mean IS NULL OR std IS NULL THEN 'no_precomputed_stats' END,
+        CASE WHEN round(matched * 100.0::DOUBLE / total, 1) < 95 THEN 'match_rate_below_95pct' END,
+        CASE WHEN pct.sample_id % 3 = 0 THEN 'build_validation_not_passed' END,
+        CASE WHEN std > 0 AND (abs(zz) > 4 OR collapsed OR pct < 0.5 OR pct > 99.5) THEN 'sanity_gates_tripped' END) AS reasons
+    FROM pct JOIN scored USING (sample_id, pgs_id) JOIN t ON t.pgs_id = pct.pgs_id)
+  SELECT *, CASE WHEN reasons = '' THEN 'high' ELSE 'low' END AS confidence FROM f""")
+def sc16_every(v):
+    return confidence(v, cohort_percentiles(v))
+
+
 @check("sc17_status_band", f"""WITH {SCORED_SQL}, t AS (SELECT pgs_id, count(*) AS total FROM v_score GROUP BY 1)
     SELECT sample_id, pgs_id, CASE WHEN matched = 0 OR rate < 60 THEN 'failed' WHEN rate < 85 THEN 'warning' ELSE 'passed' END AS status,
       (matched = 0 OR rate < 60) AS no_report
@@ -263,15 +289,30 @@ def sc17(v):
     pct.population, CASE WHEN pct.population IS NOT NULL AND reason IS NULL THEN round(least(greatest(pct, 0.5), 99.5), 1) END AS percentile
   FROM scored s JOIN t USING (pgs_id) LEFT JOIN pct ON pct.sample_id = s.sample_id AND pct.pgs_id = s.pgs_id AND is_primary""")
 def pl4(v):
+    return reported(v).where(F.coalesce("is_primary", F.lit(True))).drop("is_primary")
+
+
+def reported(v):
     from ..plans.polygenic import score_with_percentile
 
+    known = F.col("raw_score").isNotNull()  # a score that is not known has no percentile in any population: one row
     out = score_with_percentile(v.genotype, v.score, shares(v), v.stats)
-    return out.where(F.coalesce("is_primary", F.lit(True))).select(
+    return out.where(known | F.coalesce("is_primary", F.lit(True))).select(
         "sample_id", "pgs_id", F.round("score_sum", 6).alias("score_sum"), "matched", "total", "match_rate_value", "status",
-        F.when(F.col("raw_score").isNotNull(), F.col("population")).alias("population"), "percentile",
+        F.when(known, F.col("population")).alias("population"), "percentile", F.when(known, F.col("is_primary")).alias("is_primary"),
     )
 
 
+@check("pl4_every_population", f"""WITH {PCT_SQL}, t AS (SELECT pgs_id, count(*) AS total FROM v_score GROUP BY 1)
+  SELECT s.sample_id, s.pgs_id, round(s.score_sum, 6) AS score_sum, s.matched, t.total,
+    round(s.matched * 100.0::DOUBLE / t.total, 1) AS match_rate_value,
+    CASE WHEN s.matched = 0 OR s.matched * 100.0::DOUBLE / t.total < 60 THEN 'failed' WHEN s.matched * 100.0::DOUBLE / t.total < 85 THEN 'warning' ELSE 'passed' END AS status,
+    pct.population, pct.is_primary, CASE WHEN pct.population IS NOT NULL AND reason IS NULL THEN round(least(greatest(pct, 0.5), 99.5), 1) END AS percentile
+  FROM scored s JOIN t USING (pgs_id) LEFT JOIN pct ON pct.sample_id = s.sample_id AND pct.pgs_id = s.pgs_id""")
+def pl4_every(v):
+    return reported(v)
+
+
 # ---- statistics tables -------------------------------------------------------------------------------------------
 
 

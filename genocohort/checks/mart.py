@@ -266,7 +266,16 @@ def pl26(v):
 
 @check("sl7_search_limit", f"WITH {CAT_SQL} SELECT pgs_id, name FROM cat WHERE contains(lower(name), 'blue') ORDER BY pgs_id LIMIT 10")
 def sl7(v):
-    return M.search_catalogue(catalogue(v), catalogue(v).where("false").select(F.col("trait").alias("trait_label"), "pgs_id"), "blue", 10).select("pgs_id", "name")
+    c = catalogue(v)
+    return M.search_catalogue(c, c.select(F.col("trait").alias("trait_label"), "pgs_id"), "blue", 10).select("pgs_id", "name")
+
+
+@check("sl7_score_and_trait_hits", f"""WITH {CAT_SQL}, h AS (SELECT pgs_id, name, trait, CASE WHEN contains(lower(name), 'promo') OR contains(lower(pgs_id), 'promo') THEN 0 ELSE 1 END AS source_rank FROM cat
+      WHERE contains(lower(name), 'promo') OR contains(lower(pgs_id), 'promo') OR contains(lower(trait), 'promo'))
+   SELECT pgs_id, name, trait, source_rank FROM h ORDER BY source_rank, pgs_id LIMIT 10""")
+def sl7_both(v):
+    c = catalogue(v)
+    return M.search_catalogue(c, c.select(F.col("trait").alias("trait_label"), "pgs_id"), "promo", 10).select("pgs_id", "name", "trait", "source_rank")
 
 
 @check("jn19_test_enrichment", f"""WITH {CAT_SQL}, cov AS (SELECT pgs_id, string_agg(population, ',' ORDER BY population) AS populations FROM (SELECT DISTINCT pgs_id, population FROM v_stats WHERE std > 0) GROUP BY 1)
@@ -306,6 +315,15 @@ def snk6(v):
     return S.merge_replace(old, new, ["task_key"], version=["task_id"])
 
 
+@check("snk6_every_result", """SELECT file_id AS task_key, task_id, match_rate, test_id FROM v_report
+   QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY CASE WHEN test_id = 'view' THEN 0 ELSE 1 END, task_id DESC) = 1""")
+def snk6_every(v):
+    r = v.report.select(F.col("file_id").alias("task_key"), "task_id", "match_rate", "test_id")
+    seen = F.coalesce(F.col("test_id") == "view", F.lit(False))
+    old = M.first_rows(r.where(~seen), ["task_key"], [F.col("task_id").desc()])
+    return S.merge_replace(old, r.where(seen), ["task_key"], version=["task_id"])
+
+
 # ---- whole runs ----------------------------------------------------------------------------------------------------------
 
 RUN_SQL = f"""{CL.ROLL_SQL}, {CL.SCREEN_SQL},

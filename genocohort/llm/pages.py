@@ -46,6 +46,11 @@ ENDS = {
     "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)),
     "tbody": (("tr", "td", "th", "thead", "tbody"), ("table",)), "tfoot": (("tr", "td", "th", "thead", "tbody"), ("table",)),
 }
+#: What may stand in a head; anything else ends it, its end tag being optional.
+METADATA = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: Elements of other vocabularies: in them, and only there, "/>" ends an element; in these of their elements HTML stands again.
+FOREIGN = frozenset(["svg", "math"])
+HTML_AGAIN = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 #: What never holds the text of an article.
 NEVER = frozenset("head script style noscript template iframe object embed svg math canvas select button textarea input option datalist audio video map dialog".split())
 GOOD_TAGS, BAD_TAGS = frozenset(["article", "main"]), frozenset("nav footer aside form header menu fieldset".split())
@@ -59,6 +64,8 @@ BAD_TOKENS = frozenset(
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<(?![a-zA-Z/!?]))", re.DOTALL)
 _BARE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)()()")
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.IGNORECASE)
+#: A last attribute without quotes whose value ends in the slash before the ">".
+_SLASH_VALUE = re.compile(r"=\s*[^\s\"'>]*/\Z")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 FEATURES = [
@@ -80,11 +87,33 @@ class Node:
     own: int = 0
 
 
+def _in_foreign(nodes: list[Node], stack: list[int]) -> bool:
+    """Whether the next element stands in svg or math."""
+    again = False
+    for k in range(len(stack) - 1, 0, -1):
+        tag = nodes[stack[k]].tag
+        if tag in FOREIGN:
+            return not again
+        again |= tag in HTML_AGAIN
+    return False
+
+
+def _end_head(nodes: list[Node], stack: list[int], opened: str) -> None:
+    """Closes an open head, but not from within a template of it, nor from within a noscript unless body opens."""
+    for k in range(len(stack) - 1, 0, -1):
+        tag = nodes[stack[k]].tag
+        if tag == "head":
+            del stack[k:]
+        if tag in ("head", "template") or tag == "noscript" and opened != "body":
+            return
+
+
 def parse(page: str) -> list[Node]:
     """Elements of a page in page order; the first is the page itself. Broken nesting is mended the way browsers mend it."""
     nodes = [Node("#page", -1, 0)]
     stack = [0]
     raw_until = ""
+    in_head = False  # whether a head may be open
     at = 0
     n = len(page)
     while at < n:
@@ -104,6 +133,8 @@ def parse(page: str) -> list[Node]:
         else:
             at = m.end()
         if m[4]:
+            if nodes[stack[-1]].tag == "head" and m[4].strip():
+                stack.pop()
             nodes[stack[-1]].parts.append(m[4])
             continue
         if m[2] is None:
@@ -115,6 +146,10 @@ def parse(page: str) -> list[Node]:
                     del stack[k:]
                     break
             continue
+        if in_head and tag not in METADATA:
+            _end_head(nodes, stack, tag)
+            in_head = any(nodes[i].tag == "head" for i in stack)
+        in_head |= tag == "head"
         if tag in ENDS_P:
             for k in range(len(stack) - 1, 0, -1):
                 if nodes[stack[k]].tag == "p":
@@ -137,7 +172,8 @@ def parse(page: str) -> list[Node]:
                 node.bad |= bool(tokens & BAD_TOKENS)
             node.good &= not node.bad
         nodes[stack[-1]].parts.append(len(nodes))
-        if tag not in VOID:
+        ended = m[3].endswith("/") and not _SLASH_VALUE.search(m[3]) and (tag in FOREIGN or _in_foreign(nodes, stack))
+        if tag not in VOID and not ended:
             stack.append(len(nodes))
             if tag in RAW:
                 raw_until = tag

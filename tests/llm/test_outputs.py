@@ -128,6 +128,21 @@ def test_parse_and_blocks():
     assert [n.tag for n in pages.parse("<p title=\"never closed>x</p><b>y")] == ["#page", "p", "b"]
 
 
+def test_optional_head_end_and_self_closed_elements():
+    def text(page: str) -> str:
+        nodes = pages.parse(page)
+        return pages.blocks(nodes, pages.decode(nodes, np.full(len(nodes), 1.0)))
+
+    # no </head>: body, any other element or text ends it, and its metadata still go
+    for rest in ("<body><p>Kept text</p></body>", "<p>Kept text", "<main>Kept text</main>", "Kept text", "<noscript><link rel=x></noscript><p>Kept text", "<noscript><link rel=x><body><p>Kept text"):
+        assert text(f"<html><head><title>No</title><meta charset=utf-8><style>p{{}}</style>{rest}</html>") == "Kept text", rest
+    assert text("<head><template><p>No</p></template><title>No</title></head><body><p>Kept text") == "Kept text"
+    # a self-closed svg or math, or an element in one, holds nothing; elsewhere the slash means nothing
+    for image in ("<svg/>", '<svg class="i" />', "<math/>", "<svg><path d='M0'/><title/><style/></svg>", "<svg width=3/></svg>", "<svg><foreignObject><div/>No</div></foreignObject></svg>"):
+        assert text(f"<body><div>{image}<p>Kept text</p></div></body>") == "Kept text", image
+    assert [(n.tag, n.parent) for n in pages.parse("<div/><p/>x")] == [("#page", -1), ("div", 0), ("p", 1)]
+
+
 def test_page_text(spark):
     shipped(spark)
     given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")

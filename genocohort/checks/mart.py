@@ -6,10 +6,12 @@ from ..functions import genotype as G
 
 from ..functions import files as N
 from ..operators import mart as M
-from ..plans.run_tests import run_tests
+from ..plans.run_tests import run_tests, specialized_results
 from ..sources import documents as D
 from ..sources import sinks as S
+from . import ancestry as AN
 from . import clinical as CL
+from . import quality as QU
 from .registry import check
 
 # ---- reports ---------------------------------------------------------------------------------------------------------
@@ -192,6 +194,29 @@ def sc31(v):
         F.when(F.col("std") > 0, (F.col("n_samples") % 100).cast("double"))).alias("summary"))
 
 
+@check("sc31_score_texts", """SELECT pgs_id, population, concat('Polygenic Score: ', population, ' (', pgs_id, ')', chr(10), 'Raw score: ', n_samples, chr(10), 'Matched variants: ', format('{:,}', n_samples * 37), ' / ', format('{:,}', n_samples * 100), chr(10),
+   CASE WHEN std > 0 THEN concat('Percentile: ', printf('%.1f', CAST(n_samples % 100 AS DOUBLE)), '%') ELSE 'Percentile: N/A (no reference panel stats)' END) AS summary FROM v_stats""")
+def sc31_scores(v):
+    return v.stats.select("pgs_id", "population", M.score_summary(
+        F.col("pgs_id"), F.col("population"), F.col("n_samples"), F.col("n_samples") * 37, F.col("n_samples") * 100,
+        F.when(F.col("std") > 0, (F.col("n_samples") % 100).cast("double"))).alias("summary"))
+
+
+@check("sc31_lookup_texts", f"""WITH {CL.LOOK_SQL} SELECT sample_id, test_no, concat('Variant lookup for: ', 'test ', test_no, chr(10), string_agg(txt, chr(10) ORDER BY txt)) AS summary
+   FROM (SELECT *, concat('  ', gene, ' ', coalesce(rsid, '?'), ' (', ref, '>', alt, '): ', coalesce(genotype, 'not found'), ' [via ', source, ']') AS txt FROM looked) GROUP BY 1, 2""")
+def sc31_lookups(v):
+    return M.lookup_summary(CL.looked(v), ["sample_id", "test_no"], F.concat(F.lit("test "), F.col("test_no").cast("string")), F.coalesce("rsid", F.lit("?")),
+                            F.concat("ref", F.lit(">"), "expected_alt"))
+
+
+@check("sc31_screen_texts", f"""WITH {CL.FIND_SQL}, f AS (SELECT sample_id, panel, count(*) AS n, string_agg(txt, chr(10) ORDER BY txt) AS txt FROM (SELECT *, concat('  ', gene, ': ', chrom, ':', pos, ' ', ref, '>', alt, ' [', clnsig, '] GT=', gt) AS txt FROM fnd) GROUP BY 1, 2)
+   SELECT sample_id, panel, concat('Monogenic Screening: ', panel, ' Panel', chr(10), 'Genes screened: ', (SELECT count(DISTINCT gene) FROM pg WHERE pg.panel = req.panel), chr(10),
+     CASE WHEN n > 0 THEN concat('FINDINGS: ', n, ' pathogenic/likely pathogenic variant(s) found!', chr(10), txt) ELSE concat('No pathogenic/likely pathogenic variants found in screened genes.', chr(10),
+       'Note: VCF must have ClinVar annotations for this screen to work. Run with an annotated VCF for complete results.') END) AS summary FROM req LEFT JOIN f USING (sample_id, panel)""")
+def sc31_screens(v):
+    return M.screen_summary(CL.screen_requests(v), CL.panel_genes(v), CL.findings(v))
+
+
 @check("sc41_provenance", f"""WITH {INPUT_SQL} SELECT file_id, regexp_extract(path, '[^/]*$') AS input_file, (['gVCF','VCF','BAM','CRAM','unknown'])[file_id % 5 + 1] AS input_type,
    (['block expansion at target positions','standard VCF','variant calling','variant calling','none'])[file_id % 5 + 1] AS normalization, concat('https://www.pgscatalog.org/score/PGS', file_id, '/') AS score_url, 'GRCh38' AS genome_build FROM inp""")
 def sc41(v):
@@ -359,3 +384,74 @@ def pl24(v):
         "test_id", kind.alias("category"), test_type.alias("test_type"), F.substring_index("test_id", ":", -1).alias("target"))
     variants = CL.test_variants(v).withColumn("test_no", F.col("test_no").cast("string"))
     return run_tests(requests, tests, v.record, v.genotype, v.score, variants, v.variant, CL.panel_genes(v)).select("sample_id", "test_id", "status")
+
+
+def run(v, requests, tests, specialized=None):
+    variants = CL.test_variants(v).withColumn("test_no", F.col("test_no").cast("string"))
+    return run_tests(requests, tests, v.record, v.genotype, v.score, variants, v.variant, CL.panel_genes(v), specialized)
+
+
+METRICS = ["titv", "het_hom", "snps", "indels"]
+
+
+@check("pl24_every_metric", f"""WITH {QU.VAR_SQL}, m AS (SELECT sample_id, unnest({METRICS}) AS metric FROM v_sample)
+   SELECT sample_id, concat('stats:', metric) AS test_id, CASE WHEN n_snps IS NULL THEN 'failed'
+     WHEN metric = 'titv' THEN CASE WHEN transversions = 0 THEN 'failed' WHEN transitions / transversions::DOUBLE BETWEEN 1.9 AND 2.2 THEN 'passed' ELSE 'warning' END
+     WHEN metric = 'het_hom' THEN CASE WHEN n_hom = 0 THEN 'failed' WHEN n_het / n_hom::DOUBLE BETWEEN 1.3 AND 2.5 THEN 'passed' ELSE 'warning' END WHEN metric = 'snps' THEN CASE WHEN n_snps BETWEEN 3000000 AND 5000000 THEN 'passed' ELSE 'warning' END ELSE CASE WHEN n_indels BETWEEN 400000 AND 1000000 THEN 'passed' ELSE 'warning' END END AS status
+   FROM m LEFT JOIN q USING (sample_id)""")
+def pl24_metrics(v):
+    requests = v.sample.select("sample_id", F.explode(F.array(*[F.lit(f"stats:{m}") for m in METRICS])).alias("test_id"))
+    tests = requests.select("test_id").distinct().select("test_id", F.lit("stats").alias("category"), F.lit("vcf_stats").alias("test_type"), F.substring_index("test_id", ":", -1).alias("target"))
+    return run(v, requests, tests).select("sample_id", "test_id", "status")
+
+
+SPECIAL_SQL = f"""SELECT sample_id, 'pca_1000g' AS target, 'passed' AS status, concat('Ancestry: ', population, ' (', CASE WHEN d2 - d1 > 0.3::DOUBLE * d1 THEN 'high' ELSE 'moderate' END, ' confidence)') AS headline FROM (WITH {AN.DIST_SQL} SELECT * FROM cl)
+   UNION ALL SELECT sample_id, 'admixture', 'passed', concat('Admixture: ', printf('%.1f', p), '% ', pop) FROM (WITH {AN.DIST_SQL} SELECT sample_id, max(superpop) FILTER (k = 1) AS pop, round(max(100 * share), 1) AS p FROM ads JOIN rk USING (sample_id, superpop) GROUP BY 1)
+   UNION ALL SELECT sample_id, 'neanderthal', 'passed', concat('Neanderthal: about ', printf('%.2f', e), '% (', population, ')') FROM (WITH {AN.DIST_SQL}, {AN.ARCH_SQL} SELECT sample_id, population, round((low + high) / 2, 2) AS e FROM cl JOIN ar USING (population))
+   UNION ALL SELECT sample_id, 'y_haplogroup', 'passed', concat('Y-DNA: ', haplogroup, ' (', derived, ' derived SNPs)') FROM (WITH {AN.SUP_SQL.format(c='Y')} {AN.PICK_SQL})
+   UNION ALL SELECT sample_id, 'mt_haplogroup', 'passed', concat('mtDNA: ', haplogroup, ' (', mt, ' chrM variants)') FROM (WITH {AN.SUP_SQL.format(c='MT')}, n AS (SELECT sample_id, count(*) AS mt FROM v_panel WHERE chrom = 'MT' AND dosage > 0 GROUP BY 1)
+     SELECT * FROM n JOIN sup USING (sample_id) QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY derived DESC, length(haplogroup) DESC, haplogroup) = 1)
+   UNION ALL SELECT sample_id, 'roh', 'passed', concat('ROH: ', segments, ' segments') FROM (WITH {AN.SUM_SQL} SELECT * FROM rs)
+   UNION ALL SELECT sample_no, 'hla_typing', 'passed', headline FROM (WITH {CL.HLA_SQL}, t AS (SELECT sample_no, concat(replace(gene, 'HLA-', ''), '*', x, ':01', CASE WHEN n = 2 THEN concat('/', y, ':02') ELSE '' END) AS txt,
+     list_position(['HLA-A','HLA-B','HLA-C','HLA-DRB1','HLA-DQB1','HLA-DPB1'], gene) AS place FROM hla) SELECT sample_no, concat('HLA: ', string_agg(txt, ', ' ORDER BY place, txt)) AS headline FROM t WHERE place > 0 GROUP BY 1)
+   UNION ALL SELECT sample_id, concat('hla_typing:', a), CASE WHEN gt = '0/0' THEN 'passed' ELSE 'warning' END, CASE WHEN gt IN ('./.', '0/.') THEN concat(a, ': proxy SNP ', rsid, ' not in VCF')
+       ELSE concat(a, ': ', CASE WHEN gt = '0/0' THEN 'non-carrier' ELSE 'CARRIER' END, ' (proxy ', rsid, ')') END FROM (SELECT sample_id, rsid, gt, concat('B*', variant_id) AS a FROM v_genotype)
+   UNION ALL SELECT call_id, concat('repeat_expansion:', gene), CASE WHEN r > coalesce(c1, 44) THEN 'carrier' ELSE 'negative' END, concat(gene, ': ', CASE WHEN c1 IS NULL THEN CASE WHEN r <= 44 THEN 'Normal' ELSE 'Expanded' END
+       WHEN r <= c1 THEN n1 WHEN r <= c2 THEN n2 WHEN r <= c3 THEN n3 ELSE n4 END, ' (', x, '/', y, ' repeats)') FROM (WITH {CL.REP_SQL}, c AS (SELECT o_orderkey AS call_id, (['FMR1','HTT','DMPK','OTHER'])[o_orderkey % 4 + 1] AS gene, o_orderkey % 60 AS x, o_orderkey % 230 AS y,
+       greatest(o_orderkey % 60, o_orderkey % 230) AS r FROM orders) SELECT * FROM c LEFT JOIN rep USING (gene))"""
+
+
+def repeat_gene(k):
+    return F.element_at(F.array(*[F.lit(g) for g in ("FMR1", "HTT", "DMPK", "OTHER")]), (k % 4 + 1).cast("int"))
+
+
+def special(v):
+    k = F.col("o_orderkey")
+    counts = v.table("orders").select(k.alias("sample_id"), repeat_gene(k).alias("gene"), F.array((k % 60).cast("int"), (k % 230).cast("int")).alias("counts"))
+    proxies = v.variant.select("rsid", F.concat(F.lit("B*"), F.col("variant_id").cast("string")).alias("hla_allele"))
+    calls = v.genotype.select("sample_id", "rsid", F.col("gt").alias("genotype"))
+    closest = AN.A.closest_population(AN.distances(v))
+    return specialized_results(
+        closest, AN.pl16(v), AN.pl17(v), AN.pl12(v), AN.pl13(v), AN.pl18(v), CL.sc10(v).withColumnRenamed("sample_no", "sample_id"),
+        CL.P.hla_proxy_carriers(calls, proxies), CL.P.repeat_classes(counts))
+
+
+@check("pl24_specialized_tests", f"""WITH done AS ({SPECIAL_SQL}), asked AS (SELECT sample_id, unnest(['pca_1000g', 'admixture', 'neanderthal', 'y_haplogroup', 'mt_haplogroup', 'roh']) AS target FROM (SELECT sample_id FROM v_sample UNION SELECT sample_id FROM v_panel_sample)
+     UNION SELECT o_orderkey // 4, 'hla_typing' FROM orders UNION SELECT sample_id, concat('hla_typing:B*', variant_id) FROM v_genotype
+     UNION SELECT o_orderkey, concat('repeat_expansion:', (['FMR1','HTT','DMPK','OTHER'])[o_orderkey % 4 + 1]) FROM orders)
+   SELECT sample_id, concat('special:', target) AS test_id, coalesce(status, 'failed') AS status, coalesce(headline, 'No data') AS headline FROM asked LEFT JOIN done USING (sample_id, target)""")
+def pl24_special(v):
+    k = F.col("o_orderkey")
+    methods = F.array(*[F.lit(m) for m in ("pca_1000g", "admixture", "neanderthal", "y_haplogroup", "mt_haplogroup", "roh")])
+    people = v.sample.select("sample_id").union(v.panel_sample.select("sample_id")).distinct()
+    orders = v.table("orders")
+    asked = (
+        people.select("sample_id", F.explode(methods).alias("target"))
+        .union(orders.select(G.whole(k, 4), F.lit("hla_typing")))
+        .union(v.genotype.select("sample_id", F.concat(F.lit("hla_typing:B*"), F.col("variant_id").cast("string"))))
+        .union(orders.select(k, F.concat(F.lit("repeat_expansion:"), repeat_gene(k))))
+        .distinct()
+    )
+    requests = asked.select("sample_id", F.concat(F.lit("special:"), "target").alias("test_id"))
+    tests = asked.select("target").distinct().select(F.concat(F.lit("special:"), "target").alias("test_id"), F.lit("special").alias("category"), F.lit("specialized").alias("test_type"), "target")
+    return run(v, requests, tests, special(v)).select("sample_id", "test_id", "status", "headline")

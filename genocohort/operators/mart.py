@@ -164,6 +164,33 @@ def score_summary(pgs_id: Column, trait: Column, raw: Column, matched: Column, t
     )
 
 
+def lookup_summary(answers: DataFrame, by: list[str], title: Column, name: Column, variant: Column) -> DataFrame:
+    """Text of a variant test: a line per answer, in order of the lines. A test lists a handful of variants."""
+    line = F.concat(
+        F.lit("  "), F.coalesce("gene", F.lit("")), F.lit(" "), name, F.lit(" ("), variant, F.lit("): "), F.coalesce("genotype", F.lit("not found")),
+        F.lit(" [via "), "source", F.lit("]"),
+    )
+    rolled = answers.groupBy(*by).agg(F.array_sort(F.collect_list(line)).alias("_lines"))
+    return rolled.select(*by, F.concat(F.lit("Variant lookup for: "), title, F.lit("\n"), F.array_join("_lines", "\n")).alias("summary"))
+
+
+def screen_summary(requests: DataFrame, panel_genes: DataFrame, findings: DataFrame) -> DataFrame:
+    """Text of a requested (sample, panel): genes screened and a line per finding, in order of the lines."""
+    line = F.concat(
+        F.lit("  "), "gene", F.lit(": "), "chrom", F.lit(":"), F.col("pos").cast("string"), F.lit(" "), "ref", F.lit(">"), "alt", F.lit(" ["), "clnsig",
+        F.lit("] GT="), "gt",
+    )
+    genes = panel_genes.groupBy("panel").agg(F.countDistinct("gene").alias("_genes"))
+    found = findings.groupBy("sample_id", "panel").agg(F.array_sort(F.collect_list(line)).alias("_lines"))
+    n = F.size("_lines")
+    none = "No pathogenic/likely pathogenic variants found in screened genes.\nNote: VCF must have ClinVar annotations for this screen to work. Run with an annotated VCF for complete results."
+    text = F.when(n > 0, F.concat(F.lit("FINDINGS: "), n.cast("string"), F.lit(" pathogenic/likely pathogenic variant(s) found!\n"), F.array_join("_lines", "\n"))).otherwise(none)
+    return requests.join(genes, "panel", "left").join(found, ["sample_id", "panel"], "left").select(
+        "sample_id", "panel",
+        F.concat(F.lit("Monogenic Screening: "), "panel", F.lit(" Panel\nGenes screened: "), F.coalesce("_genes", F.lit(0)).cast("string"), F.lit("\n"), text).alias("summary"),
+    )
+
+
 def provenance(path: Column, pgs_id: Column, build: Column, original_build: Column, lifted: Column, method: Column) -> Column:
     kind = N.input_label(path)
     return F.named_struct(

@@ -21,13 +21,47 @@ def choose_tests(tests: DataFrame, test_id: str | None = None, category: str | N
     return tests if curated is None else tests.join(curated, "test_id", "left_semi")
 
 
+def specialized_results(
+    populations: DataFrame, admixture: DataFrame, archaic: DataFrame, y_haplogroups: DataFrame, mt_evidence: DataFrame,
+    roh: DataFrame, hla: DataFrame, proxies: DataFrame, repeats: DataFrame,
+) -> DataFrame:
+    """(sample_id, target, status, headline) of the specialized tests, from the results of their operators.
+
+    Targets are the method, with the allele or gene behind a colon where a test names one. The mtDNA headline tells the label
+    with most derived markers, as the tree walk is not built. One sample has one result per target.
+    """
+    text = lambda c: F.col(c).cast("string")
+    best = M.first_rows(mt_evidence, ["sample_id"], [F.col("derived").desc(), F.length("haplogroup").desc(), F.col("haplogroup")])
+    carrier = F.col("carrier_state") == "carrier"
+    parts = [
+        (populations, F.lit("pca_1000g"), F.lit("passed"), F.concat(F.lit("Ancestry: "), "population", F.lit(" ("), "confidence", F.lit(" confidence)"))),
+        (admixture, F.lit("admixture"), F.lit("passed"), F.concat(F.lit("Admixture: "), F.format_number("top_percent", 1), F.lit("% "), "top_population")),
+        (archaic, F.lit("neanderthal"), F.lit("passed"), F.concat(F.lit("Neanderthal: about "), F.format_number("estimate", 2), F.lit("% ("), "population", F.lit(")"))),
+        (y_haplogroups, F.lit("y_haplogroup"), F.lit("passed"), F.col("headline")),
+        (best, F.lit("mt_haplogroup"), F.lit("passed"), F.concat(F.lit("mtDNA: "), "haplogroup", F.lit(" ("), text("mt_variants"), F.lit(" chrM variants)"))),
+        (roh, F.lit("roh"), F.lit("passed"), F.col("headline")),
+        (hla, F.lit("hla_typing"), F.lit("passed"), F.col("headline")),
+        (proxies, F.concat(F.lit("hla_typing:"), "hla_allele"), F.when(carrier | (F.col("carrier_state") == "undetermined"), "warning").otherwise("passed"),
+         F.when(F.col("carrier_state") == "undetermined", F.concat("hla_allele", F.lit(": proxy SNP "), "rsid", F.lit(" not in VCF")))
+         .otherwise(F.concat("hla_allele", F.lit(": "), F.when(carrier, "CARRIER").otherwise("non-carrier"), F.lit(" (proxy "), "rsid", F.lit(")")))),
+        (repeats, F.concat(F.lit("repeat_expansion:"), "gene"), F.when(F.col("carrier"), "carrier").otherwise("negative"),
+         F.concat("gene", F.lit(": "), "repeat_class", F.lit(" ("), F.array_join(F.col("counts").cast("array<string>"), "/"), F.lit(" repeats)"))),
+    ]
+    out = None
+    for rows, target, status, headline in parts:
+        part = rows.select("sample_id", target.alias("target"), status.alias("status"), headline.alias("headline"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def run_tests(
     requests: DataFrame, tests: DataFrame, records: DataFrame, genotypes: DataFrame, weights: DataFrame,
-    test_variants: DataFrame, annotations: DataFrame, panel_genes: DataFrame,
+    test_variants: DataFrame, annotations: DataFrame, panel_genes: DataFrame, specialized: DataFrame | None = None,
 ) -> DataFrame:
     """(sample_id, test_id, status, headline) for every requested pair.
 
-    ``requests``: sample_id, test_id. ``tests``: test_id, category, test_type, target (score id, variant test, panel or metric).
+    ``requests``: sample_id, test_id. ``tests``: test_id, category, test_type, target (score id, variant test, panel,
+    metric or method). ``specialized``: sample_id, target, status, headline, as of ``specialized_results``.
     """
     asked = requests.join(tests.select("test_id", "test_type", "target"), "test_id")
 
@@ -65,6 +99,8 @@ def run_tests(
                  .when(metric == "titv", F.format_number("titv", 3)).otherwise(F.format_number("het_hom", 3))).alias("headline"),
     )
     done = scores.unionByName(lookups).unionByName(screens).unionByName(qc)
+    if specialized is not None:
+        done = done.unionByName(of("specialized").join(specialized, ["sample_id", "target"]).select("sample_id", "test_id", "status", "headline"))
     # a requested pair without any row of input fails rather than vanishes
     return M.with_contract(
         requests.join(tests.select("test_id", "category"), "test_id").join(done, ["sample_id", "test_id"], "left")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard, language, mixing, pages, suffixes, tokens, toxicity, vectors
+from . import bpe, chat, decontamination, jaccard, language, mixing, pages, suffixes, tokens, toxicity, vectors
 from .shared import table, text_crc
 
 
@@ -145,7 +145,20 @@ FROM f GROUP BY conv_id
 """
 
 
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    found = bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
+    listed = F.array_join(F.transform("_ids", lambda x: x.cast("string")), " ")
+    return found.select(
+        "doc_id", F.size("_ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("_decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_language_id, op2_main_text, op3_jaccard_join, op4_near_vectors, op5_curriculum_mix, op6_suffix_dedup, op7_decontamination, op8_token_files, op9_toxicity, op10_chat_trees,
+    op12_bpe_round_trip,
 )}
 ORACLES: dict[str, str] = {"op3_jaccard_join": SQL_OP3, "op4_near_vectors": SQL_OP4, "op5_curriculum_mix": SQL_OP5, "op7_decontamination": SQL_OP7, "op10_chat_trees": SQL_OP10}

@@ -98,3 +98,66 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
 def lower(data: np.ndarray) -> np.ndarray:
     """A-Z to a-z, other bytes as they are."""
     return _LOWER[data]
+
+
+def chunked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The texts cut before each word, as (number of each chunk, distinct chunks by number, chunks of each text).
+
+    A chunk is a run of other bytes than white space with the white space behind it, which is cut off from the distinct ones; white
+    space that opens a text is a chunk of its own, of nothing.
+    """
+    n = len(offsets) - 1
+    if not len(data):
+        return np.zeros(0, np.int64), [], np.zeros(n, np.int64)
+    inside = SPACED[data]
+    opens = np.zeros(len(data) + 1, bool)
+    opens[1:-1] = inside[1:] & ~inside[:-1]
+    opens[offsets[:-1][np.diff(offsets) > 0]] = True
+    starts = np.flatnonzero(opens[:-1])
+    borders = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
+    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, borders, pa.py_buffer(data)])
+    numbered = column.dictionary_encode()
+    return numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64), [c.rstrip(b" \t\n\v\f\r") for c in numbered.dictionary.to_pylist()], np.diff(np.searchsorted(starts, offsets))
+
+
+def gathered(values: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The given stretches of values, one after the other."""
+    upto = np.cumsum(lengths)
+    total = int(upto[-1]) if len(upto) else 0
+    return values[np.repeat(begins - (upto - lengths), lengths) + np.arange(total)]
+
+
+def room(held: np.ndarray, size: int) -> np.ndarray:
+    """The array, made longer where it does not hold size entries."""
+    return held if size <= len(held) else np.concatenate([held, np.zeros(max(size - len(held), len(held)), held.dtype)])
+
+
+class Sequences:
+    """Numbered sequences of unsigned 32-bit integers, one after the other in one array; number 0 is the empty one."""
+
+    def __init__(self):
+        self.values = np.zeros(1 << 16, np.uint32)
+        self.ends = np.zeros(1 << 12, np.int64)
+        self.count = 1
+
+    def add(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        """Sequences of the given lengths, one after the other in values, under the next numbers."""
+        used = int(self.ends[self.count - 1])
+        self.ends = room(self.ends, self.count + len(lengths))
+        self.ends[self.count : self.count + len(lengths)] = used + np.cumsum(lengths)
+        self.values = room(self.values, used + len(values))
+        self.values[used : used + len(values)] = values
+        self.count += len(lengths)
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values of the numbered sequences one after the other, length of each)."""
+        begins = np.where(numbers > 0, self.ends[np.maximum(numbers, 1) - 1], 0)
+        lengths = np.where(numbers > 0, self.ends[numbers] - begins, 0)
+        return gathered(self.values, begins, lengths), lengths
+
+
+def sums_of(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of the next counts[0], counts[1], ... values."""
+    upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(values, dtype=np.int64)])
+    ends = np.cumsum(counts)
+    return upto[ends] - upto[ends - counts]

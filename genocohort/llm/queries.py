@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, jaccard, language, mixing, pages, suffixes, tokens, toxicity, vectors
+from . import bpe, chat, decontamination, jaccard, language, mixing, pages, spelling, suffixes, tokens, toxicity, vectors
 from .shared import table, text_crc
 
 
@@ -145,6 +145,35 @@ FROM f GROUP BY conv_id
 """
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(spelling.runs(F.col("text"))).alias("run"))
+    h = F.crc32(F.concat("id", F.lit(":"), "run").cast("binary"))
+    place = F.pmod(h, F.length("run")).cast("int")
+    words = found.select(F.when(h % 199 == 0, spelling.without(F.col("run"), place)).otherwise(F.col("run")).alias("word"))
+    return spelling.grouped(spelling.counted(words))
+
+
+SQL_OP11 = r"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]{6,}')) AS run FROM documents),
+d AS MATERIALIZED (SELECT doc_id, run, count(*) AS n FROM r GROUP BY ALL),
+b AS (SELECT run, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+        lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END)) AS bytes FROM d),
+h AS (SELECT run, n, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS h FROM b, t),
+e AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM h),
+w AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM e WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+c AS MATERIALIZED (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM w, range(1, 2000) k(i) WHERE i <= length(word)),
+p AS MATERIALIZED (SELECT a.word, b.word AS near, b.n AS near_n FROM c a JOIN c b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION SELECT c.word, w.word, w.n FROM c JOIN w ON c.rest = w.word UNION SELECT w.word, c.word, c.n FROM c JOIN w ON c.rest = w.word),
+g AS (SELECT word, count(*)::BIGINT AS n_near, min({'less': -near_n, 'near': near}) AS f FROM p GROUP BY word),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -f.less >= 5 * w.n THEN f.near END AS form, CASE WHEN -f.less >= 5 * w.n THEN -f.less END::BIGINT AS form_n
+      FROM w LEFT JOIN g USING (word)),
+up AS (SELECT word, word AS at FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON up.at = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, up.at AS root, f.n, f.n_near, f.form_n FROM f JOIN up ON f.word = up.word JOIN f last ON up.at = last.word WHERE last.form IS NULL
+"""
+
+
 def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -159,6 +188,6 @@ def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_language_id, op2_main_text, op3_jaccard_join, op4_near_vectors, op5_curriculum_mix, op6_suffix_dedup, op7_decontamination, op8_token_files, op9_toxicity, op10_chat_trees,
-    op12_bpe_round_trip,
+    op11_spelling_variants, op12_bpe_round_trip,
 )}
-ORACLES: dict[str, str] = {"op3_jaccard_join": SQL_OP3, "op4_near_vectors": SQL_OP4, "op5_curriculum_mix": SQL_OP5, "op7_decontamination": SQL_OP7, "op10_chat_trees": SQL_OP10}
+ORACLES: dict[str, str] = {"op3_jaccard_join": SQL_OP3, "op4_near_vectors": SQL_OP4, "op5_curriculum_mix": SQL_OP5, "op7_decontamination": SQL_OP7, "op10_chat_trees": SQL_OP10, "op11_spelling_variants": SQL_OP11}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, jaccard, language, mixing, pages, spelling, suffixes, tokens, toxicity, vectors
+from . import bpe, chat, decontamination, jaccard, language, mixing, negatives, pages, spelling, suffixes, tokens, toxicity, vectors
 from .shared import table, text_crc
 
 
@@ -186,8 +186,24 @@ def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), negatives.rounded(F.col("embedding")).alias("vector"))
+    return negatives.mined(rows, F.col("vec_id") % 50 == 0)
+
+
+SQL_OP13 = r"""
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_language_id, op2_main_text, op3_jaccard_join, op4_near_vectors, op5_curriculum_mix, op6_suffix_dedup, op7_decontamination, op8_token_files, op9_toxicity, op10_chat_trees,
-    op11_spelling_variants, op12_bpe_round_trip,
+    op11_spelling_variants, op12_bpe_round_trip, op13_hard_negatives,
 )}
-ORACLES: dict[str, str] = {"op3_jaccard_join": SQL_OP3, "op4_near_vectors": SQL_OP4, "op5_curriculum_mix": SQL_OP5, "op7_decontamination": SQL_OP7, "op10_chat_trees": SQL_OP10, "op11_spelling_variants": SQL_OP11}
+ORACLES: dict[str, str] = {"op3_jaccard_join": SQL_OP3, "op4_near_vectors": SQL_OP4, "op5_curriculum_mix": SQL_OP5, "op7_decontamination": SQL_OP7, "op10_chat_trees": SQL_OP10, "op11_spelling_variants": SQL_OP11, "op13_hard_negatives": SQL_OP13}

@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from .words import Sequences, chunked, pieces, sums_of
+from .words import POINTS, Sequences, chunked, pieces, sums_of
 
 #: Chunks and fragments a worker remembers, and their bytes; when either is exceeded it starts anew.
-REMEMBERED, REMEMBERED_BYTES = 300_000, 1 << 24
+REMEMBERED, REMEMBERED_BYTES = 1_000_000, 1 << 25
+#: Bytes of text cut into chunks at once.
+AT_ONCE = 1 << 21
 #: Fragments up to this length are merged side by side, longer ones each on its own queue.
 SHORT = 48
 #: White space of the expression language of tokenizer files.
@@ -114,12 +116,17 @@ class Vocabulary:
         self.tokens = [""] * (1 + max([*vocabulary.values(), *self.added.values()]))
         for token, number in [*vocabulary.items(), *self.added.items()]:
             self.tokens[number] = token
+        #: texts are cut at points behind letters too: no token may hold such a pair, and the rules have to part them
+        probes = [(f"{a}{p}{z}", [a, *self.part.findall(p + z)]) for a in ("ab", "z") for p in POINTS.decode() for z in ("", "x", "'s", "3", ".!")]
         value = {c: b for b, c in enumerate(alphabet)}
         self.joins = np.zeros(1 << 16, bool)
         for token in vocabulary:
             inside = [value[c] for c in token.removesuffix(self.suffix)]
             for pair in zip(inside, inside[1:]):
                 self.joins[pair[0] << 8 | pair[1]] = True
+        letters_and_points = [a << 8 | p for a in range(97, 123) for p in POINTS]
+        if self.joins[letters_and_points].any() or any(self.part.findall(text) != parts for text, parts in probes):
+            raise ValueError(f"{path} does not part points from letters")
 
     def parts(self, chunks: list[bytes]) -> list[str | int]:
         """Parts of the chunks as the file's rules split them, normalised, an added token as its id, and a line end behind each chunk."""
@@ -276,7 +283,7 @@ class Encoder:
 
     def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids of some consecutive texts one after the other, ids of each); null is the empty text."""
-        for _, data, offsets in pieces(column):
+        for _, data, offsets in pieces(column, AT_ONCE):
             if len(self.chunks) + len(self.fragments) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
                 self.clear()
             numbers, distinct, counts = chunked(data, offsets)

@@ -11,30 +11,39 @@ from the shards' totals, a table of one row per file.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stored
+from .words import POINTS, Sequences, chunked, pieces, sums_of
 
 #: Ids of a block; a longer document makes a larger block of its own.
 BLOCK_IDS = 1 << 20
 #: Positions of one entry of the rank directory.
 RANK_STEP = 512
 #: Chunks of text whose ids a worker remembers; when full it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
+#: Bytes of text cut into chunks at once.
+AT_ONCE = 1 << 21
 END_ID = 1
 
 LEVELS = 4
 FILE_SCHEMA = "shard int, block int, at long, n_ids long, doc_ids array<long>, nulls array<int>, ends array<long>, " + ", ".join(
     f"level{i} binary, bits{i} binary, ranks{i} binary" for i in range(LEVELS)
 )
+FILE_ARROW = pa.schema(
+    [("shard", pa.int32()), ("block", pa.int32()), ("at", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("nulls", pa.list_(pa.int32())), ("ends", pa.list_(pa.int64()))]
+    + [(f"{part}{i}", pa.binary()) for i in range(LEVELS) for part in ("level", "bits", "ranks")]
+)
 
 
 def encoded(ids: np.ndarray) -> dict[str, bytes]:
@@ -77,6 +86,10 @@ def token_at(block, position: int) -> int:
     return value
 
 
+#: Texts by which a tokenizer shows that white space parts its tokens, and points behind letters do.
+_PROBES = ["one", "two,", "3", "'s", "été", "!", "<|endoftext|>", "Four"]
+
+
 class _Memory:
     """Chunks met so far, numbered, and their ids in one array."""
 
@@ -84,94 +97,108 @@ class _Memory:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        apart = [i for p in _PROBES for i in ids(p)]
+        parted = all(ids(space + "".join(p + space for p in _PROBES)) == apart for space in (" ", "\n", "  \t", "\r\n", "\v\f"))
+        for point in POINTS.decode():
+            parted &= all(ids(word + point + rest) == ids(word) + ids(point + rest) for word in ("word", "A", "it's") for rest in ("", "x", ".!", "'s", "3"))
+        if not parted:
+            raise ValueError(f"{tokenizer_path} does not part its tokens at white space and points")
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or ""
+        self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.bytes[number] = len(token.removesuffix(suffix))
         self.clear()
 
     def clear(self) -> None:
-        self.known = {"": 0}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 14, np.int64)  # where the ids of each chunk end; chunk 0 has none
-
-    def add(self, chunks: list[str]) -> None:
-        for i in range(0, len(chunks), 20_000):
-            some = chunks[i : i + 20_000]
-            got = [x.ids for x in self.tokenizer.encode_batch(some, add_special_tokens=False)]
-            count = len(self.known)
-            self.known.update(zip(some, range(count, count + len(some))))
-            lengths = np.fromiter(map(len, got), np.int64, len(got))
-            ends = self.ends[count - 1] + np.cumsum(lengths)
-            self.ends = _room(self.ends, count + len(some))
-            self.ends[count : count + len(some)] = ends
-            self.ids = _room(self.ids, int(ends[-1]))
-            self.ids[int(ends[-1]) - int(lengths.sum()) : int(ends[-1])] = np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))
-
-
-def _room(held: np.ndarray, size: int) -> np.ndarray:
-    return held if size <= len(held) else np.concatenate([held, np.zeros(max(size - len(held), len(held)), held.dtype)])
+        self.known, self.ids = {b"": 0}, Sequences()
+
+    def _together(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of chunks of ASCII encoded as one text, and ids of each: the bytes of tokens add up to those of the chunks, or else None."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(chunks).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        upto = np.concatenate([[0], np.cumsum(self.bytes[ids])])
+        ends = np.cumsum([len(c) for c in chunks])
+        at = np.searchsorted(upto, ends)
+        if at[-1] != len(ids) or (upto[at] != ends).any():
+            return None
+        return ids, np.diff(np.concatenate([[0], at]))
+
+    def _apart(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got = [x.ids for x in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
+        lengths = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum())), lengths
+
+    def add(self, chunks: list[bytes]) -> None:
+        plain = [c for c in chunks if c.isascii() and b"<" not in c]
+        other = [c for c in chunks if not c.isascii() or b"<" in c]
+        for held, first in ((plain, self._together), (other, self._apart)):
+            for i in range(0, len(held), 5_000):
+                some = held[i : i + 5_000]
+                ids, lengths = first(some) or self._apart(some)
+                self.known.update(zip(some, range(self.ids.count, self.ids.count + len(some))))
+                self.ids.add(ids, lengths)
 
 
 _memories: dict[str, _Memory] = {}
 
 
-def text_encoder(tokenizer_path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    """Encodes texts to (all ids, ids of each text), by the chunks between spaces and line ends, each encoded once.
+def text_encoder(tokenizer_path: str) -> Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Encodes a column to (all ids, ids of each text) of some consecutive texts, by their chunks, each encoded once.
 
-    The tokenizer's splitting never joins what white space parts, so a text's ids are those of its chunks in order. Chunks
-    stay remembered while the worker lives.
+    Only for tokenizers whose splitting never joins what white space or a point behind a letter parts (another raises ValueError): a text's ids are then
+    those of its chunks in order. Chunks stay remembered while the worker lives.
     """
     if tokenizer_path not in _memories:
         _memories[tokenizer_path] = _Memory(tokenizer_path)
     memory = _memories[tokenizer_path]
 
-    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(memory.known) > REMEMBERED:
-            memory.clear()
-        chunked = [t.replace("\n", " ").split(" ") for t in texts]
-        if new := list({c for chunks in chunked for c in chunks if c not in memory.known}):
-            memory.add(new)
-        known = memory.known
-        codes = np.array([known[c] for chunks in chunked for c in chunks], np.int64)
-        ends = memory.ends[codes]
-        begins = np.where(codes > 0, memory.ends[codes - 1], 0)
-        n = np.where(codes > 0, ends - begins, 0)
-        upto = np.cumsum(n)
-        all_ids = memory.ids[np.repeat(begins - (upto - n), n) + np.arange(int(upto[-1]) if len(n) else 0)]
-        firsts = np.concatenate([[0], np.cumsum([len(c) for c in chunked])[:-1]]).astype(np.int64)
-        return all_ids, np.add.reduceat(n, firsts) if len(texts) else np.zeros(0, np.int64)
+    def encode(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _, data, offsets in pieces(column, AT_ONCE):
+            if len(memory.known) > REMEMBERED:
+                memory.clear()
+            numbers, distinct, counts = chunked(data, offsets)
+            if new := [c for c in dict.fromkeys(distinct) if c not in memory.known]:
+                memory.add(new)
+            known = np.fromiter(map(memory.known.__getitem__, distinct), np.int64, len(distinct))
+            ids, lengths = memory.ids.of(known[numbers] if len(numbers) else numbers)
+            yield ids, sums_of(lengths, counts)
 
     return encode
 
 
 def _blocks(tokenizer_path: str, end_id: int):
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = text_encoder(tokenizer_path)
         shard, number, at = TaskContext.get().partitionId(), 0, 0
         held: list[np.ndarray] = []
-        names: list = []
+        names: list[int | None] = []
         n = 0
 
-        def block() -> pd.DataFrame:
+        def block() -> pa.RecordBatch:
             nonlocal number, at, n
-            lengths = np.array([len(x) for x in held], np.int64)
-            row = {"shard": shard, "block": number, "at": at, "n_ids": n, "doc_ids": [0 if x is None else x for x in names], "nulls": [i for i, x in enumerate(names) if x is None], "ends": np.cumsum(lengths).tolist()}
-            out = pd.DataFrame([row | encoded(np.concatenate(held))])
+            ends = np.cumsum([len(x) for x in held])
+            row = {"shard": shard, "block": number, "at": at, "n_ids": n, "doc_ids": [0 if x is None else x for x in names], "nulls": [i for i, x in enumerate(names) if x is None], "ends": ends}
+            row |= encoded(np.concatenate(held))
             number, at, n = number + 1, at + n, 0
             held.clear()
             names.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in FILE_ARROW], schema=FILE_ARROW)
 
         for batch in batches:
-            for first in range(0, len(batch), 500):
-                some = batch.iloc[first : first + 500]
-                ids, counts = encode([t if isinstance(t, str) else "" for t in some["text"]])
-                for name, own in zip(some["doc_id"], np.split(ids, np.cumsum(counts)[:-1])):
+            first = 0
+            for ids, counts in encode(batch.column(1)):
+                for name, own in zip(batch.column(0).slice(first, len(counts)).to_pylist(), np.split(ids, np.cumsum(counts)[:-1])):
                     if held and n + len(own) + 1 > BLOCK_IDS:
                         yield block()
                     held.append(np.append(own, np.uint32(end_id)))
-                    names.append(None if name is None or name != name else int(name))
+                    names.append(name)
                     n += len(own) + 1
+                first += len(counts)
         if held:
             yield block()
 
@@ -185,8 +212,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) ->
     A null or empty text has the end id alone; rows that repeat are each written; an empty table writes no block.
     """
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    # ids travel as objects, so that nulls do not turn the column into floats
-    return stored(ordered.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_blocks(tokenizer_path, end_id), FILE_SCHEMA), "tokens")
+    return stored(ordered.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks(tokenizer_path, end_id), FILE_SCHEMA), "tokens")
 
 
 def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

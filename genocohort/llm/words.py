@@ -100,18 +100,26 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+#: Points that end a word, and letters before which one opens a chunk of its own.
+POINTS = b".,;:!?"
+_POINT, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_POINT[list(POINTS)] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
 def chunked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """The texts cut before each word, as (number of each chunk, distinct chunks by number, chunks of each text).
 
     A chunk is a run of other bytes than white space with the white space behind it, which is cut off from the distinct ones; white
-    space that opens a text is a chunk of its own, of nothing.
+    space that opens a text is a chunk of its own, of nothing. A point behind a letter of ASCII opens a chunk too, so that a word
+    with and without one is the same chunk.
     """
     n = len(offsets) - 1
     if not len(data):
         return np.zeros(0, np.int64), [], np.zeros(n, np.int64)
     inside = SPACED[data]
     opens = np.zeros(len(data) + 1, bool)
-    opens[1:-1] = inside[1:] & ~inside[:-1]
+    opens[1:-1] = (inside[1:] & ~inside[:-1]) | (_POINT[data[1:]] & _LETTER[data[:-1]])
     opens[offsets[:-1][np.diff(offsets) > 0]] = True
     starts = np.flatnonzero(opens[:-1])
     borders = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))

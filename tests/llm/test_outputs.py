@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -37,8 +38,13 @@ def test_encoding_by_chunks_is_the_tokenizers(texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    ids, counts = tokens.text_encoder(VOCABULARY)(texts)
-    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    got = [x.tolist() for ids, counts in tokens.text_encoder(VOCABULARY)(pa.array(texts)) for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_tokenizers_that_keep_spaces_are_refused():
+    with pytest.raises(ValueError, match="white space"):
+        tokens.text_encoder(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_token_files(spark, monkeypatch):
@@ -207,5 +213,5 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)

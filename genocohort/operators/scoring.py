@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import genotype as G
 from ..functions import scores as S
+from .degrees import degree_join
 from .picks import first_rows
 
+POSITION = ["chrom", "pos"]
+
 
 def distinct_weights(score_rows: DataFrame, order: Sequence[str]) -> DataFrame:
     """One weight per (score, position, effect allele): the first in file order."""
@@ -26,28 +29,32 @@ def effect_dosage() -> Column:
     return F.when(F.col("effect_allele") == F.col("alt"), F.col("dosage")).otherwise(2 - F.col("dosage"))
 
 
-def match_effect_allele(genotypes: DataFrame, weights: DataFrame) -> DataFrame:
+def _at_positions(genotypes: DataFrame, weights: DataFrame, planned: bool) -> DataFrame:
+    """Genotypes with the weights of their position."""
+    if not planned:
+        return genotypes.join(weights, POSITION)
+    return degree_join(genotypes, weights, POSITION, ["sample_id"], ["pgs_id", "effect_allele"])
+
+
+def match_effect_allele(genotypes: DataFrame, weights: DataFrame, planned: bool = True) -> DataFrame:
     """Genotypes joined to weights on position; the effect allele has to be REF or one of the ALTs.
 
     With the record's ``alts`` and ``gt`` the copies of the effect allele are counted among all alleles; a table of
-    biallelic rows (alt, dosage) needs no more than these.
+    biallelic rows (alt, dosage) needs no more than these. ``planned``: deal positions by their degrees; a plain join does for
+    tables that are bucketed by position and known to have no hot one.
     """
     multi = {"alts", "gt"} <= set(genotypes.columns)
     known = F.array_contains("alts", F.col("effect_allele")) if multi else F.col("effect_allele") == F.col("alt")
     copies = G.allele_dosage(F.col("ref"), F.col("alts"), F.col("gt"), F.col("effect_allele")) if multi else effect_dosage()
-    matched = genotypes.join(weights, ["chrom", "pos"]).where((F.col("effect_allele") == F.col("ref")) | known)
+    matched = _at_positions(genotypes, weights, planned).where((F.col("effect_allele") == F.col("ref")) | known)
     return matched.withColumn("effect_dosage", copies)
 
 
-def match_allele_pair(genotypes: DataFrame, weights: DataFrame) -> DataFrame:
+def match_allele_pair(genotypes: DataFrame, weights: DataFrame, planned: bool = True) -> DataFrame:
     """Panel form: both alleles have to agree, in either orientation."""
     straight = (F.col("effect_allele") == F.col("alt")) & (F.col("other_allele") == F.col("ref"))
     turned = (F.col("effect_allele") == F.col("ref")) & (F.col("other_allele") == F.col("alt"))
-    return (
-        genotypes.join(weights, ["chrom", "pos"])
-        .where(straight | turned)
-        .withColumn("effect_dosage", effect_dosage())
-    )
+    return _at_positions(genotypes, weights, planned).where(straight | turned).withColumn("effect_dosage", effect_dosage())
 
 
 def sum_scores(matched: DataFrame, by: Sequence[str] = ("sample_id", "pgs_id")) -> DataFrame:

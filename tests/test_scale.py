@@ -9,6 +9,7 @@ from genocohort.fixtures import Views
 from genocohort.operators import pileup as P
 from genocohort.operators import scoring as O
 from genocohort.operators.blocks import genotypes_at_targets
+from genocohort.operators.degrees import degree_join
 from tests.compare import ROOT
 
 SF = f"{ROOT}/sf0.001"
@@ -41,6 +42,29 @@ def test_hot_position_and_hot_score(spark):
     assert got == want
 
 
+def test_degree_planned_join_levels_the_output(spark):
+    """One position listed by 90 % of the scores and called in all samples: no task holds twice the mean of the joined rows."""
+    r = random.Random(5)
+    g = [(s, "1", p, "A", "G", r.randint(0, 2)) for s in range(300) for p in range(77, 87)]
+    w = [(f"S{i}", "1", 77, "A", "G", 0.5) for i in range(180)] + [(f"S{i % 200}", "1", 78 + i % 9, "G", "A", 1.0) for i in range(20)]
+    gd = spark.createDataFrame(g, "sample_id int, chrom string, pos long, ref string, alt string, dosage int").repartition(8)
+    wd = spark.createDataFrame(w, "pgs_id string, chrom string, pos long, effect_allele string, other_allele string, weight double")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = degree_join(gd, wd, ["chrom", "pos"], ["sample_id"], ["pgs_id"], pairs=300, entries=64)
+        tasks = [x["n"] for x in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        plain = [x["n"] for x in gd.join(wd, ["chrom", "pos"]).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        rows = sorted(map(tuple, joined.select("sample_id", "pos", "pgs_id", "weight").collect()))
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    assert sum(tasks) == sum(plain) == len(rows) and max(plain) > 5 * sum(plain) / 8
+    assert max(tasks) < 2 * sum(tasks) / 8
+    assert rows == sorted((s, p, i, x) for s, _, p, _, _, _ in g for i, _, q, _, _, x in w if p == q)
+
+
 def test_deep_site_keeps_every_read(spark):
     """No depth cap: 9,000 copies of one read all count."""
     reads = spark.range(9000).select(

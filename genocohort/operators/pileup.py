@@ -1,4 +1,9 @@
-"""Genotypes from aligned reads: reads meet sites in a binned join, the CIGAR is folded per read, counts are grouped."""
+"""Genotypes from aligned reads: reads meet the sorted sites of the blocks they touch, the CIGAR is folded per read, counts are grouped.
+
+Sites are folded to one sorted list a block of the chromosome. A read is shuffled once, to its block (two, where it crosses a border),
+and takes the part of the list that it covers: no pair of a read and a site outside it is ever made. SNVs and indels branch
+after that, inside one aggregation.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +11,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions import clinical as C
 from ..functions import genotype as G
-from .intervals import interval_join
 
-# a deep amplicon puts very many reads on one bin; sites are few, so repeating them is cheap
-SALT = 4
+# a deep amplicon puts very many reads on one block; sites are few, so repeating them is cheap
+SALT = 8
+#: Blocks of 1024 bases, several times as long as a short read; a list longer than this goes on in another row.
+BLOCK_BITS = 10
+SITES_OF_A_LIST = 4096
 DROP_SNV = K.FLAG_UNMAPPED | K.FLAG_SECONDARY | K.FLAG_QC_FAIL | K.FLAG_DUPLICATE
 DROP_INDEL = DROP_SNV | K.FLAG_SUPPLEMENTARY
 
@@ -32,10 +40,35 @@ def read_spans(reads: DataFrame) -> DataFrame:
     )
 
 
+def site_lists(sites: DataFrame, salt: int) -> DataFrame:
+    """(chrom, _block, _salt, _low, _high, _sites): the sites of each block in order, repeated for every salt."""
+    placed = sites.withColumnRenamed("pos", "site_pos").withColumn("_block", F.call_function("shiftright", F.col("site_pos").cast("bigint"), F.lit(BLOCK_BITS)))
+    kept = [c for c in placed.columns if c not in ("chrom", "_block", "site_pos")]
+    sizes = placed.groupBy("chrom", "_block").agg(F.ceil(F.count(F.lit(1)) / SITES_OF_A_LIST).alias("_parts"))
+    part = F.pmod(F.xxhash64("site_pos", *kept), F.col("_parts"))
+    listed = placed.join(sizes, ["chrom", "_block"]).groupBy("chrom", "_block", part.alias("_part")).agg(
+        F.min("site_pos").alias("_low"), F.max("site_pos").alias("_high"), F.sort_array(F.collect_list(F.struct("site_pos", *kept))).alias("_sites")
+    )
+    return listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))).drop("_part")
+
+
+def reads_in_blocks(reads: DataFrame, sites: DataFrame, salt: int = SALT) -> DataFrame:
+    """Every read with the site lists of the blocks it touches, as far as a list reaches into the read."""
+    spans = read_spans(reads)
+    plain = [f.name for f in reads.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    block = lambda c: F.call_function("shiftright", F.col(c).cast("bigint"), F.lit(BLOCK_BITS))
+    dealt = spans.where(F.col("end_pos") >= F.col("start_pos")).withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salt)).cast("int")).withColumn(
+        "_block", F.explode(F.sequence(block("start_pos"), block("end_pos")))
+    )
+    met = dealt.join(site_lists(sites, salt), ["chrom", "_block", "_salt"])
+    return met.where((F.col("_low") <= F.col("end_pos")) & (F.col("_high") >= F.col("start_pos"))).drop("_block", "_salt", "_low", "_high")
+
+
 def reads_over_sites(reads: DataFrame, sites: DataFrame, salt: int = SALT) -> DataFrame:
     """Every (site, read) with the site inside the read's reference span. ``sites``: chrom, pos and what they carry."""
-    asked = sites.withColumnRenamed("pos", "site_pos")
-    return interval_join(asked, read_spans(reads), "site_pos", "start_pos", "end_pos", salt=salt, longest=2048)
+    covered = F.filter("_sites", lambda s: s["site_pos"].between(F.col("start_pos"), F.col("end_pos")))
+    met = reads_in_blocks(reads, sites, salt).withColumn("_site", F.explode(covered)).drop("_sites")
+    return met.select("*", "_site.*").drop("_site")
 
 
 def walk(ops: Column, start: Column, site: Column) -> Column:
@@ -72,26 +105,33 @@ def walked() -> Column:
     return F.explode(F.array(walk(F.col("ops"), F.col("start_pos"), F.col("site_pos"))))
 
 
+def _with_base(over: DataFrame) -> DataFrame:
+    offset = F.col("_w.at") + 1
+    return over.withColumns({
+        "base": F.upper(F.col("seq").substr(offset, F.lit(1))),
+        "quality": F.ascii(F.col("quals").substr(offset, F.lit(1))) - 33,
+        "is_reverse": F.col("flag").bitwiseAND(16) != 0,
+    })
+
+
+def _shows_base() -> Column:
+    return (F.col("_w.hit") >= 0) & (F.col("quality") >= K.MIN_BASEQ) & F.col("base").isin("A", "C", "G", "T")
+
+
 def base_observations(reads: DataFrame, sites: DataFrame, salt: int = SALT) -> DataFrame:
     """One row per (site, read) that shows a base of sufficient quality at the site."""
-    over = reads_over_sites(usable_reads(reads), sites, salt).withColumn(
-        "_w", walked()
-    )
-    offset = F.col("_w.at") + 1
-    base = F.upper(F.col("seq").substr(offset, F.lit(1)))
-    quality = F.ascii(F.col("quals").substr(offset, F.lit(1))) - 33
-    return over.where(F.col("_w.hit") >= 0).withColumns(
-        {"base": base, "quality": quality, "is_reverse": F.col("flag").bitwiseAND(16) != 0}
-    ).where((F.col("quality") >= K.MIN_BASEQ) & F.col("base").isin("A", "C", "G", "T"))
+    return _with_base(reads_over_sites(usable_reads(reads), sites, salt).withColumn("_w", walked())).where(_shows_base())
+
+
+def _base_sums() -> list[Column]:
+    return [
+        F.count_if((F.col("base") == b) & (F.col("is_reverse") if strand == "rev" else ~F.col("is_reverse"))).alias(f"{b}_{strand}") for b in "ACGT" for strand in ("fwd", "rev")
+    ]
 
 
 def base_counts(observed: DataFrame, by: Sequence[str]) -> DataFrame:
     """A/C/G/T counts by strand, and depth. Partial sums per input task keep a deep site small in the shuffle."""
-    aggs = []
-    for b in "ACGT":
-        aggs.append(F.count_if((F.col("base") == b) & ~F.col("is_reverse")).alias(f"{b}_fwd"))
-        aggs.append(F.count_if((F.col("base") == b) & F.col("is_reverse")).alias(f"{b}_rev"))
-    return observed.groupBy(*by).agg(F.count(F.lit(1)).alias("depth"), *aggs)
+    return observed.groupBy(*by).agg(F.count(F.lit(1)).alias("depth"), *_base_sums())
 
 
 def _count_of(base: Column, strands: Sequence[str] = ("fwd", "rev")) -> Column:
@@ -131,11 +171,8 @@ def call_snvs(counts: DataFrame, reference_bases: DataFrame | None = None) -> Da
     )
 
 
-def indel_verdicts(reads: DataFrame, sites: DataFrame, salt: int = SALT) -> DataFrame:
-    """ref / alt / other per informative (site, read); a read that ends at the anchor says nothing."""
-    over = reads_over_sites(usable_reads(reads, indel=True), sites, salt).withColumn(
-        "_w", walked()
-    )
+def _verdict() -> Column:
+    """ref / alt / other for the indel of the row's site, null where the read says nothing."""
     w = F.col("_w")
     deletion = F.length("ref") > F.length("alt")
     size = F.abs(F.length("ref") - F.length("alt"))
@@ -158,17 +195,21 @@ def indel_verdicts(reads: DataFrame, sites: DataFrame, salt: int = SALT) -> Data
         .otherwise("ref")
     )
     no_anchor = F.when(deletion & (w["gap"] > 0), F.when(w["gap"] == size, "alt").otherwise("other"))
-    verdict = F.when(w["hit"] < 0, no_anchor).when(deletion, by_deletion).otherwise(by_insertion)
-    return over.withColumn("verdict", verdict).where(F.col("verdict").isNotNull())
+    return F.when(w["hit"] < 0, no_anchor).when(deletion, by_deletion).otherwise(by_insertion)
+
+
+def indel_verdicts(reads: DataFrame, sites: DataFrame, salt: int = SALT) -> DataFrame:
+    """ref / alt / other per informative (site, read); a read that ends at the anchor says nothing."""
+    over = reads_over_sites(usable_reads(reads, indel=True), sites, salt).withColumn("_w", walked())
+    return over.withColumn("verdict", _verdict()).where(F.col("verdict").isNotNull())
+
+
+def _verdict_sums() -> list[Column]:
+    return [F.count_if(F.col("verdict") == v).alias(f"{v}_count") for v in ("ref", "alt", "other")]
 
 
 def call_indels(verdicts: DataFrame, by: Sequence[str]) -> DataFrame:
-    counts = verdicts.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("depth"),
-        F.count_if(F.col("verdict") == "ref").alias("ref_count"),
-        F.count_if(F.col("verdict") == "alt").alias("alt_count"),
-        F.count_if(F.col("verdict") == "other").alias("other_count"),
-    )
+    counts = verdicts.groupBy(*by).agg(F.count(F.lit(1)).alias("depth"), *_verdict_sums())
     return counts.withColumn("dosage", C.indel_dosage(F.col("alt_count"), F.col("depth"))).withColumn(
         "genotype", C.dosage_text(F.col("dosage"))
     )
@@ -178,19 +219,23 @@ SITE_KEYS = ["sample_id", "chrom", "site_pos", "ref", "alt"]
 
 
 def genotype_sites(reads: DataFrame, sites: DataFrame, reference_bases: DataFrame | None = None) -> DataFrame:
-    """SNV and indel genotypes of all samples at all sites. ``sites``: chrom, pos, ref, alt."""
-    snv_sites = sites.where(F.length("ref") == F.length("alt"))
-    indel_sites = sites.where(F.length("ref") != F.length("alt"))
-    counts = base_counts(base_observations(reads, snv_sites), SITE_KEYS).withColumnRenamed("site_pos", "pos")
-    snvs = call_snvs(counts, reference_bases).select(
-        "sample_id", "chrom", "pos", "ref", "alt", "depth", "alt_count", "dosage", "genotype", "ref_sanity_failed",
-        "strand_flip", "strand_bias",
+    """SNV and indel genotypes of all samples at all sites, in one pass over the reads. ``sites``: chrom, pos, ref, alt.
+
+    A supplementary alignment shows bases but no indel.
+    """
+    indel = F.length("ref") != F.length("alt")
+    over = _with_base(reads_over_sites(usable_reads(reads), sites.select("chrom", "pos", "ref", "alt")).withColumn("_w", walked()))
+    over = over.withColumn("verdict", F.when(indel & (F.col("flag").bitwiseAND(K.FLAG_SUPPLEMENTARY) == 0), _verdict()))
+    counts = over.where(F.when(indel, F.col("verdict").isNotNull()).otherwise(_shows_base())).groupBy(*SITE_KEYS).agg(
+        F.count(F.lit(1)).alias("depth"), *_base_sums(), *_verdict_sums()
     )
-    indels = call_indels(indel_verdicts(reads, indel_sites), SITE_KEYS).select(
-        "sample_id", "chrom", F.col("site_pos").alias("pos"), "ref", "alt", "depth", "alt_count", "dosage", "genotype",
-        *[F.lit(False).alias(c) for c in ("ref_sanity_failed", "strand_flip", "strand_bias")],
+    counted = counts.withColumnsRenamed({"site_pos": "pos", "alt_count": "_indel_alt"})
+    called = call_snvs(counted, reference_bases).withColumn("dosage", F.when(indel, C.indel_dosage(F.col("_indel_alt"), F.col("depth"))).otherwise(F.col("dosage")))
+    marks = ("ref_sanity_failed", "strand_flip", "strand_bias")
+    return called.select(
+        "sample_id", "chrom", "pos", "ref", "alt", "depth", F.when(indel, F.col("_indel_alt")).otherwise(F.col("alt_count")).alias("alt_count"), "dosage",
+        C.dosage_text(F.col("dosage")).alias("genotype"), *[(~indel & F.col(c)).alias(c) for c in marks],
     )
-    return snvs.unionByName(indels)
 
 
 def score_from_reads(reads: DataFrame, weights: DataFrame) -> DataFrame:

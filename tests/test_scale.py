@@ -75,6 +75,22 @@ def test_deep_site_keeps_every_read(spark):
     assert (r.depth, r.alt_count, r.dosage) == (9000, 9000, 2)
 
 
+def test_reads_meet_no_more_lists_than_matches(spark):
+    """A site every 100 bases, reads of 150: at most 1.5 (read, list) rows a match, no pair outside a read, one shuffle of the reads."""
+    start = F.pmod(F.xxhash64("id"), F.lit(500_000)) + 1
+    reads = spark.range(4000).select(
+        F.lit(1).alias("sample_id"), F.lit("1").alias("chrom"), start.alias("start_pos"), F.when(F.col("id") % 50 == 0, "60M3000N90M").otherwise("150M").alias("cigar"),
+        F.repeat(F.lit("A"), 150).alias("seq"), F.repeat(F.lit("I"), 150).alias("quals"), F.lit(60).alias("mapq"), F.lit(0).alias("flag"))
+    sites = spark.range(1, 5040).select(F.lit("1").alias("chrom"), (F.col("id") * 100).alias("pos"), F.lit("A").alias("ref"), F.lit("C").alias("alt"))
+    over = P.reads_over_sites(reads, sites)
+    starts = [(r.start_pos, r.start_pos + (3149 if r.cigar != "150M" else 149)) for r in reads.select("start_pos", "cigar").collect()]
+    matches = sum(min(b, 503_900) // 100 - (a - 1) // 100 for a, b in starts)
+    assert over.count() == matches and over.where("site_pos NOT BETWEEN start_pos AND end_pos").isEmpty()
+    assert P.reads_in_blocks(reads, sites).count() <= 1.5 * matches
+    # SNVs and indels branch behind the join: the reads are scanned, and so shuffled, once
+    assert len(re.findall(r"Range \(0, 4000", plan_of(P.genotype_sites(reads, sites)))) == 1
+
+
 def test_called_record_beats_block(spark):
     rows = [("s", "1", 100, None, "A", ["G"], "0/1"), ("s", "1", 50, "200", "C", ["<*>"], "0/0"), ("s", "1", 300, "300", "T", ["<*>"], "./.")]
     records = spark.createDataFrame(rows, "sample_id string, chrom string, pos long, info_end string, ref string, alts array<string>, gt string").withColumn("min_dp", F.lit(9))

@@ -26,7 +26,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 from .words import POINTS, Sequences, chunked, pieces, sums_of
 
 #: Chunks and fragments a worker remembers, and their bytes; when either is exceeded it starts anew.
-REMEMBERED, REMEMBERED_BYTES = 1_000_000, 1 << 25
+REMEMBERED, REMEMBERED_BYTES = 400_000, 1 << 24
 #: Bytes of text cut into chunks at once.
 AT_ONCE = 1 << 21
 #: Fragments up to this length are merged side by side, longer ones each on its own queue.
@@ -113,9 +113,6 @@ class Vocabulary:
         self.results[self.ranks[:-1]] = np.array([x[1] for x in self.merges.values()], np.int64)[order]
         self.added: dict[str, int] = {x["content"]: x["id"] for x in given["added_tokens"]}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.tokens = [""] * (1 + max([*vocabulary.values(), *self.added.values()]))
-        for token, number in [*vocabulary.items(), *self.added.items()]:
-            self.tokens[number] = token
         #: texts are cut at points behind letters too: no token may hold such a pair, and the rules have to part them
         probes = [(f"{a}{p}{z}", [a, *self.part.findall(p + z)]) for a in ("ab", "z") for p in POINTS.decode() for z in ("", "x", "'s", "3", ".!")]
         value = {c: b for b, c in enumerate(alphabet)}
@@ -328,9 +325,18 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return given.mapInArrow(_encoded(path, library_letters()), kept.add("_ids", ArrayType(IntegerType())))
 
 
-def _decoded(path: str, letters: Letters):
+@lru_cache(maxsize=2)
+def token_texts(path: str) -> list[str]:
+    """The text of each token by id; the ids of a file start at 0."""
+    with open(path, encoding="utf-8") as file:
+        given = json.load(file)
+    known = {i: token for token, i in given["model"]["vocab"].items()} | {x["id"]: x["content"] for x in given["added_tokens"]}
+    return [known.get(i, "") for i in range(1 + max(known))]
+
+
+def _decoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(path, letters).vocabulary.tokens
+        tokens = token_texts(path)
         for batch in batches:
             ids = batch.column(0)
             flat, offsets = ids.flatten().to_numpy(zero_copy_only=False), ids.offsets.to_numpy() - ids.offsets[0].as_py()
@@ -348,4 +354,4 @@ def decoded(docs: DataFrame, path: str, ids: str = "_ids") -> DataFrame:
     ones included. No ids (or null) give the empty text; a column _decoded of docs is replaced, all others pass through."""
     given = docs.drop("_decoded").select(F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("_ids_"), "*")
     kept = given.drop("_ids_").schema
-    return given.mapInArrow(_decoded(path, library_letters()), kept.add("_decoded", StringType()))
+    return given.mapInArrow(_decoded(path), kept.add("_decoded", StringType()))

@@ -1,8 +1,8 @@
-"""Linkage: r2 of neighbouring variants, and pruning to a set without linked pairs."""
+"""Linkage: r2 of neighbouring variants over bit planes of dosages, and pruning to a set without linked pairs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.genotype import whole
@@ -10,6 +10,8 @@ from ..session import cut_lineage
 from .running import ordinal
 
 MEGABASE = 1_000_000
+#: Samples of a word, and words of a row: 16,384 samples.
+WORD, CHUNK_WORDS = 64, 256
 
 
 def variant_index(variants: DataFrame) -> DataFrame:
@@ -18,30 +20,61 @@ def variant_index(variants: DataFrame) -> DataFrame:
     return ordinal(sites, ["chrom"], whole(F.col("pos"), MEGABASE), ["pos"], "idx")
 
 
+def bit_planes(calls: DataFrame) -> tuple[DataFrame, int]:
+    """(chrom, pos, _chunk, called, low, high), and the number of chunks: dosages of a variant as bits, one a sample in a fixed order, in words of 64.
+
+    ``called`` marks the samples with a call, ``low`` and ``high`` hold the two bits of the dosage (0, 1 or 2). A chunk is at most
+    CHUNK_WORDS words, so the row of a variant is bounded whatever the number of samples. A sample has one call a position.
+    """
+    known = calls.where(F.col("dosage").isNotNull())
+    samples = known.select("sample_id").distinct().withColumn("_spread", F.pmod(F.xxhash64("sample_id"), F.lit(256)))
+    placed = ordinal(samples, [], F.col("_spread"), ["_spread", "sample_id"], "_s").select("sample_id", "_s")
+    all_words = max(1, -(-samples.count() // WORD))
+    words = min(CHUNK_WORDS, all_words)
+    d = F.col("dosage").cast("int")
+    bit = F.expr(f"shiftleft(1L, cast(_s % {WORD} AS int))")
+    plane = lambda on, name: F.coalesce(F.bit_or(F.when(on, bit)), F.lit(0).cast("long")).alias(name)
+    word = whole(F.col("_s"), WORD)
+    per_word = known.join(placed, "sample_id").groupBy("chrom", "pos", whole(word, CHUNK_WORDS).alias("_chunk"), (word % CHUNK_WORDS).cast("int").alias("_word")).agg(
+        plane(F.lit(True), "called"), plane(d.bitwiseAND(1) != 0, "low"), plane(d.bitwiseAND(2) != 0, "high")
+    )
+    held = per_word.groupBy("chrom", "pos", "_chunk").agg(F.map_from_entries(F.collect_list(F.struct("_word", F.struct("called", "low", "high")))).alias("_words"))
+    row = lambda name: F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda w: F.coalesce(F.element_at("_words", w)[name], F.lit(0).cast("long"))).alias(name)
+    return held.select("chrom", "pos", "_chunk", row("called"), row("low"), row("high")), -(-all_words // words)
+
+
+def _both(a: str, b: str) -> Column:
+    """Samples whose bits are set in both planes."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x).cast("long")
+
+
 def ld_pairs(calls: DataFrame, window: int = 1000, step: int = 50, min_r2: float = 0.0) -> DataFrame:
     """r2 of every pair inside a window of ``window`` variants that moves by ``step``.
 
-    A variant meets only the variants of its own and the next index block, so the work is variants x window x samples.
+    A variant is one row of bit planes (for each chunk of samples) and meets only the variants of its own and the next index block:
+    variants x window rows are joined, and the sums over samples are bit counts of and-ed words.
     """
-    index = variant_index(calls)
-    g = calls.where(F.col("dosage").isNotNull()).select("sample_id", "chrom", "pos", "dosage").join(index, ["chrom", "pos"])
+    packed, chunks = bit_planes(calls)
+    # written once, as both sides of the join read them: three bits a call
+    planes = cut_lineage(packed.join(variant_index(calls), ["chrom", "pos"]))
     home = whole(F.col("idx"), window)
-    left = g.select("sample_id", "chrom", home.alias("_block"), F.col("idx").alias("i"), F.col("pos").alias("pos_i"), F.col("dosage").alias("x"))
-    right = g.select(
-        "sample_id", "chrom", F.explode(F.array(home, home - 1)).alias("_block"),
-        F.col("idx").alias("j"), F.col("pos").alias("pos_j"), F.col("dosage").alias("y"),
-    )
+    side = lambda n: [F.col("idx").alias(n), F.col("pos").alias(f"pos_{n}"), *(F.col(p).alias(f"{p}_{n}") for p in ("called", "low", "high"))]
+    left = planes.select("chrom", "_chunk", home.alias("_block"), *side("i"))
+    right = planes.select("chrom", "_chunk", F.explode(F.array(home, home - 1)).alias("_block"), *side("j"))
     near = (F.col("j") > F.col("i")) & (F.col("j") - whole(F.col("i"), step) * step < window)
-    sums = left.join(right, ["sample_id", "chrom", "_block"]).where(near).groupBy("chrom", "i", "j", "pos_i", "pos_j").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"),
-        F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy"),
-        F.sum(F.col("x") * F.col("y")).alias("sxy"),
+    x1, x2, y1, y2 = _both("low_i", "called_j"), _both("high_i", "called_j"), _both("called_i", "low_j"), _both("called_i", "high_j")
+    counted = left.join(right, ["chrom", "_chunk", "_block"]).where(near).select(
+        "chrom", "pos_i", "pos_j", _both("called_i", "called_j").alias("n"), x1.alias("x1"), x2.alias("x2"), y1.alias("y1"), y2.alias("y2"),
+        (_both("low_i", "low_j") + 2 * (_both("low_i", "high_j") + _both("high_i", "low_j")) + 4 * _both("high_i", "high_j")).alias("sxy"),
     )
-    cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
-    vx = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
-    vy = F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
+    if chunks > 1:
+        counted = counted.groupBy("chrom", "pos_i", "pos_j").agg(*[F.sum(c).alias(c) for c in ("n", "x1", "x2", "y1", "y2", "sxy")])
+    n, sx, sy = F.col("n"), F.col("x1") + 2 * F.col("x2"), F.col("y1") + 2 * F.col("y2")
+    cov = n * F.col("sxy") - sx * sy
+    vx = n * (F.col("x1") + 4 * F.col("x2")) - sx * sx
+    vy = n * (F.col("y1") + 4 * F.col("y2")) - sy * sy
     r2 = cov.cast("double") * cov / F.when((vx > 0) & (vy > 0), vx.cast("double") * vy)
-    out = sums.withColumn("r2", r2).where(F.col("r2").isNotNull())
+    out = counted.withColumn("r2", r2).where(F.col("r2").isNotNull())
     if min_r2:
         out = out.where(F.col("r2") > min_r2)
     return out.select("chrom", "pos_i", "pos_j", "n", "r2")

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from genocohort.operators import ancestry as A
 from genocohort.operators import ld as LD
@@ -97,6 +98,28 @@ def test_ld_prune_is_greedy_by_frequency(spark):
     assert {r.pos for r in LD.ld_prune(pairs, freq).collect()} == set(kept)
 
 
+@pytest.mark.parametrize("words", [1, 256])
+def test_linkage_over_bit_planes(spark, monkeypatch, words):
+    """Missing calls, more samples than a word and (words = 1) than a chunk, against sums over the samples; rows joined per pair: one a chunk."""
+    monkeypatch.setattr(LD, "CHUNK_WORDS", words)
+    d = panel(8, 150, 30)
+    seen = np.random.default_rng(9).random(d.shape) > 0.2
+    calls = frame(spark, d)
+    known = [(int(s), int(v) * 1000 + 1) for s, v in zip(*np.nonzero(seen))]
+    calls = calls.join(spark.createDataFrame(known, "sample_id int, pos long").withColumn("k", F.lit(1)), ["sample_id", "pos"], "left").withColumn("dosage", F.when(F.col("k") == 1, F.col("dosage"))).drop("k")
+    got = {(r.pos_i, r.pos_j): (r.n, r.r2) for r in LD.ld_pairs(calls, window=10, step=3).collect()}
+    want = {}
+    for i in range(30):
+        for j in range(i + 1, 30):
+            both = seen[:, i] & seen[:, j]
+            x, y = d[both, i], d[both, j]
+            if j - (i // 3) * 3 < 10 and x.std() and y.std():
+                want[(i * 1000 + 1, j * 1000 + 1)] = (int(both.sum()), pytest.approx(np.corrcoef(x, y)[0, 1] ** 2, abs=1e-9))
+    assert got == want and len(want) > 100
+    planes, chunks = LD.bit_planes(calls)
+    assert chunks == (3 if words == 1 else 1) and planes.count() == 30 * chunks
+
+
 def test_components_match_a_dense_decomposition(spark):
     d = panel(5, 24, 80)
     calls = frame(spark, d)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.genotype import whole
 from ..session import cut_lineage
-from .running import ordinal
+from .running import numbered, ordinal
 
 MEGABASE = 1_000_000
 #: Samples of a word, and words of a row: 16,384 samples.
@@ -27,9 +27,8 @@ def bit_planes(calls: DataFrame) -> tuple[DataFrame, int]:
     CHUNK_WORDS words, so the row of a variant is bounded whatever the number of samples. A sample has one call a position.
     """
     known = calls.where(F.col("dosage").isNotNull())
-    samples = known.select("sample_id").distinct().withColumn("_spread", F.pmod(F.xxhash64("sample_id"), F.lit(256)))
-    placed = ordinal(samples, [], F.col("_spread"), ["_spread", "sample_id"], "_s").select("sample_id", "_s")
-    all_words = max(1, -(-samples.count() // WORD))
+    placed = numbered(known, "sample_id", "_s")
+    all_words = max(1, -(-known.select("sample_id").distinct().count() // WORD))
     words = min(CHUNK_WORDS, all_words)
     d = F.col("dosage").cast("int")
     bit = F.expr(f"shiftleft(1L, cast(_s % {WORD} AS int))")

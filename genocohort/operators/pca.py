@@ -1,31 +1,29 @@
-"""Principal components of a panel by subspace iteration over the long genotype table.
+"""Principal components of a panel by randomised subspace steps over blocks of variants.
 
-Samples x components is the only dense piece and stays a table. The driver sees k x k numbers per round, never a
-genotype, so neither the samples nor the variants are bounded by one machine.
+The standardised genotypes are shuffled once, to one row a variant, and written. Every step is then one pass without a shuffle: a task
+multiplies its blocks of variants with the samples x width matrix, and back, and hands on the sum of its products. That matrix is the
+only dense piece; its size is checked against a bound, genotypes never reach the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .ancestry import standardised
+from .running import numbered
 
-
-def _gram(table: DataFrame, k: int) -> np.ndarray:
-    """k x k inner products of the component columns: one row of k * k sums."""
-    sums = [F.sum(F.col(f"q{i}") * F.col(f"q{j}")).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]
-    return np.array(table.agg(*sums).first(), dtype=float).reshape(k, k)
-
-
-def _combine(table: DataFrame, key: str, matrix: np.ndarray) -> DataFrame:
-    """Component columns times a matrix: one row per given column, one column per new one."""
-    given, made = matrix.shape
-    return table.select(
-        key, *[sum((F.col(f"q{i}") * float(matrix[i, j]) for i in range(1, given)), F.col("q0") * float(matrix[0, j])).alias(f"q{j}") for j in range(made)]
-    )
+#: Cells of the samples x width matrix, at most: 128 MB. Variants multiplied at once. Samples of one row of a sum.
+MOST_CELLS = 1 << 24
+BLOCK = 128
+PART = 4096
+#: Steps whose results are searched together for the components.
+DEPTH = 3
 
 
 def _times(z: DataFrame, table: DataFrame, on: str, to: str, k: int) -> DataFrame:
@@ -41,33 +39,119 @@ def standardised_table(calls: DataFrame, sites: DataFrame) -> DataFrame:
     ).where(F.col("z").isNotNull())
 
 
+def variant_rows(z: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(variant, at, z): the numbers of the samples with a value, and the values, one row a variant; and (sample_id, _s), the numbers."""
+    numbers = cut_lineage(numbered(z, "sample_id", "_s"))
+    held = z.join(numbers, "sample_id").groupBy("variant").agg(F.collect_list(F.struct(F.col("_s").cast("int").alias("s"), "z")).alias("_v"))
+    return cut_lineage(held.select("variant", F.col("_v.s").alias("at"), F.col("_v.z").alias("z"))), numbers
+
+
+def _dense(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, variants x samples) of some variants at a time."""
+    at, z = batch.column("at"), batch.column("z")
+    for first in range(0, batch.num_rows, BLOCK):
+        a, v = at.slice(first, BLOCK), z.slice(first, BLOCK)
+        block = np.zeros((len(a), n))
+        rows = np.repeat(np.arange(len(a)), np.diff(a.offsets.to_numpy()))
+        block[rows, a.flatten().to_numpy()] = v.flatten().to_numpy()
+        yield first, block
+
+
+def _there_and_back(q):
+    """Sums over a task's variants of z^T z q, in parts of the samples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = q.value
+        total, seen = np.zeros_like(matrix), False
+        for batch in batches:
+            for _, block in _dense(batch, len(matrix)):
+                total += block.T @ (block @ matrix)
+                seen = True
+        if seen:
+            for part in range(0, len(total), PART):
+                yield pa.RecordBatch.from_arrays([pa.array([part // PART], pa.int32()), pa.array([total[part : part + PART].tobytes()], pa.binary())], names=["part", "sums"])
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, own in zip(*(c.to_pylist() for c in batch.columns)):
+            sums[part] = sums[part] + np.frombuffer(own) if part in sums else np.frombuffer(own)
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "sums"])
+
+
+def covariance_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
+    """z^T z q, of the size of q."""
+    sent = rows.sparkSession.sparkContext.broadcast(q)
+    parts = rows.select("at", "z").mapInArrow(_there_and_back(sent), "part int, sums binary").repartition("part").mapInArrow(_added, "part int, sums binary").collect()
+    sent.destroy()
+    out = np.zeros_like(q)
+    for row in parts:
+        first = row["part"] * PART
+        out[first : first + PART] = np.frombuffer(row["sums"]).reshape(-1, q.shape[1])
+    return out
+
+
+def _loadings(q, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, block in _dense(batch, len(q.value)):
+                own = block @ q.value
+                yield pa.RecordBatch.from_arrays([batch.column("variant").slice(first, len(own)), *(pa.array(own[:, j]) for j in range(k))], names=["variant", *(f"q{j}" for j in range(k))])
+
+    return run
+
+
 def panel_components(
-    z: DataFrame, k: int = 10, rounds: int = 100, tolerance: float = 1e-10, more: int = 10
+    z: DataFrame, k: int = 10, rounds: int = 100, tolerance: float = 1e-6, more: int = 10
 ) -> tuple[DataFrame, DataFrame]:
     """(sample scores q0..qk-1 with unit norm, variant loadings q0..qk-1), largest component first.
 
-    Iterates with ``more`` vectors beside the k asked for, until no component's variance changes by more than
-    ``tolerance`` of the largest; raises when ``rounds`` do not reach that.
+    Starts from k + ``more`` random vectors, multiplies them by the covariance (z^T z) DEPTH times, takes the best vectors of all that these
+    steps span, and goes on from them until each component u of variance v leaves |z^T z u - v u| within ``tolerance`` of the
+    largest variance; raises when ``rounds`` multiplications do not reach that. A random start holds a part of every component, so
+    the largest ones come out first. More samples than MOST_CELLS allows raise ValueError.
     """
-    z = cut_lineage(z)
-    width = k + more
-    q = z.select("sample_id").distinct().select(
-        "sample_id",
-        *[(F.pmod(F.xxhash64(F.col("sample_id").cast("string"), F.lit(j)), F.lit(20001)) / 10000.0 - 1.0).alias(f"q{j}") for j in range(width)],
-    )
-    q = cut_lineage(q)
-    before = None
-    for _ in range(rounds):
-        q = _orthonormal(q, width)
-        loadings = cut_lineage(_times(z, q, "sample_id", "variant", width))
-        # principal axes: eigenvectors of the covariance of the loadings
-        values, vectors = np.linalg.eigh(_gram(loadings, width))
-        order = np.argsort(values)[::-1][:k]
-        if before is not None and np.abs(values[order] - before).max() <= tolerance * max(values.max(), 1e-300):
-            return _combine(q, "sample_id", vectors[:, order]), _combine(loadings, "variant", vectors[:, order])
-        before = values[order]
-        q = cut_lineage(_times(z, loadings, "variant", "sample_id", width))
-    raise ArithmeticError(f"the components have not settled after {rounds} rounds")
+    rows, numbers = variant_rows(z)
+    n = numbers.count()
+    width = min(k + more, n)
+    if n * width * DEPTH > MOST_CELLS:
+        raise ValueError(f"{n} samples times {width * DEPTH} vectors are more than {MOST_CELLS} cells")
+    if n < k:
+        raise ValueError(f"{n} samples have no {k} components")
+    start, _ = np.linalg.qr(np.random.default_rng(n).standard_normal((n, width)))
+    done = 0
+    while done < rounds:
+        basis, images = [start], []
+        for step in range(DEPTH):
+            images.append(covariance_times(rows, basis[-1]))
+            done += 1
+            if step + 1 < DEPTH:
+                rest = images[-1]
+                for _ in range(2):  # twice, as once leaves rounding errors
+                    for known in basis:
+                        rest = rest - known @ (known.T @ rest)
+                q, r = np.linalg.qr(rest)
+                alive = np.abs(np.diag(r)) > 1e-10 * max(np.abs(images[0]).max(), 1e-300)
+                if not alive.any():
+                    break
+                basis.append(q[:, alive])
+        whole, image = np.hstack(basis), np.hstack(images)
+        values, vectors = np.linalg.eigh((whole.T @ image + image.T @ whole) / 2)
+        order = np.argsort(values)[::-1][:width]
+        best, its_image = whole @ vectors[:, order], image @ vectors[:, order]
+        off = np.linalg.norm(its_image[:, :k] - best[:, :k] * values[order][:k], axis=0)
+        if off.max() <= tolerance * max(values.max(), 1e-300):
+            found = best[:, :k]
+            spark = z.sparkSession
+            names = ", ".join(f"q{j} double" for j in range(k))
+            scores = spark.createDataFrame([(i, *x) for i, x in enumerate(found.tolist())], f"_s long, {names}").join(numbers, "_s").select("sample_id", *(f"q{j}" for j in range(k)))
+            return scores, cut_lineage(rows.mapInArrow(_loadings(spark.sparkContext.broadcast(found), k), f"variant string, {names}"))
+        start, _ = np.linalg.qr(best)
+    raise ArithmeticError(f"the components have not settled after {rounds} products")
 
 
 def component_errors(z: DataFrame, scores: DataFrame, loadings: DataFrame, k: int) -> DataFrame:
@@ -87,12 +171,6 @@ def component_errors(z: DataFrame, scores: DataFrame, loadings: DataFrame, k: in
     return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def _orthonormal(q: DataFrame, k: int) -> DataFrame:
-    values, vectors = np.linalg.eigh(_gram(q, k))
-    safe = np.where(values > max(values.max(), 0.0) * 1e-12, values, np.inf)
-    return _combine(q, "sample_id", vectors @ np.diag(1.0 / np.sqrt(safe)) @ vectors.T)
-
-
 def allele_weights(loadings: DataFrame, k: int = 10) -> DataFrame:
     """Loadings with unit norm, signs fixed so that the largest entry is positive."""
     norms = loadings.agg(*[F.sqrt(F.sum(F.col(f"q{j}") * F.col(f"q{j}"))).alias(f"n{j}") for j in range(k)],

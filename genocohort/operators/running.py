@@ -41,6 +41,12 @@ def ordinal(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[
     return running_total(df, keys, bucket, order, F.lit(1), out).withColumn(out, F.col(out) - 1)
 
 
+def numbered(df: DataFrame, column: str, out: str) -> DataFrame:
+    """(column, out): the distinct values, numbered from 0 in an arbitrary but fixed order."""
+    spread = df.select(column).distinct().withColumn("_spread", F.pmod(F.xxhash64(column), F.lit(256)))
+    return ordinal(spread, [], F.col("_spread"), ["_spread", column], out).select(column, out)
+
+
 #: Buckets of a group with more distinct values than one bucket takes.
 BUCKETS = 256
 

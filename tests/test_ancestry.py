@@ -134,6 +134,25 @@ def test_components_match_a_dense_decomposition(spark):
         assert abs(got[:, i] @ u[:, i]) == pytest.approx(1.0, abs=1e-4)
 
 
+def test_components_are_the_largest_ones(spark, monkeypatch):
+    """All k of them against a dense decomposition, samples in several parts; too many samples are refused."""
+    monkeypatch.setattr(PC, "PART", 7)
+    d = panel(6, 40, 150)
+    calls = frame(spark, d)
+    z = PC.standardised_table(calls, A.allele_frequencies(calls))
+    scores, loadings = PC.panel_components(z, k=6)
+    errors = {r.component: r for r in PC.component_errors(z, scores, loadings, 6).collect()}
+    p = d.mean(0) / 2
+    ok = (p > 0) & (p < 1)
+    m = (d[:, ok] - 2 * p[ok]) / np.sqrt(2 * p[ok] * (1 - p[ok]))
+    largest = np.linalg.svd(m, compute_uv=False)[:6] ** 2
+    assert [errors[j].variance for j in range(6)] == pytest.approx(largest.tolist(), rel=1e-9)
+    assert all(e.residual < 1e-4 and e.norm_error < 1e-9 for e in errors.values())
+    monkeypatch.setattr(PC, "MOST_CELLS", 100)
+    with pytest.raises(ValueError, match="cells"):
+        PC.panel_components(z, k=6)
+
+
 def test_haplogroup_pick(spark):
     rows = [("s", "E", 300, 340), ("s", "E1b1b1", 20, 30), ("s", "E1b", 40, 90), ("t", "R", 4, 100), ("t", "J2", 3, 4)]
     df = spark.createDataFrame(rows, "sample_id string, haplogroup string, derived long, label_total long").selectExpr("*", "derived / label_total AS rate")

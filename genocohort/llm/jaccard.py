@@ -15,8 +15,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .graphs import components
 from .shared import may_hold, membership_filter, stored
@@ -24,9 +25,13 @@ from .words import SPACED, lower, mixed, pieces, prefix_codes, span_codes, word_
 
 #: Words of a shingle, and the similarity as a fraction. A contract may give others.
 WORDS, SHARE = 5, (80, 100)
+#: A text without words.
+WORDLESS = r"^[\x20\x09-\x0D]*\z"
 #: Cells of the count sketch (fixed size) and of a set's histogram for the suffix filter.
 SKETCH_CELLS, HISTOGRAM = 1 << 22, 64
 _SKETCH_PART = 1 << 14
+#: A histogram's count that stands for itself and all above.
+FULL = 2**15 - 1
 
 
 def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -68,34 +73,31 @@ def _keys(shingles: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return mixed(twice[0] + mixed(twice[1] + np.diff(begins).astype(np.uint64)))
 
 
-def _marked(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, shingles, begins in _sets(batch.column(1), words):
-                n = np.diff(begins)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(n)), pa.array(n), _signed(_keys(shingles, begins))], names=["doc_id", "n", "key"])
+_MARKS = "doc_id long, n long, key long, part int, cells binary, counts binary"
+_MARKS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("part", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
 
-    return run
 
+def _marked(words: int):
+    """Size and key of each text's set; then, without doc_id and set, what the task adds to each part of the sketch: all counts, or,
+    where most are 0, the others with their cells."""
 
-def _sketched(words: int):
-    """What a task adds to each part of the sketch: all counts, or, where most are 0, the others with their cells."""
+    def padded(length: int, known: dict[str, pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([known.get(f.name, pa.nulls(length, f.type)) for f in _MARKS_ARROW], schema=_MARKS_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH_CELLS, np.int32)
         for batch in batches:
-            for _, shingles, _ in _sets(batch.column(0), words):
-                cells, n = np.unique((shingles & np.uint64(SKETCH_CELLS - 1)).astype(np.int64), return_counts=True)
-                counts[cells] += n.astype(np.int32)
-        rows: list[tuple[int, bytes, bytes]] = []
+            for first, shingles, begins in _sets(batch.column(1), words):
+                n = np.diff(begins)
+                yield padded(len(n), {"doc_id": batch.column(0).slice(first, len(n)), "n": pa.array(n), "key": _signed(_keys(shingles, begins))})
+                cells, times = np.unique((shingles & np.uint64(SKETCH_CELLS - 1)).astype(np.int64), return_counts=True)
+                counts[cells] += times.astype(np.int32)
         for part, own in enumerate(counts.reshape(-1, _SKETCH_PART)):
             some = np.flatnonzero(own)
-            if 2 * len(some) > len(own):
-                rows.append((part, b"", own.tobytes()))
-            elif len(some):
-                rows.append((part, some.astype(np.int32).tobytes(), own[some].tobytes()))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["part", "cells", "counts"])
+            if len(some):
+                dense = 2 * len(some) > len(own)
+                held = (b"", own.tobytes()) if dense else (some.astype(np.int32).tobytes(), own[some].tobytes())
+                yield padded(1, {"part": pa.array([part], pa.int32()), "cells": pa.array(held[:1], pa.binary()), "counts": pa.array(held[1:], pa.binary())})
 
     return run
 
@@ -111,9 +113,9 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 2**31 - 1).astype(np.int32).tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
 
 
-def frequency_sketch(docs: DataFrame, words: int) -> np.ndarray:
+def frequency_sketch(marks: DataFrame) -> np.ndarray:
     """How many documents' shingles fall into each cell, over all documents: fixed size, added up by parts."""
-    parts = docs.select("text").mapInArrow(_sketched(words), "part int, cells binary, counts binary").repartition("part").mapInArrow(_summed, "part int, counts binary")
+    parts = marks.where("part IS NOT NULL").select("part", "cells", "counts").repartition("part").mapInArrow(_summed, "part int, counts binary")
     counts = np.zeros((SKETCH_CELLS // _SKETCH_PART, _SKETCH_PART), np.int32)
     for row in parts.collect():
         counts[row["part"]] = np.frombuffer(row["counts"], np.int32)
@@ -137,7 +139,7 @@ def _prefixes(words: int, share: tuple[int, int], sketch):
                 cells = np.bincount(own * HISTOGRAM + (shingles >> np.uint64(32)).astype(np.int64) % HISTOGRAM, minlength=len(n) * HISTOGRAM)
                 weight = _sum_by(rate.astype(np.uint64), begins) / np.maximum(n, 1)
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), _signed(shingles[kept]))
-                histogram = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * HISTOGRAM + 1, HISTOGRAM, dtype=np.int32)), pa.array(cells.astype(np.int32)))
+                histogram = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * HISTOGRAM + 1, HISTOGRAM, dtype=np.int32)), pa.array(np.minimum(cells, FULL).astype(np.int16)))
                 yield pa.RecordBatch.from_arrays([_signed(_keys(shingles, begins)), pa.array(n), pa.array(weight), tokens, histogram], names=["key", "n", "weight", "tokens", "histogram"])
 
     return run
@@ -171,7 +173,8 @@ def _filtered(pairs: DataFrame, share: tuple[int, int]) -> DataFrame:
 def _possible(pairs: DataFrame, prefixes: DataFrame, share: tuple[int, int]) -> DataFrame:
     """The distinct pairs (a, b) that pass the suffix filter: what the histograms of their sets can share at most."""
     side = lambda x: prefixes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("histogram").alias(f"h{x}"))
-    most = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    shared = F.zip_with("ha", "hb", lambda x, y: F.when(F.least(x, y) < FULL, F.least(x, y).cast("long")).otherwise(F.least("na", "nb")))
+    most = F.aggregate(shared, F.lit(0).cast("long"), lambda s, x: s + x)
     return pairs.join(side("a"), "a").join(side("b"), "b").where(most >= _needed(share)).select("a", "b", "na", "nb")
 
 
@@ -186,21 +189,13 @@ def _verified(pairs: DataFrame, text: DataFrame, words: int, share: tuple[int, i
     return stored(both.where(F.size(F.array_intersect("sa", "sb")) >= _needed(share)).select("a", "b"), "links")
 
 
-def joined(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of (doc_id, text).
-
-    Words are runs of other characters than white space, A-Z lower-cased; a text with fewer words than a shingle is one shingle,
-    a text without words (or null) the empty set, linked with nothing. Two documents are linked when the share of common
-    shingles among all of theirs is at least `share`; component_id is the smallest doc_id reachable by links. Documents
-    with equal sets are linked, rows that repeat too. A null doc_id is never the smallest unless there is no other. Shingles
-    and sets go by 64-bit hashes.
-    """
-    spark = docs.sparkSession
+def set_roots(docs: DataFrame, marks: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+    """(node, root) of every set key that is linked with another: the smallest key reachable by links."""
     text = docs.select("text")
-    marks = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_marked(words), "doc_id long, n long, key long"), "marks")
-    sketch = spark.sparkContext.broadcast(frequency_sketch(docs, words))
-    prefixes = text.mapInArrow(_prefixes(words, share, sketch), "key long, n long, weight double, tokens array<long>, histogram array<int>")
+    sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(marks))
+    prefixes = text.mapInArrow(_prefixes(words, share, sketch), "key long, n long, weight double, tokens array<long>, histogram array<smallint>")
     prefixes = stored(prefixes.where("n > 0").dropDuplicates(["key"]), "prefixes")
+    sketch.destroy()
 
     entries = prefixes.select(F.col("key").alias("a"), F.col("n").alias("na"), "weight", F.posexplode("tokens").alias("ia", "token"))
     # the leader is the set whose shingles are the most common ones: the text that its near copies were made from
@@ -217,17 +212,54 @@ def joined(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE)
     other = open_.select("token", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ia").alias("ib"), F.col("root").alias("root_b"))
     rest = _filtered(open_.join(other, "token").where("root < root_b"), share).join(met, ["a", "b"], "left_anti")
     more = _verified(stored(_possible(rest, prefixes, share), "pairs"), text, words, share)
-    roots = components(links.unionAll(more)).withColumnRenamed("node", "key")
+    return components(links.unionAll(more))
+
+
+def _all_marks(docs: DataFrame, words: int) -> DataFrame:
+    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_marked(words), _MARKS), "marks")
 
+
+def joined(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of (doc_id, text); doc_id is cast to long.
+
+    Words are runs of other characters than white space, A-Z lower-cased; a text with fewer words than a shingle is one shingle,
+    a text without words (or null) the empty set, linked with nothing. Two documents are linked when the share of common
+    shingles among all of theirs is at least `share`; component_id is the smallest doc_id reachable by links. Documents
+    with equal sets are linked, rows that repeat too. A null doc_id is never the smallest unless there is no other. Shingles
+    and sets go by 64-bit hashes.
+    """
+    held = _all_marks(docs, words)
+    roots = set_roots(docs, held, words, share).withColumnRenamed("node", "key")
+    marks = held.where("part IS NULL").select("doc_id", "n", "key")
     rooted = marks.where("n > 0").join(roots, "key", "left").select("doc_id", "n", "key", F.coalesce("root", "key").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     found = rooted.join(smallest, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return found.unionAll(marks.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def _keyed(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, shingles, begins in _sets(batch.column(1), words):
+                n = np.diff(begins)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(n)), pa.array(n), _signed(_keys(shingles, begins))], names=["row", "n", "key"])
+
+    return run
+
+
 def one_of_each_group(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
-    """The documents, with their columns, whose doc_id is their component's smallest. Rows that share an id are one document, of
-    which one row stays; rows without an id cannot be named as copies and stay."""
-    found = joined(docs, words, share).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    """The documents, with their columns, that stand for their component: one row of each, that of the smallest doc_id (null last, then
+    by set and text).
+
+    Rows are grouped by their texts alone: rows that share a doc_id but differ in text are documents of their own, rows without
+    doc_id are grouped like any others. Texts without words are linked with nothing and stay.
+    """
+    held = _all_marks(docs, words)
+    roots = set_roots(docs, held, words, share).withColumnRenamed("node", "key")
+    row = StructType([StructField("row", docs.schema), StructField("n", LongType()), StructField("key", LongType())])
+    keyed = docs.select(F.struct("*").alias("row"), "text").mapInArrow(_keyed(words), row)
+    rooted = keyed.where("n > 0").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    # of a component, each task hands on one row
+    first = Window.partitionBy("root").orderBy(F.asc_nulls_last("row.doc_id"), "key", F.xxhash64("row.text"))
+    kept = rooted.withColumn("place", F.row_number().over(first)).where("place = 1").select("row.*")
+    return kept.unionByName(docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(WORDLESS)))

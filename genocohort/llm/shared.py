@@ -12,14 +12,20 @@ from pyspark.sql import functions as F
 
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch: rows are texts of any length, so a number of rows bounds nothing. A longer text stands alone.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shipped(spark: SparkSession) -> SparkSession:
-    """Gives the executors' Python workers this library, once per application, whether or not it is installed there.
+    """Gives the executors' Python workers this library, once per application, whether or not it is installed there, and bounds the
+    session's Arrow batches by bytes if they are not bounded as tightly already.
 
     The archive is the driver's own: Spark's file server hands it out.
     """
     context = spark.sparkContext
+    if int(spark.conf.get(_BATCH_SETTING).removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parents[1]
         archive = Path(tempfile.mkdtemp(prefix="library-")) / f"{root.name}.zip"

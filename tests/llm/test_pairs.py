@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from genocohort.llm import graphs, jaccard, vectors
 from genocohort.llm.shared import shipped
@@ -50,12 +51,14 @@ def test_joined_as_brute_force(spark, words, share):
 
 def test_one_of_each_group(spark):
     shipped(spark)
-    df = documents(spark, extra="key root")
-    kept = jaccard.one_of_each_group(df.unionAll(df.where("doc_id = 5")))
+    df = documents(spark, extra="key root row n")
+    odd = documents(spark, [prose(901, 60), prose(902, 60)]).select(F.lit(5).cast("long").alias("doc_id"), "text")
+    copies = documents(spark, [prose(903, 60)] * 3).select(F.lit(None).cast("long").alias("doc_id"), "text")
+    kept = jaccard.one_of_each_group(df.unionAll(df.where("doc_id = 5")).unionByName(odd, allowMissingColumns=True).unionByName(copies, allowMissingColumns=True))
     assert kept.columns == df.columns
     ids = [r["doc_id"] for r in kept.collect()]
-    # 5 and 6 are the same words, 7 and 8 the same text, 11 and 12 nearly
-    assert sorted(x for x in ids if x is not None) == [0, 1, 2, 4, 5, 7, 9, 10, 11, 13, 14] and ids.count(None) == 1
+    # 5 and 6 are the same words, 7 and 8 the same text, 11 and 12 nearly; two other texts have the id 5, three copies of one none
+    assert sorted(x for x in ids if x is not None) == [0, 1, 2, 4, 5, 5, 5, 7, 9, 10, 11, 13, 14] and ids.count(None) == 2
     assert jaccard.one_of_each_group(empty(spark)).count() == 0
 
 

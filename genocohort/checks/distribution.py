@@ -85,13 +85,8 @@ Q_SQL = ", ".join(f"quantile_cont(raw_score, {p / 100})::FLOAT::DOUBLE AS p{p}"
 
 @check("ag4_quantiles", f"WITH {MEMBER_SQL} SELECT pgs_id, population, {Q_SQL} FROM ms GROUP BY 1, 2")
 def ag4(v):
-    q = D.exact_quantiles(
-        member_scores(v), ["pgs_id", "population"], "raw_score", [p / 100 for p in QUANTILE_PERCENTS], "q"
-    )
-    return q.select(
-        "pgs_id", "population",
-        *[single(F.get("q", F.lit(i))).alias(f"p{p}") for i, p in enumerate(QUANTILE_PERCENTS)],
-    )
+    d = D.score_distribution(member_scores(v), ["pgs_id", "population"], "raw_score")
+    return d.select("pgs_id", "population", *[single(F.element_at("quantiles", str(p))).alias(f"p{p}") for p in QUANTILE_PERCENTS])
 
 
 @check("ag5_sum_scale_distribution", f"""WITH {MEMBER_SQL} SELECT pgs_id, population, round(avg(score_sum), 8) AS sum_mean,

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..constants import BUILDABLE, MIX_PARTS, MIX_SEED, POPULATIONS, QUANTILE_PERCENTS
 from ..functions import scores as S
+from ..session import written
 from .picks import first_rows
-from .running import exact_quantiles, ordinal
+from .running import ordinal, select_quantiles, sketch_brackets
 
 
 def population_table(spark: SparkSession) -> DataFrame:
@@ -48,7 +49,9 @@ def score_distribution(
 ) -> DataFrame:
     """n, mean, sample standard deviation (0 for one sample), min, max, quantiles and median of ``value``.
 
-    ``more``: further aggregates to take in the same pass."""
+    Two passes over ``scores``: the first takes the moments and a quantile sketch, the second orders the values near the quantiles.
+    ``more``: further aggregates to take in the first pass."""
+    shares = [p / 100 for p in QUANTILE_PERCENTS]
     base = scores.groupBy(*keys).agg(
         F.count(value).alias("n_samples"),
         F.avg(value).alias(f"{prefix}mean"),
@@ -56,23 +59,24 @@ def score_distribution(
         F.min(value).alias(f"{prefix}min"),
         F.max(value).alias(f"{prefix}max"),
         *more,
+        sketch_brackets(value, shares).alias("_brackets"),
     )
-    shares = [p / 100 for p in QUANTILE_PERCENTS]
-    quantiles = exact_quantiles(scores, keys, value, shares, "_q")
+    quantiles = select_quantiles(scores, base.withColumnRenamed("n_samples", "_n"), keys, value, shares, "_q")
     median = F.get("_q", F.lit(QUANTILE_PERCENTS.index(50)))
     as_map = F.map_from_arrays(F.array(*[F.lit(str(p)) for p in QUANTILE_PERCENTS]), F.col("_q"))
     return base.join(quantiles, list(keys)).select(
-        *base.columns, median.alias(f"{prefix}median"), as_map.alias(f"{prefix}quantiles")
+        *[c for c in base.columns if c != "_brackets"], median.alias(f"{prefix}median"), as_map.alias(f"{prefix}quantiles")
     )
 
 
 def reference_stats(panel_scores: DataFrame, samples: DataFrame) -> DataFrame:
     """Stats per (score, population) on the AVG scale, with mean and spread of the SUM scale.
 
-    ``panel_scores`` needs sample_id, pgs_id, score_sum, raw_score.
+    ``panel_scores`` needs sample_id, pgs_id, score_sum, raw_score. They are written once, as two passes read them.
     """
     by = ["pgs_id", "population"]
-    member_scores = panel_scores.where(F.col("raw_score").isNotNull()).join(memberships(samples), "sample_id")
+    raw = written(panel_scores.where(F.col("raw_score").isNotNull()).select("sample_id", "pgs_id", "score_sum", "raw_score"), "panel-scores")
+    member_scores = raw.join(memberships(samples), "sample_id")
     sum_scale = [
         F.avg("score_sum").alias("sum_mean"), F.coalesce(F.stddev_samp("score_sum"), F.lit(0.0)).alias("sum_std")
     ]

@@ -47,42 +47,45 @@ def numbered(df: DataFrame, column: str, out: str) -> DataFrame:
     return ordinal(spread, [], F.col("_spread"), ["_spread", column], out).select(column, out)
 
 
-#: Buckets of a group with more distinct values than one bucket takes.
-BUCKETS = 256
+#: Half width of a bracket as a share of its group, accuracy of the sketch (a sixteenth of that), and groups too small for brackets.
+MARGIN, ACCURACY, SMALL = 1 / 256, 4096, 1024
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], out: str, rows_per_bucket: int = 2048
-) -> DataFrame:
-    """Linear-interpolation quantiles per group as array column ``out`` (one element per share).
+def sketch_brackets(value: str, shares: Sequence[float]) -> Column:
+    """An aggregate beside others of the same pass: values of a mergeable sketch on either side of each share."""
+    return F.percentile_approx(value, [x for p in shares for x in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))], ACCURACY)
+
 
-    Equal values are counted before anything is ordered, so a value shared by most rows costs one row. A small group is
-    one bucket; a larger one is cut at its approximate quantiles, so that its buckets hold about equally many distinct
-    values however the values are spread, far outliers included.
+def select_quantiles(df: DataFrame, sketched: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], out: str) -> DataFrame:
+    """Linear-interpolation quantiles per group as array column ``out``, exact, by a second pass over ``df``.
+
+    ``sketched`` has, per group, ``_n`` (its non-null values) and ``_brackets`` (from sketch_brackets). Values between brackets are only
+    counted, one row a gap; those inside, a few hundredths, are ordered, gap by gap. All values of a small group are.
+    A quantile that no bracket held would raise; the brackets are sixteen times as wide as the sketch may be off.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    inner = [i / BUCKETS for i in range(1, BUCKETS)]
-    ranges = counted.groupBy(*keys).agg(
-        F.percentile_approx(value, inner, 4 * BUCKETS).alias("_borders"), F.count(F.lit(1)).alias("_values"), F.sum("_n").alias("_total")
-    ).withColumn("_borders", F.when(F.col("_values") > rows_per_bucket, F.col("_borders")).otherwise(F.slice("_borders", 1, 0))).drop("_values")
-    bucket = F.size(F.filter("_borders", lambda b: b < F.col(value)))
-    placed = running_total(counted.join(ranges, list(keys)), keys, bucket, [value], F.col("_n"), "_upto")
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")).join(sketched.select(*keys, "_n", "_brackets"), list(keys))
+    v = F.col("_v")
+    pairs = [(F.get("_brackets", F.lit(2 * i)), F.get("_brackets", F.lit(2 * i + 1))) for i in range(len(shares))]
+    inside = F.col("_n") < SMALL
+    for low, high in pairs:
+        inside = inside | ((v >= low) & (v <= high))
+    # a place among the borders that never falls as the value rises, odd on a border itself
+    gap = F.size(F.filter("_brackets", lambda b: b < v)) + F.size(F.filter("_brackets", lambda b: b <= v))
+    counted = rows.select(*keys, "_n", gap.alias("_gap"), F.when(inside, v).alias("_v")).groupBy(*keys, "_gap", "_v").agg(F.count(F.lit(1)).alias("_times"), F.first("_n").alias("_n"))
+    placed = running_total(counted, keys, F.col("_gap"), ["_v"], F.col("_times"), "_upto")
 
     def at(place: Column) -> Column:
-        inside = (F.col("_upto") - F.col("_n") <= place) & (place < F.col("_upto"))
-        return F.max(F.when(inside, F.col(value)))
-
-    picks = []
-    for i, share in enumerate(shares):
-        place = F.lit(float(share)) * (F.col("_total") - 1)
-        picks += [at(F.floor(place)).alias(f"_a{i}"), at(F.ceil(place)).alias(f"_b{i}")]
-    picked = placed.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
-    values = []
-    for i, share in enumerate(shares):
-        place = F.lit(float(share)) * (F.col("_total") - 1)
-        part = place - F.floor(place)
-        values.append(F.col(f"_a{i}") * (1 - part) + F.col(f"_b{i}") * part)
-    return picked.select(*keys, F.array(*values).alias(out))
+        return F.max(F.when((F.col("_upto") - F.col("_times") <= place) & (place < F.col("_upto")), F.col("_v")))
+
+    place = lambda share: F.lit(float(share)) * (F.col("_n") - 1)
+    picks = [x for i, p in enumerate(shares) for x in (at(F.floor(place(p))).alias(f"_a{i}"), at(F.ceil(place(p))).alias(f"_b{i}"))]
+    picked = placed.groupBy(*keys).agg(F.first("_n").alias("_n"), *picks)
+    missed = F.lit(False)
+    for i in range(len(shares)):
+        missed = missed | F.col(f"_a{i}").isNull() | F.col(f"_b{i}").isNull()
+    part = lambda p: place(p) - F.floor(place(p))
+    values = F.array(*[F.col(f"_a{i}") * (1 - part(p)) + F.col(f"_b{i}") * part(p) for i, p in enumerate(shares)])
+    return picked.select(*keys, F.when(missed, F.raise_error(F.lit("a quantile lies outside its bracket"))).otherwise(values).alias(out))
 
 
 def nth_value(df: DataFrame, keys: Sequence[str], value: str, place_of_total, out: str) -> DataFrame:

@@ -52,6 +52,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table as files in the shared folder, for what several passes read."""
+    place = shared_folder(df.sparkSession, name)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"

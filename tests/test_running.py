@@ -7,11 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from genocohort.functions.genotype import whole
+from genocohort.operators import running
 from genocohort.operators.intervals import interval_join, lift_positions
 from genocohort.operators.mart import pack_batches
 from genocohort.operators.picks import first_rows
 from genocohort.operators.qc import upper_median
-from genocohort.operators.running import exact_quantiles, ordinal, running_total
+from genocohort.operators.running import ordinal, running_total
 
 
 def test_running_total_spans_buckets(spark):
@@ -28,13 +29,32 @@ def test_running_total_spans_buckets(spark):
     assert places == {(k, p): i for k in "ab" for i, (_, p, _) in enumerate(sorted(r for r in rows if r[0] == k))}
 
 
-@pytest.mark.parametrize("values", [[1.0], [2.0] * 50, [0.0, 1e9] + [1e-6 * i for i in range(200)], [-3.0, 4.0, 4.0, 9.5]])
-def test_exact_quantiles(spark, values):
-    df = spark.createDataFrame([("g", v) for v in values] + [("g", None)], "g string, v double")
+QUANTILE_CASES = [[1.0], [2.0] * 50, [0.0, 1e9] + [1e-6 * i for i in range(200)], [-3.0, 4.0, 4.0, 9.5], [float(i * i % 7919) for i in range(5000)], [5.0] * 3000 + [1.0, 9.0], [10.0**i for i in range(-300, 300)] * 4]
+
+
+@pytest.mark.parametrize("values", QUANTILE_CASES)
+@pytest.mark.parametrize("small", [0, 1024])
+def test_sketch_then_select(spark, monkeypatch, values, small):
+    """Two groups at once, one part a task, small groups with and without brackets."""
+    monkeypatch.setattr(running, "SMALL", small if len(values) > 500 else 1024)
+    df = spark.createDataFrame([("g", v) for v in values] + [("g", None)] + [("h", v + 1) for v in values], "g string, v double").repartition(6)
     shares = [0.01, 0.25, 0.5, 0.9, 0.99]
-    for rows_per_bucket in (2, 2048):
-        got = exact_quantiles(df, ["g"], "v", shares, "q", rows_per_bucket).first().q
-        assert got == pytest.approx([np.percentile(values, s * 100) for s in shares])
+    sketched = df.groupBy("g").agg(F.count("v").alias("_n"), running.sketch_brackets("v", shares).alias("_brackets"))
+    got = {r.g: r.q for r in running.select_quantiles(df, sketched, ["g"], "v", shares, "q").collect()}
+    for group, more in (("g", 0), ("h", 1)):
+        assert got[group] == pytest.approx([np.percentile([v + more for v in values], s * 100) for s in shares])
+
+
+def test_values_between_brackets_are_only_counted(spark):
+    values = [(float(i),) for i in range(20_000)]
+    df = spark.createDataFrame(values, "v double").withColumn("g", F.lit(1))
+    shares = [0.5]
+    sketched = df.groupBy("g").agg(F.count("v").alias("_n"), running.sketch_brackets("v", shares).alias("_brackets"))
+    low, high = sketched.first()["_brackets"]
+    assert high - low < 3 * running.MARGIN * 20_000 and low < 9_999 < high
+    wrong = sketched.withColumn("_brackets", F.array(F.lit(1.0), F.lit(2.0)))
+    with pytest.raises(Exception, match="outside its bracket"):
+        running.select_quantiles(df, wrong, ["g"], "v", shares, "q").collect()
 
 
 @pytest.mark.parametrize("values", [[5], [1, 9], [3, 3, 3, 40], [0, 1, 2, 3, 1000]])

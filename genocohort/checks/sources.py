@@ -13,6 +13,7 @@ from ..sources import sinks as S
 from ..sources import tables as T
 from ..sources import vcf as V
 from ..streaming.arrivals import prepare_arrivals
+from .cohort import COHORT_SQL, GENOTYPES, cohort_lines
 from .distribution import MEMBER_SQL, panel_scores
 from .registry import check
 
@@ -186,16 +187,22 @@ def snk7(v):
     return D.read_log(v.spark, folder).select("task_id", "status")
 
 
-@check("st1_arriving_files", VCF_SQL.replace("concat('s', sample_id) AS sample_id", "CAST(sample_id % 4 AS VARCHAR) AS lot"))
+@check("st1_arriving_files", f"""WITH {COHORT_SQL} {VCF_SQL.replace("concat('s', sample_id) AS sample_id", "CAST(sample_id % 4 AS VARCHAR) AS lot, 'file' AS sample_id")}
+   UNION ALL SELECT '4', concat('h', n), chrom, CASE WHEN blocked THEN pos - 15 ELSE pos END, CASE WHEN blocked THEN pos + 15 ELSE pos END, '.', CASE WHEN blocked THEN 'N' ELSE ref END,
+     CASE WHEN blocked THEN '<*>' ELSE concat(alt, ',', alt2) END, CASE WHEN blocked THEN '0/0' ELSE ({GENOTYPES})[(variant_id * 7 + n * 3) % {len(GENOTYPES)} + 1] END, NULL, blocked FROM hv, hs""")
 def st1(v):
-    """Two lots of files arrive one after the other; each is taken in once."""
+    """Lots of files arrive one after the other, the last one a file of six samples, in parts of which only one holds the header; each is
+    taken in once, and every sample keeps its records."""
     source, target, state = (shared_folder(v.spark, n) for n in ("arrivals", "records", "state"))
     lines = vcf_lines(v).withColumn("lot", (F.regexp_extract("file", r"s(\d+)\.", 1).cast("bigint") % 4).cast("string")).drop("file")
-    for lots in (("0", "1"), ("2", "3")):
-        part = lines.where(F.col("lot").isin(*lots)).repartition(4, "lot")
+    cohort = cohort_lines(v).select("value", F.lit("4").alias("lot"))
+    head_first = F.when(F.col("value").startswith("#"), 0).otherwise(1)
+    for part in (lines.where("lot IN ('0', '1')").repartition(4, "lot"), lines.where("lot IN ('2', '3')").repartition(4, "lot"), cohort.coalesce(1).sortWithinPartitions(head_first)):
         part.write.mode("append").partitionBy("lot").text(source)
         prepare_arrivals(v.spark, source, target, state)
-    return v.spark.read.parquet(target).select(F.col("lot").cast("string").alias("lot"), "chrom", "pos", "end_pos", "id", "ref", "alt_csv", "gt", "min_dp", "is_ref_block")
+    return v.spark.read.parquet(target).select(
+        F.col("lot").cast("string").alias("lot"), F.when(F.col("lot") == 4, F.col("sample_id")).otherwise(F.lit("file")).alias("sample_id"), "chrom", "pos", "end_pos", "id", "ref", "alt_csv", "gt",
+        "min_dp", "is_ref_block")
 
 
 # ---- ingest -----------------------------------------------------------------------------------------------------------

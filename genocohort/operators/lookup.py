@@ -11,7 +11,13 @@ from ..functions import genotype as G
 from .intervals import interval_join
 from .picks import first_rows
 
-FILE_ORDER = ("pos", "ref", "alt_csv", "gt")
+#: Order of records of which it is not known where they stood in their file.
+SPELLING_ORDER = ("pos", "ref", "alt_csv", "gt")
+
+
+def file_order(records: DataFrame) -> list[str]:
+    """The columns that put a sample's records in file order: their line, or else their spelling."""
+    return ["line_no"] if "line_no" in records.columns else list(SPELLING_ORDER)
 
 
 def evidence_at_sites(sites: DataFrame, records: DataFrame) -> DataFrame:
@@ -38,11 +44,11 @@ def evidence_at_sites(sites: DataFrame, records: DataFrame) -> DataFrame:
     )
 
 
-def first_by_id(records: DataFrame, order: Sequence[str] = FILE_ORDER) -> DataFrame:
-    return first_rows(records.where(F.col("id") != "."), ["sample_id", "id"], list(order))
+def first_by_id(records: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
+    return first_rows(records.where(F.col("id") != "."), ["sample_id", "id"], list(order or file_order(records)))
 
 
-def look_up(wanted: DataFrame, records: DataFrame, order: Sequence[str] = FILE_ORDER) -> DataFrame:
+def look_up(wanted: DataFrame, records: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     """Best answer per wanted row.
 
     ``wanted``: request keys plus sample_id, rsid (null: not callable from short variants), chrom, pos, ref, alt (null
@@ -88,17 +94,17 @@ def look_up(wanted: DataFrame, records: DataFrame, order: Sequence[str] = FILE_O
     )
 
 
-def batch_genotypes(wanted: DataFrame, records: DataFrame, order: Sequence[str] = FILE_ORDER) -> DataFrame:
+def batch_genotypes(wanted: DataFrame, records: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     """Genotype per wanted rsID in one pass: by id, else by position with the alleles checked, else a reference block,
     else inferred reference. Calls without an id are found by their position."""
     return look_up(wanted, records, order).drop("found", "expected_ref", "expected_alt")
 
 
 def genotypes_by_position(regions: DataFrame, records: DataFrame) -> DataFrame:
-    """Genotype at each asked position; the last record of a position wins."""
+    """Genotype at each asked position; the last record of a position in its file wins (without ``line_no``: the last by spelling)."""
     last = first_rows(
         records.join(regions.select("sample_id", "chrom", "pos").distinct(), ["sample_id", "chrom", "pos"], "left_semi"),
-        ["sample_id", "chrom", "pos"], [F.col(c).desc() for c in ("ref", "alt_csv", "gt")],
+        ["sample_id", "chrom", "pos"], [F.col(c).desc() for c in file_order(records)],
     )
     return last.select("sample_id", "chrom", "pos", "gt")
 

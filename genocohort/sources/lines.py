@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,20 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, value, line_no): lines with their number in the file, from 0, the same however Spark splits the files.
+
+    The lines of every split are counted, and counts are added up over the splits before it in its file; inside a split a line's
+    place is its distance from the split's first. The splits, a row each, are joined by file and offset, so a large file is many keys.
+    """
+    split = [F.col("line_order.block").alias("block"), F.col("line_order.n").alias("n")]
+    lines = read_lines(spark, paths).select("file", "value", *split)
+    splits = read_lines(spark, paths).select("file", *split).groupBy("file", "block").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("lines"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = splits.select("file", "block", "first", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("before"))
+    return lines.join(placed, ["file", "block"]).select("file", "value", (F.col("before") + F.col("n") - F.col("first")).alias("line_no"))
+
+
 def split_columns(rows: DataFrame, headers: DataFrame, by: str = "file") -> DataFrame:
     """Attach ``cells``: column name -> text, using the header row of each file."""
     named = rows.join(headers, by)

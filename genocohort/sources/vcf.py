@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import files as N
 from ..functions import genotype as G
-from .lines import read_lines
+from .lines import numbered_lines, read_lines
 
 
 def parse_vcf(lines: DataFrame, keep: tuple[str, ...] = ("file",)) -> DataFrame:
@@ -27,7 +27,7 @@ def parse_vcf(lines: DataFrame, keep: tuple[str, ...] = ("file",)) -> DataFrame:
         return F.when(place > 0, F.get(sample, place - 1))
 
     end = F.element_at(info, "END")
-    carried = [*keep, *[c for c in ("line_order",) if c in lines.columns]]
+    carried = [*keep, *[c for c in ("line_order", "line_no") if c in lines.columns]]
     out = body.select(*carried, "value", F.posexplode_outer(columns).alias("sample_no", "sample_text")).select(
         *carried, "sample_no",
         G.bare_chrom(f[0]).alias("chrom"),
@@ -48,20 +48,28 @@ def parse_vcf(lines: DataFrame, keep: tuple[str, ...] = ("file",)) -> DataFrame:
 
 
 def sample_names(lines: DataFrame, by: str = "file") -> DataFrame:
-    """(file, sample_no, sample_id) from the column header of each file; a file with one sample is named by its file."""
+    """(file, sample_no, sample_id) from the column header of each file, once if it is repeated; a file with one sample is named by its
+    file."""
     names = F.split("value", "\t")
     heads = lines.where(F.col("value").startswith("#CHROM") & (F.size(names) > 9))
-    return heads.select(by, F.size(names).alias("_n"), F.posexplode(F.slice(names, F.lit(10), F.greatest(F.size(names) - 9, F.lit(0)))).alias("sample_no", "_name")).select(
+    named = heads.select(by, F.size(names).alias("_n"), F.posexplode(F.slice(names, F.lit(10), F.greatest(F.size(names) - 9, F.lit(0)))).alias("sample_no", "_name")).select(
         by, "sample_no", F.when(F.col("_n") > 10, F.col("_name")).otherwise(N.sample_from_file(N.base_name(F.col(by)))).alias("sample_id")
     )
+    return named.groupBy(by, "sample_no").agg(F.min("sample_id").alias("sample_id"))
+
+
+def with_samples(records: DataFrame, names: DataFrame, by: str = "file") -> DataFrame:
+    """Records named by file and sample column (``names``: by, sample_no, sample_id). Without a header the first column has the name of its
+    file, and each further one that name and its number, so that samples never mix."""
+    of_file = N.sample_from_file(N.base_name(F.col(by)))
+    unnamed = F.when(F.coalesce("sample_no", F.lit(0)) > 0, F.concat(of_file, F.lit("#"), (F.col("sample_no") + 1).cast("string"))).otherwise(of_file)
+    return records.join(names, [by, "sample_no"], "left").withColumn("sample_id", F.coalesce("sample_id", unnamed)).drop("sample_no")
 
 
 def read_vcf(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """All records of all samples of all files; joined by file and sample column, so a large file is many keys or one
-    that can be split."""
-    lines = read_lines(spark, paths)
-    named = parse_vcf(lines).join(sample_names(lines), ["file", "sample_no"], "left")
-    return named.withColumn("sample_id", F.coalesce("sample_id", N.sample_from_file(N.base_name(F.col("file"))))).drop("sample_no")
+    """All records of all samples of all files, with their line in the file (``line_no``); joined by file and sample column, so a large
+    file is many keys or one that can be split."""
+    return with_samples(parse_vcf(numbered_lines(spark, paths)), sample_names(read_lines(spark, paths)))
 
 
 def detect_gvcf(records: DataFrame, by: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ import gzip
 
 from pyspark.sql import functions as F
 
+from genocohort.operators.lookup import first_by_id, genotypes_by_position
 from genocohort.operators.scoring import match_effect_allele
 from genocohort.sources import documents as D
 from genocohort.sources import headers as H
@@ -12,7 +13,7 @@ from genocohort.sources import scorefile as SF
 from genocohort.sources import sinks as S
 from genocohort.sources import tables as T
 from genocohort.sources import vcf as V
-from genocohort.sources.lines import read_lines
+from genocohort.sources.lines import numbered_lines, read_lines
 from genocohort.streaming.arrivals import prepare_arrivals
 
 VCF = """##fileformat=VCFv4.2
@@ -37,7 +38,7 @@ def put(path, text):
 
 def test_vcf(spark, tmp_path):
     path = put(tmp_path / "P1.g.vcf.gz", VCF)
-    rows = V.read_vcf(spark, path).orderBy("line_order").collect()
+    rows = V.read_vcf(spark, path).orderBy("line_no").collect()
     assert [(r.sample_id, r.chrom, r.pos, r.end_pos, r.gt, r.min_dp, r.is_ref_block) for r in rows] == [
         ("P1", "1", 100, 100, "0/1", 18, False), ("P1", "1", 101, 150, "0/0", 9, True), ("P1", "MT", 7, 7, "1", None, False)]
     assert V.detect_gvcf(V.read_vcf(spark, path), ["file"]).first().is_gvcf
@@ -104,6 +105,51 @@ def test_bucketed_genotypes_join_without_a_shuffle(spark, tmp_path):
         spark.sql("DROP TABLE bucketed_weights")
 
 
+COHORT = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1\tS2\tS3\n" + "".join(f"chr1\t{p}\trs{p}\tA\tG\t.\t.\t.\tGT\t0/0\t0/1\t1/1\n" for p in range(100, 400))
+
+
+def test_samples_of_an_arriving_file_stay_apart(spark, tmp_path):
+    """Three samples in one file, its header and body in different tasks; a file without a header mixes nothing either."""
+    put(tmp_path / "in" / "cohort.vcf", COHORT)
+    put(tmp_path / "in" / "bare.vcf", COHORT.split("S3\n")[1])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        prepare_arrivals(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = {(r.sample_id, r.gt, r["count"]) for r in spark.read.parquet(f"{tmp_path}/out").groupBy("sample_id", "gt").count().collect()}
+    assert got == {("S1", "0/0", 300), ("S2", "0/1", 300), ("S3", "1/1", 300), ("bare", "0/0", 300), ("bare#2", "0/1", 300), ("bare#3", "1/1", 300)}
+
+
+def test_line_numbers_do_not_depend_on_splits(spark, tmp_path):
+    text = "".join(f"line {i} {'x' * (i % 37)}\n" for i in range(2000))
+    put(tmp_path / "a.txt", text)
+    put(tmp_path / "b.txt", "one\n\nthree\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    found = []
+    try:
+        for size in ("128m", "7000", "501"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = numbered_lines(spark, [f"{tmp_path}/a.txt", f"{tmp_path}/b.txt"]).collect()
+            found.append(sorted((r.file.rsplit("/", 1)[1], r.line_no, r.value) for r in rows))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [("a.txt", i, x) for i, x in enumerate(text.splitlines())] + [("b.txt", i, x) for i, x in enumerate(["one", "", "three"])]
+    assert found == [want] * 3
+
+
+def test_the_last_line_of_a_position_wins(spark, tmp_path):
+    """File order, not spelling: 1/1 stands before 0/1."""
+    head, rows = COHORT.split("S1\t")[0] + "S1\n", ["chr1\t5\trs5\tA\tT\t.\t.\t.\tGT\t1/1", "chr1\t5\trs5\tA\tG\t.\t.\t.\tGT\t0/1"]
+    for name, order in (("p", rows), ("q", rows[::-1])):
+        put(tmp_path / f"{name}.vcf", head + "\n".join(order) + "\n")
+    records = V.read_vcf(spark, f"{tmp_path}/*.vcf")
+    got = {r.sample_id: r.gt for r in genotypes_by_position(records.select("sample_id", "chrom", "pos"), records).collect()}
+    assert got == {"p": "0/1", "q": "1/1"}
+    assert {r.sample_id: r.gt for r in first_by_id(records).collect()} == {"p": "1/1", "q": "0/1"}
+
+
 def test_each_arriving_file_counts_once(spark, tmp_path):
     source, target, state = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state"
     put(tmp_path / "in" / "A.vcf", VCF)

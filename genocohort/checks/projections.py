@@ -7,6 +7,9 @@ from ..functions import files as N
 from ..functions import genotype as G
 from ..operators import alleles as A
 from ..operators import scoring as O
+from ..operators.regions import in_regions
+from ..session import shared_folder
+from ..sources import layout as LY
 from .registry import check
 
 # ---- files and headers --------------------------------------------------------------------------------------------
@@ -202,12 +205,21 @@ def pf9(v):
     return A.without_ref_blocks(v.record).select("sample_id", "chrom", "pos", "gt", "alt_csv")
 
 
-@check("pf10_region_filter", """SELECT sample_id, chrom, pos, gt FROM v_record WHERE chrom IN ('X', 'Y', 'MT') OR (chrom = '6' AND pos BETWEEN 200000 AND 700000)""")
+PF10_SQL = "SELECT sample_id, chrom, pos, gt FROM v_record WHERE chrom IN ('X', 'Y', 'MT') OR (chrom = '6' AND pos BETWEEN 200000 AND 700000)"
+PF10_REGIONS = [("X", None, None), ("Y", None, None), ("MT", None, None), ("6", 200000, 700000)]
+
+
+@check("pf10_region_filter", PF10_SQL)
 def pf10(v):
-    from ..operators.regions import in_regions
+    return v.record.where(in_regions(PF10_REGIONS)).select("sample_id", "chrom", "pos", "gt")
+
 
-    return v.record.where(in_regions([("X", None, None), ("Y", None, None), ("MT", None, None), ("6", 200000, 700000)])).select(
-        "sample_id", "chrom", "pos", "gt")
+@check("pf10_stored_regions", PF10_SQL)
+def pf10_stored(v):
+    """The same from records stored by place: folders and row groups outside the regions are not read."""
+    place = shared_folder(v.spark, "records-by-place")
+    LY.write_by_place(v.record, place)
+    return LY.read_regions(v.spark, place, PF10_REGIONS).select("sample_id", "chrom", "pos", "gt")
 
 
 @check("pf13_variant_class", """SELECT variant_id, CASE WHEN length(ref) = length(alt) THEN 'snv' ELSE 'indel' END AS variant_class,

@@ -8,6 +8,7 @@ from genocohort.operators.lookup import first_by_id, genotypes_by_position
 from genocohort.operators.scoring import match_effect_allele
 from genocohort.sources import documents as D
 from genocohort.sources import headers as H
+from genocohort.sources import layout as LY
 from genocohort.sources import reads as RD
 from genocohort.sources import scorefile as SF
 from genocohort.sources import sinks as S
@@ -159,3 +160,42 @@ def test_each_arriving_file_counts_once(spark, tmp_path):
     put(tmp_path / "in" / "B.vcf", VCF)
     prepare_arrivals(spark, source, target, state)
     assert {(r.sample_id, r["count"]) for r in spark.read.parquet(target).groupBy("sample_id").count().collect()} == {("A", 3), ("B", 3)}
+
+
+def scan_metrics(df):
+    """(files, rows) that the only scan of an executed plan has read."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaf = (plan.executedPlan() if plan.nodeName().startswith("Adaptive") else plan).collectLeaves().head()
+    return tuple(leaf.metrics().apply(name).value() for name in ("numFiles", "numOutputRows"))
+
+
+def test_a_panel_of_ten_sites_skips_files_and_row_groups(spark, tmp_path):
+    n = 400_000
+    rows = spark.range(n).select(
+        (F.col("id") % 50).alias("sample_id"), F.element_at(F.array(*[F.lit(c) for c in ("1", "2", "X")]), (F.col("id") % 3 + 1).cast("int")).alias("chrom"),
+        (F.col("id") * 397 % 150_000_000).alias("pos"), F.concat(F.lit("rs"), F.col("id").cast("string")).alias("id"))
+    place = f"{tmp_path}/records"
+    LY.write_by_place(rows, place, row_group_bytes=1 << 16)
+    every = scan_metrics(spark.read.parquet(place))
+    asked = rows.where("chrom = '2'").orderBy("pos").limit(10)
+    panel = spark.createDataFrame([(r.chrom, r.pos) for r in asked.collect()], "chrom string, pos long")
+    found = LY.read_at_sites(spark, place, panel)
+    got = scan_metrics(found)
+    assert found.count() == 10 and every[1] == n
+    assert got[0] <= every[0] / 10 and got[1] <= n / 20
+    near = LY.read_at_sites(spark, place, panel.limit(1), reach=2_000_000)
+    low = panel.first().pos
+    assert near.count() == rows.where(F.col("chrom").eqNullSafe("2") & F.col("pos").between(low - 2_000_000, low)).count()
+    by_id = LY.read_ids(spark, place, ["rs123456", "no such id"])
+    assert [r.id for r in by_id.collect()] == ["rs123456"] and scan_metrics(by_id)[1] <= n / 10
+
+
+def test_a_large_panel_is_joined(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(LY, "MOST_NAMED", 2)
+    rows = spark.range(3000).select(F.lit("7").alias("chrom"), (F.col("id") * 40_000).alias("pos"), F.lit("x").alias("id"))
+    LY.write_by_place(rows, f"{tmp_path}/r")
+    panel = rows.where("pos % 1200000 = 0").select("chrom", "pos")
+    assert LY.read_at_sites(spark, f"{tmp_path}/r", panel).count() == panel.count()
+    reach = LY.read_at_sites(spark, f"{tmp_path}/r", panel, reach=80_000).select("pos").collect()
+    assert sorted(r.pos for r in reach) == sorted({p.pos - d for p in panel.collect() for d in (0, 40_000, 80_000) if p.pos >= d})

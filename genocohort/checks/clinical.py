@@ -60,13 +60,7 @@ def jn6(v):
         F.count(F.lit(1)).alias("n"), F.countDistinct("sample_id").alias("samples"))
 
 
-@check("wn8_lookup_pick", f"WITH {LOOK_SQL} SELECT sample_id, test_no, gene, coalesce(rsid, '') AS rsid, source, genotype FROM looked WHERE source IN ('position', 'gvcf_refblock')")
-def wn8(v):
-    return looked(v).where(F.col("source").isin("position", "gvcf_refblock")).select(
-        "sample_id", "test_no", "gene", F.coalesce("rsid", F.lit("")).alias("rsid"), "source", "genotype")
-
-
-@check("wn8_every_source", f"WITH {LOOK_SQL} SELECT sample_id, test_no, gene, coalesce(rsid, '') AS rsid, source, genotype FROM looked")
+@check("wn8_lookup_pick", f"WITH {LOOK_SQL} SELECT sample_id, test_no, gene, coalesce(rsid, '') AS rsid, source, genotype FROM looked")
 def wn8_every(v):
     return looked(v).select("sample_id", "test_no", "gene", F.coalesce("rsid", F.lit("")).alias("rsid"), "source", "genotype")
 
@@ -105,13 +99,7 @@ def pl10(v):
     return L.lookup_rollup(looked(v), ["sample_id", "test_no"]).select("sample_id", "test_no", "headline")
 
 
-@check("jn27_position_genotypes", """SELECT r.sample_id, r.chrom, r.pos, r.gt FROM v_record r JOIN (SELECT DISTINCT sample_id, chrom, pos FROM v_genotype WHERE dosage = 1) q ON q.sample_id = r.sample_id AND q.chrom = r.chrom AND q.pos = r.pos
-   QUALIFY row_number() OVER (PARTITION BY r.sample_id, r.chrom, r.pos ORDER BY ref DESC, alt_csv DESC, gt DESC) = 1""")
-def jn27(v):
-    return L.genotypes_by_position(v.genotype.where("dosage = 1"), v.record)
-
-
-@check("jn27_every_position", """SELECT r.sample_id, r.chrom, r.pos, r.gt FROM v_record r JOIN (SELECT DISTINCT sample_id, chrom, pos FROM v_genotype) q ON q.sample_id = r.sample_id AND q.chrom = r.chrom AND q.pos = r.pos
+@check("jn27_position_genotypes", """SELECT r.sample_id, r.chrom, r.pos, r.gt FROM v_record r JOIN (SELECT DISTINCT sample_id, chrom, pos FROM v_genotype) q ON q.sample_id = r.sample_id AND q.chrom = r.chrom AND q.pos = r.pos
    QUALIFY row_number() OVER (PARTITION BY r.sample_id, r.chrom, r.pos ORDER BY ref DESC, alt_csv DESC, gt DESC) = 1""")
 def jn27_every(v):
     return L.genotypes_by_position(v.genotype, v.record)
@@ -169,19 +157,13 @@ def sc8(v):
     return P.repeat_classes(counts).select("call_id", "gene", "repeats", "repeat_class", "carrier")
 
 
-@check("sc9_hla_proxy", """SELECT sample_id, rsid, hla_allele, CASE WHEN gt IN ('0/0') THEN 'non-carrier' WHEN gt IN ('./.', '0/.') THEN 'undetermined' ELSE 'carrier' END AS carrier_state
-   FROM v_genotype JOIN (SELECT rsid, concat('B*', gene) AS hla_allele FROM v_variant WHERE clnsig = 'Pathogenic') USING (rsid)""")
-def sc9(v):
-    return proxy_carriers(v, v.variant.where("clnsig = 'Pathogenic'"))
-
-
 def proxy_carriers(v, variants):
     proxies = variants.select("rsid", F.concat(F.lit("B*"), "gene").alias("hla_allele"))
     calls = v.genotype.select("sample_id", "rsid", F.col("gt").alias("genotype"))
     return P.hla_proxy_carriers(calls, proxies).select("sample_id", "rsid", "hla_allele", "carrier_state")
 
 
-@check("sc9_every_proxy", """SELECT sample_id, rsid, hla_allele, CASE WHEN gt IN ('0/0') THEN 'non-carrier' WHEN gt IN ('./.', '0/.') THEN 'undetermined' ELSE 'carrier' END AS carrier_state
+@check("sc9_hla_proxy", """SELECT sample_id, rsid, hla_allele, CASE WHEN gt IN ('0/0') THEN 'non-carrier' WHEN gt IN ('./.', '0/.') THEN 'undetermined' ELSE 'carrier' END AS carrier_state
    FROM v_genotype JOIN (SELECT rsid, concat('B*', gene) AS hla_allele FROM v_variant) USING (rsid)""")
 def sc9_every(v):
     return proxy_carriers(v, v.variant)

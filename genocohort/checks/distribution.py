@@ -185,26 +185,12 @@ def pl5(v):
     )
 
 
-@check("sc11_z_score", f"WITH {PCT_SQL} SELECT sample_id, pgs_id, population, zz AS z_score FROM pct WHERE is_primary AND std > 0")
-def sc11(v):
-    return cohort_percentiles(v).where("is_primary and std > 0").select(
-        "sample_id", "pgs_id", "population", F.col("z").alias("z_score"))
-
-
-@check("sc11_every_population", f"WITH {PCT_SQL} SELECT sample_id, pgs_id, population, is_primary, zz AS z_score FROM pct")
+@check("sc11_z_score", f"WITH {PCT_SQL} SELECT sample_id, pgs_id, population, is_primary, zz AS z_score FROM pct")
 def sc11_every(v):
     return cohort_percentiles(v).select("sample_id", "pgs_id", "population", "is_primary", F.col("z").alias("z_score"))
 
 
-@check("sc12_normal_percent", f"""WITH {PCT_SQL} SELECT sample_id, pgs_id, population,
-    round(pct, 4) AS percent FROM pct WHERE is_primary AND std > 0""")
-def sc12(v):
-    p = cohort_percentiles(v).where("is_primary and std > 0")
-    z = (S.comparable_score(F.col("raw_score"), F.col("score_sum"), F.col("mean")) - F.col("mean")) / F.col("std")
-    return p.select("sample_id", "pgs_id", "population", F.round(S.normal_percent(z), 4).alias("percent"))
-
-
-@check("sc12_every_population", f"WITH {PCT_SQL} SELECT sample_id, pgs_id, population, is_primary, round(pct, 4) AS percent FROM pct")
+@check("sc12_normal_percent", f"WITH {PCT_SQL} SELECT sample_id, pgs_id, population, is_primary, round(pct, 4) AS percent FROM pct")
 def sc12_every(v):
     z = (S.comparable_score(F.col("raw_score"), F.col("score_sum"), F.col("mean")) - F.col("mean")) / F.when(F.col("std") > 0, F.col("std"))
     return cohort_percentiles(v).select("sample_id", "pgs_id", "population", "is_primary", F.round(S.normal_percent(z), 4).alias("percent"))
@@ -234,18 +220,6 @@ def pl6(v):
     return D.percentiles(cohort_scores(v), refs, v.stats).select("sample_id", "pgs_id", "percentile")
 
 
-@check("sc16_confidence", f"""WITH {PCT_SQL}, t AS (SELECT pgs_id, count(*) AS total FROM v_score GROUP BY 1),
-  f AS (SELECT pct.sample_id, pct.pgs_id, pct.reason, round(matched * 100.0::DOUBLE / total, 1) AS rate,
-      concat_ws(',', CASE WHEN mean IS NULL OR std IS NULL THEN 'no_precomputed_stats' END,
-        CASE WHEN round(matched * 100.0::DOUBLE / total, 1) < 95 THEN 'match_rate_below_95pct' END,
-        CASE WHEN pct.sample_id % 3 = 0 THEN 'build_validation_not_passed' END,
-        CASE WHEN std > 0 AND (abs(zz) > 4 OR collapsed OR pct < 0.5 OR pct > 99.5) THEN 'sanity_gates_tripped' END) AS reasons
-    FROM pct JOIN scored USING (sample_id, pgs_id) JOIN t ON t.pgs_id = pct.pgs_id WHERE is_primary)
-  SELECT sample_id, pgs_id, reasons, CASE WHEN reasons = '' THEN 'high' ELSE 'low' END AS confidence FROM f""")
-def sc16(v):
-    return confidence(v, cohort_percentiles(v).where("is_primary")).select("sample_id", "pgs_id", "reasons", "confidence")
-
-
 def confidence(v, percentiles):
     rates = O.score_samples(v.genotype, v.score).select("sample_id", "pgs_id", "match_rate_value")
     p = percentiles.join(rates, ["sample_id", "pgs_id"])
@@ -258,7 +232,7 @@ def confidence(v, percentiles):
     )
 
 
-@check("sc16_every_population", f"""WITH {PCT_SQL}, t AS (SELECT pgs_id, count(*) AS total FROM v_score GROUP BY 1),
+@check("sc16_confidence", f"""WITH {PCT_SQL}, t AS (SELECT pgs_id, count(*) AS total FROM v_score GROUP BY 1),
   f AS (SELECT pct.sample_id, pct.pgs_id, population, is_primary, concat_ws(',', CASE WHEN mean IS NULL OR std IS NULL THEN 'no_precomputed_stats' END,
         CASE WHEN round(matched * 100.0::DOUBLE / total, 1) < 95 THEN 'match_rate_below_95pct' END,
         CASE WHEN pct.sample_id % 3 = 0 THEN 'build_validation_not_passed' END,
@@ -277,16 +251,6 @@ def sc17(v):
     return O.score_samples(v.genotype, v.score).select("sample_id", "pgs_id", "status", "no_report")
 
 
-@check("pl4_polygenic_score", f"""WITH {PCT_SQL}, t AS (SELECT pgs_id, count(*) AS total FROM v_score GROUP BY 1)
-  SELECT s.sample_id, s.pgs_id, round(s.score_sum, 6) AS score_sum, s.matched, t.total,
-    round(s.matched * 100.0::DOUBLE / t.total, 1) AS match_rate_value,
-    CASE WHEN s.matched = 0 OR s.matched * 100.0::DOUBLE / t.total < 60 THEN 'failed' WHEN s.matched * 100.0::DOUBLE / t.total < 85 THEN 'warning' ELSE 'passed' END AS status,
-    pct.population, CASE WHEN pct.population IS NOT NULL AND reason IS NULL THEN round(least(greatest(pct, 0.5), 99.5), 1) END AS percentile
-  FROM scored s JOIN t USING (pgs_id) LEFT JOIN pct ON pct.sample_id = s.sample_id AND pct.pgs_id = s.pgs_id AND is_primary""")
-def pl4(v):
-    return reported(v).where(F.coalesce("is_primary", F.lit(True))).drop("is_primary")
-
-
 def reported(v):
     from ..plans.polygenic import score_with_percentile
 
@@ -298,7 +262,7 @@ def reported(v):
     )
 
 
-@check("pl4_every_population", f"""WITH {PCT_SQL}, t AS (SELECT pgs_id, count(*) AS total FROM v_score GROUP BY 1)
+@check("pl4_polygenic_score", f"""WITH {PCT_SQL}, t AS (SELECT pgs_id, count(*) AS total FROM v_score GROUP BY 1)
   SELECT s.sample_id, s.pgs_id, round(s.score_sum, 6) AS score_sum, s.matched, t.total,
     round(s.matched * 100.0::DOUBLE / t.total, 1) AS match_rate_value,
     CASE WHEN s.matched = 0 OR s.matched * 100.0::DOUBLE / t.total < 60 THEN 'failed' WHEN s.matched * 100.0::DOUBLE / t.total < 85 THEN 'warning' ELSE 'passed' END AS status,

@@ -289,13 +289,7 @@ def pl26(v):
     return M.search_catalogue(c, c.select(F.col("trait").alias("trait_label"), "pgs_id"), "red", 20)
 
 
-@check("sl7_search_limit", f"WITH {CAT_SQL} SELECT pgs_id, name FROM cat WHERE contains(lower(name), 'blue') ORDER BY pgs_id LIMIT 10")
-def sl7(v):
-    c = catalogue(v)
-    return M.search_catalogue(c, c.select(F.col("trait").alias("trait_label"), "pgs_id"), "blue", 10).select("pgs_id", "name")
-
-
-@check("sl7_score_and_trait_hits", f"""WITH {CAT_SQL}, h AS (SELECT pgs_id, name, trait, CASE WHEN contains(lower(name), 'promo') OR contains(lower(pgs_id), 'promo') THEN 0 ELSE 1 END AS source_rank FROM cat
+@check("sl7_search_limit", f"""WITH {CAT_SQL}, h AS (SELECT pgs_id, name, trait, CASE WHEN contains(lower(name), 'promo') OR contains(lower(pgs_id), 'promo') THEN 0 ELSE 1 END AS source_rank FROM cat
       WHERE contains(lower(name), 'promo') OR contains(lower(pgs_id), 'promo') OR contains(lower(trait), 'promo'))
    SELECT pgs_id, name, trait, source_rank FROM h ORDER BY source_rank, pgs_id LIMIT 10""")
 def sl7_both(v):
@@ -332,15 +326,7 @@ def snk5(v):
     return S.merge_replace(old, new, ["pgs_id", "population", "genome_build"])
 
 
-@check("snk6_replace_results", """SELECT file_id AS task_key, task_id, match_rate FROM v_report WHERE test_id <> 'error' QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY CASE WHEN test_id = 'view' THEN 0 ELSE 1 END, task_id DESC) = 1""")
-def snk6(v):
-    r = v.report.where("test_id <> 'error'").select(F.col("file_id").alias("task_key"), "task_id", "match_rate", "test_id")
-    new = r.where("test_id = 'view'").drop("test_id")
-    old = M.first_rows(r.where("test_id <> 'view'").drop("test_id"), ["task_key"], [F.col("task_id").desc()])
-    return S.merge_replace(old, new, ["task_key"], version=["task_id"])
-
-
-@check("snk6_every_result", """SELECT file_id AS task_key, task_id, match_rate, test_id FROM v_report
+@check("snk6_replace_results", """SELECT file_id AS task_key, task_id, match_rate, test_id FROM v_report
    QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY CASE WHEN test_id = 'view' THEN 0 ELSE 1 END, task_id DESC) = 1""")
 def snk6_every(v):
     r = v.report.select(F.col("file_id").alias("task_key"), "task_id", "match_rate", "test_id")

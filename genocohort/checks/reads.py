@@ -133,17 +133,7 @@ def pl9(v):
     return P.score_from_reads(v.read, v.score).select("sample_id", "pgs_id", "score_sum", "matched", "raw_score")
 
 
-@check("pl25_target_site_genotypes", f"""WITH {MAP_SQL}, {SITE_SQL}, tg AS (SELECT v.chrom, v.pos, v.ref, coalesce((SELECT min(t.x) FROM unnest(string_split(alleles, ',')) t(x) WHERE t.x <> v.ref), 'N') AS alt FROM v_variant v JOIN amap USING (chrom, pos) WHERE length(v.ref) = 1),
-   k AS (SELECT sample_id, o.chrom, o.pos, tg.ref, tg.alt, count(*) AS depth, count(*) FILTER (base = tg.ref) AS rn, count(*) FILTER (base = tg.alt) AS an, count(*) FILTER (base = translate(tg.ref, 'ACGT', 'TGCA')) AS rc, count(*) FILTER (base = translate(tg.alt, 'ACGT', 'TGCA')) AS ac
-     FROM obs o JOIN tg ON tg.chrom = o.chrom AND tg.pos = o.pos GROUP BY ALL),
-   m AS (SELECT *, CASE WHEN rn = 0 AND an = 0 AND (rc > 0 OR ac > 0) THEN ac ELSE an END AS n FROM k)
-   SELECT sample_id, chrom, pos, ref, alt, depth, CASE WHEN depth < 8 THEN './.' WHEN n / depth::DOUBLE < 0.15 THEN '0/0' WHEN n / depth::DOUBLE > 0.85 THEN '1/1' ELSE '0/1' END AS genotype FROM m""")
-def pl25(v):
-    targets = A.fill_missing_alt(v.variant.select("chrom", "pos", "ref").where("length(ref) = 1"), A.allele_map(v.score))
-    return P.genotype_sites(v.read, targets).select("sample_id", "chrom", "pos", "ref", "alt", "depth", "genotype")
-
-
-@check("pl25_every_target", f"""WITH {MAP_SQL}, {SITE_SQL}, {VERDICT_SQL}, tg AS (SELECT v.chrom, v.pos, v.ref, coalesce((SELECT min(t.x) FROM unnest(string_split(alleles, ',')) t(x) WHERE t.x <> v.ref), 'N') AS alt FROM v_variant v JOIN amap USING (chrom, pos)),
+@check("pl25_target_site_genotypes", f"""WITH {MAP_SQL}, {SITE_SQL}, {VERDICT_SQL}, tg AS (SELECT v.chrom, v.pos, v.ref, coalesce((SELECT min(t.x) FROM unnest(string_split(alleles, ',')) t(x) WHERE t.x <> v.ref), 'N') AS alt FROM v_variant v JOIN amap USING (chrom, pos)),
    k AS (SELECT sample_id, o.chrom, o.pos, tg.ref, tg.alt, count(*) AS depth, count(*) FILTER (base = tg.ref) AS rn, count(*) FILTER (base = tg.alt) AS an, count(*) FILTER (base = translate(tg.ref, 'ACGT', 'TGCA')) AS rc, count(*) FILTER (base = translate(tg.alt, 'ACGT', 'TGCA')) AS ac
      FROM obs o JOIN tg ON tg.chrom = o.chrom AND tg.pos = o.pos WHERE length(tg.ref) = 1 GROUP BY ALL),
    m AS (SELECT *, CASE WHEN rn = 0 AND an = 0 AND (rc > 0 OR ac > 0) THEN ac ELSE an END AS n FROM k)

@@ -169,6 +169,16 @@ def sc9_every(v):
     return proxy_carriers(v, v.variant)
 
 
+@check("sc9_proxy_tests", f"""WITH {LOOK_SQL}, a AS (SELECT sample_id, test_no, rsid, concat('B*', gene) AS hla_allele, alt AS risk_base, found, coalesce(genotype, '') AS g FROM looked WHERE rsid IS NOT NULL),
+   b AS (SELECT *, NOT found AND NOT contains(g, '0/0') AS unknown, regexp_matches(g, '0[/|]1|1[/|]0|1[/|]1') AS carries FROM a)
+   SELECT sample_id, test_no, rsid, hla_allele, NOT unknown AND carries AS carrier, CASE WHEN unknown OR carries THEN 'warning' ELSE 'passed' END AS status,
+     CASE WHEN unknown THEN concat(hla_allele, ': proxy SNP ', rsid, ' not in VCF') WHEN carries THEN concat(hla_allele, ': CARRIER (proxy ', rsid, ' = ', g, ')') ELSE concat(hla_allele, ': non-carrier (proxy ', rsid, ' = ', g, ')') END AS headline FROM b""")
+def sc9_tests(v):
+    """Proxies looked up by id, position, reference block or inferred reference, as the four of the rule table are."""
+    answers = looked(v).where("rsid IS NOT NULL").withColumn("hla_allele", F.concat(F.lit("B*"), "gene")).withColumn("risk_base", F.col("expected_alt"))
+    return P.hla_proxy_answers(answers).select("sample_id", "test_no", "rsid", "hla_allele", "carrier", "status", "headline")
+
+
 HLA_GENES = ["HLA-B", "HLA-A", "HLA-DRB1", "HLA-E"]
 HLA_SQL = """hla AS (SELECT o_orderkey // 4 AS sample_no, (['HLA-B','HLA-A','HLA-DRB1','HLA-E'])[o_orderkey % 4 + 1] AS gene, o_orderkey % 80 AS x, o_custkey % 90 AS y, 1 + o_orderkey % 2 AS n FROM orders)"""
 

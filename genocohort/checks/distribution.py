@@ -272,6 +272,21 @@ def pl4_every(v):
     return reported(v)
 
 
+@check("pl4_requested_scores", f"""WITH {SCORED_SQL}, t AS (SELECT pgs_id, count(*) AS total FROM v_score GROUP BY 1),
+  req AS (SELECT DISTINCT o_custkey AS sample_id, concat('PGS', lpad(CAST(o_orderkey % 130 AS VARCHAR), 6, '0')) AS pgs_id FROM orders),
+  x AS (SELECT sample_id, pgs_id, coalesce(round(score_sum, 6), 0) AS score_sum, coalesce(matched, 0) AS matched, coalesce(total, 0) AS total, CASE WHEN total > 0 THEN coalesce(matched, 0) * 100.0::DOUBLE / total ELSE 0 END AS rate
+    FROM req LEFT JOIN scored USING (sample_id, pgs_id) LEFT JOIN t USING (pgs_id))
+  SELECT sample_id, pgs_id, score_sum, matched, total, round(rate, 1) AS match_rate_value, CASE WHEN matched = 0 OR rate < 60 THEN 'failed' WHEN rate < 85 THEN 'warning' ELSE 'passed' END AS status,
+    (matched = 0 OR rate < 60) AS no_report, CASE WHEN matched = 0 THEN concat('PGS failed (0/', format('{{:,}}', total), ' variants matched: chromosome/build mismatch?)') END AS nothing_seen FROM x""")
+def pl4_requested(v):
+    """Each order asks one score of one sample; some are of scores that do not exist, some of scores without a position seen."""
+    k = F.col("o_orderkey")
+    requests = v.table("orders").select(F.col("o_custkey").alias("sample_id"), F.concat(F.lit("PGS"), F.lpad((k % 130).cast("string"), 6, "0")).alias("pgs_id"))
+    s = O.score_samples(v.genotype, v.score, requests)
+    return s.select("sample_id", "pgs_id", F.round("score_sum", 6).alias("score_sum"), "matched", "total", "match_rate_value", "status", "no_report",
+                    F.when(F.col("matched") == 0, F.col("failure")).alias("nothing_seen"))
+
+
 # ---- statistics tables -------------------------------------------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import genotype as G
 
+from .. import constants as K
 from ..functions import files as N
 from ..operators import mart as M
 from ..plans.run_tests import run_tests, specialized_results
@@ -104,6 +105,24 @@ def wn5(v):
     return M.best_files(files, M.file_preferences(v.spark), files.where("file_id % 13 = 0").select("file_id"))
 
 
+RUNNERS = ["cyp2d6", "variant_lookup", "coverage", "pgs_score", "sex_sry", "roh"]
+CATEGORIES = ["Carrier Status", "PGS - Heart", "Sleep & Circadian", "Monogenic", "Ancestry"]
+
+
+@check("wn5_file_per_test", f"""WITH {INPUT_SQL}, x AS (SELECT *, (['gvcf','vcf','bam','cram',''])[file_id % 5 + 1] AS file_class FROM inp WHERE file_id % 13 <> 0),
+   best AS (SELECT profile_id, kind, file_id, file_class, CASE WHEN preferred THEN concat('Preferred ', upper(file_class), ' file') ELSE concat('Auto-selected ', upper(file_class), ' (first available)') END AS reason
+     FROM x JOIN pref USING (file_class) QUALIFY row_number() OVER (PARTITION BY profile_id, kind ORDER BY type_rank, preferred DESC, registered, file_id) = 1),
+   req AS (SELECT o_custkey AS profile_id, o_orderkey AS test_id, CASE WHEN o_orderkey % 6 IN (0, 2, 4) THEN 'reads_only' WHEN o_orderkey % 5 IN (0, 3, 4) THEN 'alignment_first' ELSE 'default' END AS kind FROM orders)
+   SELECT profile_id, test_id, kind, file_id, file_class, coalesce(reason, 'No compatible files in profile') AS reason FROM req LEFT JOIN best USING (profile_id, kind)""")
+def wn5_tests(v):
+    """One test an order asks for, of some runner and category."""
+    k = F.col("o_orderkey")
+    pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (k % n + 1).cast("int"))
+    requests = v.table("orders").select(F.col("o_custkey").alias("profile_id"), k.alias("test_id"), pick(RUNNERS, 6).alias("runner"), pick(CATEGORIES, 5).alias("category"))
+    files = input_files(v)
+    return M.files_for_tests(files, requests, files.where("file_id % 13 = 0").select("file_id"))
+
+
 @check("wn16_sibling_file", """WITH f AS (SELECT o_orderkey AS k, concat('S', o_custkey) AS sample_name, lower(concat('s', o_custkey, (['.annotated.vcf.gz','.merged.vcf.gz','.vcf.gz','.g.vcf.gz','.bam','.cram'])[o_orderkey % 6 + 1])) AS file_name FROM orders),
    b AS (SELECT sample_name, file_name, CAST(k % 6 + 1 AS INT) AS suffix_rank FROM f WHERE k % 6 < 4 QUALIFY row_number() OVER (PARTITION BY sample_name ORDER BY k % 6, file_name) = 1)
    SELECT f.k, f.sample_name, b.file_name AS variant_file, suffix_rank FROM f JOIN b USING (sample_name) WHERE f.k % 6 >= 4""")
@@ -218,10 +237,19 @@ def sc31_screens(v):
 
 
 @check("sc41_provenance", f"""WITH {INPUT_SQL} SELECT file_id, regexp_extract(path, '[^/]*$') AS input_file, (['gVCF','VCF','BAM','CRAM','unknown'])[file_id % 5 + 1] AS input_type,
-   (['block expansion at target positions','standard VCF','variant calling','variant calling','none'])[file_id % 5 + 1] AS normalization, concat('https://www.pgscatalog.org/score/PGS', file_id, '/') AS score_url, 'GRCh38' AS genome_build FROM inp""")
+   (['block expansion at target positions','standard VCF','variant calling','variant calling','none'])[file_id % 5 + 1] AS normalization, concat('https://www.pgscatalog.org/score/PGS', file_id, '/') AS score_url,
+   CASE WHEN file_id % 2 = 0 THEN 'GRCh37' ELSE 'GRCh38' END AS genome_build, CASE WHEN file_id % 2 = 0 THEN 'GRCh37' ELSE 'GRCh38' END AS scoring_file_build, CASE WHEN file_id % 3 = 0 THEN 'GRCh37' ELSE 'unknown' END AS original_build,
+   file_id % 4 = 0 AS used_harmonized_positions, CASE WHEN file_id % 5 = 1 THEN 'GRCh37 to GRCh38' END AS liftover, concat('PGS', file_id) AS score_id, '{K.SCORING_TOOL}' AS scoring_tool,
+   CASE WHEN file_id % 7 = 0 THEN 'MIX' ELSE '{K.REFERENCE_POPULATION}' END AS reference_population, '{K.REFERENCE_PANEL}' AS reference_panel FROM inp""")
 def sc41(v):
-    p = M.provenance(F.col("path"), F.concat(F.lit("PGS"), F.col("file_id").cast("string")), F.lit(None), F.lit(None), F.lit(None).cast("string"), F.lit("grouped sums"))
-    return input_files(v).select("file_id", p.alias("p")).select("file_id", "p.input_file", "p.input_type", "p.normalization", "p.score_url", "p.genome_build")
+    k = F.col("file_id")
+    p = M.provenance(
+        F.col("path"), F.concat(F.lit("PGS"), k.cast("string")), F.when(k % 2 == 0, "GRCh37"), F.when(k % 3 == 0, "GRCh37"), F.when(k % 5 == 1, "GRCh37 to GRCh38").otherwise(""),
+        F.lit("grouped sums"), F.when(k % 4 == 0, True), F.when(k % 7 == 0, "MIX"),
+    )
+    return input_files(v).select("file_id", p.alias("p")).select("file_id", *[f"p.{c}" for c in (
+        "input_file", "input_type", "normalization", "score_url", "genome_build", "scoring_file_build", "original_build", "used_harmonized_positions", "liftover", "score_id", "scoring_tool",
+        "reference_population", "reference_panel")])
 
 
 # ---- catalogue ---------------------------------------------------------------------------------------------------------
@@ -234,7 +262,9 @@ def catalogue_json(v):
         F.concat(F.lit("PGS"), F.lpad(k.cast("string"), 6, "0")).alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("trait_reported"),
         (k * 10).alias("variants_number"), F.when(k % 4 != 0, "beta").alias("weight_type"), F.when(k % 3 == 0, "GRCh37").alias("original_genome_build"),
         F.struct(F.when(k % 5 != 0, F.col("p_brand")).alias("firstauthor"), F.lit("J").alias("journal"), F.lit("2021-05-01").alias("date_publication"),
-                 F.when(k % 7 != 0, F.concat(F.lit("10.1/"), k.cast("string"))).alias("doi")).alias("publication"),
+                 F.when(k % 7 != 0, F.concat(F.lit("10.1/"), k.cast("string"))).alias("doi"), F.when(k % 6 != 0, F.col("p_type")).alias("title"),
+                 F.when(k % 8 != 0, k.cast("string")).alias("PMID")).alias("publication"),
+        F.when(k % 9 != 0, F.col("p_brand")).alias("method_name"),
         F.struct(F.struct(F.create_map(F.lit("EUR"), (F.col("p_size") + 0.5).cast("double"), F.lit("AFR"), F.lit(25.25)).alias("dist"), k.alias("count")).alias("gwas")).alias("ancestry_distribution"),
         F.struct(F.when(k % 2 == 0, F.create_map(F.lit("positions"), F.lit("u"))).alias("GRCh37"), F.create_map(F.lit("positions"), F.lit("u")).alias("GRCh38")).alias("ftp_harmonized_scoring_files"),
         F.array(F.struct(F.concat(F.lit("d "), "p_type").alias("description"))).alias("trait_efo"),
@@ -245,7 +275,8 @@ def catalogue_json(v):
 CAT_SQL = """cat AS (SELECT concat('PGS', lpad(CAST(p_partkey AS VARCHAR), 6, '0')) AS pgs_id, p_name AS name, p_type AS trait, p_partkey * 10 AS variants,
    CASE WHEN p_partkey % 5 <> 0 THEN concat(p_brand, ' et al., J (2021)') ELSE '' END AS citation, CASE WHEN p_partkey % 7 <> 0 THEN concat('https://doi.org/10.1/', p_partkey) END AS doi,
    CASE WHEN p_partkey % 3 = 0 OR p_partkey % 2 = 0 THEN 'GRCh37' ELSE 'GRCh38' END AS genome_build, CASE WHEN p_partkey % 2 = 0 THEN 'GRCh37,GRCh38' ELSE 'GRCh38' END AS builds_available,
-   CASE WHEN p_partkey % 4 <> 0 THEN 'beta' ELSE 'NR' END AS weight_type, concat('d ', p_type) AS trait_description,
+   CASE WHEN p_partkey % 4 <> 0 THEN 'beta' ELSE 'NR' END AS weight_type, CASE WHEN p_partkey % 6 <> 0 THEN p_type ELSE '' END AS pub_title,
+   CASE WHEN p_partkey % 8 <> 0 THEN p_partkey::VARCHAR END AS pub_pmid, CASE WHEN p_partkey % 9 <> 0 THEN p_brand ELSE '' END AS method_name, concat('d ', p_type) AS trait_description,
    CASE WHEN p_size + 0.5 > 25.25 THEN concat('EUR: ', p_size, '.5%, AFR: 25.25%') ELSE concat('AFR: 25.25%, EUR: ', p_size, '.5%') END AS gwas_ancestry, p_partkey AS gwas_n FROM part WHERE p_partkey % 50 <> 49)"""
 
 
@@ -283,10 +314,13 @@ def so3(v):
 
 
 @check("pl26_catalogue_search", f"""WITH {CAT_SQL}, h AS (SELECT pgs_id, name, trait, CASE WHEN contains(lower(name), 'red') THEN 0 ELSE 1 END AS source_rank FROM cat WHERE contains(lower(name), 'red') OR contains(lower(trait), 'red'))
-   SELECT * FROM h ORDER BY source_rank, pgs_id LIMIT 20""")
+   SELECT 'red' AS asked, * FROM (SELECT * FROM h ORDER BY source_rank, pgs_id LIMIT 20) UNION ALL SELECT ' pgs000004 ', pgs_id, name, trait, 0 FROM cat WHERE pgs_id = 'PGS000004'""")
 def pl26(v):
+    """A text, a score id, and a text of one character, which finds nothing."""
     c = catalogue(v)
-    return M.search_catalogue(c, c.select(F.col("trait").alias("trait_label"), "pgs_id"), "red", 20)
+    traits = c.select(F.col("trait").alias("trait_label"), "pgs_id")
+    found = [M.search_catalogue(c, traits, text, 20).select(F.lit(text).alias("asked"), "pgs_id", "name", "trait", "source_rank") for text in ("red", " pgs000004 ", "r ")]
+    return found[0].unionAll(found[1]).unionAll(found[2])
 
 
 @check("sl7_search_limit", f"""WITH {CAT_SQL}, h AS (SELECT pgs_id, name, trait, CASE WHEN contains(lower(name), 'promo') OR contains(lower(pgs_id), 'promo') THEN 0 ELSE 1 END AS source_rank FROM cat

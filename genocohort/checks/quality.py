@@ -150,7 +150,7 @@ def ag28(v):
     return mapped.withColumn("platform", platform).withColumn("coverage", H.coverage_estimate(F.col("mapped"), F.lit(100000), F.col("platform")))
 
 
-@check("src16_header_facts", """SELECT concat('s', sample_id) AS file, CASE WHEN sample_id % 3 = 0 THEN 'GRCh38' WHEN sample_id % 3 = 1 THEN 'GRCh37' ELSE 'unknown' END AS build, n_contigs, CASE WHEN sample_id % 2 = 0 THEN concat('R', sample_id, ',S', sample_id, ',T') ELSE concat('S', sample_id) END AS samples, CAST(CASE WHEN sample_id % 2 = 0 THEN 3 ELSE 1 END AS INT) AS n_samples, 'caller v1' AS caller, true AS has_chr
+@check("src16_header_facts", """SELECT concat('s', sample_id) AS file, CASE WHEN sample_id % 3 = 0 THEN 'GRCh38' WHEN sample_id % 3 = 1 THEN 'GRCh37' ELSE 'unknown' END AS build, n_contigs, CASE WHEN sample_id % 2 = 0 THEN concat('R', sample_id, ',S', sample_id, ',T') ELSE concat('S', sample_id) END AS samples, CAST(CASE WHEN sample_id % 2 = 0 THEN 3 ELSE 1 END AS INT) AS n_samples, (['DeepVariant 1.5', 'GATK HaplotypeCaller', 'strelka v2', NULL])[sample_id % 4 + 1] AS caller, true AS has_chr
    FROM (SELECT sample_id, count(DISTINCT chrom) AS n_contigs FROM v_block GROUP BY 1)""")
 def src16(v):
     b = v.block.select("sample_id", "chrom").distinct()
@@ -158,7 +158,11 @@ def src16(v):
     contigs = b.select(file.alias("file"), F.concat(F.lit("##contig=<ID=chr"), "chrom", F.lit(",length=1000>")).alias("value"))
     s = b.select("sample_id").distinct()
     ref = F.when(F.col("sample_id") % 3 == 0, "##reference=file:///GRCh38.fa").when(F.col("sample_id") % 3 == 1, "##reference=hs37d5").otherwise("##reference=x")
+    # by turns: a DeepVariant line beside another caller's, a GATK command line beside an unknown source, a known source, none known
+    turn = F.col("sample_id") % 4
+    callers = [F.when(turn == 0, "##DeepVariant_version=1.5").when(turn == 1, '##GATKCommandLine=<ID=HaplotypeCaller>').otherwise("##x"),
+               F.when(turn == 0, "##source=GATK").when(turn == 2, "##source=strelka v2").otherwise("##source=caller v1")]
     fixed = s.select(file.alias("file"), F.explode(F.array(
-        ref, F.lit("##source=caller v1"), F.concat(F.lit("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS"), F.col("sample_id").cast("string"), F.when(F.col("sample_id") % 2 == 0, "\tT").otherwise("")),
+        ref, *callers, F.concat(F.lit("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS"), F.col("sample_id").cast("string"), F.when(F.col("sample_id") % 2 == 0, "\tT").otherwise("")),
         F.when(F.col("sample_id") % 2 == 0, F.concat(F.lit("@RG\tID:1\tSM:R"), F.col("sample_id").cast("string"), F.lit("\tPL:ILLUMINA"))).otherwise("##x"))).alias("value"))
     return H.header_facts(contigs.unionByName(fixed)).select("file", "build", "n_contigs", "samples", "n_samples", "caller", "has_chr")

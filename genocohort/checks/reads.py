@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import clinical as C
 from ..functions import genotype as G
 from ..operators import alleles as A
+from ..operators import lookup as L
 from ..operators import pileup as P
 from .projections import MAP_SQL
 from .registry import check
@@ -144,9 +145,32 @@ def pl25_every(v):
     return P.genotype_sites(v.read, targets).select("sample_id", "chrom", "pos", "ref", "alt", "depth", "genotype")
 
 
-@check("pl10_lookup_from_reads", f"""WITH {CALL_SQL}, {VERDICT_SQL}, allc AS (SELECT sample_id, chrom, pos, dosage FROM snvs UNION ALL SELECT sample_id, chrom, pos, dosage FROM ind)
-   SELECT sample_id, gene, count(*) AS n_sites, count(dosage) AS n_called, count(*) FILTER (dosage > 0) AS n_alt FROM allc JOIN v_variant USING (chrom, pos) GROUP BY 1, 2""")
+PL10_SQL = f"""WITH {CALL_SQL}, {VERDICT_SQL}, allc AS (SELECT sample_id, chrom, pos, ref, alt, dosage, depth FROM snvs UNION ALL SELECT sample_id, chrom, pos, ref, alt, dosage, depth FROM ind),
+   tv AS (SELECT variant_id // 5 AS test_no, CASE WHEN variant_id % 25 = 13 OR variant_id // 5 % 9 = 4 THEN NULL ELSE rsid END AS rsid, gene, chrom, CASE WHEN variant_id % 10 = 7 OR variant_id // 5 % 9 = 5 THEN NULL ELSE pos END AS pos, ref, alt,
+     CASE WHEN variant_id % 2 = 0 THEN concat('*', variant_id % 7 + 1) END AS star FROM v_variant),
+   req AS (SELECT DISTINCT sample_id, variant_id // 5 AS test_no FROM allc JOIN v_variant USING (chrom, pos)),
+   ans AS (SELECT r.sample_id, r.test_no, tv.*  EXCLUDE (test_no), dosage, depth, CASE WHEN rsid IS NULL THEN 'cnv_only' WHEN tv.pos IS NULL THEN 'none' ELSE 'pileup' END AS src
+     FROM req r JOIN tv USING (test_no) LEFT JOIN allc a ON a.sample_id = r.sample_id AND a.chrom = tv.chrom AND a.pos = tv.pos AND a.ref = tv.ref AND a.alt = tv.alt AND tv.rsid IS NOT NULL),
+   roll AS (SELECT sample_id, test_no, count(*) AS n_variants, count(*) FILTER (src = 'pileup') AS n_resolved, count(*) FILTER (src = 'pileup' AND dosage > 0) AS n_alt, count(*) FILTER (src = 'cnv_only') AS n_cnv,
+     count(*) FILTER (src = 'pileup' AND coalesce(depth, 0) < 8) AS n_low_coverage, min(gene) FILTER (src = 'cnv_only') AS cnv_gene,
+     list(concat(gene, '=', {GT.format(d='dosage')}) ORDER BY gene, rsid) FILTER (src = 'pileup' AND dosage > 0) AS calls FROM ans GROUP BY 1, 2),
+   cl AS (SELECT sample_id, test_no, gene, string_agg(DISTINCT star, ', ' ORDER BY star) AS stars FROM ans WHERE dosage = 2 AND star IS NOT NULL GROUP BY 1, 2, 3 HAVING count(DISTINCT star) > 1 QUALIFY row_number() OVER (PARTITION BY sample_id, test_no ORDER BY gene) = 1)
+   SELECT sample_id, test_no, n_variants, n_resolved, n_alt, n_low_coverage,
+     CASE WHEN cl.gene IS NOT NULL THEN 'warning' WHEN n_resolved = 0 AND n_cnv = 0 THEN 'failed' WHEN n_resolved = 0 THEN 'warning' ELSE 'passed' END AS status,
+     CASE WHEN cl.gene IS NOT NULL THEN concat(cl.gene, ': impossible call detected (hom for ', stars, ')') WHEN n_resolved = 0 AND n_cnv = 0 THEN concat('No data: ', n_variants, ' variant(s) unresolvable')
+       WHEN n_resolved = 0 THEN concat(cnv_gene, ': requires specialized assay') WHEN n_alt = 0 THEN 'All ref/ref (no alt calls)' ELSE concat(n_alt, '/', n_resolved, ' alt calls: ', array_to_string(calls[1:3], ', ')) END AS headline
+   FROM roll LEFT JOIN cl USING (sample_id, test_no)"""
+
+
+@check("pl10_lookup_from_reads", PL10_SQL)
 def pl10_reads(v):
+    """Five-variant tests of the samples with reads at one of their sites."""
+    k = F.col("variant_id")
+    test = G.whole(k, 5)
+    variants = v.variant.select(
+        test.alias("test_no"), F.when((k % 25 == 13) | (test % 9 == 4), None).otherwise(F.col("rsid")).alias("rsid"), "gene", "chrom",
+        F.when((k % 10 == 7) | (test % 9 == 5), None).otherwise(F.col("pos")).alias("pos"), "ref", "alt", F.when(k % 2 == 0, F.concat(F.lit("*"), (k % 7 + 1).cast("string"))).alias("star_allele"),
+    )
     calls = P.genotype_sites(v.read, v.variant.select("chrom", "pos", "ref", "alt"), reference_bases(v))
-    return calls.join(v.variant.select("chrom", "pos", "gene"), ["chrom", "pos"]).groupBy("sample_id", "gene").agg(
-        F.count(F.lit(1)).alias("n_sites"), F.count("dosage").alias("n_called"), F.count_if(F.col("dosage") > 0).alias("n_alt"))
+    requests = calls.join(v.variant.select("chrom", "pos", test.alias("test_no")), ["chrom", "pos"]).select("sample_id", "test_no").distinct()
+    return L.reads_rollup(L.lookup_from_reads(requests.join(variants, "test_no"), v.read, reference_bases(v)), ["sample_id", "test_no"])

@@ -85,12 +85,26 @@ HLA_LOCUS_ORDER = ["HLA-A", "HLA-B", "HLA-C", "HLA-DRB1", "HLA-DQB1", "HLA-DPB1"
 # Archaic share range in percent by population.
 ARCHAIC_RANGE = [("AFR", 0.0, 0.3), ("EUR", 1.8, 2.4), ("EAS", 1.8, 2.6), ("SAS", 1.7, 2.3), ("AMR", 1.5, 2.0)]
 
+# Callers that a source line may name, and the name for a GATK command line.
+VARIANT_CALLERS = ["deepvariant", "gatk", "dragen", "freebayes", "strelka", "octopus"]
+GATK_NAME = "GATK HaplotypeCaller"
+
 # File type order by kind of test.
 FILE_PREFERENCE = [
     ("default", ["gvcf", "vcf", "bam", "cram"]),
     ("alignment_first", ["bam", "cram", "gvcf", "vcf"]),
     ("reads_only", ["bam", "cram"]),
 ]
+# Tests that only reads can answer, by runner, and categories that prefer reads.
+READS_ONLY_RUNNERS = [
+    "expansion_hunter", "str_analysis", "cyp2d6", "t1k_hla", "coverage", "ancestry_mt_haplo", "ancestry_y_haplo", "ancestry_hla",
+    "sex_y_reads", "sex_sry",
+]
+ALIGNMENT_FIRST_CATEGORIES = ["sex check", "carrier status", "pharmacogenomics", "monogenic", "ancestry"]
+# Provenance of a score.
+SCORING_TOOL = "grouped sums of dosage times weight"
+REFERENCE_POPULATION = "EUR (European, n=503)"
+REFERENCE_PANEL = "1000 Genomes Phase 3 (GRCh38, 3,202 samples)"
 SIBLING_SUFFIX_RANK = [("annotated.vcf.gz", 1), ("merged.vcf.gz", 2), ("vcf.gz", 3), ("g.vcf.gz", 4)]
 
 SYMBOLIC_ALTS = ["<*>", "<NON_REF>"]

@@ -67,6 +67,19 @@ def hla_proxy_carriers(calls: DataFrame, proxies: DataFrame) -> DataFrame:
     return calls.join(proxies, "rsid").withColumn("carrier_state", state)
 
 
+def hla_proxy_answers(answers: DataFrame) -> DataFrame:
+    """Status and headline per looked-up proxy (``answers``: hla_allele, rsid, risk_base, found, genotype).
+
+    A proxy that is neither found nor inferred to be reference says nothing; a carrier shows the risk base, or any het or hom ALT call.
+    """
+    gt = F.coalesce("genotype", F.lit(""))
+    unknown = ~F.col("found") & ~gt.contains("0/0")
+    carrier = (F.col("found") & F.upper(gt).contains(F.upper("risk_base"))) | gt.rlike(r"0[/|]1|1[/|]0|1[/|]1")
+    text = lambda word: F.concat("hla_allele", F.lit(f": {word} (proxy "), "rsid", F.lit(" = "), gt, F.lit(")"))
+    headline = F.when(unknown, F.concat("hla_allele", F.lit(": proxy SNP "), "rsid", F.lit(" not in VCF"))).when(carrier, text("CARRIER")).otherwise(text("non-carrier"))
+    return answers.withColumn("carrier", ~unknown & carrier).withColumn("status", F.when(unknown | carrier, "warning").otherwise("passed")).withColumn("headline", headline)
+
+
 def hla_headline(calls: DataFrame, by: Sequence[str]) -> DataFrame:
     """Headline of the canonical loci in fixed order. A sample has a few dozen loci."""
     place = F.array_position(F.array(*[F.lit(x) for x in K.HLA_LOCUS_ORDER]), F.col("gene"))

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..functions import genotype as G
 from .intervals import interval_join
 from .picks import first_rows
+from .pileup import genotype_sites
 
 #: Order of records of which it is not known where they stood in their file.
 SPELLING_ORDER = ("pos", "ref", "alt_csv", "gt")
@@ -138,6 +140,47 @@ def lookup_rollup(answers: DataFrame, by: Sequence[str]) -> DataFrame:
     return rolled.withColumn("status", status).withColumn("headline", headline).drop("_calls")
 
 
+def lookup_from_reads(wanted: DataFrame, reads: DataFrame, reference_bases: DataFrame | None = None) -> DataFrame:
+    """Answer per wanted row from a pileup of its site (``wanted`` as in look_up, alleles known where a position is): source, found,
+    genotype, dosage, depth. A row without rsID is left to a dedicated assay, one without position has no data."""
+    placed = F.col("rsid").isNotNull() & F.col("pos").isNotNull()
+    sites = wanted.where(placed).select("chrom", "pos", "ref", "alt").distinct()
+    calls = genotype_sites(reads, sites, reference_bases).select("sample_id", "chrom", "pos", "ref", "alt", "dosage", "depth", "genotype", "strand_flip")
+    source = F.when(F.col("rsid").isNull(), "cnv_only").when(F.col("pos").isNull(), "none").when(F.length("ref") != F.length("alt"), "pileup_indel").otherwise("pileup")
+    return wanted.join(calls, ["sample_id", "chrom", "pos", "ref", "alt"], "left").withColumns({
+        "source": source, "found": F.col("dosage").isNotNull(), "depth": F.when(placed, F.coalesce("depth", F.lit(0))),
+        "genotype": F.when(placed, F.coalesce("genotype", F.lit("./."))), "strand_flip": F.coalesce("strand_flip", F.lit(False)),
+    })
+
+
+def reads_rollup(answers: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Counts, status and headline of one test of one sample from reads (``answers``: gene, rsid, source, dosage, depth, genotype and, of
+    pharmacogenes, star_allele). Two star alleles of one gene, both with two copies, cannot be: such a test is a caller's artefact."""
+    resolved = ~F.col("source").isin("none", "cnv_only")
+    alt = F.coalesce(resolved & (F.col("dosage") > 0), F.lit(False))
+    call = F.struct("gene", "rsid", F.concat("gene", F.lit("="), "genotype").alias("text"))
+    rolled = answers.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_variants"), F.count_if(resolved).alias("n_resolved"), F.count_if(alt).alias("n_alt"),
+        F.count_if(F.col("source") == "cnv_only").alias("n_cnv"), F.count_if(resolved & (F.col("depth") < K.MIN_DEPTH)).alias("n_low_coverage"),
+        F.min(F.when(F.col("source") == "cnv_only", F.coalesce("gene", F.lit("Structural variant")))).alias("_cnv_gene"),
+        F.array_sort(F.collect_list(F.when(alt, call))).alias("_calls"),  # a test lists a handful of variants
+    )
+    stars = answers.where(F.col("star_allele").isNotNull()).select(*by, "gene", F.col("star_allele").alias("allele"), "dosage")
+    clash = impossible_diplotypes(stars, [*by, "gene"]).groupBy(*by).agg(F.min(F.struct("gene", "alleles")).alias("_clash"))
+    joined = rolled.join(clash, list(by), "left")
+    impossible, none = F.col("_clash").isNotNull(), F.col("n_resolved") == 0
+    shown = F.array_join(F.transform(F.slice("_calls", 1, 3), lambda c: c["text"]), ", ")
+    headline = (
+        F.when(impossible, F.concat(F.col("_clash.gene"), F.lit(": impossible call detected (hom for "), F.array_join("_clash.alleles", ", "), F.lit(")")))
+        .when(none & (F.col("n_cnv") == 0), F.concat(F.lit("No data: "), F.col("n_variants").cast("string"), F.lit(" variant(s) unresolvable")))
+        .when(none, F.concat("_cnv_gene", F.lit(": requires specialized assay")))
+        .when(F.col("n_alt") == 0, "All ref/ref (no alt calls)")
+        .otherwise(F.concat(F.col("n_alt").cast("string"), F.lit("/"), F.col("n_resolved").cast("string"), F.lit(" alt calls: "), shown))
+    )
+    status = F.when(impossible, "warning").when(none & (F.col("n_cnv") == 0), "failed").when(none, "warning").otherwise("passed")
+    return joined.select(*by, "n_variants", "n_resolved", "n_alt", "n_low_coverage", status.alias("status"), headline.alias("headline"))
+
+
 def impossible_diplotypes(doses: DataFrame, by: Sequence[str]) -> DataFrame:
     """Genes in which more than one star allele has two copies. A gene lists a bounded set of star alleles."""
     return doses.where(F.col("dosage") == 2).groupBy(*by).agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -49,6 +50,23 @@ def file_preferences(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, file_class string, type_rank int")
 
 
+def input_kind(runner: Column, category: Column) -> Column:
+    """Which file types a test asks for, and in which order: by its runner, else its category, else variants first."""
+    return (
+        F.when(F.coalesce(runner.isin(K.READS_ONLY_RUNNERS), F.lit(False)), "reads_only")
+        .when(F.coalesce(F.lower(category).isin(K.ALIGNMENT_FIRST_CATEGORIES), F.lit(False)), "alignment_first").otherwise("default")
+    )
+
+
+def files_for_tests(files: DataFrame, requests: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """Best file of the profile for each requested test (``requests``: profile_id, test_id, runner, category), or why there is none."""
+    asked = requests.withColumn("kind", input_kind(F.col("runner"), F.col("category")))
+    best = best_files(files, file_preferences(files.sparkSession), excluded)
+    return asked.join(best, ["profile_id", "kind"], "left").select(
+        "profile_id", "test_id", "kind", "file_id", "file_class", F.coalesce("reason", F.lit("No compatible files in profile")).alias("reason")
+    )
+
+
 def best_files(files: DataFrame, kinds: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """Best input file per (profile, kind of test).
 
@@ -191,12 +209,21 @@ def screen_summary(requests: DataFrame, panel_genes: DataFrame, findings: DataFr
     )
 
 
-def provenance(path: Column, pgs_id: Column, build: Column, original_build: Column, lifted: Column, method: Column) -> Column:
+def provenance(
+    path: Column, pgs_id: Column, build: Column, original_build: Column, lifted: Column, method: Column, harmonised: Column | None = None,
+    population: Column | None = None,
+) -> Column:
+    """How a score came about. ``build``: that of the positions used; ``harmonised``: whether they are the catalogue's harmonised ones;
+    ``population``: the reference population, if another than the default."""
     kind = N.input_label(path)
+    harmonised = F.lit(False) if harmonised is None else F.coalesce(harmonised, F.lit(False))
+    positions = F.coalesce(build, F.lit("GRCh38"))
     return F.named_struct(
-        F.lit("scoring_method"), method, F.lit("input_file"), N.base_name(path), F.lit("input_type"), kind,
-        F.lit("genome_build"), F.coalesce(build, F.lit("GRCh38")), F.lit("original_build"), F.coalesce(original_build, F.lit("unknown")),
-        F.lit("liftover"), lifted, F.lit("score_url"), F.concat(F.lit("https://www.pgscatalog.org/score/"), pgs_id, F.lit("/")),
+        F.lit("scoring_tool"), F.lit(K.SCORING_TOOL), F.lit("scoring_method"), method, F.lit("input_file"), N.base_name(path), F.lit("input_type"), kind,
+        F.lit("genome_build"), positions, F.lit("scoring_file_build"), positions, F.lit("original_build"), F.coalesce(original_build, F.lit("unknown")),
+        F.lit("used_harmonized_positions"), harmonised, F.lit("liftover"), F.when(lifted != "", lifted), F.lit("score_id"), pgs_id,
+        F.lit("reference_population"), F.lit(K.REFERENCE_POPULATION) if population is None else F.coalesce(population, F.lit(K.REFERENCE_POPULATION)),
+        F.lit("reference_panel"), F.lit(K.REFERENCE_PANEL), F.lit("score_url"), F.concat(F.lit("https://www.pgscatalog.org/score/"), pgs_id, F.lit("/")),
         F.lit("normalization"), F.when(kind == "gVCF", "block expansion at target positions").when(kind == "VCF", "standard VCF")
         .when(kind.isin("BAM", "CRAM"), "variant calling").otherwise("none"),
     )
@@ -223,6 +250,7 @@ def flatten_catalogue(docs: DataFrame) -> DataFrame:
         F.when(F.coalesce(pub["doi"], F.lit("")) != "", F.concat(F.lit("https://doi.org/"), pub["doi"])).alias("doi"),
         F.coalesce("original_genome_build", F.get(builds, F.lit(0)), F.lit("NR")).alias("genome_build"),
         F.array_join(builds, ",").alias("builds_available"), F.coalesce("weight_type", F.lit("NR")).alias("weight_type"),
+        F.coalesce(pub["title"], F.lit("")).alias("pub_title"), pub["PMID"].alias("pub_pmid"), F.coalesce("method_name", F.lit("")).alias("method_name"),
         F.coalesce(F.get("trait_efo", F.lit(0))["description"], F.lit("")).alias("trait_description"),
         F.when(F.coalesce(F.size(shares), F.lit(0)) > 0, ancestry).otherwise("Not reported").alias("gwas_ancestry"), gwas["count"].alias("gwas_n"),
     )
@@ -252,8 +280,13 @@ def merge_hits(*sources: DataFrame) -> DataFrame:
 
 
 def search_catalogue(catalogue: DataFrame, traits: DataFrame, text: str, limit: int) -> DataFrame:
-    """Direct id, else score hits before trait hits. ``traits``: trait_label, pgs_id."""
+    """A score id finds that score alone; other texts of two characters or more find score hits before trait hits. ``traits``: trait_label,
+    pgs_id."""
     wanted = text.strip().lower()
+    if len(wanted) < 2:
+        return merge_hits(catalogue.where(F.lit(False)))
+    if re.fullmatch(r"pgs\d{6,}", wanted):
+        return merge_hits(catalogue.where(F.lower("pgs_id") == wanted)).limit(limit)
     hits = catalogue.where(F.lower("pgs_id").contains(wanted) | F.lower("name").contains(wanted))
     by_trait = catalogue.join(traits.where(F.lower("trait_label").contains(wanted)).select("pgs_id").distinct(), "pgs_id", "left_semi")
     return merge_hits(hits, by_trait).orderBy("source_rank", "pgs_id").limit(limit)

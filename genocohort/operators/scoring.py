@@ -84,6 +84,25 @@ def with_match_rate(scored: DataFrame, weights: DataFrame) -> DataFrame:
     )
 
 
-def score_samples(genotypes: DataFrame, weights: DataFrame) -> DataFrame:
-    """Every score of every sample in one job."""
-    return with_match_rate(sum_scores(match_effect_allele(genotypes, weights)), weights)
+def score_samples(genotypes: DataFrame, weights: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """Every score of every sample in one job; with ``requests`` (sample_id, pgs_id) those asked for, each with a row.
+
+    Without requests a pair appears when at least one of its positions was seen. A requested pair of which none was seen, or whose
+    score has no weights, is a failed result.
+    """
+    if requests is None:
+        return with_match_rate(sum_scores(match_effect_allele(genotypes, weights)), weights)
+    asked = requests.select("sample_id", "pgs_id").distinct()
+    wanted = weights.join(asked.select("pgs_id").distinct(), "pgs_id", "left_semi")
+    called = genotypes.join(asked.select("sample_id").distinct(), "sample_id", "left_semi")
+    summed = asked.join(sum_scores(match_effect_allele(called, wanted)), ["sample_id", "pgs_id"], "left")
+    nothing = {"score_sum": 0.0, "allele_ct": 0, "matched": 0}
+    return with_match_rate(summed.fillna(nothing), wanted).withColumn("failure", failure_text())
+
+
+def failure_text() -> Column:
+    """Why a score failed; null where it did not."""
+    total = F.format_number(F.col("total"), 0)
+    none = F.concat(F.lit("PGS failed (0/"), total, F.lit(" variants matched: chromosome/build mismatch?)"))
+    low = F.concat(F.lit("PGS failed (match rate "), F.format_number("match_rate", 0), F.lit("%: too low)"))
+    return F.when(F.col("matched") == 0, none).when(F.col("status") == "failed", low)

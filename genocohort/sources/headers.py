@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..constants import CHR1_LENGTHS
 from ..functions import files as N
 
@@ -25,7 +26,11 @@ def build_from_contigs(contigs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def header_facts(lines: DataFrame, by: str = "file") -> DataFrame:
-    """One row per file from its ``#`` lines: declared build, contig count, chr1 length, samples, caller, platform."""
+    """One row per file from its ``#`` lines: declared build, contig count, chr1 length, samples, caller, platform.
+
+    The caller is the one a DeepVariant line names, with its version; else the first of a source line that names a known caller and a
+    GATK command line (without ``line_no`` the source line goes first).
+    """
     v = F.col("value")
     heads = lines.where(v.startswith("#") | v.startswith("@"))
     contig = F.when(v.startswith("##contig"), F.regexp_extract(v, r"ID=([^,>]+)", 1)).when(
@@ -37,7 +42,15 @@ def header_facts(lines: DataFrame, by: str = "file") -> DataFrame:
     columns = F.split(v, "\t")
     in_columns = F.when(F.size(columns) > 9, F.slice(columns, 10, F.greatest(F.size(columns) - 9, F.lit(0))))
     samples = F.when(v.startswith("#CHROM"), in_columns).when(v.startswith("@RG"), F.array(F.regexp_extract(v, r"SM:(\S+)", 1)))
-    caller = F.when(v.rlike("^##source="), F.regexp_extract(v, "^##source=(.*)$", 1))
+    order = F.col("line_no") if "line_no" in lines.columns else F.lit(0)
+    source = F.trim(F.regexp_extract(v, "^##source[^=]*=(.*)$", 1))
+    deep = F.rtrim(F.concat(F.lit("DeepVariant "), F.trim(F.regexp_extract(v, "^##DeepVariant[^=]*=(.*)$", 1))))
+    named = lambda rank, kind, name: F.struct(F.lit(rank).alias("rank"), order.alias("order"), F.lit(kind).alias("kind"), name.alias("name"))
+    caller = (
+        F.when(v.startswith("##DeepVariant"), named(0, 0, deep))
+        .when(v.startswith("##source") & F.lower(source).rlike("|".join(K.VARIANT_CALLERS)), named(1, 0, source))
+        .when(v.startswith("##GATKCommandLine"), named(1, 1, F.lit(K.GATK_NAME)))
+    )
     platform = F.when(v.startswith("@RG"), F.upper(F.regexp_extract(v, r"PL:(\S+)", 1)))
     facts = heads.select(
         by, contig.alias("contig"), length.alias("length"), samples.alias("samples"), caller.alias("caller"),
@@ -51,7 +64,7 @@ def header_facts(lines: DataFrame, by: str = "file") -> DataFrame:
         F.coalesce(F.bool_or(F.col("contig").startswith("chr")), F.lit(False)).alias("has_chr"),
         # one header's sample names, in code point order
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("samples")))).alias("_samples"),
-        F.max("caller").alias("caller"),
+        F.min("caller")["name"].alias("caller"),
         F.max("platform").alias("platform"),
     ).withColumns({"samples": F.array_join("_samples", ","), "n_samples": F.size("_samples")}).drop("_samples")
 

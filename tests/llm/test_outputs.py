@@ -82,7 +82,10 @@ def test_template_is_reversible(turns):
         assert chat.unescape(formatted[a:b]) == text
 
 
-def test_chat_trees(spark):
+@pytest.mark.parametrize("segment", [2, 256])
+def test_chat_trees(spark, monkeypatch, segment):
+    """Conversations in segments of two turns, and of as many as they have."""
+    monkeypatch.setattr(chat, "SEGMENT", segment)
     shipped(spark)
     r = random.Random(3)
     rows = []
@@ -106,12 +109,31 @@ def test_chat_trees(spark):
     for x in trees.orderBy("shard", "seq").collect():
         assert x["start"] == at.get(x["shard"], 0)
         at[x["shard"]] = x["start"] + len(x["text"])
-        assert sum(p["end"] - p["start"] for p in x["path"]) == x["position_start"] + len(x["text"])
+        first = x["segment"] == 0
+        assert sum(p["end"] - p["start"] for p in x["path"]) == x["position_start"] + len(x["text"]) or not first and x["position_start"] > 0
         last.setdefault(x["shard"], []).append(x)
     assert sum(at.values()) < 0.7 * sum(e[4] for c, e in expected.items() if c != 102) + 2 * expected[102][4]
     assert chat.read_trees(chat.write_trees(empty(spark, "conv_id long, turn long, role string, text string"))).count() == 0
 
 
+def test_a_long_conversation_is_many_rows(spark):
+    """One conversation, and the rows without conv_id, hold a third of all turns each; positions run on from segment to segment."""
+    shipped(spark)
+    turns = F.when(F.col("id") < 2000, 7).when(F.col("id") < 4000, None).otherwise(F.col("id") % 400 + 100)
+    df = spark.range(6000).select(turns.cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t<"), F.col("id") % 1000).alias("text"))
+    trees = chat.write_trees(df).cache()
+    assert trees.agg(F.max("n_turns")).first()[0] == chat.SEGMENT and trees.where("conv_id = 7").count() == -(-2000 // chat.SEGMENT)
+    expected = {}
+    for r in df.orderBy("turn").collect():
+        n, said, loss, chars = expected.get(r["conv_id"], (0, "", "", 0))
+        expected[r["conv_id"]] = (n + 1, said + f"{r['role']}\n{r['text']}\n", loss + (r["text"] if r["role"] == "assistant" else ""), chars + len(chat.format_turn(r["role"], r["text"])[0]))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    got = {x["conv_id"]: tuple(x)[1:] for x in chat.read_trees(trees).collect()}
+    assert got == {k: (n, sha(said), len(loss), sha(loss), chars) for k, (n, said, loss, chars) in expected.items()}
+    last = trees.where("conv_id = 7").orderBy(F.desc("segment")).first()
+    assert last["position_start"] + len(last["text"]) == expected[7][3] and last["prefix"] != 0
+
+
 # page text
 
 PAGE = (

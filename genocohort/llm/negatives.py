@@ -139,9 +139,11 @@ def _packed(size: int):
 
 
 def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Rows in order of dimension, label, nearest reference and angle, packed."""
+    """Rows in order of dimension, label, nearest reference and angle, packed. Neighbouring ranges that are shorter than a block together
+    make one, so the number of blocks follows from that of the rows, whatever the number of partitions."""
     keys = ["dim", "label", "near", "angle", "uid"]
-    return stored(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_packed(size), _BLOCK_SCHEMA), name)
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).coalesce(max(1, -(-rows.count() // size)))
+    return stored(ordered.mapInArrow(_packed(size), _BLOCK_SCHEMA), name)
 
 
 class _Rows:

@@ -373,10 +373,15 @@ def snk6_every(v):
 
 RUN_SQL = f"""{CL.ROLL_SQL}, {CL.SCREEN_SQL},
   st AS (SELECT sample_id, count(*) FILTER (length(ref) = 1 AND length(alt) = 1) AS n_snps FROM (SELECT sample_id, ref, split_part(alt_csv, ',', 1) AS alt FROM v_record WHERE alt_csv NOT IN ('<*>','<NON_REF>') AND gt NOT IN ('0/0','./.','0/.')) GROUP BY 1)
-  SELECT sample_id, concat('lookup:', test_no) AS test_id, CASE WHEN n_resolved = 0 AND n_cnv = 0 THEN 'failed' WHEN n_resolved = 0 OR (n_mismatch > 0 AND n_alt = 0) THEN 'warning' ELSE 'passed' END AS status FROM roll
-  UNION ALL SELECT sample_id, concat('screen:', panel), CASE WHEN findings > 0 THEN 'warning' ELSE 'passed' END FROM scr
-  UNION ALL SELECT sample_id, 'stats:snps', CASE WHEN n_snps IS NULL THEN 'failed' WHEN n_snps BETWEEN 3000000 AND 5000000 THEN 'passed' ELSE 'warning' END FROM v_sample LEFT JOIN st USING (sample_id)
-  UNION ALL SELECT rq.sample_id, concat('score:', rq.pgs_id), CASE WHEN matched IS NULL OR matched = 0 OR matched * 100.0::DOUBLE / total < 60 THEN 'failed' WHEN matched * 100.0::DOUBLE / total < 85 THEN 'warning' ELSE 'passed' END
+  SELECT sample_id, concat('lookup:', test_no) AS test_id, CASE WHEN n_resolved = 0 AND n_cnv = 0 THEN 'failed' WHEN n_resolved = 0 OR (n_mismatch > 0 AND n_alt = 0) THEN 'warning' ELSE 'passed' END AS status,
+     CASE WHEN n_resolved = 0 AND n_cnv = 0 THEN concat('No data: ', n_variants, ' variant(s) unresolvable') WHEN n_resolved = 0 THEN 'Requires a dedicated assay'
+       WHEN n_mismatch > 0 AND n_alt = 0 THEN concat('Inconclusive: ', n_mismatch, ' locus-only match(es)') WHEN n_alt = 0 THEN 'All ref/ref (no alt calls)'
+       ELSE concat(n_alt, '/', n_variants, ' alt calls: ', array_to_string(calls[1:3], ', ')) END AS headline FROM roll
+  UNION ALL SELECT sample_id, concat('screen:', panel), CASE WHEN findings > 0 THEN 'warning' ELSE 'passed' END,
+     CASE WHEN findings > 0 THEN concat(findings, ' pathogenic finding(s): ', array_to_string(genes[1:5], ', ')) ELSE concat('No pathogenic variants in ', genes_screened, ' genes') END FROM scr
+  UNION ALL SELECT sample_id, 'stats:snps', CASE WHEN n_snps IS NULL THEN 'failed' WHEN n_snps BETWEEN 3000000 AND 5000000 THEN 'passed' ELSE 'warning' END, CASE WHEN n_snps IS NULL THEN 'No data' ELSE concat('snps: ', n_snps) END FROM v_sample LEFT JOIN st USING (sample_id)
+  UNION ALL SELECT rq.sample_id, concat('score:', rq.pgs_id), CASE WHEN matched IS NULL OR matched = 0 OR matched * 100.0::DOUBLE / total < 60 THEN 'failed' WHEN matched * 100.0::DOUBLE / total < 85 THEN 'warning' ELSE 'passed' END,
+      CASE WHEN matched IS NULL THEN 'No data' ELSE concat('Matched ', matched, '/', total) END
     FROM (SELECT DISTINCT o_custkey AS sample_id, concat('PGS', lpad(CAST(l_suppkey AS VARCHAR), 6, '0')) AS pgs_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey) rq
     LEFT JOIN (SELECT g.sample_id, s.pgs_id, count(g.dosage) AS matched FROM v_genotype g JOIN v_score s ON s.chrom = g.chrom AND s.pos = g.pos WHERE s.effect_allele IN (g.ref, g.alt) GROUP BY 1, 2) m USING (sample_id, pgs_id)
     LEFT JOIN (SELECT pgs_id, count(*) AS total FROM v_score GROUP BY 1) t USING (pgs_id)"""
@@ -403,7 +408,7 @@ def pl24(v):
     tests = requests.select("test_id").distinct().select(
         "test_id", kind.alias("category"), test_type.alias("test_type"), F.substring_index("test_id", ":", -1).alias("target"))
     variants = CL.test_variants(v).withColumn("test_no", F.col("test_no").cast("string"))
-    return run_tests(requests, tests, v.record, v.genotype, v.score, variants, v.variant, CL.panel_genes(v)).select("sample_id", "test_id", "status")
+    return run_tests(requests, tests, v.record, v.genotype, v.score, variants, v.variant, CL.panel_genes(v)).select("sample_id", "test_id", "status", "headline")
 
 
 def run(v, requests, tests, specialized=None):
@@ -415,14 +420,16 @@ METRICS = ["titv", "het_hom", "snps", "indels"]
 
 
 @check("pl24_every_metric", f"""WITH {QU.VAR_SQL}, m AS (SELECT sample_id, unnest({METRICS}) AS metric FROM v_sample)
-   SELECT sample_id, concat('stats:', metric) AS test_id, CASE WHEN n_snps IS NULL THEN 'failed'
+   SELECT * EXCLUDE (h) FROM (SELECT sample_id, concat('stats:', metric) AS test_id, CASE WHEN n_snps IS NULL THEN 'failed'
      WHEN metric = 'titv' THEN CASE WHEN transversions = 0 THEN 'failed' WHEN transitions / transversions::DOUBLE BETWEEN 1.9 AND 2.2 THEN 'passed' ELSE 'warning' END
-     WHEN metric = 'het_hom' THEN CASE WHEN n_hom = 0 THEN 'failed' WHEN n_het / n_hom::DOUBLE BETWEEN 1.3 AND 2.5 THEN 'passed' ELSE 'warning' END WHEN metric = 'snps' THEN CASE WHEN n_snps BETWEEN 3000000 AND 5000000 THEN 'passed' ELSE 'warning' END ELSE CASE WHEN n_indels BETWEEN 400000 AND 1000000 THEN 'passed' ELSE 'warning' END END AS status
-   FROM m LEFT JOIN q USING (sample_id)""")
+     WHEN metric = 'het_hom' THEN CASE WHEN n_hom = 0 THEN 'failed' WHEN n_het / n_hom::DOUBLE BETWEEN 1.3 AND 2.5 THEN 'passed' ELSE 'warning' END WHEN metric = 'snps' THEN CASE WHEN n_snps BETWEEN 3000000 AND 5000000 THEN 'passed' ELSE 'warning' END ELSE CASE WHEN n_indels BETWEEN 400000 AND 1000000 THEN 'passed' ELSE 'warning' END END AS status,
+     coalesce(concat_ws('', metric || ': ' || CASE metric WHEN 'titv' THEN printf('%.3f', transitions / nullif(transversions, 0)::DOUBLE) WHEN 'het_hom' THEN printf('%.3f', n_het / nullif(n_hom, 0)::DOUBLE)
+       WHEN 'snps' THEN n_snps::VARCHAR ELSE n_indels::VARCHAR END), '') AS h, CASE WHEN h = '' THEN 'No data' ELSE h END AS headline
+   FROM m LEFT JOIN q USING (sample_id))""")
 def pl24_metrics(v):
     requests = v.sample.select("sample_id", F.explode(F.array(*[F.lit(f"stats:{m}") for m in METRICS])).alias("test_id"))
     tests = requests.select("test_id").distinct().select("test_id", F.lit("stats").alias("category"), F.lit("vcf_stats").alias("test_type"), F.substring_index("test_id", ":", -1).alias("target"))
-    return run(v, requests, tests).select("sample_id", "test_id", "status")
+    return run(v, requests, tests).select("sample_id", "test_id", "status", "headline")
 
 
 SPECIAL_SQL = f"""SELECT sample_id, 'pca_1000g' AS target, 'passed' AS status, concat('Ancestry: ', population, ' (', CASE WHEN d2 - d1 > 0.3::DOUBLE * d1 THEN 'high' ELSE 'moderate' END, ' confidence)') AS headline FROM (WITH {AN.DIST_SQL} SELECT * FROM cl)

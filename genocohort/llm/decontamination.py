@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import in_blocks
+from .shared import in_blocks, lean
 from .words import ALPHANUMERIC, lower, pieces, prefix_codes, span_codes, word_spans
 
 #: Consecutive words of an item that make a match; a shorter item is matched whole.
@@ -160,7 +160,7 @@ def _searched(broadcast, at: int, schema: pa.Schema, fresh: bool):
             more = [pa.array(x, schema.field(k).type) for k, x in zip(names, (counts, spans, hits, longest))]
             yield pa.RecordBatch.from_arrays([*(c.cast(schema.field(i).type) for i, c in enumerate(given)), *more], schema=schema)
 
-    return search
+    return lean(search)
 
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -195,7 +195,7 @@ def _clean(broadcast, at: int):
         for batch in batches:
             yield batch.filter(pa.array([not own for _, own in _found(broadcast.value, batch.column(at))], pa.bool_()))
 
-    return run
+    return lean(run)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -15,16 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .graphs import components
-from .shared import may_hold, membership_filter, stored
+from .shared import lean, may_hold, membership_filter, removed, stored
 from .words import SPACED, lower, mixed, pieces, prefix_codes, span_codes, word_spans
 
 #: Words of a shingle, and the similarity as a fraction. A contract may give others.
 WORDS, SHARE = 5, (80, 100)
+#: Bytes of text cut into shingles at once.
+AT_ONCE = 1 << 17
 #: A text without words.
 WORDLESS = r"^[\x20\x09-\x0D]*\z"
 #: Cells of the count sketch (fixed size) and of a set's histogram for the suffix filter.
@@ -36,7 +38,7 @@ FULL = 2**15 - 1
 
 def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, shingle hashes of all texts, each text's distinct and sorted, and where each text's begin)."""
-    for first, data, offsets in pieces(column):
+    for first, data, offsets in pieces(column, AT_ONCE):
         data = lower(data)
         starts, ends, firsts = word_spans(data, offsets, SPACED)
         codes = span_codes(prefix_codes(data), starts, ends)
@@ -99,7 +101,7 @@ def _marked(words: int):
                 held = (b"", own.tobytes()) if dense else (some.astype(np.int32).tobytes(), own[some].tobytes())
                 yield padded(1, {"part": pa.array([part], pa.int32()), "cells": pa.array(held[:1], pa.binary()), "counts": pa.array(held[1:], pa.binary())})
 
-    return run
+    return lean(run)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +144,7 @@ def _prefixes(words: int, share: tuple[int, int], sketch):
                 histogram = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * HISTOGRAM + 1, HISTOGRAM, dtype=np.int32)), pa.array(np.minimum(cells, FULL).astype(np.int16)))
                 yield pa.RecordBatch.from_arrays([_signed(_keys(shingles, begins)), pa.array(n), pa.array(weight), tokens, histogram], names=["key", "n", "weight", "tokens", "histogram"])
 
-    return run
+    return lean(run)
 
 
 def _sets_of(words: int, members):
@@ -154,7 +156,24 @@ def _sets_of(words: int, members):
                 kept = np.flatnonzero(may_hold(members.value, keys))
                 yield pa.RecordBatch.from_arrays([_signed(keys[kept]), lists.take(pa.array(kept))], names=["key", "shingles"])
 
-    return run
+    return lean(run)
+
+
+def _entries(common):
+    """(set, its size, weight, place, token) of the prefix tokens that the filter of common ones may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column("tokens")
+            flat, offsets = tokens.flatten().to_numpy(zero_copy_only=False), tokens.offsets.to_numpy()
+            begins = offsets - offsets[0]
+            kept = np.flatnonzero(may_hold(common.value, flat.view(np.uint64)))
+            own = np.searchsorted(begins, kept, "right") - 1
+            rows = pa.array(own)
+            columns = [batch.column(c).take(rows) for c in ("key", "n", "weight")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array((kept - begins[own]).astype(np.int32)), pa.array(flat[kept])], names=["a", "na", "weight", "ia", "token"])
+
+    return lean(run)
 
 
 def _needed(share: tuple[int, int]) -> F.Column:
@@ -178,15 +197,18 @@ def _possible(pairs: DataFrame, prefixes: DataFrame, share: tuple[int, int]) ->
     return pairs.join(side("a"), "a").join(side("b"), "b").where(most >= _needed(share)).select("a", "b", "na", "nb")
 
 
-def _verified(pairs: DataFrame, text: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+def _verified(pairs: DataFrame, text: DataFrame, words: int, share: tuple[int, int], places: list[str]) -> DataFrame:
     """The linked ones of pairs (a, b), by their whole sets, which are read for the documents of these pairs only."""
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     members = text.sparkSession.sparkContext.broadcast(membership_filter(keys))
     sets = text.mapInArrow(_sets_of(words, members), "key long, shingles array<long>").dropDuplicates(["key"])
-    sets = stored(sets, "sets")
+    sets = stored(sets, "sets", own := [])
     of = lambda x: sets.select(F.col("key").alias(x), F.col("shingles").alias(f"s{x}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
-    return stored(both.where(F.size(F.array_intersect("sa", "sb")) >= _needed(share)).select("a", "b"), "links")
+    links = stored(both.where(F.size(F.array_intersect("sa", "sb")) >= _needed(share)).select("a", "b"), "links", places)
+    removed(text.sparkSession, own)
+    members.destroy()
+    return links
 
 
 def set_roots(docs: DataFrame, marks: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
@@ -194,25 +216,32 @@ def set_roots(docs: DataFrame, marks: DataFrame, words: int, share: tuple[int, i
     text = docs.select("text")
     sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(marks))
     prefixes = text.mapInArrow(_prefixes(words, share, sketch), "key long, n long, weight double, tokens array<long>, histogram array<smallint>")
-    prefixes = stored(prefixes.where("n > 0").dropDuplicates(["key"]), "prefixes")
+    places: list[str] = []
+    keep = lambda df, name: stored(df, name, places)
+    prefixes = keep(prefixes.where("n > 0").dropDuplicates(["key"]), "prefixes")
     sketch.destroy()
 
-    entries = prefixes.select(F.col("key").alias("a"), F.col("n").alias("na"), "weight", F.posexplode("tokens").alias("ia", "token"))
+    # most prefix shingles are of one set: they are counted alone, and only the others move with their sets
+    counts = prefixes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("sets"))
+    common = docs.sparkSession.sparkContext.broadcast(membership_filter(keep(counts.where("sets > 1").select("token"), "common")))
+    entries = prefixes.select("key", "n", "weight", "tokens").mapInArrow(_entries(common), "a long, na long, weight double, ia int, token long")
     # the leader is the set whose shingles are the most common ones: the text that its near copies were made from
     leader = F.max(F.struct("weight", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ia").alias("ib"))).alias("leader")
     leaders = entries.groupBy("token").agg(leader, F.count("*").alias("sets")).where("sets > 1")
-    shared = stored(entries.join(leaders, "token").select("token", "a", "na", "ia", "leader.b", "leader.nb", "leader.ib"), "entries")
-    met = stored(_filtered(shared.where("a <> b"), share), "pairs")
-    links = _verified(stored(_possible(met, prefixes, share), "pairs"), text, words, share)
+    shared = keep(entries.join(leaders, "token").select("token", "a", "na", "ia", "leader.b", "leader.nb", "leader.ib"), "entries")
+    met = keep(_filtered(shared.where("a <> b"), share), "pairs")
+    links = _verified(keep(_possible(met, prefixes, share), "pairs"), text, words, share, places)
     roots = components(links)
     # sets of one shingle that are not connected yet
     labelled = shared.select("token", "a", "na", "ia").join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     apart = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    open_ = stored(labelled.join(apart, "token", "left_semi"), "apart")
+    open_ = keep(labelled.join(apart, "token", "left_semi"), "apart")
     other = open_.select("token", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ia").alias("ib"), F.col("root").alias("root_b"))
     rest = _filtered(open_.join(other, "token").where("root < root_b"), share).join(met, ["a", "b"], "left_anti")
-    more = _verified(stored(_possible(rest, prefixes, share), "pairs"), text, words, share)
-    return components(links.unionAll(more))
+    more = _verified(keep(_possible(rest, prefixes, share), "pairs"), text, words, share, places)
+    found = components(links.unionAll(more))
+    removed(docs.sparkSession, places)
+    return found
 
 
 def _all_marks(docs: DataFrame, words: int) -> DataFrame:
@@ -244,22 +273,33 @@ def _keyed(words: int):
                 n = np.diff(begins)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(n)), pa.array(n), _signed(_keys(shingles, begins))], names=["row", "n", "key"])
 
-    return run
+    return lean(run)
 
 
 def one_of_each_group(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
     """The documents, with their columns, that stand for their component: one row of each, that of the smallest doc_id (null last, then
-    by set and text).
+    by set).
 
     Rows are grouped by their texts alone: rows that share a doc_id but differ in text are documents of their own, rows without
     doc_id are grouped like any others. Texts without words are linked with nothing and stay.
     """
     held = _all_marks(docs, words)
     roots = set_roots(docs, held, words, share).withColumnRenamed("node", "key")
+    marks = held.where("part IS NULL AND n > 0").select("doc_id", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    # of a component, each task hands on one row; a null id is the last
+    rows = marks.groupBy("root", "doc_id", "key").agg(F.count("*").alias("copies"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key", "copies"))
+    chosen = stored(rows.groupBy("root").agg(least.alias("m")).select("m.key", F.col("m.doc_id").alias("id"), "m.copies"), "chosen")
     row = StructType([StructField("row", docs.schema), StructField("n", LongType()), StructField("key", LongType())])
-    keyed = docs.select(F.struct("*").alias("row"), "text").mapInArrow(_keyed(words), row)
-    rooted = keyed.where("n > 0").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    # of a component, each task hands on one row
-    first = Window.partitionBy("root").orderBy(F.asc_nulls_last("row.doc_id"), "key", F.xxhash64("row.text"))
-    kept = rooted.withColumn("place", F.row_number().over(first)).where("place = 1").select("row.*")
+
+    def of(some: DataFrame) -> DataFrame:
+        keyed = docs.select(F.struct("*").alias("row"), "text").mapInArrow(_keyed(words), row).where("n > 0")
+        return keyed.join(some, (keyed["key"] == some["key"]) & F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")), "left_semi")
+
+    # texts move once: the rows of a chosen set and id; where there are several, one of them stays
+    kept = of(chosen.where("copies = 1")).select("row.*")
+    several = chosen.where("copies > 1")
+    if not several.isEmpty():
+        one = of(several).withColumn("id", F.col("row.doc_id").cast("long")).dropDuplicates(["key", "id"])
+        kept = kept.unionByName(one.select("row.*"))
     return kept.unionByName(docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(WORDLESS)))

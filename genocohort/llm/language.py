@@ -17,10 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .shared import lean
 from .words import pieces
 
 #: Bytes of an n-gram of lower-cased text in which every run of other characters than letters is one space.
 N = 4
+#: Bytes of text worked on at once.
+AT_ONCE = 1 << 17
 #: Labelled documents learned from per language (about; chosen by a hash of doc_id).
 SAMPLE_PER_LANGUAGE = 1500
 #: A language gets an n-gram's bit if it has it this often and at least 1/RATIO as often as the language that has it most.
@@ -102,7 +105,7 @@ def learn(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Filte
     languages = sorted(counts)
     share = F.element_at(F.create_map(*[F.lit(x) for lang in languages for x in (lang, per_language / counts[lang])]), F.col("lang"))
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
-    grams = labelled.where(draw < share).select("lang", "text").mapInArrow(_counted, "lang string, code long, n long")
+    grams = labelled.where(draw < share).select("lang", "text").mapInArrow(lean(_counted), "lang string, code long, n long")
     summed = grams.groupBy("code", "lang").agg(F.sum("n").alias("n"))
     totals = {r["lang"]: r["n"] for r in summed.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     size = F.element_at(F.create_map(*[F.lit(x) for lang in languages for x in (lang, float(max(totals.get(lang, 1), 1)))]), F.col("lang"))
@@ -132,7 +135,7 @@ def scored(filters: Filters, column: pa.Array) -> tuple[list[str], list[float],
     scores: list[float] = []
     lettered: list[bool] = []
     n_slots = filters.slots.shape[1]
-    for first, data, offsets in pieces(_folded(column)):
+    for first, data, offsets in pieces(_folded(column), AT_ONCE):
         codes, starts, ends = _grams(data, offsets)
         places = _places(codes, n_slots)
         total = (ends - starts).astype(float)
@@ -177,7 +180,7 @@ def identified(docs: DataFrame, filters: Filters) -> DataFrame:
             names, scores, _ = scored(shared.value, batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "_lang", "_lang_score"])
 
-    return docs.mapInArrow(label, out)
+    return docs.mapInArrow(lean(label), out)
 
 
 def accepted(docs: DataFrame, filters: Filters, least_score: float = LEAST_SCORE) -> DataFrame:
@@ -192,4 +195,4 @@ def accepted(docs: DataFrame, filters: Filters, least_score: float = LEAST_SCORE
             _, scores, lettered = scored(shared.value, batch.column(at))
             yield batch.filter(pa.array([some and score >= least_score for score, some in zip(scores, lettered)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

@@ -37,6 +37,18 @@ def shipped(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def lean(run):
+    """A mapInArrow function that hands the memory its batches took back when it is done: the worker lives on, idle or for another task."""
+
+    def wrapped(batches):
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, read as Spark reads it."""
     return shipped(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,13 +64,25 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="llm-")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to a fresh place in the shared folder and reads it back: lineage ends, lost executors cost nothing."""
+def stored(df: DataFrame, name: str, places: list[str] | None = None) -> DataFrame:
+    """Writes a table to a fresh place in the shared folder and reads it back: lineage ends, lost executors cost nothing.
+
+    ``places``: a list that takes the place, for a table that is removed when what follows from it is written."""
     place = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(place)
+    if places is not None:
+        places.append(place)
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+def removed(spark: SparkSession, places: list[str]) -> None:
+    """Deletes tables written by `stored` that nothing reads any more, and empties the list."""
+    for place in places:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    places.clear()
+
+
 def text_crc(column: str) -> F.Column:
     """crc32 of a value as text, as used to fix folds; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import lean, stored
 from .words import POINTS, Sequences, chunked, pieces, sums_of
 
 #: Ids of a block; a longer document makes a larger block of its own.
@@ -31,7 +31,7 @@ BLOCK_IDS = 1 << 20
 #: Positions of one entry of the rank directory.
 RANK_STEP = 512
 #: Chunks of text whose ids a worker remembers; when full it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 #: Bytes of text cut into chunks at once.
 AT_ONCE = 1 << 21
 END_ID = 1
@@ -202,7 +202,7 @@ def _blocks(tokenizer_path: str, end_id: int):
         if held:
             yield block()
 
-    return write
+    return lean(write)
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
